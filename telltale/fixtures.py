@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from telltale.functions.codes import active_codes
 from telltale.operators.ordinals import with_ordinal_of_copies
 from telltale.schemas import CODES, MODE, SENSORS
 from telltale.session import materialise
@@ -124,3 +125,125 @@ def knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.selectExpr(
         "doc_id", "CASE WHEN doc_id % 10 = 9 THEN lower(c) ELSE c END AS code", "text", "lang AS category", "source"
     )
+
+
+# Incidents as they arrive: the test observations as text, with one of sixteen defects or variants each.
+_TEXT_VALUES = {
+    "LOAD_PCT": "CASE WHEN row_id % 16 = 2 THEN CASE WHEN row_id % 32 = 2 THEN 'nan' ELSE '-inf' END ELSE CAST(LOAD_PCT AS STRING) END",
+    "ECT": "CASE WHEN row_id % 16 IN (6, 10) THEN NULL ELSE CAST(ECT AS STRING) END",
+    "RPM": "CASE WHEN row_id % 16 IN (5, 10) THEN 'INVALID' WHEN row_id % 16 = 0 THEN concat(' ', CAST(RPM AS STRING), ' ') ELSE CAST(RPM AS STRING) END",
+    "VSS": "CASE WHEN row_id % 16 = 1 THEN '7.9e2' ELSE CAST(VSS AS STRING) END",
+}
+_TEXT_MODE = """CASE WHEN row_id % 16 = 7 THEN 'INVALID_MODE' WHEN row_id % 16 = 8 THEN NULL WHEN row_id % 16 = 9 THEN '1.0'
+  WHEN row_id % 16 = 15 THEN '99' ELSE CAST(Mode AS STRING) END"""
+
+
+def _text_expressions() -> list[str]:
+    out = []
+    for s in SENSORS:
+        value = _TEXT_VALUES.get(s, f"CAST({s} AS STRING)")
+        out.append(f"CASE WHEN row_id % 16 = 11 THEN '999999' ELSE {value} END AS {s}")
+    return [*out, f"{_TEXT_MODE} AS Mode"]
+
+
+RAW_INCIDENTS_SQL = f"""
+SELECT row_id AS incident_id, {', '.join(_text_expressions())},
+  CASE row_id % 16 WHEN 3 THEN [] WHEN 4 THEN NULL WHEN 12 THEN ['P9999'] WHEN 13 THEN ['P0000'] WHEN 14 THEN ['P0403', 'P0403']
+    ELSE {{active}} END AS active_dtcs
+FROM test
+"""
+
+
+def raw_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every test observation as a text incident, valid or with a defect."""
+    case = F.col("row_id") % 16
+
+    def codes(*values):
+        return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+    active = (
+        F.when(case == 3, codes())
+        .when(case == 4, F.lit(None))
+        .when(case == 12, codes("P9999"))
+        .when(case == 13, codes("P0000"))
+        .when(case == 14, codes("P0403", "P0403"))
+        .otherwise(active_codes(CODES))
+    )
+    return test(spark, sf_dir).select(
+        F.col("row_id").alias("incident_id"), *[F.expr(e) for e in _text_expressions()], active.alias("active_dtcs")
+    )
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nested knowledge entry for every document; texts come in one, several or no languages, lists may be absent."""
+    doc = F.col("doc_id")
+    source, lang = F.col("source"), F.col("category")
+
+    def texts(*pairs):
+        return F.create_map(*[c for k, v in pairs for c in (F.lit(k) if isinstance(k, str) else k, v)])
+
+    empty_map = F.create_map().cast("map<string,string>")
+    title = (
+        F.when(doc % 4 == 0, texts(("fr", F.concat(F.lit("titre "), source)), ("en", F.concat(F.lit("title "), source))))
+        .when(doc % 4 == 1, texts(("xx", F.concat(F.lit("T "), doc.cast("string")))))
+        .when(doc % 4 == 2, empty_map)
+    )
+    components = F.when(doc % 3 == 0, F.array(source, lang)).when(doc % 3 == 1, F.array().cast("array<string>"))
+
+    def cause(label):
+        return F.struct(label.cast("map<string,string>").alias("label"))
+
+    none = F.lit(None)
+    causes = (
+        F.when(doc % 5 == 0, F.array(cause(texts(("en", F.concat(F.lit("cause "), lang)))), cause(none)))
+        .when(doc % 5 == 1, F.array(cause(texts(("fr", F.lit("usure")))), cause(texts(("en", F.lit("wear"))))))
+        .when(doc % 5 == 2, F.array(cause(empty_map)))
+        .when(doc % 5 == 3, F.array().cast("array<struct<label:map<string,string>>>"))
+    )
+    repair = F.when(
+        doc % 6 != 5,
+        F.struct(
+            F.when(doc % 2 == 0, F.lit("easy")).alias("difficulty"),
+            F.when(doc % 3 == 0, F.lit("True")).alias("diy_possible"),
+            F.when(doc % 4 == 0, doc.cast("string")).alias("estimated_cost_eur"),
+            F.lit("1.5").alias("estimated_hours"),
+        ),
+    )
+    flags = F.when(doc % 3 == 0, texts(("emissions", F.lit("True")), ("source", source))).when(doc % 3 == 1, empty_map)
+    return knowledge(spark, sf_dir).select(
+        "doc_id", source.alias("source_file"), doc.alias("position"), "code",
+        F.when(doc % 9 != 8, F.col("category")).alias("category"), title.alias("title"),
+        texts(("en", F.col("text"))).alias("description"), components.alias("affected_components"),
+        causes.alias("common_causes"), repair.alias("repair"), flags.alias("flags"),
+    )
+
+
+# The flat fields of those entries, as one SQL text.
+ENTRY_FIELDS_SQL = """
+SELECT doc_id, source AS source_file, code, CASE WHEN doc_id % 9 <> 8 THEN category ELSE '' END AS category,
+  CASE doc_id % 4 WHEN 0 THEN concat('title ', source) WHEN 1 THEN concat('T ', CAST(doc_id AS VARCHAR)) ELSE '' END AS title,
+  text AS description,
+  CASE WHEN doc_id % 3 = 0 THEN concat(source, ', ', category) ELSE 'None' END AS components_text,
+  CASE doc_id % 5 WHEN 0 THEN concat('cause ', category) WHEN 1 THEN 'usure; wear' WHEN 2 THEN '' ELSE 'None' END AS causes_text,
+  concat('Difficulty: ', CASE WHEN doc_id % 6 <> 5 AND doc_id % 2 = 0 THEN 'easy' ELSE 'Unknown' END,
+    ', DIY Possible: ', CASE WHEN doc_id % 6 <> 5 AND doc_id % 3 = 0 THEN 'True' ELSE 'Unknown' END,
+    ', Cost EUR: ', CASE WHEN doc_id % 6 <> 5 AND doc_id % 4 = 0 THEN CAST(doc_id AS VARCHAR) ELSE 'Unknown' END,
+    ', Hours: ', CASE WHEN doc_id % 6 <> 5 THEN '1.5' ELSE 'Unknown' END) AS repair_text,
+  CASE WHEN doc_id % 3 = 0 THEN concat('emissions: True, source: ', source) ELSE 'None' END AS flags_text
+FROM kb
+"""
+
+# Stand-in for a text encoder in SQL-checked queries: the digits of a code choose one of the given vectors.
+CODE_VECTOR_SQL = "CAST(substr({code}, 2) AS INT) % (SELECT count(*) FROM embeddings)"
+
+
+def code_encoder(spark: SparkSession, sf_dir: str):
+    """Adds ``embedding`` to queries whose text is a code."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    total = vectors.count()
+
+    def add(queries: DataFrame) -> DataFrame:
+        digits = F.substring("query_text", 2, 10).cast("long") % F.lit(total)
+        return queries.withColumn("vec_id", digits).join(vectors, "vec_id").drop("vec_id")
+
+    return add

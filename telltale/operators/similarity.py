@@ -21,7 +21,16 @@ from pyspark.sql import types as T
 
 from telltale.functions.numbers import is_finite, unscaled
 from telltale.operators.scaling import Scaler, scale
-from telltale.schemas import DEFAULT_WEIGHTS, MODE, NO_CODES, NO_FAULT_CODE, SENSORS, TOP_K_SIMILAR
+from telltale.schemas import (
+    DEFAULT_WEIGHTS,
+    MODE,
+    MSG_SIMILAR_NONE,
+    MSG_SIMILAR_OK,
+    NO_CODES,
+    NO_FAULT_CODE,
+    SENSORS,
+    TOP_K_SIMILAR,
+)
 from telltale.session import materialise, shuffle_partitions
 
 MAX_PAGES = 16_384
@@ -295,7 +304,7 @@ def similar_topk(
     """The ``k`` most similar history rows of every incident, best first.
 
     ``incidents`` has ``incident_id``, numeric sensors, mode and ``active_dtcs``. Ties go to the larger history index.
-    Incidents with a missing or infinite reading, or without a mode, get no rows.
+    Incidents with a missing or infinite reading get no rows; one without a mode matches no mode.
     """
     if k < 0:
         raise ValueError("k must not be negative.")
@@ -304,11 +313,11 @@ def similar_topk(
     weights = dict(weights or DEFAULT_WEIGHTS)
     sensors = index.sensors
     z = ["z_" + s for s in sensors]
-    usable = incidents.filter(F.col(MODE).isNotNull())
+    usable = incidents
     for s in sensors:
         usable = usable.filter(is_finite(F.col(s)))
     keyed = scale(usable, index.scaler, sensors=sensors).select(
-        "incident_id", MODE, F.array_sort(F.array_distinct("active_dtcs")).alias("codes"), *z
+        "incident_id", F.col(MODE).cast("double").alias(MODE), F.array_sort(F.array_distinct("active_dtcs")).alias("codes"), *z
     )
     # Incidents with equal content have equal answers: search once per content, under a 128-bit key.
     content = [*z, MODE, "codes"]
@@ -346,3 +355,25 @@ def similar_topk(
             *[unscaled(F.col("z_" + s), s, index.scaler).alias(s) for s in sensors],
         )
     )
+
+
+def nest_cases(incidents: DataFrame, cases: DataFrame, sensors=SENSORS) -> DataFrame:
+    """Add ``similarity``: the cases of each incident as one array, the best score (0.0 without cases), a status text."""
+    case = F.struct(
+        "rank", "historical_index", "similarity_score", "sensor_similarity", "dtc_similarity", "mode_similarity",
+        "dtc_signature", MODE, F.struct(*sensors).alias("original_sensor_values"),
+    )
+    # At most k rows per incident.
+    nested = cases.groupBy("incident_id").agg(F.array_sort(F.collect_list(case)).alias("_cases"))
+    joined = incidents.join(nested, "incident_id", "left")
+    kept = F.transform("_cases", lambda c: c.dropFields("rank"))
+    empty = F.array().cast(joined.select(kept.alias("c")).schema["c"].dataType)
+    found = F.col("_cases").isNotNull()
+    return joined.withColumn(
+        "similarity",
+        F.struct(
+            F.coalesce(kept, empty).alias("top_cases"),
+            F.when(found, F.try_element_at("_cases", F.lit(1))["similarity_score"]).otherwise(0.0).alias("top_score"),
+            F.when(found, MSG_SIMILAR_OK).otherwise(MSG_SIMILAR_NONE).alias("summary"),
+        ),
+    ).drop("_cases")

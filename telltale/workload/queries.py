@@ -5,14 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from telltale import fixtures as X
+from telltale import schemas as S
 from telltale.functions import codes as C
+from telltale.functions import validation as V
+from telltale.operators import dedup as DUP
+from telltale.operators import deviation as DEV
+from telltale.operators import evidence as EV
+from telltale.operators import forest as FOR
+from telltale.operators import knowledge as KB
+from telltale.operators import quality as QUAL
+from telltale.operators import retrieval as RET
+from telltale.operators import scaling as SCALE
 from telltale.operators import similarity as SIM
+from telltale.operators import vectors as VEC
 from telltale.operators.scaling import Scaler, scaler_values
-from telltale.plans.preprocess import Preprocessed, preprocess, with_codes
-from telltale.schemas import MODE, SENSORS
+from telltale.plans.analyze import Resources, analyze_incidents, find_matches
+from telltale.plans.anomaly_model import AnomalyModel, fit_anomaly_model
+from telltale.plans.knowledge_base import build_knowledge_base
+from telltale.plans.preprocess import Preprocessed, clean_history, preprocess, with_codes
+from telltale.schemas import CODES, MODE, SENSORS
 from telltale.session import materialise
 from telltale.workload import sql as Q
 
@@ -60,6 +75,268 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_codes(X.test(spark, sf_dir)).withColumnRenamed("row_id", "incident_id").drop("dtc_signature")
 
 
+CONTENT = [*SENSORS, MODE, *CODES]
+
+
+def _long(*names):
+    return [F.col(n).cast("long").alias(n) for n in names]
+
+
+def _joined(column: str, name: str | None = None):
+    return F.array_join(column, ",").alias(name or column)
+
+
+# --- Sources and data quality ------------------------------------------------------------------------------------------
+
+
+@registered(Q.query(f"SELECT row_id, CAST(is_test AS BIGINT) AS is_test, {', '.join(SENSORS)}, CAST(Mode AS BIGINT) AS Mode, "
+                    + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in CODES) + " FROM telemetry", "telemetry"))
+def read_telemetry(spark, sf_dir):
+    return X.telemetry(spark, sf_dir).select("row_id", *_long("is_test"), *SENSORS, *_long(MODE, *CODES))
+
+
+_LIST_TEXT = """CASE WHEN row_id % 13 = 7 THEN '[broken' WHEN row_id % 13 = 8 THEN NULL
+  ELSE concat('[', {joined}, ']') END"""
+
+
+@registered(Q.query(
+    f"""SELECT row_id, CASE WHEN ok THEN array_to_string(codes, ',') ELSE '' END AS codes, CAST(CASE WHEN ok THEN len(codes) ELSE 0 END AS BIGINT) AS n
+        FROM (SELECT row_id, row_id % 13 NOT IN (7, 8) AS ok, {Q.active_codes()} AS codes FROM telemetry) t""", "telemetry"))
+def parse_code_list(spark, sf_dir):
+    quoted = F.transform(C.active_codes(CODES), lambda c: F.concat(F.lit("'"), c, F.lit("'")))
+    listed = X.telemetry(spark, sf_dir).withColumn("joined", F.array_join(quoted, ", "))
+    text = listed.select("row_id", F.expr(_LIST_TEXT.format(joined="joined")).alias("written"))
+    parsed = text.select("row_id", C.parse_code_list(F.col("written")).alias("codes"))
+    return parsed.select("row_id", _joined("codes"), F.size("codes").cast("long").alias("n"))
+
+
+def _cell_count_sql(test_sql: str, name: str) -> str:
+    cells = " + ".join(f"CASE WHEN {test_sql.format(v=f'({Q.parsed(s)})')} THEN 1 ELSE 0 END" for s in SENSORS)
+    return Q.query(f"SELECT CAST(sum({cells}) AS BIGINT) AS {name} FROM raw_incidents", "raw_incidents")
+
+
+@registered(_cell_count_sql("{v} IS NULL OR isnan({v})", "missing_values"))
+def quality_missing(spark, sf_dir):
+    return QUAL.sensor_cell_counts(QUAL.coerce_numeric(X.raw_incidents(spark, sf_dir))).select("missing_values")
+
+
+@registered(_cell_count_sql("isinf({v})", "infinite_values"))
+def quality_infinite(spark, sf_dir):
+    return QUAL.sensor_cell_counts(QUAL.coerce_numeric(X.raw_incidents(spark, sf_dir))).select("infinite_values")
+
+
+@registered(Q.query(" UNION ALL ".join(
+    f"SELECT '{s}' AS feature, CAST(count(CASE WHEN {s} IS NOT NULL AND ({Q.parsed(s)}) IS NULL THEN 1 END) AS BIGINT) AS bad_cells, "
+    f"CAST(count({Q.parsed(s)}) AS BIGINT) AS numeric_cells FROM raw_incidents" for s in SENSORS), "raw_incidents"))
+def coerce_numeric(spark, sf_dir):
+    raw = X.raw_incidents(spark, sf_dir)
+    kept = QUAL.coerce_numeric(raw).agg(*[F.count(s).alias(s) for s in SENSORS])
+    rows = F.array(*[F.struct(F.lit(s).alias("feature"), F.col(s).alias("numeric_cells")) for s in SENSORS])
+    return QUAL.non_numeric_report(raw).join(kept.select(F.inline(rows)), "feature")
+
+
+@registered(Q.query(
+    f"""SELECT 'train_rows' AS metric, count(*) AS value FROM train UNION ALL SELECT 'train_clean_rows', count(*) FROM kept
+        UNION ALL SELECT 'train_duplicates', (SELECT count(*) FROM train) - (SELECT count(*) FROM kept)
+        UNION ALL SELECT 'test_rows', count(*) FROM test
+        UNION ALL SELECT 'test_duplicates', count(*) - (SELECT count(*) FROM (SELECT DISTINCT {Q.CONTENT} FROM test) d) FROM test
+        UNION ALL SELECT 'train_test_overlap', count(*) FROM (SELECT {Q.CONTENT} FROM train INTERSECT SELECT {Q.CONTENT} FROM test) x
+        UNION ALL SELECT 'train_missing', CAST(0 AS BIGINT) + count(*) FILTER (WHERE RPM IS NULL) FROM train
+        UNION ALL SELECT 'train_infinite', count(*) FILTER (WHERE isinf(RPM)) FROM train
+        UNION ALL SELECT 'test_missing', count(*) FILTER (WHERE RPM IS NULL) FROM test
+        UNION ALL SELECT 'test_infinite', count(*) FILTER (WHERE isinf(RPM)) FROM test
+        UNION ALL SELECT 'only_no_fault', count(*) FROM history WHERE dtc_signature = 'P0000'
+        UNION ALL SELECT 'no_fault_mixed', count(*) FROM history WHERE P0000 = 1 AND len(active_dtcs) > 1
+        UNION ALL SELECT 'no_codes', count(*) FROM history WHERE dtc_signature = 'NONE'
+        UNION ALL SELECT 'modes', count(DISTINCT Mode) FROM train""", "train", "test", "kept", "history"))
+def quality_report(spark, sf_dir):
+    return QUAL.quality_report(X.train(spark, sf_dir), X.test(spark, sf_dir))
+
+
+# --- Validation --------------------------------------------------------------------------------------------------------
+
+_PARSED_OUT = ", ".join(f"round({Q.parsed(s)}, 6) AS {s}" for s in SENSORS)
+
+
+@registered(Q.query(f"""SELECT incident_id, {Q.INCIDENT_ERROR} AS error, {_PARSED_OUT}, CAST({Q.PARSED_MODE} AS VARCHAR) AS Mode,
+    CASE WHEN active_dtcs IS NULL THEN '' ELSE array_to_string(active_dtcs, ',') END AS active_dtcs FROM raw_incidents""", "raw_incidents"))
+def validate_incidents(spark, sf_dir):
+    raw = X.raw_incidents(spark, sf_dir)
+    typed = V.typed_incidents(raw.withColumn("error", V.incident_error(raw)))
+    return typed.select("incident_id", "error", *[_r(s) for s in SENSORS], F.col(MODE).cast("string").alias(MODE), _joined("active_dtcs"))
+
+
+@registered(Q.query(f"SELECT incident_id, {Q.SIMILARITY_ERROR} AS error FROM raw_incidents", "raw_incidents"))
+def validate_similarity_input(spark, sf_dir):
+    raw = X.raw_incidents(spark, sf_dir)
+    return raw.select("incident_id", V.similarity_error(raw).alias("error"))
+
+
+@registered(Q.query(f"SELECT incident_id, {Q.ANOMALY_ERROR} AS error FROM raw_incidents", "raw_incidents"))
+def validate_anomaly_input(spark, sf_dir):
+    raw = X.raw_incidents(spark, sf_dir)
+    return raw.select("incident_id", V.anomaly_error(raw).alias("error"))
+
+
+@registered(Q.query(
+    f"""SELECT incident_id, CASE WHEN m IS NOT NULL THEN 'Input Validation Error' END AS error, m AS message
+        FROM (SELECT incident_id, {Q.INCIDENT_ERROR} AS m FROM raw_incidents) e""", "raw_incidents"))
+def error_envelope(spark, sf_dir):
+    raw = X.raw_incidents(spark, sf_dir)
+    return raw.withColumn("e", V.error_envelope(V.incident_error(raw))).select("incident_id", "e.error", "e.message")
+
+
+_QUERY_TEXT = "CASE WHEN doc_id % 7 = 3 THEN '   ' WHEN doc_id % 11 = 5 THEN NULL ELSE text END"
+
+
+@registered(f"""SELECT doc_id, CASE WHEN q IS NULL OR trim(q) = '' THEN 'Query cannot be empty.' END AS error
+                FROM (SELECT doc_id, {_QUERY_TEXT} AS q FROM documents) d""")
+def validate_query_text(spark, sf_dir):
+    texts = X.table(spark, sf_dir, "documents").select("doc_id", F.expr(_QUERY_TEXT).alias("q"))
+    return texts.select("doc_id", V.query_text_error(F.col("q")).alias("error"))
+
+
+# --- Distinct rows, positions, codes -----------------------------------------------------------------------------------
+
+
+@registered(Q.query(f"SELECT row_id, {', '.join(SENSORS)}, CAST(Mode AS BIGINT) AS Mode FROM kept", "kept"))
+def dedupe_keep_first(spark, sf_dir):
+    return DUP.dedupe_keep_first(X.train(spark, sf_dir)).select("row_id", *SENSORS, *_long(MODE))
+
+
+@registered(Q.query(" UNION ALL ".join(
+    f"SELECT '{t}' AS dataset, count(*) AS row_count, (SELECT count(*) FROM (SELECT DISTINCT {Q.CONTENT} FROM {t}) d) AS distinct_count, "
+    f"count(*) - (SELECT count(*) FROM (SELECT DISTINCT {Q.CONTENT} FROM {t}) d) AS duplicate_count FROM {t}" for t in ("train", "test")),
+    "train", "test"))
+def duplicate_counts(spark, sf_dir):
+    parts = {"train": X.train(spark, sf_dir), "test": X.test(spark, sf_dir)}
+    counts = [DUP.duplicate_counts(df, CONTENT).withColumn("dataset", F.lit(n)) for n, df in parts.items()]
+    return counts[0].unionByName(counts[1])
+
+
+@registered(Q.query(f"SELECT count(*) AS overlap_count FROM (SELECT {Q.CONTENT} FROM kept INTERSECT SELECT {Q.CONTENT} FROM test) x", "kept", "test"))
+def train_test_overlap(spark, sf_dir):
+    return DUP.overlap_count(X.train(spark, sf_dir), X.test(spark, sf_dir), CONTENT)
+
+
+@registered(Q.query("SELECT historical_index, row_id FROM history", "history"))
+def historical_index(spark, sf_dir):
+    return clean_history(X.train(spark, sf_dir)).select("historical_index", "row_id")
+
+
+@registered(Q.query(f"SELECT row_id, array_to_string({Q.active_codes()}, ',') AS active_dtcs FROM telemetry", "telemetry"))
+def active_codes(spark, sf_dir):
+    return X.telemetry(spark, sf_dir).select("row_id", F.array_join(C.active_codes(CODES), ",").alias("active_dtcs"))
+
+
+@registered(Q.query(f"SELECT row_id, {Q.signature('a')} AS dtc_signature FROM (SELECT row_id, {Q.active_codes()} AS a FROM telemetry) t", "telemetry"))
+def code_signature(spark, sf_dir):
+    return X.telemetry(spark, sf_dir).select("row_id", C.signature(C.active_codes(CODES)).alias("dtc_signature"))
+
+
+@registered(Q.query(
+    f"""SELECT count(*) FILTER (WHERE sig = 'P0000') AS only_no_fault, count(*) FILTER (WHERE P0000 = 1 AND len(a) > 1) AS mixed,
+        count(*) FILTER (WHERE sig = 'NONE') AS no_codes FROM (SELECT *, {Q.signature('a')} AS sig FROM (SELECT *, {Q.active_codes()} AS a FROM train) x) t""",
+    "train"))
+def p0000_profile(spark, sf_dir):
+    return QUAL.no_fault_profile(X.train(spark, sf_dir))
+
+
+@registered(Q.query("SELECT CAST(Mode AS BIGINT) AS Mode, min(row_id) AS first_row FROM train GROUP BY Mode", "train"))
+def mode_values(spark, sf_dir):
+    return QUAL.mode_values(X.train(spark, sf_dir)).select(*_long(MODE), "first_row").orderBy("first_row")
+
+
+@registered(Q.query(
+    """SELECT incident_id, CASE WHEN active_dtcs IS NULL OR len(active_dtcs) = 0 THEN 'NONE' ELSE array_to_string(list_sort(active_dtcs), '|') END AS query_signature
+       FROM raw_incidents""", "raw_incidents"))
+def query_signature(spark, sf_dir):
+    return X.raw_incidents(spark, sf_dir).select("incident_id", C.signature(F.col("active_dtcs")).alias("query_signature"))
+
+
+_CODED_TEXT = "concat(text, ' ', code, ', then p0403 and XP04031 but not P2A00 nor P9999; again ', code)"
+
+
+@registered(Q.query(
+    rf"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(upper({_CODED_TEXT}), '[PBUC][0-3][0-9]{{3}}'))), ',') AS codes FROM kb""", "kb"))
+def extract_codes(spark, sf_dir):
+    texts = X.knowledge(spark, sf_dir).select("doc_id", F.expr(_CODED_TEXT).alias("q"))
+    return texts.select("doc_id", F.array_join(F.array_sort(C.extract_codes(F.col("q"))), ",").alias("codes"))
+
+
+# --- Scaling -----------------------------------------------------------------------------------------------------------
+
+
+@registered(Q.query(" UNION ALL ".join(
+    f"SELECT '{s}' AS feature, round(m_{s}, 6) AS mean, round(s_{s}, 6) AS scale FROM scaler" for s in SENSORS), "scaler"))
+def scaler_fit(spark, sf_dir):
+    return SCALE.fit_scaler(DUP.dedupe_keep_first(X.train(spark, sf_dir))).select("feature", _r("mean"), _r("scale"))
+
+
+@registered(Q.query("SELECT incident_id AS row_id, " + ", ".join(f"round(z_{s}, 6) AS z_{s}" for s in SENSORS) + " FROM zincidents", "zincidents"))
+def scaler_transform(spark, sf_dir):
+    scaled = SCALE.scale(X.test(spark, sf_dir), scaler(spark, sf_dir))
+    return scaled.select("row_id", *[_r("z_" + s) for s in SENSORS])
+
+
+@registered(Q.query("SELECT historical_index, " + ", ".join(f"abs(round(z_{s} * s_{s} + m_{s}, 9)) AS {s}" for s in SENSORS) + " FROM zhistory, scaler", "zhistory", "scaler"))
+def scaler_inverse(spark, sf_dir):
+    clean = prepared(spark, sf_dir).train.select("historical_index", *["z_" + s for s in SENSORS])
+    return SCALE.unscale(clean, scaler(spark, sf_dir)).select("historical_index", *[F.abs(_r(s, 9)).alias(s) for s in SENSORS])
+
+
+_CLEAN_COLUMNS = ", ".join(f"round({s}, 6) AS {s}, round(z_{s}, 6) AS z_{s}" for s in SENSORS)
+
+
+@registered(Q.query(
+    f"SELECT historical_index, row_id, CAST(Mode AS BIGINT) AS Mode, array_to_string(active_dtcs, ',') AS active_dtcs, dtc_signature, {_CLEAN_COLUMNS} FROM zhistory", "zhistory"))
+def preprocess_train(spark, sf_dir):
+    clean = preprocess(X.train(spark, sf_dir), X.test(spark, sf_dir)).train
+    values = [c for s in SENSORS for c in (_r(s), _r("z_" + s))]
+    return clean.select("historical_index", "row_id", *_long(MODE), _joined("active_dtcs"), "dtc_signature", *values)
+
+
+# --- Similarity --------------------------------------------------------------------------------------------------------
+
+
+def _component_oracle(score: str, weights: dict, k: int) -> str:
+    Q.define(f"top_{score}", Q.top_pairs(k, weights), ["probes", "code_pairs", "zhistory"])
+    return Q.query(
+        f"""SELECT o.incident_id, CAST(t.rank AS BIGINT) AS rank, t.historical_index, round(t.{score}, 6) AS {score}
+            FROM probe_of o JOIN top_{score} t ON t.probe = o.probe""", "probe_of", f"top_{score}")
+
+
+def _component(spark, sf_dir, score, weights, k):
+    best = SIM.similar_topk(incidents(spark, sf_dir), index(spark, sf_dir), k, weights)
+    return best.select("incident_id", *_long("rank"), "historical_index", _r(score))
+
+
+_SENSOR_ONLY = {"sensor": 1.0, "dtc": 0.0, "mode": 0.0}
+_CODES_ONLY = {"sensor": 0.0, "dtc": 1.0, "mode": 0.0}
+_MODE_ONLY = {"sensor": 0.0, "dtc": 0.0, "mode": 1.0}
+_OWN_WEIGHTS = {"sensor": 0.25, "dtc": 0.5, "mode": 0.125}
+
+
+@registered(_component_oracle("sensor_similarity", _SENSOR_ONLY, 2))
+def sensor_similarity(spark, sf_dir):
+    return _component(spark, sf_dir, "sensor_similarity", _SENSOR_ONLY, 2)
+
+
+@registered(_component_oracle("dtc_similarity", _CODES_ONLY, 2))
+def code_jaccard(spark, sf_dir):
+    return _component(spark, sf_dir, "dtc_similarity", _CODES_ONLY, 2)
+
+
+@registered(_component_oracle("mode_similarity", _MODE_ONLY, 2))
+def mode_similarity(spark, sf_dir):
+    return _component(spark, sf_dir, "mode_similarity", _MODE_ONLY, 2)
+
+
+@registered(_component_oracle("similarity_score", _OWN_WEIGHTS, 3))
+def weighted_score(spark, sf_dir):
+    return _component(spark, sf_dir, "similarity_score", _OWN_WEIGHTS, 3)
+
+
 @registered(
     Q.query(
         """SELECT o.incident_id, CAST(t.rank AS BIGINT) AS rank, t.historical_index, round(t.similarity_score, 6) AS similarity_score
@@ -70,3 +347,342 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def similar_topk(spark, sf_dir):
     best = SIM.similar_topk(incidents(spark, sf_dir), index(spark, sf_dir))
     return best.select("incident_id", F.col("rank").cast("long").alias("rank"), "historical_index", _r("similarity_score"))
+
+
+_SCORES = ("similarity_score", "sensor_similarity", "dtc_similarity", "mode_similarity")
+
+
+def top5(spark, sf_dir) -> DataFrame:
+    """The default search, shared by the queries that build on it."""
+    return X.once(spark, sf_dir, "top5", lambda: materialise(SIM.similar_topk(incidents(spark, sf_dir), index(spark, sf_dir)), "top5"))
+
+
+@registered(Q.query(
+    f"""SELECT o.incident_id, CAST(t.rank AS BIGINT) AS rank, t.historical_index, {', '.join(f'round(t.{c}, 6) AS {c}' for c in _SCORES)},
+        t.dtc_signature, CAST(t.history_mode AS BIGINT) AS Mode, {', '.join(f'round(t.{s}, 9) AS {s}' for s in SENSORS)}
+        FROM probe_of o JOIN top5 t ON t.probe = o.probe""", "probe_of", "top5"))
+def similar_cases(spark, sf_dir):
+    return top5(spark, sf_dir).select(
+        "incident_id", *_long("rank"), "historical_index", *[_r(c) for c in _SCORES], "dtc_signature", *_long(MODE), *[_r(s, 9) for s in SENSORS]
+    )
+
+
+_CASE_LIST = """SELECT o.incident_id, count(*) AS n, max(t.similarity_score) AS top_score,
+    string_agg(CAST(t.historical_index AS VARCHAR), ',' ORDER BY t.rank) AS cases,
+    bool_or(t.dtc_signature = i.query_signature) AS same_signature
+  FROM probe_of o JOIN top5 t ON t.probe = o.probe JOIN incidents i ON i.incident_id = o.incident_id GROUP BY o.incident_id"""
+Q.define("case_list", _CASE_LIST, ["probe_of", "top5", "incidents"])
+
+
+@registered(Q.query(
+    """SELECT incident_id, n AS case_count, round(top_score, 6) AS top_score, cases, 'Similarity calculation successful.' AS summary FROM case_list""", "case_list"))
+def similarity_summary(spark, sf_dir):
+    nested = SIM.nest_cases(incidents(spark, sf_dir).select("incident_id"), top5(spark, sf_dir))
+    s = F.col("similarity")
+    return nested.select(
+        "incident_id", F.size(s["top_cases"]).cast("long").alias("case_count"), F.round(s["top_score"], 6).alias("top_score"),
+        F.array_join(F.transform(s["top_cases"], lambda c: c["historical_index"].cast("string")), ",").alias("cases"), s["summary"].alias("summary"),
+    )
+
+
+@registered(Q.query("SELECT incident_id, same_signature FROM case_list", "case_list"))
+def same_signature_found(spark, sf_dir):
+    who = incidents(spark, sf_dir).select("incident_id", "active_dtcs")
+    nested = SIM.nest_cases(who, top5(spark, sf_dir))
+    sig = C.signature(F.col("active_dtcs"))
+    return nested.select("incident_id", F.exists(F.col("similarity.top_cases"), lambda c: c["dtc_signature"] == sig).alias("same_signature"))
+
+
+# --- Anomalies ---------------------------------------------------------------------------------------------------------
+
+
+def model(spark: SparkSession, sf_dir: str) -> AnomalyModel:
+    return X.once(spark, sf_dir, "model", lambda: fit_anomaly_model(prepared(spark, sf_dir).train))
+
+
+@registered(Q.query(
+    """SELECT CAST(tree AS BIGINT) AS tree, historical_index FROM (
+         SELECT tree, historical_index, row_number() OVER (PARTITION BY tree ORDER BY md5(concat('42:', tree, ':', historical_index)), historical_index) AS r
+         FROM history, (SELECT unnest(range(100)) AS tree) t) s WHERE r <= 256""", "history"))
+def forest_sample(spark, sf_dir):
+    return FOR.draw_samples(prepared(spark, sf_dir).train, "historical_index", []).select(*_long("tree"), "historical_index")
+
+
+@registered()
+def forest_nodes(spark, sf_dir):
+    return model(spark, sf_dir).forest.nodes
+
+
+@registered()
+def forest_score(spark, sf_dir):
+    clean = prepared(spark, sf_dir).train
+    return FOR.with_forest_score(clean, model(spark, sf_dir).forest, ["z_" + s for s in SENSORS]).select("historical_index", _r("forest_score"))
+
+
+def verdicts(spark, sf_dir) -> DataFrame:
+    m = model(spark, sf_dir)
+    return DEV.detect_anomalies(incidents(spark, sf_dir), m.forest, scaler(spark, sf_dir), m.bands)
+
+
+@registered()
+def anomaly_flag(spark, sf_dir):
+    return verdicts(spark, sf_dir).select("incident_id", "anomaly_verdict.anomaly", "anomaly_verdict.anomaly_score")
+
+
+@registered()
+def detect_anomalies(spark, sf_dir):
+    return verdicts(spark, sf_dir).select("incident_id", "anomaly_verdict.*")
+
+
+@registered(Q.query(
+    """SELECT incident_id, CASE WHEN z_RPM / 8 < 0 THEN 'normal' WHEN z_RPM / 8 < 0.1 THEN 'moderate' ELSE 'high' END AS severity FROM zincidents""", "zincidents"))
+def severity_band(spark, sf_dir):
+    scaled = SCALE.scale(incidents(spark, sf_dir), scaler(spark, sf_dir))
+    return scaled.select("incident_id", DEV.severity(F.col("z_RPM") / 8).alias("severity"))
+
+
+@registered(Q.query(" UNION ALL ".join(f"SELECT '{s}' AS feature, round(lo_{s}, 6) AS p5, round(hi_{s}, 6) AS p95 FROM bands" for s in SENSORS), "bands"))
+def percentile_bands(spark, sf_dir):
+    return DEV.bands_table(spark, DEV.fit_bands(prepared(spark, sf_dir).train)).select("feature", _r("p5"), _r("p95"))
+
+
+_DEVIATIONS = " UNION ALL ".join(
+    f"""SELECT incident_id, '{s}' AS feature, {i} AS ordinal, {s} AS raw_value,
+        CASE WHEN z_{s} < lo_{s} THEN lo_{s} - z_{s} WHEN z_{s} > hi_{s} THEN z_{s} - hi_{s} ELSE 0.0 END AS deviation FROM zincidents, bands"""
+    for i, s in enumerate(SENSORS))
+Q.define("deviations", f"SELECT * FROM ({_DEVIATIONS}) d WHERE deviation > 0", ["zincidents", "bands"])
+
+
+def _bands(spark, sf_dir):
+    return X.once(spark, sf_dir, "bands", lambda: DEV.fit_bands(prepared(spark, sf_dir).train))
+
+
+@registered(Q.query("SELECT incident_id, feature, round(deviation, 6) AS deviation_magnitude, round(raw_value, 6) AS raw_value FROM deviations", "deviations"))
+def percentile_deviation(spark, sf_dir):
+    found = DEV.contributions(scaler(spark, sf_dir), _bands(spark, sf_dir))
+    rows = incidents(spark, sf_dir).select("incident_id", F.inline(found))
+    return rows.select("incident_id", "feature", _r("deviation_magnitude"), _r("raw_value"))
+
+
+@registered(Q.query(
+    """SELECT i.incident_id, d.feature FROM incidents i LEFT JOIN (SELECT incident_id, feature,
+         row_number() OVER (PARTITION BY incident_id ORDER BY round(deviation, 12) DESC, ordinal) AS r FROM deviations) d
+       ON d.incident_id = i.incident_id AND d.r = 1""", "incidents", "deviations"))
+def top_deviating_feature(spark, sf_dir):
+    found = DEV.contributions(scaler(spark, sf_dir), _bands(spark, sf_dir))
+    return incidents(spark, sf_dir).select("incident_id", DEV.top_feature(found).alias("feature"))
+
+
+@registered(Q.query(
+    f"""SELECT incident_id, false AS anomaly, CAST(0.0 AS DOUBLE) AS anomaly_score, 'unknown' AS severity, CAST(0 AS BIGINT) AS contribution_count, e AS error
+        FROM (SELECT incident_id, {Q.ANOMALY_ERROR} AS e FROM raw_incidents) x WHERE e IS NOT NULL""", "raw_incidents"))
+def anomaly_fallback(spark, sf_dir):
+    raw = X.raw_incidents(spark, sf_dir)
+    failed = raw.select("incident_id", V.anomaly_error(raw).alias("e")).filter("e IS NOT NULL")
+    v = failed.select("incident_id", DEV.fallback_verdict(F.col("e")).alias("v"))
+    return v.select("incident_id", "v.anomaly", "v.anomaly_score", "v.severity", F.size("v.feature_contributions").cast("long").alias("contribution_count"), "v.error")
+
+
+# --- Knowledge base and retrieval --------------------------------------------------------------------------------------
+
+_GAPS = "CASE WHEN doc_id % 17 = 4 THEN NULL WHEN doc_id % 17 = 5 THEN '' ELSE code END"
+
+
+@registered(Q.query(f"SELECT doc_id, code FROM (SELECT doc_id, {_GAPS} AS code FROM kb) k WHERE code IS NOT NULL AND code <> ''", "kb"))
+def kb_entries(spark, sf_dir):
+    gaps = X.entries(spark, sf_dir).withColumn("code", F.expr(_GAPS))
+    return KB.coded_entries(gaps).select("doc_id", "code")
+
+
+@registered(Q.query("SELECT doc_id, title, description FROM entry_fields", "entry_fields"))
+def kb_language(spark, sf_dir):
+    e = X.entries(spark, sf_dir)
+    return e.select("doc_id", KB.language(F.col("title")).alias("title"), KB.language(F.col("description")).alias("description"))
+
+
+@registered(Q.query("SELECT doc_id, category, components_text, causes_text, repair_text, flags_text FROM entry_fields", "entry_fields"))
+def kb_fields(spark, sf_dir):
+    return KB.document_fields(X.entries(spark, sf_dir)).select("doc_id", "category", "components_text", "causes_text", "repair_text", "flags_text")
+
+
+@registered(Q.query(
+    """SELECT doc_id, concat('DTC: ', code, chr(10), 'Category: ', category, chr(10), 'Title: ', title, chr(10), 'Description: ', description, chr(10),
+        'Affected Components: ', components_text, chr(10), 'Common Causes: ', causes_text, chr(10), 'Repair Information: ', repair_text, chr(10), 'Flags: ', flags_text) AS text_doc
+       FROM entry_fields""", "entry_fields"))
+def kb_text_doc(spark, sf_dir):
+    return docs_of(spark, sf_dir).select("doc_id", "text_doc")
+
+
+@registered(Q.query(
+    """SELECT doc_id, code, title, description, replace(CASE WHEN components_text = 'None' THEN '' ELSE components_text END, ', ', '|') AS affected_components,
+        replace(CASE WHEN causes_text = 'None' THEN '' ELSE causes_text END, '; ', '|') AS common_causes, source_file FROM entry_fields""", "entry_fields"))
+def kb_metadata(spark, sf_dir):
+    d = docs_of(spark, sf_dir)
+    return d.select("doc_id", "code", "title", "description", F.array_join("affected_components", "|").alias("affected_components"),
+                    F.array_join("common_causes", "|").alias("common_causes"), "source_file")
+
+
+@registered(Q.query(
+    f"""SELECT row_number() OVER (ORDER BY source, position) - 1 AS doc_id, source AS source_file, position FROM (
+          SELECT doc_id AS position, source, {_GAPS} AS code FROM kb) k WHERE code IS NOT NULL AND code <> ''""", "kb"))
+def kb_doc_id(spark, sf_dir):
+    gaps = X.entries(spark, sf_dir).withColumn("code", F.expr(_GAPS)).drop("doc_id")
+    return KB.numbered_entries(gaps).select("doc_id", "source_file", "position")
+
+
+def docs_of(spark, sf_dir) -> DataFrame:
+    return X.once(spark, sf_dir, "docs", lambda: materialise(KB.documents(X.entries(spark, sf_dir)), "docs"))
+
+
+def vector_docs(spark, sf_dir) -> DataFrame:
+    """Documents with the given vectors; a document without one can only be found by its code."""
+    vectors = X.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return docs_of(spark, sf_dir).join(vectors, "doc_id", "left")
+
+
+@registered()
+def kb_embed(spark, sf_dir):
+    docs, _ = build_knowledge_base(X.entries(spark, sf_dir))
+    return docs.select("doc_id", F.size("embedding").alias("dimensions"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm"))
+
+
+@registered(Q.query("SELECT lookup_code, doc_id FROM lookup", "lookup"))
+def code_lookup(spark, sf_dir):
+    return KB.code_lookup(docs_of(spark, sf_dir))
+
+
+@registered(Q.query("SELECT query_id, code, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pos) AS BIGINT) AS place, doc_id FROM hybrid_exact", "hybrid_exact"))
+def exact_code_match(spark, sf_dir):
+    found = RET.exact_matches(hybrid_queries(spark, sf_dir), docs_of(spark, sf_dir))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy("position")).cast("long")
+    return found.select("query_id", F.col("lookup_code").alias("code"), place.alias("place"), "doc_id")
+
+
+def hybrid_queries(spark, sf_dir) -> DataFrame:
+    kb = X.knowledge(spark, sf_dir).select("doc_id", F.expr(Q.HYBRID_TEXT).alias("query_text"))
+    vectors = X.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return kb.join(vectors, "doc_id").withColumnRenamed("doc_id", "query_id")
+
+
+@registered(
+    """SELECT query_id, doc_id, CAST(r AS BIGINT) AS neighbour_rank, d AS squared_distance, round(1.0 / (1.0 + d), 4) AS score FROM (
+         SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(power(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 2), 6) AS d,
+           row_number() OVER (PARTITION BY q.vec_id ORDER BY round(power(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 2), 6), v.vec_id) AS r
+         FROM embeddings q, embeddings v) n WHERE r <= 5""")
+def vector_knn(spark, sf_dir):
+    vectors = X.table(spark, sf_dir, "embeddings")
+    queries = vectors.select(F.col("vec_id").alias("query_id"), "embedding", F.lit(5).alias("k"))
+    near = VEC.nearest(queries, vectors.withColumnRenamed("vec_id", "doc_id"))
+    return near.select("query_id", "doc_id", *_long("neighbour_rank"), "squared_distance", RET.similarity_of_distance(F.col("squared_distance")).alias("score"))
+
+
+@registered(Q.query("SELECT query_id, CAST(position AS BIGINT) AS position, match_type, doc_id, score FROM hybrid", "hybrid"))
+def hybrid_retrieve(spark, sf_dir):
+    return RET.retrieve(hybrid_queries(spark, sf_dir), vector_docs(spark, sf_dir), 5).select("query_id", *_long("position"), "match_type", "doc_id", "score")
+
+
+# --- Evidence ----------------------------------------------------------------------------------------------------------
+
+
+def resources(spark: SparkSession, sf_dir: str) -> Resources:
+    """Everything an analysis needs, with the given vectors as the encoder's output."""
+
+    def build():
+        docs = materialise(vector_docs(spark, sf_dir), "vector-docs")
+        return Resources(index(spark, sf_dir), model(spark, sf_dir), docs, X.code_encoder(spark, sf_dir))
+
+    return X.once(spark, sf_dir, "resources", build)
+
+
+@registered(Q.query("SELECT incident_id, CAST(pos AS BIGINT) AS code_position, code AS query_text FROM incident_codes", "incident_codes"))
+def incident_queries(spark, sf_dir):
+    return EV.incident_queries(incidents(spark, sf_dir)).select("incident_id", *_long("code_position"), "query_text")
+
+
+@registered(Q.query(
+    """SELECT incident_id, CAST(row_number() OVER (PARTITION BY incident_id, match_type ORDER BY first) AS BIGINT) AS place, match_type, doc_id, score FROM matches""", "matches"))
+def evidence_matches(spark, sf_dir):
+    who = incidents(spark, sf_dir).select("incident_id", "active_dtcs")
+    found = find_matches(who, resources(spark, sf_dir))
+    order = W.partitionBy("active_dtcs", "match_type").orderBy("code_position", "position")
+    placed = found.withColumn("place", F.row_number().over(order).cast("long"))
+    return who.join(placed, "active_dtcs").select("incident_id", "place", "match_type", "doc_id", "score")
+
+
+Q.define("exact_codes", """SELECT m.incident_id, string_agg(k.code, ', ' ORDER BY m.first) AS codes, count(*) AS n FROM matches m JOIN kb k ON k.doc_id = m.doc_id
+  WHERE m.match_type = 'EXACT' GROUP BY m.incident_id""", ["matches", "kb"])
+Q.define("top_deviation", """SELECT incident_id, feature FROM (SELECT incident_id, feature,
+  row_number() OVER (PARTITION BY incident_id ORDER BY round(deviation, 12) DESC, ordinal) AS r FROM deviations) d WHERE r = 1""", ["deviations"])
+Q.define("semantic_count", "SELECT incident_id, count(*) AS n FROM matches WHERE match_type = 'SEMANTIC' GROUP BY incident_id", ["matches"])
+# A verdict that SQL can follow: an incident counts as anomalous here when any sensor leaves its band.
+_JOINED = """FROM incidents i JOIN case_list c ON c.incident_id = i.incident_id LEFT JOIN exact_codes x ON x.incident_id = i.incident_id
+  LEFT JOIN top_deviation t ON t.incident_id = i.incident_id LEFT JOIN semantic_count s ON s.incident_id = i.incident_id"""
+
+
+def _findings(spark, sf_dir) -> DataFrame:
+    who = incidents(spark, sf_dir)
+    nested = SIM.nest_cases(who, top5(spark, sf_dir))
+    found = DEV.contributions(scaler(spark, sf_dir), _bands(spark, sf_dir))
+    judged = nested.withColumn("feature_contributions", found).withColumn(
+        "anomaly_verdict", F.struct((F.size("feature_contributions") > 0).alias("anomaly"), "feature_contributions")
+    )
+    r = resources(spark, sf_dir)
+    arrays = EV.match_arrays(find_matches(who, r), r.docs)
+    return EV.with_matches(judged, arrays)
+
+
+@registered(Q.query(
+    f"""SELECT i.incident_id, concat_ws(' / ', concat('Found ', CAST(c.n AS VARCHAR), ' historically similar operating states.'),
+          CASE WHEN c.same_signature THEN 'A historical operating state with the same DTC signature was found.' END,
+          CASE WHEN t.feature IS NOT NULL THEN 'The current operating condition was classified as anomalous.' END,
+          CASE WHEN t.feature IS NOT NULL THEN concat(t.feature, ' was among the features with the largest deviation.') END,
+          CASE WHEN x.n > 0 THEN concat('{S.DEFAULT_KB_NAME} contains knowledge associated with DTC(s): ', x.codes, '.') END) AS summary {_JOINED}""",
+    "case_list", "exact_codes", "top_deviation", "semantic_count"))
+def evidence_summary(spark, sf_dir):
+    return _findings(spark, sf_dir).select("incident_id", F.array_join(EV.evidence_summary(), " / ").alias("summary"))
+
+
+@registered(Q.query(
+    f"""SELECT i.incident_id, concat_ws(' / ', CASE WHEN x.n > 0 THEN concat('Investigate systems/components associated with DTC ', x.codes, ' using the retrieved {S.DEFAULT_KB_NAME} evidence.') END,
+          'Review the operating conditions of the retrieved historical cases to understand typical steady-state behavior for this profile.',
+          CASE WHEN t.feature IS NOT NULL THEN concat('Investigate the sensor parameters contributing most strongly to the anomalous operating state, particularly ', t.feature, '.') END,
+          CASE WHEN x.n > 0 OR s.n > 0 THEN 'Review the common causes documented in the retrieved DTC knowledge.' END) AS leads {_JOINED}""",
+    "case_list", "exact_codes", "top_deviation", "semantic_count"))
+def investigation_leads(spark, sf_dir):
+    return _findings(spark, sf_dir).select("incident_id", F.array_join(EV.investigation_leads(), " / ").alias("leads"))
+
+
+# --- Whole analyses ----------------------------------------------------------------------------------------------------
+
+
+def analysis(spark, sf_dir) -> DataFrame:
+    return analyze_incidents(X.raw_incidents(spark, sf_dir), resources(spark, sf_dir))
+
+
+@registered()
+def analyze_incidents_batch(spark, sf_dir):
+    return analysis(spark, sf_dir).select(
+        "incident_id", "error.message", "similarity.top_score", "anomaly.anomaly", "anomaly.severity",
+        F.size("similarity.top_cases").alias("case_count"), F.size("rag.exact_dtc_matches").alias("exact_count"),
+        F.size("rag.semantic_matches").alias("semantic_count"), F.array_join("evidence_summary", " ").alias("summary"),
+        F.array_join("investigation_leads", " ").alias("leads"), "service_history.available",
+    )
+
+
+@registered()
+def evidence_json(spark, sf_dir):
+    """Digest and length of every package's JSON text, which holds whole document texts."""
+    text = analysis(spark, sf_dir).select("incident_id", EV.package_json().alias("package"))
+    return text.select("incident_id", F.length("package").alias("characters"), F.md5("package").alias("digest"))
+
+
+Q.define("bad_inputs", f"SELECT incident_id, {Q.SIMILARITY_ERROR} AS similarity_error, {Q.ANOMALY_ERROR} AS anomaly_error, "
+         + "(" + " OR ".join(f"({Q.parsed(s)}) IS NULL OR isnan({Q.parsed(s)}) OR isinf({Q.parsed(s)})" for s in SENSORS) + ") AS unusable FROM raw_incidents", ["raw_incidents"])
+
+
+@registered(Q.query(
+    """SELECT incident_id, similarity_error, CASE WHEN similarity_error IS NOT NULL OR unusable THEN false ELSE true END AS has_cases,
+         CASE WHEN anomaly_error IS NOT NULL THEN anomaly_error WHEN unusable THEN 'Sensor values must be finite numbers.' END AS anomaly_error FROM bad_inputs""", "bad_inputs"))
+def degraded_incidents(spark, sf_dir):
+    out = analyze_incidents(X.raw_incidents(spark, sf_dir), resources(spark, sf_dir), mode="degrade")
+    return out.select("incident_id", "similarity_error", (F.size("similarity.top_cases") > 0).alias("has_cases"), F.col("anomaly.error").alias("anomaly_error"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from telltale.fixtures import KNOWLEDGE_SQL, TELEMETRY_SQL
+from telltale.fixtures import CODE_VECTOR_SQL, ENTRY_FIELDS_SQL, KNOWLEDGE_SQL, RAW_INCIDENTS_SQL, TELEMETRY_SQL
 from telltale.schemas import CODES, DEFAULT_WEIGHTS, MODE, SENSORS
 
 SENSOR_LIST = ", ".join(SENSORS)
@@ -47,9 +47,9 @@ _TABLES = {
     + ", ".join(f"z_{s}" for s in SENSORS)
     + f", {MODE}, query_signature",
     "code_pairs": """SELECT q.sig AS q_sig, h.sig AS h_sig,
-        CASE WHEN len(q.codes) = 0 THEN CASE WHEN len(h.codes) = 0 OR h.codes = ['P0000'] THEN 1.0 ELSE 0.0 END
+        CAST(CASE WHEN len(q.codes) = 0 THEN CASE WHEN len(h.codes) = 0 OR h.codes = ['P0000'] THEN 1.0 ELSE 0.0 END
              WHEN len(h.codes) = 0 THEN 0.0
-             ELSE CAST(len(list_intersect(q.codes, h.codes)) AS DOUBLE) / len(list_distinct(list_concat(q.codes, h.codes))) END AS jaccard
+             ELSE CAST(len(list_intersect(q.codes, h.codes)) AS DOUBLE) / len(list_distinct(list_concat(q.codes, h.codes))) END AS DOUBLE) AS jaccard
         FROM (SELECT DISTINCT query_signature AS sig, active_dtcs AS codes FROM incidents) q,
              (SELECT DISTINCT dtc_signature AS sig, active_dtcs AS codes FROM history) h""",
 }
@@ -89,7 +89,7 @@ def top_pairs(k: int, weights: dict[str, float] | None = None) -> str:
     w = weights or DEFAULT_WEIGHTS
     distance = " + ".join(f"(p.z_{s} - h.z_{s}) * (p.z_{s} - h.z_{s})" for s in SENSORS)
     sensor = f"1.0 / (1.0 + sqrt({distance}))"
-    mode = f"CASE WHEN p.{MODE} = h.{MODE} THEN 1.0 ELSE 0.0 END"
+    mode = f"CAST(CASE WHEN p.{MODE} = h.{MODE} THEN 1 ELSE 0 END AS DOUBLE)"
     score = f"CAST({w['sensor']} AS DOUBLE) * ({sensor}) + CAST({w['dtc']} AS DOUBLE) * c.jaccard + CAST({w['mode']} AS DOUBLE) * ({mode})"
     return f"""
   SELECT p.probe, r.rank, h.historical_index, {score} AS similarity_score, {sensor} AS sensor_similarity,
@@ -108,3 +108,81 @@ _PROBE_OF = "SELECT i.incident_id, p.probe FROM zincidents i JOIN probes p ON "
 )
 define("probe_of", _PROBE_OF, ["zincidents", "probes"])
 define("top5", top_pairs(5), ["probes", "code_pairs", "zhistory"])
+define("raw_incidents", RAW_INCIDENTS_SQL.replace("{active}", active_codes()), ["test"])
+FLOAT_FORM = r"'^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|nan|inf|infinity)\s*$'"
+
+
+def parsed(column: str) -> str:
+    return f"CASE WHEN regexp_matches(lower({column}), {FLOAT_FORM}) THEN TRY_CAST(trim({column}) AS DOUBLE) END"
+
+
+PARSED_MODE = r"CASE WHEN regexp_matches(Mode, '^\s*[+-]?[0-9]+\s*$') THEN TRY_CAST(trim(Mode) AS INTEGER) END"
+_SENSOR_ERROR = ", ".join(
+    f"CASE WHEN {s} IS NULL THEN 'Missing required sensor field: {s}' WHEN ({parsed(s)}) IS NULL THEN 'Sensor value {s} must be numeric.' END"
+    for s in SENSORS
+)
+ANOMALY_ERROR = f"coalesce({_SENSOR_ERROR})"
+INCIDENT_ERROR = f"coalesce({_SENSOR_ERROR}, CASE WHEN Mode IS NULL THEN 'Missing required field: Mode' WHEN ({PARSED_MODE}) IS NULL THEN 'Mode must be an integer.' END)"
+SIMILARITY_ERROR = f"coalesce({_SENSOR_ERROR}, CASE WHEN Mode IS NULL THEN 'Missing required field: Mode' WHEN active_dtcs IS NULL THEN 'Missing required field: active_dtcs (list of strings)' END)"
+define("entry_fields", ENTRY_FIELDS_SQL, ["kb"])
+define("lookup", "SELECT upper(code) AS lookup_code, max(doc_id) AS doc_id FROM kb GROUP BY upper(code)", ["kb"])
+define("vectors", "SELECT k.doc_id, upper(k.code) AS ucode, CAST(e.embedding AS DOUBLE[]) AS embedding FROM kb k JOIN embeddings e ON e.vec_id = k.doc_id", ["kb"])
+
+
+def retrieval(name: str, queries: str, needs: list[str], k: int) -> None:
+    """Define ``name``: hybrid retrieval for ``queries(query_id, query_text, embedding)``."""
+    define(f"{name}_q", queries, needs)
+    define(
+        f"{name}_named",
+        f"""SELECT query_id, code, min(pos) AS pos FROM (
+              SELECT query_id, unnest(found) AS code, unnest(range(len(found))) AS pos FROM (
+                SELECT query_id, regexp_extract_all(upper(query_text), '[PBUC][0-3][0-9]{{3}}') AS found FROM {name}_q) f) u GROUP BY query_id, code""",
+        [f"{name}_q"],
+    )
+    define(f"{name}_exact", f"SELECT n.query_id, n.code, n.pos, l.doc_id FROM {name}_named n JOIN lookup l ON l.lookup_code = n.code", [f"{name}_named", "lookup"])
+    define(
+        f"{name}_near",
+        f"""SELECT query_id, doc_id, ucode, d, r FROM (
+              SELECT q.query_id, v.doc_id, v.ucode, round(power(list_distance(CAST(q.embedding AS DOUBLE[]), v.embedding), 2), 6) AS d,
+                row_number() OVER (PARTITION BY q.query_id ORDER BY round(power(list_distance(CAST(q.embedding AS DOUBLE[]), v.embedding), 2), 6), v.doc_id) AS r
+              FROM {name}_q q, vectors v) x
+            WHERE r <= {k} + (SELECT count(*) FROM {name}_exact e WHERE e.query_id = x.query_id)""",
+        [f"{name}_q", f"{name}_exact", "vectors"],
+    )
+    define(
+        name,
+        f"""SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY match_type, o) AS position, match_type, doc_id, score FROM (
+              SELECT query_id, 'EXACT' AS match_type, doc_id, CAST(NULL AS DOUBLE) AS score, pos AS o FROM {name}_exact
+              UNION ALL
+              SELECT query_id, 'SEMANTIC', doc_id, round(1.0 / (1.0 + d), 4), r FROM (
+                SELECT *, row_number() OVER (PARTITION BY query_id, ucode ORDER BY r) AS c FROM {name}_near n
+                WHERE NOT EXISTS (SELECT 1 FROM {name}_exact e WHERE e.query_id = n.query_id AND e.code = n.ucode)) s WHERE c = 1) m) p
+            WHERE position <= {k}""",
+        [f"{name}_exact", f"{name}_near"],
+    )
+
+
+HYBRID_TEXT = "concat('fault ', code, CASE WHEN doc_id % 3 = 1 THEN ' after P0403, p0562' WHEN doc_id % 3 = 2 THEN ' not P9999' ELSE '' END)"
+retrieval(
+    "hybrid",
+    f"SELECT k.doc_id AS query_id, {HYBRID_TEXT} AS query_text, e.embedding FROM kb k JOIN embeddings e ON e.vec_id = k.doc_id",
+    ["kb"], 5,
+)
+define(
+    "incident_codes",
+    """SELECT incident_id, pos, code FROM (SELECT incident_id, unnest(active_dtcs) AS code, unnest(range(len(active_dtcs))) AS pos FROM incidents) u
+       WHERE code NOT IN ('P0000', 'NONE') AND trim(code) <> ''""",
+    ["incidents"],
+)
+retrieval(
+    "codehits",
+    f"""SELECT c.code AS query_id, c.code AS query_text, e.embedding FROM (SELECT DISTINCT code FROM incident_codes) c
+        JOIN embeddings e ON e.vec_id = {CODE_VECTOR_SQL.format(code='c.code')}""",
+    ["incident_codes"], 3,
+)
+define(
+    "matches",
+    """SELECT incident_id, match_type, doc_id, score, min(pos * 100 + position) AS first FROM incident_codes i JOIN codehits h ON h.query_id = i.code
+       GROUP BY incident_id, match_type, doc_id, score""",
+    ["incident_codes", "codehits"],
+)
