@@ -31,10 +31,12 @@ from telltale.schemas import (
     SENSORS,
     TOP_K_SIMILAR,
 )
-from telltale.session import materialise, shuffle_partitions
+from telltale.session import is_small, materialise, shuffle_partitions
 
 MAX_PAGES = 16_384
 LEAF_BITS = 6
+# At most 64 rows of 96 bytes each per leaf: 25 MB.
+MAX_BROADCAST_LEAVES = 4_096
 MAX_BROADCAST_NODES = 65_536
 CELLS_PER_BLOCK = 2_000_000
 SCORE_DIGITS = 9
@@ -253,14 +255,24 @@ def _leaf_bound(index: SimilarityIndex, weights):
     return F.round(_score(index, weights, _sum([g * g for g in gaps]))[1] + F.lit(1e-12), SCORE_DIGITS)
 
 
+def _join_leaves(pairs: DataFrame, leaves: DataFrame, key: str) -> DataFrame:
+    """Join incidents to leaves. The optimizer cannot know how many pairs there are, so it must not broadcast them.
+
+    A small set of leaves is broadcast; otherwise both sides are shuffled, and AQE splits the pairs of a popular leaf.
+    """
+    if is_small(leaves.select(key), MAX_BROADCAST_LEAVES):
+        return pairs.join(F.broadcast(leaves), key)
+    return pairs.hint("merge").join(leaves, key)
+
+
 def _leaves(pairs: DataFrame, index: SimilarityIndex, weights, k: int, second_pass: bool) -> DataFrame:
     """(incident, leaf) pairs: the leaves of the paired nodes, narrowed by the same bound when nodes hold many leaves."""
     columns = ["node_id", "leaf_id", "last_index", "low", "high", "dtc_signature", MODE, "members"]
     stored = index.leaves.select(*columns)
     pairs = pairs.drop("codes", MODE)
     if not index.two_level:
-        return pairs.join(stored, "node_id")
-    ranges = pairs.join(stored.drop("members", "dtc_signature", MODE), "node_id")
+        return _join_leaves(pairs, stored, "node_id")
+    ranges = _join_leaves(pairs, stored.drop("members", "dtc_signature", MODE), "node_id")
     ranges = ranges.withColumn("_bound", _leaf_bound(index, weights))
     if second_pass:
         level = F.abs(F.col("_bound") - F.col("floor_score")) <= 1e-10
@@ -275,7 +287,7 @@ def _leaves(pairs: DataFrame, index: SimilarityIndex, weights, k: int, second_pa
         order = W.partitionBy(*_PROBE_KEY).orderBy(F.col("_bound").desc(), F.col("last_index").desc())
         picked = ranges.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
     picked = picked.drop("_bound", "low", "high", "last_index", "node_id")
-    return picked.join(stored.select("leaf_id", "dtc_signature", MODE, "members"), "leaf_id")
+    return _join_leaves(picked, stored.select("leaf_id", "dtc_signature", MODE, "members"), "leaf_id")
 
 
 def _scored(pairs: DataFrame, index: SimilarityIndex, weights, k: int, second_pass: bool) -> DataFrame:

@@ -83,7 +83,9 @@ def analyze_incidents(
         }
     )
     good = checked if mode == "degrade" else checked.filter("_error IS NULL")
-    good = V.typed_incidents(good).drop("_error")
+    # Parsed once and stored: the parts below all start from these rows, and filters on parsed values would otherwise
+    # repeat the parsing many times over.
+    good = materialise(V.typed_incidents(good).drop("_error"), "typed-incidents")
     packages = _packages(good, resources, top_k_similar, top_k_rag, resources.kb_name)
     packages = packages.withColumn("error", V.error_envelope(F.lit(None).cast("string")))
     if mode == "degrade":
