@@ -66,43 +66,58 @@ def mode_values(df: DataFrame, order_by: str = "row_id") -> DataFrame:
     return df.groupBy(MODE).agg(F.min(order_by).alias("first_row"))
 
 
+def content_groups(
+    train: DataFrame, test: DataFrame, sensors: Iterable[str] = SENSORS, codes: Iterable[str] = CODES,
+    order_by: str = "row_id",
+) -> DataFrame:
+    """One row per distinct content of both tables: ``train_rows``, ``test_rows`` and ``first_row``, the first in train.
+
+    This is the only shuffle of the raw tables. Copies are combined before it, so a content that fills a third of a table
+    travels as one row per task.
+    """
+    keys = [*sensors, MODE, *[c for c in codes if c in train.columns]]
+    in_train, in_test = F.lit(1).alias("_train"), F.lit(1).alias("_test")
+    none = F.lit(0)
+    tagged = train.select(*keys, in_train, none.alias("_test"), F.col(order_by).alias("_row")).unionByName(
+        test.select(*keys, none.alias("_train"), in_test, F.lit(None).cast("long").alias("_row"))
+    )
+    return tagged.groupBy(*keys).agg(
+        F.sum("_train").alias("train_rows"), F.sum("_test").alias("test_rows"), F.min("_row").alias("first_row")
+    )
+
+
 def quality_report(
     train: DataFrame, test: DataFrame, sensors: Iterable[str] = SENSORS, codes: Iterable[str] = CODES
 ) -> DataFrame:
-    """``(metric, value)`` rows, from one shuffle.
+    """``(metric, value)`` rows of a train and a test table."""
+    return report_of_groups(content_groups(train, test, sensors, codes), sensors, codes)
 
-    Both tables are grouped together by their whole content, with one row counter per table. Duplicates, overlap and
-    cell counts all follow from those groups, which copies reach already combined.
-    """
+
+def report_of_groups(groups: DataFrame, sensors: Iterable[str] = SENSORS, codes: Iterable[str] = CODES) -> DataFrame:
+    """The report from ``content_groups``: duplicates, overlap and cell counts all follow from the row counts."""
     sensors = list(sensors)
-    codes = [c for c in codes if c in train.columns]
-    keys = [*sensors, MODE, *codes]
-    tagged = train.select(*keys, F.lit(1).alias("_train"), F.lit(0).alias("_test")).unionByName(
-        test.select(*keys, F.lit(0).alias("_train"), F.lit(1).alias("_test"))
-    )
-    groups = tagged.groupBy(*keys).agg(F.sum("_train").alias("_train"), F.sum("_test").alias("_test"))
 
     def cells(test_cell):
         return sum((F.when(test_cell(F.col(s)), F.lit(1)).otherwise(F.lit(0)) for s in sensors), F.lit(0))
 
-    in_train, in_test = F.col("_train") > 0, F.col("_test") > 0
-    active = active_codes(keys, codes)
+    in_train, in_test = F.col("train_rows") > 0, F.col("test_rows") > 0
+    active = active_codes(groups.columns, codes)
     marked = groups.select(
-        MODE, "_train", "_test", cells(is_missing).alias("_missing"), cells(is_infinite).alias("_infinite"),
+        MODE, "train_rows", "test_rows", cells(is_missing).alias("_missing"), cells(is_infinite).alias("_infinite"),
         signature(active).alias("_sig"),
         (F.array_contains(active, NO_FAULT_CODE) & (F.size(active) > 1)).alias("_mixed"),
     )
     values = {
-        "train_rows": F.sum("_train"),
+        "train_rows": F.sum("train_rows"),
         "train_clean_rows": F.count(F.when(in_train, 1)),
-        "train_duplicates": F.sum(F.when(in_train, F.col("_train") - 1).otherwise(0)),
-        "test_rows": F.sum("_test"),
-        "test_duplicates": F.sum(F.when(in_test, F.col("_test") - 1).otherwise(0)),
+        "train_duplicates": F.sum(F.when(in_train, F.col("train_rows") - 1).otherwise(0)),
+        "test_rows": F.sum("test_rows"),
+        "test_duplicates": F.sum(F.when(in_test, F.col("test_rows") - 1).otherwise(0)),
         "train_test_overlap": F.count(F.when(in_train & in_test, 1)),
-        "train_missing": F.sum(F.col("_missing") * F.col("_train")),
-        "train_infinite": F.sum(F.col("_infinite") * F.col("_train")),
-        "test_missing": F.sum(F.col("_missing") * F.col("_test")),
-        "test_infinite": F.sum(F.col("_infinite") * F.col("_test")),
+        "train_missing": F.sum(F.col("_missing") * F.col("train_rows")),
+        "train_infinite": F.sum(F.col("_infinite") * F.col("train_rows")),
+        "test_missing": F.sum(F.col("_missing") * F.col("test_rows")),
+        "test_infinite": F.sum(F.col("_infinite") * F.col("test_rows")),
         "only_no_fault": F.count(F.when(in_train & (F.col("_sig") == NO_FAULT_CODE), 1)),
         "no_fault_mixed": F.count(F.when(in_train & F.col("_mixed"), 1)),
         "no_codes": F.count(F.when(in_train & (F.col("_sig") == NO_CODES), 1)),

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telltale.functions.codes import active_codes, signature
-from telltale.operators.dedup import dedupe_keep_first
 from telltale.operators.ordinals import with_ordinal
-from telltale.operators.quality import coerce_numeric, quality_report
+from telltale.operators.quality import coerce_numeric, content_groups, report_of_groups
 from telltale.operators.scaling import Scaler, fit_scaler, scale, scaler_values
 from telltale.schemas import CODES, MODE, SENSORS
+from telltale.session import materialise
 
 
 @dataclass
@@ -29,24 +29,33 @@ def with_codes(df: DataFrame, codes=CODES) -> DataFrame:
     return df.withColumns({"active_dtcs": active, "dtc_signature": signature(active)})
 
 
+def history_of_groups(groups: DataFrame, sensors=SENSORS, codes=CODES) -> DataFrame:
+    """Clean history from ``content_groups``: one row per content seen in train, at its first position."""
+    keys = [*sensors, MODE, *[c for c in codes if c in groups.columns]]
+    kept = groups.filter("train_rows > 0").select(F.col("first_row").alias("row_id"), *keys)
+    return with_codes(with_ordinal(kept, ["row_id"], "historical_index"), codes)
+
+
 def clean_history(train: DataFrame, sensors=SENSORS, codes=CODES) -> DataFrame:
     """Deduplicated train rows with ``historical_index``, the position among the kept rows."""
-    keys = [*sensors, MODE, *[c for c in codes if c in train.columns]]
-    kept = dedupe_keep_first(coerce_numeric(train, sensors).select("row_id", *keys), keys=keys)
-    return with_codes(with_ordinal(kept, ["row_id"], "historical_index"), codes)
+    train = coerce_numeric(train, sensors)
+    return history_of_groups(content_groups(train, train.limit(0), sensors, codes), sensors, codes)
 
 
 def preprocess(train: DataFrame, test: DataFrame, sensors=SENSORS, codes=CODES) -> Preprocessed:
-    """Deduplicate train, keep every test row, fit the scaler on clean train only and apply it to both."""
+    """Deduplicate train, keep every test row, fit the scaler on clean train only and apply it to both.
+
+    The distinct contents are stored once; history, scaler and report all start from them.
+    """
     train, test = coerce_numeric(train, sensors), coerce_numeric(test, sensors)
-    history = clean_history(train, sensors, codes)
-    params = fit_scaler(history, sensors)
-    scaler = scaler_values(params)
+    groups = materialise(content_groups(train, test, sensors, codes), "contents")
+    history = history_of_groups(groups, sensors, codes)
+    scaler = scaler_values(fit_scaler(groups.filter("train_rows > 0"), sensors))
     return Preprocessed(
         train=scale(history, scaler, sensors=sensors),
         test=scale(with_codes(test, codes), scaler, sensors=sensors),
         scaler=scaler_table(history.sparkSession, scaler),
-        report=quality_report(train, test, sensors, codes),
+        report=report_of_groups(groups, sensors, codes),
     )
 
 
@@ -55,6 +64,18 @@ def scaler_table(spark, scaler: Scaler) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, mean double, scale double")
 
 
-def code_columns_as_text(df: DataFrame) -> DataFrame:
-    """Arrays rendered as text, for CSV output."""
-    return df.withColumn("active_dtcs", F.concat(F.lit("['"), F.array_join("active_dtcs", "', '"), F.lit("']")))
+def run_preprocess(train: DataFrame, test: DataFrame, output: str, fmt: str = "parquet") -> Preprocessed:
+    """The whole job: tables, scaler, report rows and report text below ``output``."""
+    from telltale.operators.quality import mode_values, report_markdown
+    from telltale.sources.telemetry import write_history
+
+    done = preprocess(train, test)
+    write_history(done.train, f"{output}/train_clean", fmt)
+    write_history(done.test, f"{output}/test_clean", fmt)
+    done.scaler.coalesce(1).write.mode("overwrite").parquet(f"{output}/scaler")
+    done.report.coalesce(1).write.mode("overwrite").parquet(f"{output}/report")
+    text = report_markdown(done.report, mode_values(train))
+    spark = train.sparkSession
+    # One string; the text writer takes a one-column table.
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{output}/report_text")
+    return done

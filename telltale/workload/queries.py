@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,18 +29,19 @@ from telltale.plans.anomaly_model import AnomalyModel, fit_anomaly_model
 from telltale.plans.knowledge_base import build_knowledge_base
 from telltale.plans.preprocess import Preprocessed, clean_history, preprocess, with_codes
 from telltale.schemas import CODES, MODE, SENSORS
-from telltale.session import materialise
+from telltale.session import materialise, scratch_dir
+from telltale.streaming.incidents import analyze_stream, read_incident_stream
 from telltale.workload import sql as Q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def registered(oracle: str | None = None):
+def registered(oracle: str | None = None, name: str | None = None):
     def add(fn):
-        QUERIES[fn.__name__] = fn
+        QUERIES[name or fn.__name__] = fn
         if oracle is not None:
-            ORACLES[fn.__name__] = oracle
+            ORACLES[name or fn.__name__] = oracle
         return fn
 
     return add
@@ -367,13 +369,6 @@ def similar_cases(spark, sf_dir):
     )
 
 
-_CASE_LIST = """SELECT o.incident_id, count(*) AS n, max(t.similarity_score) AS top_score,
-    string_agg(CAST(t.historical_index AS VARCHAR), ',' ORDER BY t.rank) AS cases,
-    bool_or(t.dtc_signature = i.query_signature) AS same_signature
-  FROM probe_of o JOIN top5 t ON t.probe = o.probe JOIN incidents i ON i.incident_id = o.incident_id GROUP BY o.incident_id"""
-Q.define("case_list", _CASE_LIST, ["probe_of", "top5", "incidents"])
-
-
 @registered(Q.query(
     """SELECT incident_id, n AS case_count, round(top_score, 6) AS top_score, cases, 'Similarity calculation successful.' AS summary FROM case_list""", "case_list"))
 def similarity_summary(spark, sf_dir):
@@ -659,16 +654,63 @@ def analysis(spark, sf_dir) -> DataFrame:
     return analyze_incidents(X.raw_incidents(spark, sf_dir), resources(spark, sf_dir))
 
 
-@registered()
-def analyze_incidents_batch(spark, sf_dir):
-    return analysis(spark, sf_dir).select(
-        "incident_id", "error.message", "similarity.top_score", "anomaly.anomaly", "anomaly.severity",
-        F.size("similarity.top_cases").alias("case_count"), F.size("rag.exact_dtc_matches").alias("exact_count"),
-        F.size("rag.semantic_matches").alias("semantic_count"), F.array_join("evidence_summary", " ").alias("summary"),
-        F.array_join("investigation_leads", " ").alias("leads"), "service_history.available",
+_OUTCOME = Q.query(
+    """SELECT r.incident_id, r.message, coalesce(c.n, 0) AS case_count, coalesce(c.cases, '') AS cases,
+         round(coalesce(c.top_score, CASE WHEN r.message IS NULL THEN 0.0 END), 6) AS top_score, coalesce(m.exact, '') AS exact_codes, coalesce(m.semantic, '') AS semantic_codes,
+         coalesce(c.same_signature, false) AS same_signature
+       FROM raw_checked r LEFT JOIN raw_case_list c ON c.incident_id = r.incident_id LEFT JOIN raw_match_list m ON m.incident_id = r.incident_id""",
+    "raw_checked", "raw_case_list", "raw_match_list")
+
+
+def _outcome(packages: DataFrame) -> DataFrame:
+    """What SQL can follow of a package: everything but the forest's verdict."""
+
+    def found(path, shown):
+        return F.coalesce(F.array_join(F.transform(path, shown), ","), F.lit(""))
+
+    def scored(m):
+        return F.concat_ws(":", m["DTC_code"], F.round(m["score"] * 10000).cast("long").cast("string"))
+
+    cases = F.col("similarity.top_cases")
+    return packages.select(
+        "incident_id", F.col("error.message").alias("message"), F.when(cases.isNull(), 0).otherwise(F.size(cases)).cast("long").alias("case_count"),
+        F.coalesce(F.array_join(F.transform(cases, lambda c: c["historical_index"].cast("string")), ","), F.lit("")).alias("cases"),
+        F.round("similarity.top_score", 6).alias("top_score"), found("rag.exact_dtc_matches", lambda m: m["DTC_code"]).alias("exact_codes"),
+        found("rag.semantic_matches", scored).alias("semantic_codes"),
+        F.array_contains(F.coalesce("evidence_summary", F.array().cast("array<string>")), EV.FOUND_SIGNATURE).alias("same_signature"),
     )
 
 
+@registered(_OUTCOME, name="analyze_incidents")
+def analyze_incidents_batch(spark, sf_dir):
+    return _outcome(analysis(spark, sf_dir))
+
+
+@registered(_OUTCOME)
+def analyze_incidents_stream(spark, sf_dir):
+    """The same incidents arriving as files of a stream, analyzed in micro-batches until none is left."""
+    base = f"{scratch_dir(spark)}/telltale/stream-{uuid.uuid4().hex}"
+    raw = X.raw_incidents(spark, sf_dir).withColumn("incident_id", F.col("incident_id").cast("string"))
+    raw.repartition(4, "incident_id").write.parquet(f"{base}/in")
+    arriving = read_incident_stream(spark, f"{base}/in", max_files=2)
+    analyze_stream(arriving, resources(spark, sf_dir), f"{base}/out", f"{base}/state").awaitTermination()
+    return _outcome(spark.read.parquet(f"{base}/out").withColumn("incident_id", F.col("incident_id").cast("long")))
+
+
+@registered()
+def evidence_package(spark, sf_dir):
+    """Whole packages; the long texts of the matches are shown by their length."""
+    p = analysis(spark, sf_dir)
+
+    def shorten(path):
+        return F.transform(path, lambda m: m.withField("description", F.length(m["description"]).cast("string")))
+
+    rag = F.struct(shorten("rag.exact_dtc_matches").alias("exact_dtc_matches"), shorten("rag.semantic_matches").alias("semantic_matches"))
+    columns = ["incident", "similarity", "anomaly", "service_history", "evidence_summary", "investigation_leads", "error"]
+    options = {"ignoreNullFields": "false"}
+    return p.select("incident_id", F.to_json(rag, options).alias("rag"), *[F.to_json(F.struct(c), options).alias(c) for c in columns])
+
+
 @registered()
 def evidence_json(spark, sf_dir):
     """Digest and length of every package's JSON text, which holds whole document texts."""

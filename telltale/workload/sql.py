@@ -35,29 +35,14 @@ _TABLES = {
     )
     + " FROM kept",
     "zhistory": "SELECT h.*, " + ", ".join(f"(h.{s} - m_{s}) / s_{s} AS z_{s}" for s in SENSORS) + " FROM history h, scaler",
-    "zincidents": "SELECT i.*, "
-    + ", ".join(f"(i.{s} - m_{s}) / s_{s} AS z_{s}" for s in SENSORS)
-    + " FROM incidents i, scaler",
     "bands": "SELECT "
     + ", ".join(f"quantile_cont(z_{s}, 0.05) AS lo_{s}, quantile_cont(z_{s}, 0.95) AS hi_{s}" for s in SENSORS)
     + " FROM zhistory",
-    "probes": "SELECT min(incident_id) AS probe, "
-    + ", ".join(f"z_{s}" for s in SENSORS)
-    + f", {MODE}, query_signature, any_value(active_dtcs) AS active_dtcs FROM zincidents GROUP BY "
-    + ", ".join(f"z_{s}" for s in SENSORS)
-    + f", {MODE}, query_signature",
-    "code_pairs": """SELECT q.sig AS q_sig, h.sig AS h_sig,
-        CAST(CASE WHEN len(q.codes) = 0 THEN CASE WHEN len(h.codes) = 0 OR h.codes = ['P0000'] THEN 1.0 ELSE 0.0 END
-             WHEN len(h.codes) = 0 THEN 0.0
-             ELSE CAST(len(list_intersect(q.codes, h.codes)) AS DOUBLE) / len(list_distinct(list_concat(q.codes, h.codes))) END AS DOUBLE) AS jaccard
-        FROM (SELECT DISTINCT query_signature AS sig, active_dtcs AS codes FROM incidents) q,
-             (SELECT DISTINCT dtc_signature AS sig, active_dtcs AS codes FROM history) h""",
 }
 # Which tables a table reads.
 _NEEDS = {
     "telemetry": [], "kb": [], "train": ["telemetry"], "test": ["telemetry"], "kept": ["train"], "history": ["kept"],
-    "incidents": ["test"], "scaler": ["kept"], "zhistory": ["history", "scaler"], "zincidents": ["incidents", "scaler"],
-    "bands": ["zhistory"], "probes": ["zincidents"], "code_pairs": ["incidents", "history"],
+    "incidents": ["test"], "scaler": ["kept"], "zhistory": ["history", "scaler"], "bands": ["zhistory"],
 }
 
 
@@ -81,7 +66,7 @@ def query(select: str, *needs: str) -> str:
     return f"WITH {ctes}\n{select}" if ctes else select
 
 
-def top_pairs(k: int, weights: dict[str, float] | None = None) -> str:
+def top_pairs(k: int, weights: dict[str, float] | None = None, family: str = "") -> str:
     """(probe, rank, history row, scores) of the best ``k`` history rows per distinct incident content.
 
     The ranking key packs the score, rounded to nine digits, above the history index.
@@ -97,17 +82,54 @@ def top_pairs(k: int, weights: dict[str, float] | None = None) -> str:
          {', '.join('h.' + s for s in SENSORS)}
   FROM (SELECT probe, unnest(keys) % 8589934592 AS historical_index, unnest(range(1, len(keys) + 1)) AS rank FROM (
           SELECT p.probe, max(CAST(round(({score}) * 1e9) AS BIGINT) * 8589934592 + h.historical_index, {k}) AS keys
-          FROM probes p JOIN code_pairs c ON c.q_sig = p.query_signature JOIN zhistory h ON h.dtc_signature = c.h_sig
+          FROM {family}probes p JOIN {family}code_pairs c ON c.q_sig = p.query_signature JOIN zhistory h ON h.dtc_signature = c.h_sig
           GROUP BY p.probe) k) r
-  JOIN probes p ON p.probe = r.probe JOIN zhistory h ON h.historical_index = r.historical_index
-  JOIN code_pairs c ON c.q_sig = p.query_signature AND c.h_sig = h.dtc_signature"""
+  JOIN {family}probes p ON p.probe = r.probe JOIN zhistory h ON h.historical_index = r.historical_index
+  JOIN {family}code_pairs c ON c.q_sig = p.query_signature AND c.h_sig = h.dtc_signature"""
 
 
-_PROBE_OF = "SELECT i.incident_id, p.probe FROM zincidents i JOIN probes p ON " + " AND ".join(
-    [f"p.z_{s} = i.z_{s}" for s in SENSORS] + [f"p.{MODE} = i.{MODE}", "p.query_signature = i.query_signature"]
-)
-define("probe_of", _PROBE_OF, ["zincidents", "probes"])
-define("top5", top_pairs(5), ["probes", "code_pairs", "zhistory"])
+def incident_family(family: str, base: str) -> None:
+    """Define the tables that follow from an incident table ``base``, with ``family`` in front of their names."""
+    zs = ", ".join(f"z_{s}" for s in SENSORS)
+    finite = " AND ".join(f"isfinite({s})" for s in SENSORS)
+    define(
+        f"{family}zincidents",
+        "SELECT i.*, " + ", ".join(f"(i.{s} - m_{s}) / s_{s} AS z_{s}" for s in SENSORS) + f" FROM {base} i, scaler WHERE {finite}",
+        [base, "scaler"],
+    )
+    define(
+        f"{family}probes",
+        f"""SELECT min(incident_id) AS probe, {zs}, {MODE}, query_signature, any_value(active_dtcs) AS active_dtcs
+            FROM {family}zincidents GROUP BY {zs}, {MODE}, query_signature""",
+        [f"{family}zincidents"],
+    )
+    define(
+        f"{family}code_pairs",
+        f"""SELECT q.sig AS q_sig, h.sig AS h_sig,
+              CAST(CASE WHEN len(q.codes) = 0 THEN CASE WHEN len(h.codes) = 0 OR h.codes = ['P0000'] THEN 1.0 ELSE 0.0 END
+                WHEN len(h.codes) = 0 THEN 0.0
+                ELSE CAST(len(list_distinct(list_intersect(q.codes, h.codes))) AS DOUBLE) / len(list_distinct(list_concat(q.codes, h.codes))) END AS DOUBLE) AS jaccard
+            FROM (SELECT DISTINCT query_signature AS sig, active_dtcs AS codes FROM {base}) q,
+                 (SELECT DISTINCT dtc_signature AS sig, active_dtcs AS codes FROM history) h""",
+        [base, "history"],
+    )
+    same = " AND ".join([f"p.z_{s} = i.z_{s}" for s in SENSORS] + [f"p.{MODE} = i.{MODE}", "p.query_signature = i.query_signature"])
+    define(
+        f"{family}probe_of",
+        f"SELECT i.incident_id, p.probe FROM {family}zincidents i JOIN {family}probes p ON {same}",
+        [f"{family}zincidents", f"{family}probes"],
+    )
+    define(f"{family}top5", top_pairs(5, family=family), [f"{family}probes", f"{family}code_pairs", "zhistory"])
+    define(
+        f"{family}case_list",
+        f"""SELECT o.incident_id, count(*) AS n, max(t.similarity_score) AS top_score,
+              string_agg(CAST(t.historical_index AS VARCHAR), ',' ORDER BY t.rank) AS cases, bool_or(t.dtc_signature = i.query_signature) AS same_signature
+            FROM {family}probe_of o JOIN {family}top5 t ON t.probe = o.probe JOIN {base} i ON i.incident_id = o.incident_id GROUP BY o.incident_id""",
+        [f"{family}probe_of", f"{family}top5", base],
+    )
+
+
+incident_family("", "incidents")
 define("raw_incidents", RAW_INCIDENTS_SQL.replace("{active}", active_codes()), ["test"])
 FLOAT_FORM = r"'^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|nan|inf|infinity)\s*$'"
 
@@ -168,21 +190,47 @@ retrieval(
     f"SELECT k.doc_id AS query_id, {HYBRID_TEXT} AS query_text, e.embedding FROM kb k JOIN embeddings e ON e.vec_id = k.doc_id",
     ["kb"], 5,
 )
+
+
+def code_hits(family: str, base: str) -> None:
+    """Define the retrieval results of the codes of an incident table."""
+    define(
+        f"{family}incident_codes",
+        f"""SELECT incident_id, pos, code FROM (SELECT incident_id, unnest(active_dtcs) AS code, unnest(range(len(active_dtcs))) AS pos FROM {base}) u
+            WHERE code NOT IN ('P0000', 'NONE') AND trim(code) <> ''""",
+        [base],
+    )
+    vector = CODE_VECTOR_SQL.format(code="c.code")
+    retrieval(
+        f"{family}codehits",
+        f"""SELECT c.code AS query_id, c.code AS query_text, e.embedding FROM (SELECT DISTINCT code FROM {family}incident_codes) c
+            JOIN embeddings e ON e.vec_id = {vector}""",
+        [f"{family}incident_codes"], 3,
+    )
+    define(
+        f"{family}matches",
+        f"""SELECT incident_id, match_type, doc_id, score, min(pos * 100 + position) AS first FROM {family}incident_codes i
+            JOIN {family}codehits h ON h.query_id = i.code GROUP BY incident_id, match_type, doc_id, score""",
+        [f"{family}incident_codes", f"{family}codehits"],
+    )
+    define(
+        f"{family}match_list",
+        f"""SELECT incident_id, string_agg(code, ',' ORDER BY first) FILTER (WHERE match_type = 'EXACT') AS exact,
+              string_agg(concat(code, ':', CAST(CAST(round(score * 10000) AS BIGINT) AS VARCHAR)), ',' ORDER BY first) FILTER (WHERE match_type = 'SEMANTIC') AS semantic
+            FROM {family}matches m JOIN kb k ON k.doc_id = m.doc_id GROUP BY incident_id""",
+        [f"{family}matches", "kb"],
+    )
+
+
+code_hits("", "incidents")
+# The raw incidents that meet the contract, parsed.
+define("raw_checked", f"SELECT *, {INCIDENT_ERROR} AS message FROM raw_incidents", ["raw_incidents"])
 define(
-    "incident_codes",
-    """SELECT incident_id, pos, code FROM (SELECT incident_id, unnest(active_dtcs) AS code, unnest(range(len(active_dtcs))) AS pos FROM incidents) u
-       WHERE code NOT IN ('P0000', 'NONE') AND trim(code) <> ''""",
-    ["incidents"],
-)
-retrieval(
-    "codehits",
-    f"""SELECT c.code AS query_id, c.code AS query_text, e.embedding FROM (SELECT DISTINCT code FROM incident_codes) c
-        JOIN embeddings e ON e.vec_id = {CODE_VECTOR_SQL.format(code='c.code')}""",
-    ["incident_codes"], 3,
-)
-define(
-    "matches",
-    """SELECT incident_id, match_type, doc_id, score, min(pos * 100 + position) AS first FROM incident_codes i JOIN codehits h ON h.query_id = i.code
-       GROUP BY incident_id, match_type, doc_id, score""",
-    ["incident_codes", "codehits"],
+    "raw_valid",
+    f"""SELECT *, CASE WHEN len(active_dtcs) = 0 THEN 'NONE' ELSE array_to_string(list_sort(active_dtcs), '|') END AS query_signature FROM (
+          SELECT incident_id, {', '.join(f'{parsed(s)} AS {s}' for s in SENSORS)}, {PARSED_MODE} AS Mode, coalesce(active_dtcs, []) AS active_dtcs
+          FROM raw_checked WHERE message IS NULL) v""",
+    ["raw_checked"],
 )
+incident_family("raw_", "raw_valid")
+code_hits("raw_", "raw_valid")
