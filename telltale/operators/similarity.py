@@ -38,7 +38,8 @@ LEAF_BITS = 6
 # At most 64 rows of 96 bytes each per leaf: 25 MB.
 MAX_BROADCAST_LEAVES = 4_096
 MAX_BROADCAST_NODES = 65_536
-CELLS_PER_BLOCK = 2_000_000
+CELLS_PER_BATCH = 2_000_000
+SEED_NODES = 8
 SCORE_DIGITS = 9
 _PROBE_KEY = ["_p1", "_p2"]
 
@@ -124,20 +125,30 @@ def build_index(
 
 
 class _NodeBounds:
-    """Upper score bounds of a bounded set of nodes for a batch of incidents."""
+    """Upper score bounds of a bounded set of nodes for a batch of incidents.
+
+    Nodes with the same mode and codes form a block. Codes and mode are compared once per block; distances are computed
+    only to the nodes of blocks that can still matter.
+    """
 
     def __init__(self, nodes: pd.DataFrame, sensors, weights, k: int):
+        nodes = nodes.assign(_codes=nodes["codes"].map(tuple), _mode=nodes[MODE].astype("float"))
+        nodes["_block"] = nodes.groupby(["_mode", "_codes"], dropna=False, sort=False).ngroup()
+        nodes = nodes.sort_values(["_block", "last_index"], ascending=[True, False])
         self.ids = nodes["node_id"].to_numpy()
-        self.rows = nodes["rows"].to_numpy()
         self.last = nodes["last_index"].to_numpy()
-        self.low = np.array(nodes["low"].tolist(), dtype=float).reshape(len(nodes), len(sensors))
-        self.high = np.array(nodes["high"].tolist(), dtype=float).reshape(len(nodes), len(sensors))
-        self.mode = nodes[MODE].astype("float").to_numpy()
-        self.vocabulary = {c: i for i, c in enumerate(sorted({c for codes in nodes["codes"] for c in codes}))}
-        self.codes = self._indicators(nodes["codes"])
-        self.code_count = np.array([len(c) for c in nodes["codes"]])
-        self.no_fault = np.array([set(c) <= {NO_FAULT_CODE} or set(c) == {NO_CODES} for c in nodes["codes"]])
-        self.sensors, self.weights, self.k = sensors, weights, k
+        self.low = np.array(nodes["low"].tolist(), dtype=float).reshape(len(nodes), len(sensors)).T.copy()
+        self.high = np.array(nodes["high"].tolist(), dtype=float).reshape(len(nodes), len(sensors)).T.copy()
+        self.block = nodes["_block"].to_numpy()
+        blocks = nodes.drop_duplicates("_block")
+        self.sizes = np.bincount(self.block, minlength=len(blocks))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.mode = blocks["_mode"].to_numpy()
+        self.vocabulary = {c: i for i, c in enumerate(sorted({c for codes in blocks["_codes"] for c in codes}))}
+        self.codes = self._indicators(blocks["_codes"])
+        self.code_count = np.array([len(c) for c in blocks["_codes"]])
+        self.no_fault = np.array([set(c) <= {NO_FAULT_CODE} or set(c) == {NO_CODES} for c in blocks["_codes"]])
+        self.sensors, self.weights, self.width = sensors, weights, min(max(k, SEED_NODES), len(nodes))
 
     def _indicators(self, lists) -> np.ndarray:
         out = np.zeros((len(lists), len(self.vocabulary)))
@@ -147,47 +158,77 @@ class _NodeBounds:
                     out[row, self.vocabulary[c]] = 1.0
         return out
 
-    def blocks(self, pdf: pd.DataFrame):
-        size = max(1, CELLS_PER_BLOCK // max(1, len(self.ids)))
+    def batches(self, pdf: pd.DataFrame):
+        size = max(1, CELLS_PER_BATCH // max(1, len(self.ids)))
         for start in range(0, len(pdf), size):
             yield pdf.iloc[start : start + size]
 
-    def bounds(self, pdf: pd.DataFrame):
-        values = pdf[["z_" + s for s in self.sensors]].to_numpy(dtype=float)
-        squares = np.zeros((len(pdf), len(self.ids)))
-        nearest = self.weights["sensor"] >= 0
-        for i in range(len(self.sensors)):
-            below, above = self.low[None, :, i] - values[:, None, i], values[:, None, i] - self.high[None, :, i]
-            gap = np.maximum(np.maximum(below, above), 0.0) if nearest else np.maximum(np.abs(below), np.abs(above))
-            squares += gap * gap
+    def _block_scores(self, pdf: pd.DataFrame):
         sizes = np.array([len(c) for c in pdf["codes"]])
         shared = self._indicators(list(pdf["codes"])) @ self.codes.T
         union = sizes[:, None] + self.code_count[None, :] - shared
         jaccard = np.divide(shared, union, out=np.zeros_like(shared), where=union > 0)
         jaccard[sizes == 0] = self.no_fault.astype(float)
         same_mode = (pdf[MODE].to_numpy(dtype=float)[:, None] == self.mode[None, :]).astype(float)
-        upper = (
-            self.weights["sensor"] / (1.0 + np.sqrt(squares))
-            + self.weights["dtc"] * jaccard
-            + self.weights["mode"] * same_mode
-        )
-        return np.round(upper + 1e-12, SCORE_DIGITS), jaccard, same_mode
-
-    def seeds(self, upper: np.ndarray) -> np.ndarray:
-        """Per incident, the fewest best nodes that together hold k rows."""
-        width = min(self.k, len(self.ids))
-        order = np.lexsort((np.broadcast_to(-self.last, upper.shape), -upper), axis=1)[:, :width]
-        held = np.cumsum(self.rows[order], axis=1) - self.rows[order]
-        keep = np.zeros(upper.shape, dtype=bool)
-        np.put_along_axis(keep, order, held < self.k, axis=1)
-        return keep
-
-    def reaching(self, upper: np.ndarray, pdf: pd.DataFrame) -> np.ndarray:
-        """Nodes that may hold a row ranking at or above the k-th best known one."""
-        floor = pdf["floor_score"].fillna(-np.inf).to_numpy(dtype=float)[:, None]
-        floor_index = pdf["floor_index"].fillna(-1).to_numpy()[:, None]
-        level = np.abs(upper - floor) <= 1e-10
-        return np.where(level, self.last[None, :] >= floor_index, upper > floor)
+        return jaccard, same_mode, self.weights["dtc"] * jaccard + self.weights["mode"] * same_mode
+
+    def _expand(self, mask: np.ndarray):
+        """(incident, block) cells to (incident, node) pairs, incident by incident."""
+        row, block = np.nonzero(mask)
+        counts = self.sizes[block]
+        shift = np.repeat(self.starts[block] - (np.cumsum(counts) - counts), counts)
+        return np.repeat(row, counts), np.arange(counts.sum()) + shift
+
+    def _upper(self, pdf: pd.DataFrame, row: np.ndarray, node: np.ndarray, fixed: np.ndarray) -> np.ndarray:
+        values = pdf[["z_" + s for s in self.sensors]].to_numpy(dtype=float).T
+        squares = np.zeros(len(row))
+        nearest = self.weights["sensor"] >= 0
+        for v, low, high in zip(values, self.low, self.high, strict=True):
+            at = v[row]
+            below, above = low[node] - at, at - high[node]
+            gap = np.maximum(below, above, out=below)
+            if nearest:
+                np.maximum(gap, 0.0, out=gap)
+            else:
+                gap = np.maximum(np.abs(low[node] - at), np.abs(above))
+            squares += gap * gap
+        upper = self.weights["sensor"] / (1.0 + np.sqrt(squares)) + fixed[row, self.block[node]]
+        return np.round(upper + 1e-12, SCORE_DIGITS)
+
+    def seeds(self, pdf: pd.DataFrame):
+        """Per incident, its best few nodes, at least k of them: together they hold k rows, or all there are."""
+        jaccard, same_mode, fixed = self._block_scores(pdf)
+        # Look at the best blocks only, as many as it takes to see enough nodes.
+        order = np.argsort(-fixed, axis=1)
+        enough = np.argmax(np.cumsum(self.sizes[order], axis=1) >= self.width, axis=1)
+        limit = np.take_along_axis(fixed, np.take_along_axis(order, enough[:, None], axis=1), axis=1)
+        limit = np.minimum(limit, fixed.max(axis=1, keepdims=True) - 0.3 * abs(self.weights["sensor"]))
+        row, node = self._expand(fixed >= limit - 1e-12)
+        # Ties go to the larger last index; the step is far below the score grid.
+        rank = np.empty(len(self.ids))
+        rank[np.argsort(-self.last)] = np.arange(len(self.ids)) * (1e-10 / max(1, len(self.ids)))
+        key = rank[node] - self._upper(pdf, row, node, fixed)
+        ends = np.cumsum(np.bincount(row, minlength=len(pdf)))
+        chosen = []
+        for start, end in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True):
+            best = np.argpartition(key[start:end], self.width - 1)[: self.width] if end - start > self.width else np.arange(end - start)
+            chosen.append(start + best)
+        chosen = np.concatenate(chosen)
+        row, node = row[chosen], node[chosen]
+        return row, node, jaccard[row, self.block[node]], same_mode[row, self.block[node]]
+
+    def reaching(self, pdf: pd.DataFrame):
+        """Per incident, all nodes that may hold a row ranking at or above the k-th best known one."""
+        jaccard, same_mode, fixed = self._block_scores(pdf)
+        floor = pdf["floor_score"].astype("float").fillna(-np.inf).to_numpy()
+        floor_index = pdf["floor_index"].astype("float").fillna(-1).to_numpy()
+        best = np.round(fixed + max(self.weights["sensor"], 0.0) + 1e-12, SCORE_DIGITS)
+        row, node = self._expand(best >= floor[:, None] - 1e-10)
+        upper = self._upper(pdf, row, node, fixed)
+        level = np.abs(upper - floor[row]) <= 1e-10
+        keep = np.where(level, self.last[node] >= floor_index[row], upper > floor[row])
+        row, node = row[keep], node[keep]
+        return row, node, jaccard[row, self.block[node]], same_mode[row, self.block[node]]
 
 
 def _pairs(probes: DataFrame, index: SimilarityIndex, weights, k: int, second_pass: bool) -> DataFrame:
@@ -208,17 +249,13 @@ def _pairs(probes: DataFrame, index: SimilarityIndex, weights, k: int, second_pa
         def route(batches, shared=shared, sensors=sensors):
             nodes = _NodeBounds(shared.value, sensors, weights, k)
             for batch in batches:
-                for pdf in nodes.blocks(batch):
+                for pdf in nodes.batches(batch):
                     if len(nodes.ids) == 0:
                         continue
-                    upper, jaccard, same_mode = nodes.bounds(pdf)
-                    keep = nodes.reaching(upper, pdf) if second_pass else nodes.seeds(upper)
-                    row, node = np.nonzero(keep)
-                    result = pdf.iloc[row].reset_index(drop=True)
-                    result["node_id"] = nodes.ids[node]
-                    result["dtc_similarity"] = jaccard[row, node]
-                    result["mode_similarity"] = same_mode[row, node]
-                    yield result
+                    row, node, jaccard, same_mode = nodes.reaching(pdf) if second_pass else nodes.seeds(pdf)
+                    yield pdf.iloc[row].reset_index(drop=True).assign(
+                        node_id=nodes.ids[node], dtc_similarity=jaccard, mode_similarity=same_mode
+                    )
 
         # Few bytes but much arithmetic per incident: spread over all tasks, whatever the size of the table.
         routed = probes.repartition(shuffle_partitions(probes), *_PROBE_KEY).mapInPandas(route, schema)

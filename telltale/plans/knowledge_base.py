@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from telltale.operators.knowledge import documents
 from telltale.operators.vectors import encode, fit_encoder
+from telltale.session import materialise, spread
 
 Encoder = Callable[[DataFrame], DataFrame]
 
@@ -25,7 +26,8 @@ def default_encoder(docs: DataFrame, dimensions: int = 512) -> Encoder:
 
 def build_knowledge_base(entries: DataFrame, encoder: Encoder | None = None) -> tuple[DataFrame, Encoder]:
     """Documents with ``embedding``, and the encoder that queries must use."""
-    docs = documents(entries)
+    # Fitting the encoder and encoding both read the documents, so they are composed once.
+    docs = materialise(documents(spread(entries)), "kb-documents")
     encoder = encoder or default_encoder(docs)
     encoded = encoder(docs.withColumnRenamed("text_doc", "query_text")).withColumnRenamed("query_text", "text_doc")
     return encoded, encoder

@@ -46,3 +46,9 @@ def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
 
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly per-row work when the input comes in fewer pieces than that; otherwise leave it alone."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
