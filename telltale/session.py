@@ -49,6 +49,6 @@ def shuffle_partitions(df: DataFrame) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for costly per-row work when the input comes in fewer pieces than that; otherwise leave it alone."""
+    """Use all cores for costly per-row work on a source that is read in fewer pieces than that; otherwise leave it alone."""
     wanted = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
