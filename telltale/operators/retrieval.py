@@ -11,6 +11,7 @@ from telltale.functions.validation import query_text_error
 from telltale.operators.knowledge import code_lookup
 from telltale.operators.vectors import nearest
 from telltale.schemas import CODE_PATTERN, TOP_K_RETRIEVAL
+from telltale.session import materialise
 
 EXACT, SEMANTIC = "EXACT", "SEMANTIC"
 
@@ -38,7 +39,8 @@ def retrieve(queries: DataFrame, docs: DataFrame, top_k: int = TOP_K_RETRIEVAL)
     if top_k < 1:
         raise ValueError("top_k must be positive.")
     queries = queries.filter(query_text_error(F.col("query_text")).isNull())
-    exact = exact_matches(queries, docs)
+    # Stored, since it is used three times and the query texts need be searched only once.
+    exact = materialise(exact_matches(queries, docs), "exact-matches")
     # A query names few codes, so a list per query is small.
     named = exact.groupBy("query_id").agg(F.collect_set("lookup_code").alias("_named"))
     asked = queries.select("query_id", "embedding").join(named, "query_id", "left")

@@ -33,7 +33,7 @@ from telltale.schemas import (
 )
 from telltale.session import is_small, materialise, shuffle_partitions
 
-MAX_PAGES = 16_384
+MAX_PAGES = 32_768
 LEAF_BITS = 6
 # At most 64 rows of 96 bytes each per leaf: 25 MB.
 MAX_BROADCAST_LEAVES = 4_096
@@ -52,21 +52,23 @@ class SimilarityIndex:
     """
 
     leaves: DataFrame
+    nodes: DataFrame
     scaler: Scaler
     sensors: tuple[str, ...]
     two_level: bool
 
-    def nodes(self) -> DataFrame:
-        """One row per node: the ranges of its leaves combined."""
-        n = range(len(self.sensors))
-        if not self.two_level:
-            return self.leaves.select("node_id", MODE, "codes", "rows", "last_index", "low", "high")
-        return self.leaves.groupBy("node_id", MODE, "codes").agg(
-            F.sum("rows").alias("rows"),
-            F.max("last_index").alias("last_index"),
-            F.array(*[F.min(F.col("low")[i]) for i in n]).alias("low"),
-            F.array(*[F.max(F.col("high")[i]) for i in n]).alias("high"),
-        )
+
+def _node_ranges(leaves: DataFrame, sensors, two_level: bool) -> DataFrame:
+    """One row per node: the ranges of its leaves combined."""
+    if not two_level:
+        return leaves.select("node_id", MODE, "codes", "rows", "last_index", "low", "high")
+    n = range(len(sensors))
+    return leaves.groupBy("node_id", MODE, "codes").agg(
+        F.sum("rows").alias("rows"),
+        F.max("last_index").alias("last_index"),
+        F.array(*[F.min(F.col("low")[i]) for i in n]).alias("low"),
+        F.array(*[F.max(F.col("high")[i]) for i in n]).alias("high"),
+    )
 
 
 def _curve(sensors) -> str:
@@ -114,14 +116,16 @@ def build_index(
         F.array(*[F.max(c) for c in z]).alias("high"),
         F.collect_list(F.struct("historical_index", *z)).alias("members"),
     )
-    if node_bits > LEAF_BITS:
-        # Runs of leaves with one mode and one code list; a run is named after its first leaf.
-        run = W.partitionBy(F.shiftright("_leaf", node_bits - LEAF_BITS), MODE, "dtc_signature", "codes")
-        leaves = leaves.withColumn("node_id", F.min("leaf_id").over(run))
+    two_level = node_bits > LEAF_BITS
+    if two_level:
+        # A run of neighbouring leaves with one mode and one code list, named by just that.
+        run = F.shiftright("_leaf", node_bits - LEAF_BITS).cast("string")
+        node = F.concat_ws("|", run, F.coalesce(F.col(MODE).cast("string"), F.lit("")), "dtc_signature")
     else:
-        leaves = leaves.withColumn("node_id", F.col("leaf_id"))
-    stored = materialise(leaves.drop("_leaf"), "similarity-index")
-    return SimilarityIndex(stored, scaler, sensors, node_bits > LEAF_BITS)
+        node = F.col("leaf_id")
+    stored = materialise(leaves.withColumn("node_id", node).drop("_leaf"), "similarity-index")
+    nodes = _node_ranges(stored, sensors, two_level)
+    return SimilarityIndex(stored, materialise(nodes, "similarity-nodes") if two_level else nodes, scaler, sensors, two_level)
 
 
 class _NodeBounds:
@@ -131,7 +135,7 @@ class _NodeBounds:
     only to the nodes of blocks that can still matter.
     """
 
-    def __init__(self, nodes: pd.DataFrame, sensors, weights, k: int):
+    def __init__(self, nodes: pd.DataFrame, sensors, weights, k: int, seed_nodes: int):
         nodes = nodes.assign(_codes=nodes["codes"].map(tuple), _mode=nodes[MODE].astype("float"))
         nodes["_block"] = nodes.groupby(["_mode", "_codes"], dropna=False, sort=False).ngroup()
         nodes = nodes.sort_values(["_block", "last_index"], ascending=[True, False])
@@ -148,7 +152,9 @@ class _NodeBounds:
         self.codes = self._indicators(blocks["_codes"])
         self.code_count = np.array([len(c) for c in blocks["_codes"]])
         self.no_fault = np.array([set(c) <= {NO_FAULT_CODE} or set(c) == {NO_CODES} for c in blocks["_codes"]])
-        self.sensors, self.weights, self.width = sensors, weights, min(max(k, SEED_NODES), len(nodes))
+        self.rows = nodes["rows"].to_numpy()
+        self.sensors, self.weights, self.k, self.seed_nodes = sensors, weights, k, seed_nodes
+        self.width = min(max(k, seed_nodes), len(nodes))
 
     def _indicators(self, lists) -> np.ndarray:
         out = np.zeros((len(lists), len(self.vocabulary)))
@@ -196,7 +202,7 @@ class _NodeBounds:
         return np.round(upper + 1e-12, SCORE_DIGITS)
 
     def seeds(self, pdf: pd.DataFrame):
-        """Per incident, its best few nodes, at least k of them: together they hold k rows, or all there are."""
+        """Per incident, its ``seed_nodes`` best nodes, or as many more as it takes to hold k rows."""
         jaccard, same_mode, fixed = self._block_scores(pdf)
         # Look at the best blocks only, as many as it takes to see enough nodes.
         order = np.argsort(-fixed, axis=1)
@@ -211,8 +217,11 @@ class _NodeBounds:
         ends = np.cumsum(np.bincount(row, minlength=len(pdf)))
         chosen = []
         for start, end in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True):
-            best = np.argpartition(key[start:end], self.width - 1)[: self.width] if end - start > self.width else np.arange(end - start)
-            chosen.append(start + best)
+            line = key[start:end]
+            best = np.argpartition(line, self.width - 1)[: self.width] if len(line) > self.width else np.arange(len(line))
+            best = start + best[np.argsort(line[best])]
+            held = np.cumsum(self.rows[node[best]]) - self.rows[node[best]]
+            chosen.append(best[(np.arange(len(best)) < self.seed_nodes) | (held < self.k)])
         chosen = np.concatenate(chosen)
         row, node = row[chosen], node[chosen]
         return row, node, jaccard[row, self.block[node]], same_mode[row, self.block[node]]
@@ -234,20 +243,22 @@ class _NodeBounds:
 def _pairs(probes: DataFrame, index: SimilarityIndex, weights, k: int, second_pass: bool) -> DataFrame:
     """(incident, node) pairs worth scoring. The node ranges are sent to the tasks in slices of bounded size."""
     spark = probes.sparkSession
-    summary = index.nodes()
+    summary = index.nodes
     total = summary.count()
     slices = max(1, math.ceil(1.25 * total / MAX_BROADCAST_NODES)) if total > MAX_BROADCAST_NODES else 1
     fields = [*probes.schema.fields]
-    fields += [T.StructField("node_id", T.LongType()), T.StructField("dtc_similarity", T.DoubleType())]
+    fields += [T.StructField("node_id", summary.schema["node_id"].dataType), T.StructField("dtc_similarity", T.DoubleType())]
     schema = T.StructType([*fields, T.StructField("mode_similarity", T.DoubleType())])
     out = None
     for i in range(slices):
         part = summary if slices == 1 else summary.filter(F.pmod(F.xxhash64("node_id"), F.lit(slices)) == i)
         shared = spark.sparkContext.broadcast(part.toPandas())
         sensors = index.sensors
+        # Nodes of one leaf are cheap to score, so a few more give a better floor.
+        seed_nodes = 1 if index.two_level else SEED_NODES
 
-        def route(batches, shared=shared, sensors=sensors):
-            nodes = _NodeBounds(shared.value, sensors, weights, k)
+        def route(batches, shared=shared, sensors=sensors, seed_nodes=seed_nodes):
+            nodes = _NodeBounds(shared.value, sensors, weights, k, seed_nodes)
             for batch in batches:
                 for pdf in nodes.batches(batch):
                     if len(nodes.ids) == 0:

@@ -53,6 +53,7 @@ def load_model(spark: SparkSession, path: str) -> AnomalyModel:
 
 def save_index(spark: SparkSession, index: SimilarityIndex, path: str) -> None:
     index.leaves.write.mode("overwrite").parquet(f"{path}/leaves")
+    index.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
     rows = [(i, s, index.two_level) for i, s in enumerate(index.sensors)]
     meta = spark.createDataFrame(rows, "position int, sensor string, two_level boolean")
     meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
@@ -62,7 +63,7 @@ def save_index(spark: SparkSession, index: SimilarityIndex, path: str) -> None:
 def load_index(spark: SparkSession, path: str) -> SimilarityIndex:
     meta = spark.read.parquet(f"{path}/meta").orderBy("position").collect()
     return SimilarityIndex(
-        spark.read.parquet(f"{path}/leaves"), load_scaler(spark, f"{path}/scaler"),
+        spark.read.parquet(f"{path}/leaves"), spark.read.parquet(f"{path}/nodes"), load_scaler(spark, f"{path}/scaler"),
         tuple(r["sensor"] for r in meta), meta[0]["two_level"],
     )
 
