@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-DIRECT_ROWS = 2_000_000
+DIRECT_ROWS = 200_000
 BRACKET_ROWS = 100_000
 _ACCURACY = 10_000
 

@@ -287,17 +287,25 @@ def scaler_inverse(spark, sf_dir):
     return SCALE.unscale(clean, scaler(spark, sf_dir)).select("historical_index", *[F.abs(_r(s, 9)).alias(s) for s in SENSORS])
 
 
-_CLEAN_COLUMNS = ", ".join(f"round({s}, 6) AS {s}, round(z_{s}, 6) AS z_{s}" for s in SENSORS)
+_CLEAN_COLUMNS = ", ".join(f"round({s}, 9) AS {s}, round(z_{s}, 6) AS z_{s}" for s in SENSORS)
 
 
 @registered(Q.query(
     f"SELECT historical_index, row_id, CAST(Mode AS BIGINT) AS Mode, array_to_string(active_dtcs, ',') AS active_dtcs, dtc_signature, {_CLEAN_COLUMNS} FROM zhistory", "zhistory"))
 def preprocess_train(spark, sf_dir):
     clean = preprocess(X.train(spark, sf_dir), X.test(spark, sf_dir)).train
-    values = [c for s in SENSORS for c in (_r(s), _r("z_" + s))]
+    values = [c for s in SENSORS for c in (_r(s, 9), _r("z_" + s))]
     return clean.select("historical_index", "row_id", *_long(MODE), _joined("active_dtcs"), "dtc_signature", *values)
 
 
+@registered(Q.query(
+    "SELECT incident_id AS row_id, CAST(Mode AS BIGINT) AS Mode, array_to_string(active_dtcs, ',') AS active_dtcs, query_signature AS dtc_signature, "
+    + ", ".join(f"round({s}, 9) AS {s}, round(z_{s}, 6) AS z_{s}" for s in SENSORS) + " FROM zincidents", "zincidents"))
+def preprocess_test(spark, sf_dir):
+    values = [c for s in SENSORS for c in (_r(s, 9), _r("z_" + s))]
+    return prepared(spark, sf_dir).test.select("row_id", *_long(MODE), _joined("active_dtcs"), "dtc_signature", *values)
+
+
 # --- Similarity --------------------------------------------------------------------------------------------------------
 
 

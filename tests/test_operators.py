@@ -145,3 +145,9 @@ def test_neighbours_by_blocks(spark, sf_dir):
         for rank, at in enumerate(np.argsort(squared, kind="stable")[: q["k"]]):
             expected.add((q["query_id"], rank + 1, int(d["doc_id"][at])))
     assert key(whole) == expected
+
+
+def test_no_documents(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    queries = vectors.select(F.col("vec_id").alias("query_id"), "embedding", F.lit(3).alias("k"))
+    assert nearest(queries, queries.withColumnRenamed("query_id", "doc_id").filter("doc_id < 0")).count() == 0

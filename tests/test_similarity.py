@@ -93,6 +93,13 @@ def test_limits_of_k(tables):
         SIM.similar_topk(incidents, index, -1)
 
 
+def test_nothing_to_find(tables):
+    history, incidents, _, _, scaler = tables
+    few = incidents.limit(3)
+    assert SIM.similar_topk(few, SIM.build_index(history.filter("historical_index < 0"), scaler)).count() == 0
+    assert SIM.similar_topk(few.filter("incident_id < 0"), SIM.build_index(history.limit(9), scaler)).count() == 0
+
+
 def test_self_query(tables):
     """A history row finds itself, or an equal row, with full similarity; scores never rise with rank."""
     history, _, _, _, scaler = tables
