@@ -1,4 +1,4 @@
-"""Session helpers: the shared scratch folder, written intermediates and size-checked broadcasts."""
+"""Session helpers: the shared scratch folder, written intermediates and size checks."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 SMALL_SIDE_ROWS = 200_000
 
@@ -39,11 +38,6 @@ def is_small(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def small_side(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
-    """Hint a broadcast only when the row count is proven small; otherwise leave the join to Catalyst and AQE."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
-
-
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
