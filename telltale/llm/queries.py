@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telltale.llm import decontaminate, exact, language, mixing, simhash, urls
+from telltale.llm import decontaminate, exact, language, mixing, simhash, toxicity, urls
 from telltale.llm.rows import crc_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,12 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 @registered()
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), RULES)
+
+
+@registered()
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learnt from labelled rows whose remainder is not 0."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), where=crc_remainder("doc_id", 5) != 0)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (crc_remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
