@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telltale.llm import decontaminate, exact, language, mixing, simhash, toxicity, urls
+from telltale.llm import decontaminate, exact, language, mixing, neural, simhash, toxicity, urls
 from telltale.llm.rows import crc_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), where=crc_remainder("doc_id", 5) != 0)
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", (crc_remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@registered()
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and neural log10 probabilities of all documents, learnt from the rows whose remainder is not 2."""
+    return neural.score_texts(table(spark, sf_dir, "documents"), held_out=crc_remainder("doc_id", 7) == 2)
