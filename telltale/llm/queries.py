@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telltale.llm import decontaminate, exact, language, mixing, neural, simhash, toxicity, urls
+from telltale.llm import decontaminate, exact, language, mixing, neural, pii, simhash, toxicity, urls
 from telltale.llm.rows import crc_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram and neural log10 probabilities of all documents, learnt from the rows whose remainder is not 2."""
     return neural.score_texts(table(spark, sf_dir, "documents"), held_out=crc_remainder("doc_id", 7) == 2)
+
+
+@registered()
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"), pii.fit())
+    counts = ["n_email", "n_ip", "n_card", "n_phone", "n_added"]
+    return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
