@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telltale.llm import decontaminate, exact, language, mixing, neural, pii, simhash, toxicity, urls
+from telltale.llm import decontaminate, exact, language, mixing, neural, passages, pii, simhash, toxicity, urls
 from telltale.llm.rows import crc_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,9 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"), pii.fit())
     counts = ["n_email", "n_ip", "n_card", "n_phone", "n_added"]
     return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+@registered()
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fuzzy passages that documents share, one row per passage and pair."""
+    return passages.passages(table(spark, sf_dir, "documents")).drop("passage")

@@ -44,3 +44,11 @@ def chunks(blobs: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         size += len(b)
     if lo < len(blobs):
         yield lo, len(blobs)
+
+
+def small(batches, limit: int = 4 * CHUNK_BYTES):
+    """The same rows in batches of about ``limit`` bytes, so that a task's memory doesn't depend on the session's batch size."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * limit // max(limit, batch.nbytes))
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
