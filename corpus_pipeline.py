@@ -10,11 +10,11 @@ from telltale.session import materialise
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column ``_key`` that orders by id and tells repeated and null ids apart.
+    """``docs`` with a column ``_key`` that orders by id, nulls last, and tells repeated ids apart.
 
     The number comes from the place in the stored table, which is the same in every plan that reads it.
     """
-    return docs.withColumn("_key", F.struct("doc_id", F.monotonically_increasing_id().alias("row")))
+    return docs.withColumn("_key", F.struct(F.isnull("doc_id").alias("absent"), "doc_id", F.monotonically_increasing_id().alias("row")))
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

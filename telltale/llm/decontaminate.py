@@ -31,7 +31,7 @@ def myers(pattern: bytes, text: bytes, budget: int) -> tuple[int, int] | None:
     at: dict[int, int] = {}
     for i, c in enumerate(pattern):
         at[c] = at.get(c, 0) | 1 << i
-    up, down, score, best, end = full, 0, m, m + 1, 0
+    up, down, score, best, end = full, 0, m, m, 0  # the empty substring takes m edits
     for j, c in enumerate(text, 1):
         eq = at.get(c, 0)
         x = (((eq & up) + up) ^ up) | eq | down
