@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from telltale.llm.rows import first_row_number
+from telltale.llm.rows import first_row_number, small
 from telltale.session import materialise
 
 BLOCK_BYTES = 4096
@@ -39,7 +39,7 @@ def _cut(source: DataFrame, block_bytes: int) -> DataFrame:
         row = next_chunk = first_row_number()
         seen: dict[bytes, int] = {}
         held = 0
-        for batch in batches:
+        for batch in small(batches):
             id_column = batch.column(0)
             takes, rows, shas, positions, sizes, numbers, contents = [], [], [], [], [], [], []
             for i, value in enumerate(batch.column(1)):

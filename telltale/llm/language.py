@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from telltale.llm.rows import hash_share
+from telltale.llm.rows import hash_share, small
 
 GRAM = 4
-PIECE_CHARS = 1 << 20
+PIECE_CHARS = 1 << 18
 MAX_LANGUAGES = 1024
 
 
@@ -132,7 +132,7 @@ def fit(
 
     def count(batches):
         letters = _letters()
-        for batch in batches:
+        for batch in small(batches):
             own = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)
             parts = []
             for lo, part in pieces([t.lower() for t in batch.column("text").to_pylist()]):
@@ -194,7 +194,7 @@ def identify(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", tex
 
     def run(batches):
         m, letters = LanguageFilter(*shared.value), _letters()
-        for batch in batches:
+        for batch in small(batches):
             values = [(t or "").lower() for t in batch.column(1).to_pylist()]
             hits, total, has = np.zeros((len(values), len(m.languages))), np.zeros(len(values)), np.zeros(len(values), bool)
             for lo, part in pieces(values):

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from telltale.llm.rows import first_row_number
+from telltale.llm.rows import first_row_number, small
 from telltale.session import materialise
 
 END, OTHER, SPECIAL = 0, 1, 2  # ids of the end, of all words outside the model's vocabulary, and the first word's
@@ -31,7 +31,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         found: Counter = Counter()
-        for batch in batches:
+        for batch in small(batches):
             for text in batch.column(0):
                 found.update(tokens(text.as_py()))
                 if len(found) > FLUSH_WORDS:
@@ -89,7 +89,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         gain[-1] = 0
         other_gain[:inside] = other_gain[-1] = 0
         row = first_row_number()
-        for batch in batches:
+        for batch in small(batches):
             out: list[list] = [[] for _ in range(10)]
             takes, held = [], batch.column(1).to_pylist()
             for i, text in enumerate(batch.column(2)):
@@ -226,7 +226,7 @@ def fit_model(encoded: DataFrame, unigram: np.ndarray, width: int, seed: int) ->
         def run(batches, shared=shared, rate=rate, number=number, begin=begin, end=end):
             own, seen = LogBilinear(*[a.copy() for a in shared.value]), 0
             trainer = Trainer(own, noise, rate, seed + number)
-            for batch in batches:
+            for batch in small(batches):
                 n = batch.num_rows
                 raw = batch.column(0).slice(int(n * begin), int(n * end) - int(n * begin)).to_pylist()
                 if raw:
@@ -319,7 +319,7 @@ def score_texts(
 
     def run(batches):
         scorer = TextScorer(LogBilinear(*shared.value))
-        for batch in batches:
+        for batch in small(batches):
             found = scorer([x.as_py() for x in batch.column("ids")])
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(found)], names=[f.name for f in fields])
 

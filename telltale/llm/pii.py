@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from telltale.llm.rows import small
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 Span = tuple[str, int, int]
@@ -335,7 +337,7 @@ def find(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
     fields = T.StructType([source.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in longs], T.StructField("base_spans", T.StringType()), T.StructField("spans", T.StringType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             base = [pattern_spans(t) for t in texts]
             added = [

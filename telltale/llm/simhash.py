@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telltale.llm.components import connected_components
-from telltale.llm.rows import texts
+from telltale.llm.rows import small, texts
 from telltale.session import materialise
 
 BITS, SEED, BLOCK = 64, 42, 1 << 16
@@ -45,7 +45,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fields = source.select("doc_id", F.lit(0).cast("long").alias("fingerprint")).schema
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             values = [fingerprint(t.as_py(), shingle) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], names=["doc_id", "fingerprint"])
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from telltale.llm.rows import chunks, hash_share, texts
+from telltale.llm.rows import chunks, hash_share, small, texts
 from telltale.llm.words import LETTERS, WordHasher, mix, owners
 
 ORDER, SHARED_ORDER, DISCOUNT, STRONG = 8, 3, 0.75, 4.0
@@ -207,7 +207,7 @@ def fit(
     sample = texts(docs, id_col, text_col).join(F.broadcast(drawn), "doc_id")
 
     def spell(batches):
-        for batch in batches:
+        for batch in small(batches):
             found: dict[bytes, list[int]] = {}
             for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 for w in set((text.as_py() or b"").translate(LETTERS).split()):
@@ -240,7 +240,7 @@ def _ratios(source: DataFrame, keys: np.ndarray, gains: np.ndarray) -> DataFrame
 
     def run(batches):
         scorer = Scorer(*shared.value)
-        for batch in batches:
+        for batch in small(batches, 8 << 20):
             found = scorer.of_texts([t.as_py() or b"" for t in batch.column("text")])
             kept = [batch.column(f.name) for f in rest]
             yield pa.RecordBatch.from_arrays([*kept, *[pa.array(found[:, i]) for i in range(4)]], names=[f.name for f in fields])
@@ -257,7 +257,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     def run(batches):
         keys, gains, weights = shared.value
         scorer = Scorer(keys, gains)
-        for batch in batches:
+        for batch in small(batches, 8 << 20):
             found = scorer.of_texts([t.as_py() or b"" for t in batch.column(1)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(probability(found, weights))], names=["doc_id", "score"])
 
