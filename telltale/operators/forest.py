@@ -1,11 +1,12 @@
 """Isolation forest: hash-drawn samples, one task per tree, vectorised scoring.
 
-Follows Liu, Ting and Zhou, "Isolation Forest", 2008. A row is drawn for a tree by the hash of seed, tree and row
-position, so the same seed gives the same forest under any partitioning and after any task retry.
+Follows Liu, Ting and Zhou, "Isolation Forest", 2008. Every random choice is a hash of the seed and of what is chosen (a row for a tree, a
+node's sensor and split), so the same seed gives the same forest under any partitioning, at any table size and after any task retry.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,7 +21,8 @@ from telltale.operators.percentiles import exact_percentiles
 from telltale.schemas import CONTAMINATION, FOREST_NODE, FOREST_SAMPLE, FOREST_SEED, FOREST_TREES, SENSORS
 from telltale.session import materialise
 
-POOL_ROWS = 65_536
+PRIME = 2**31 - 1
+MICRO = 1_000_000
 
 
 @dataclass
@@ -31,13 +33,18 @@ class Forest:
     sample_size: int
     trees: int
     offset: float | None = None
+    _arrays: dict | None = None
 
+    def arrays(self) -> dict:
+        """The trees in the form the tasks use, read once."""
+        if self._arrays is None:
+            self._arrays = tree_arrays(self.nodes.toPandas())
+        return self._arrays
 
-def _below(digest: Column, share: float) -> Column:
-    """Keep about this share of rows, by the leading 32 bits of a hex digest."""
-    if share >= 1:
-        return F.lit(True)
-    return F.substring(digest, 1, 8) < F.lit(f"{int(share * 2**32):08x}")
+
+def _digits(text: str, count: int) -> int:
+    """The first hex digits of an MD5 as a number."""
+    return int(hashlib.md5(text.encode(), usedforsecurity=False).hexdigest()[:count], 16)
 
 
 def _share(rows: int, of: int) -> float:
@@ -45,34 +52,34 @@ def _share(rows: int, of: int) -> float:
     return min(1.0, (rows + 6 * math.sqrt(rows) + 20) / max(of, 1))
 
 
+def _draw(seed: int, tree: int, id_col: str) -> Column:
+    """A row's place in the lot of a tree: a linear map of its position modulo a prime."""
+    a, b, c = (1 + _digits(f"{seed}:{tree}:{x}", 8) % (PRIME - 1) for x in "abc")
+    at = F.col(id_col).cast("long")
+    return (F.lit(a) * (at % PRIME) + F.lit(b) * F.expr(f"CAST(`{id_col}` AS BIGINT) div {PRIME}") + F.lit(c)) % PRIME
+
+
 def draw_samples(
-    df: DataFrame, id_col: str, columns: list[str], trees: int = FOREST_TREES,
-    size: int = FOREST_SAMPLE, seed: int = FOREST_SEED, pool_rows: int = POOL_ROWS,
+    df: DataFrame, id_col: str, columns: list[str], trees: int = FOREST_TREES, size: int = FOREST_SAMPLE, seed: int = FOREST_SEED
 ) -> DataFrame:
-    """``size`` rows without replacement for each tree: ``(tree, id, columns…)``.
+    """``size`` rows without replacement for each tree, those with the smallest draws: ``(tree, id, columns…)``.
 
-    A large table is first thinned to a random pool, so that only one hash per row is computed on it; only the few rows
-    that pass a tree's own threshold are shuffled.
+    A row's draws for all trees are one projection, and only those under a threshold leave it, so about ``size`` rows per tree are
+    shuffled whatever the size of the table. If a tree gets too few, the threshold is doubled.
     """
     rows = df.count()
     size = min(size, rows)
-    source = df.select(id_col, *columns)
-    if rows > pool_rows:
-        pool = source.filter(_below(F.md5(F.concat(F.lit(f"{seed}:pool:"), F.col(id_col).cast("string"))), _share(pool_rows, rows)))
-        source = materialise(pool, "forest-pool")
-        rows = source.count()
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("tree").cast("string"), F.lit(":"), F.col(id_col).cast("string")))
-    hashed = source.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("_h", digest)
-    order = W.partitionBy("tree").orderBy("_h", id_col)
-
-    def pick(share):
-        ranked = hashed.filter(_below(F.col("_h"), share)).withColumn("_r", F.row_number().over(order))
-        return materialise(ranked.filter(F.col("_r") <= size).select("tree", id_col, *columns), "forest-sample")
-
-    picked = pick(_share(size, rows))
-    if picked.count() < trees * size:
-        picked = pick(1.0)
-    return picked
+    share = _share(size, rows)
+    order = W.partitionBy("tree").orderBy("_draw", id_col)
+    while True:
+        limit = math.ceil(share * PRIME)
+        lots = [F.when((d := _draw(seed, t, id_col)) < limit, F.struct(F.lit(t).alias("tree"), d.alias("_draw"))) for t in range(trees)]
+        drawn = df.select(id_col, *columns, F.inline(F.array_compact(F.array(*lots))))
+        ranked = drawn.withColumn("_r", F.row_number().over(order))
+        picked = materialise(ranked.filter(F.col("_r") <= size).select("tree", id_col, *columns), "forest-sample")
+        if share >= 1 or picked.count() >= trees * size:
+            return picked
+        share = min(1.0, 2 * share)
 
 
 def average_path(n: int) -> float:
@@ -84,32 +91,34 @@ def average_path(n: int) -> float:
     return 2.0 * (math.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n
 
 
+def path_length(depth: int, rows: int) -> int:
+    """Length of a leaf's path in millionths, so that sums over trees are exact in any order."""
+    return round((depth + average_path(rows)) * MICRO)
+
+
 def _grow(pdf: pd.DataFrame, id_col: str, columns: list[str], seed: int, limit: int) -> pd.DataFrame:
-    """Grow one tree on its bounded sample: random non-constant sensor, uniform split."""
+    """Grow one tree on its bounded sample: a random sensor that is not constant, a uniform split. The children of node n are 2n and 2n + 1."""
     pdf = pdf.sort_values(id_col)
     values = pdf[columns].to_numpy(dtype=float)
     tree = int(pdf["tree"].iloc[0])
-    rng = np.random.default_rng([seed, tree])
-    nodes, open_nodes = [[tree, 0, -1, -1, -1, 0.0, len(values)]], [(0, np.arange(len(values)), 0)]
+    nodes, open_nodes = [], [(1, np.arange(len(values)), 0)]
     while open_nodes:
         node, rows, depth = open_nodes.pop()
         part = values[rows]
         splittable = np.flatnonzero(part.max(axis=0) > part.min(axis=0))
         if depth >= limit or len(rows) < 2 or len(splittable) == 0:
+            nodes.append([tree, node, -1, -1, -1, 0.0, len(rows)])
             continue
-        feature = int(rng.choice(splittable))
+        which, where = (_digits(f"{seed}:{tree}:{node}:{x}", 12) / 2**48 for x in ("sensor", "split"))
+        feature = int(splittable[int(which * len(splittable))])
         low, high = part[:, feature].min(), part[:, feature].max()
-        threshold = float(rng.uniform(low, high))
+        threshold = low + where * (high - low)
+        if threshold >= high:
+            threshold = low
         left = part[:, feature] <= threshold
-        if left.all():
-            threshold = float(low)
-            left = part[:, feature] <= threshold
-        first = len(nodes)
-        for child, chosen in ((first, left), (first + 1, ~left)):
-            nodes.append([tree, child, -1, -1, -1, 0.0, int(chosen.sum())])
-            open_nodes.append((child, rows[chosen], depth + 1))
-        nodes[node][2:6] = [first, first + 1, feature, threshold]
-    return pd.DataFrame(nodes, columns=FOREST_NODE.names)
+        nodes.append([tree, node, 2 * node, 2 * node + 1, feature, float(threshold), len(rows)])
+        open_nodes += [(2 * node, rows[left], depth + 1), (2 * node + 1, rows[~left], depth + 1)]
+    return pd.DataFrame(sorted(nodes), columns=FOREST_NODE.names)
 
 
 def grow_forest(samples: DataFrame, id_col: str, columns: list[str], size: int, seed: int = FOREST_SEED) -> DataFrame:
@@ -122,59 +131,49 @@ def grow_forest(samples: DataFrame, id_col: str, columns: list[str], size: int,
     return samples.groupBy("tree").applyInPandas(grow, FOREST_NODE)
 
 
-class _Trees:
-    """All trees as arrays, for scoring a batch of rows at once."""
-
-    def __init__(self, nodes: pd.DataFrame, sample_size: int):
-        trees = sorted(nodes["tree"].unique())
-        width = int(nodes["node"].max()) + 1
-        shape = (len(trees), width)
-        self.left, self.right = np.zeros(shape, dtype=np.int64), np.zeros(shape, dtype=np.int64)
-        self.feature, self.threshold = np.zeros(shape, dtype=np.int64), np.zeros(shape)
-        self.length = np.zeros(shape)
-        self.depth = 0
-        for t, tree in enumerate(trees):
-            part = nodes[nodes["tree"] == tree].sort_values("node")
-            depths = {0: 0}
-            for r in part.itertuples(index=False):
-                leaf = r.left < 0
-                self.left[t, r.node] = r.node if leaf else r.left
-                self.right[t, r.node] = r.node if leaf else r.right
-                self.feature[t, r.node] = max(r.feature, 0)
-                self.threshold[t, r.node] = r.threshold
-                if leaf:
-                    self.length[t, r.node] = depths[r.node] + average_path(int(r.n))
-                    self.depth = max(self.depth, depths[r.node])
-                else:
-                    depths[r.left] = depths[r.right] = depths[r.node] + 1
-        self.scale = average_path(sample_size)
-
-    def score(self, values: np.ndarray) -> np.ndarray:
-        """Minus the anomaly score of the paper: close to -1 is isolated early, close to 0 is deep inside."""
-        tree = np.arange(self.left.shape[0])[None, :]
-        row = np.arange(len(values))[:, None]
-        node = np.zeros((len(values), self.left.shape[0]), dtype=np.int64)
-        for _ in range(self.depth):
-            go_left = values[row, self.feature[tree, node]] <= self.threshold[tree, node]
-            node = np.where(go_left, self.left[tree, node], self.right[tree, node])
-        if self.scale == 0:
-            return np.full(len(values), -0.5)
-        return -np.exp2(-self.length[tree, node].mean(axis=1) / self.scale)
+def tree_arrays(nodes: pd.DataFrame) -> dict[str, np.ndarray]:
+    """All trees as arrays by (tree, node), ready to be sent to the tasks."""
+    tree, node = np.unique(nodes["tree"].to_numpy(), return_inverse=True)[1], nodes["node"].to_numpy(dtype=np.int64)
+    shape = (int(tree.max()) + 1, int(node.max()) + 1)
+    leaf = nodes["left"].to_numpy() < 0
+    depth = np.floor(np.log2(node)).astype(np.int64)
+    out = {n: np.zeros(shape, np.int64) for n in ("left", "right", "feature", "length")} | {"threshold": np.zeros(shape)}
+    out["left"][tree, node] = np.where(leaf, node, 2 * node)
+    out["right"][tree, node] = np.where(leaf, node, 2 * node + 1)
+    out["feature"][tree, node] = np.maximum(nodes["feature"].to_numpy(), 0)
+    out["threshold"][tree, node] = nodes["threshold"].to_numpy()
+    lengths = {key: path_length(*key) for key in set(zip(depth.tolist(), nodes["n"].tolist(), strict=True))}
+    out["length"][tree, node] = [lengths[key] for key in zip(depth.tolist(), nodes["n"].tolist(), strict=True)]
+    out["depth"] = np.array(depth.max())
+    return out
+
+
+def _score(trees: dict[str, np.ndarray], values: np.ndarray, scale: float) -> np.ndarray:
+    """Minus the anomaly score of the paper: close to -1 is isolated early, close to 0 is deep inside."""
+    count = trees["left"].shape[0]
+    tree, row = np.arange(count)[None, :], np.arange(len(values))[:, None]
+    node = np.ones((len(values), count), dtype=np.int64)
+    for _ in range(int(trees["depth"])):
+        go_left = values[row, trees["feature"][tree, node]] <= trees["threshold"][tree, node]
+        node = np.where(go_left, trees["left"][tree, node], trees["right"][tree, node])
+    if scale == 0:
+        return np.full(len(values), -0.5)
+    return -np.exp2(-(trees["length"][tree, node].sum(axis=1) / MICRO / count) / scale)
 
 
 def with_forest_score(df: DataFrame, forest: Forest, columns: list[str], name: str = "forest_score") -> DataFrame:
-    """Add the forest score of every row. The node table is bounded by trees × sample size and is sent to the tasks."""
-    shared = df.sparkSession.sparkContext.broadcast(forest.nodes.toPandas())
-    sample_size = forest.sample_size
+    """Add the forest score of every row. The arrays, bounded by trees × 2 ** (depth + 1), are built once and sent to the tasks."""
+    shared = df.sparkSession.sparkContext.broadcast(forest.arrays())
+    scale = average_path(forest.sample_size)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        trees = _Trees(shared.value, sample_size)
+        trees = shared.value
         for series in batches:
             values = np.column_stack([s.to_numpy(dtype=float) for s in series])
             out = np.empty(len(values))
             for start in range(0, len(values), 2048):
-                out[start : start + 2048] = trees.score(values[start : start + 2048])
+                out[start : start + 2048] = _score(trees, values[start : start + 2048], scale)
             yield pd.Series(out)
 
     return df.withColumn(name, score(*[F.col(c) for c in columns]))

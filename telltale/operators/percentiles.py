@@ -8,28 +8,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-DIRECT_ROWS = 200_000
 BRACKET_ROWS = 100_000
 _ACCURACY = 10_000
 
 
 def exact_percentiles(
-    df: DataFrame, columns: list[str], levels: list[float],
-    direct_rows: int = DIRECT_ROWS, bracket_rows: int = BRACKET_ROWS,
+    df: DataFrame, columns: list[str], levels: list[float], bracket_rows: int = BRACKET_ROWS
 ) -> dict[str, list[float | None]]:
     """Percentiles per column, equal to sorting the column and interpolating; nulls and NaNs are ignored.
 
-    The built-in aggregate keeps every distinct value of a column in one task, which is fine up to ``direct_rows``. Above
-    that, sketches give a bracket around each wanted rank; counting confirms the bracket and it is narrowed until few
-    rows are left in it, and only those are sorted.
+    A value lies between two order statistics; both are fetched and interpolated by one expression, whatever the size of the table. Sketches give a
+    bracket around each wanted rank; counting confirms the bracket and it is narrowed until at most ``bracket_rows`` rows
+    are left in it, and only those are sorted. A small table is its own bracket.
     """
     df = df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in columns])
     counts = df.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
-    if max(counts.values(), default=0) <= direct_rows:
-        wanted = F.array(*[F.lit(q) for q in levels])
-        row = df.agg(*[F.percentile(c, wanted).alias(c) for c in columns]).first()
-        return {c: list(row[c]) if row[c] is not None else [None] * len(levels) for c in columns}
-
     found: dict[tuple[str, int], float | None] = {}
     # Wanted ranks (0-based) and the open brackets (low, high, rows below low, rows inside).
     wanted = {}
@@ -115,18 +108,17 @@ def _halve(df: DataFrame, key, bracket):
 
 
 def _pick(df: DataFrame, wanted: dict) -> dict:
-    """Sort the rows left in the brackets. Equal values are counted first, so each bracket holds a bounded group."""
-    keys = list(wanted)
-    entries = []
-    for i, (c, rank) in enumerate(keys):
-        lo, hi, _, _ = wanted[c, rank]
-        entries.append(F.when(_inside(c, lo, hi).isNotNull(), F.struct(F.lit(i).alias("i"), F.col(c).alias("v"))))
+    """Sort the rows left in the brackets, each bracket once. Equal values are counted first, so each holds a bounded group."""
+    ranks: dict[tuple, list[tuple]] = {}
+    for (c, rank), (lo, hi, below, _) in wanted.items():
+        ranks.setdefault((c, lo, hi), []).append((rank - below, (c, rank)))
+    entries = [
+        F.when(_inside(c, lo, hi).isNotNull(), F.struct(F.lit(i).alias("i"), F.col(c).alias("v"))) for i, (c, lo, hi) in enumerate(ranks)
+    ]
     values = df.select(F.inline(F.array_compact(F.array(*entries)))).groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
     upto = F.sum("n").over(W.partitionBy("i").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
-    target = F.array(*[F.lit(rank - wanted[c, rank][2]).cast("long") for c, rank in keys])
-    hit = (
-        values.withColumn("upto", upto)
-        .withColumn("target", F.element_at(target, F.col("i") + 1))
-        .filter((F.col("target") < F.col("upto")) & (F.col("target") >= F.col("upto") - F.col("n")))
-    )
-    return {keys[r["i"]]: r["v"] for r in hit.collect()}
+    targets = F.array(*[F.array(*[F.lit(at).cast("long") for at, _ in own]) for own in ranks.values()])
+    hit = values.withColumn("upto", upto).withColumn("at", F.explode(F.element_at(targets, F.col("i") + 1)))
+    hit = hit.filter((F.col("at") < F.col("upto")) & (F.col("at") >= F.col("upto") - F.col("n")))
+    keys = [dict(own) for own in ranks.values()]
+    return {keys[r["i"]][r["at"]]: r["v"] for r in hit.collect()}

@@ -396,6 +396,15 @@ def same_signature_found(spark, sf_dir):
     return nested.select("incident_id", F.exists(F.col("similarity.top_cases"), lambda c: c["dtc_signature"] == sig).alias("same_signature"))
 
 
+_DEVIATIONS = " UNION ALL ".join(
+    f"""SELECT incident_id, '{s}' AS feature, {i} AS ordinal, {s} AS raw_value,
+        CASE WHEN z_{s} < lo_{s} THEN lo_{s} - z_{s} WHEN z_{s} > hi_{s} THEN z_{s} - hi_{s} ELSE 0.0 END AS deviation FROM zincidents, bands"""
+    for i, s in enumerate(SENSORS))
+Q.define("deviations", f"SELECT * FROM ({_DEVIATIONS}) d WHERE deviation > 0", ["zincidents", "bands"])
+Q.define("contribution_text", """SELECT incident_id, string_agg(concat(feature, ':', CAST(CAST(round(deviation * 10000) AS BIGINT) AS VARCHAR)), ',' ORDER BY round(deviation, 12) DESC, ordinal) AS found
+  FROM deviations GROUP BY incident_id""", ["deviations"])
+
+
 # --- Anomalies ---------------------------------------------------------------------------------------------------------
 
 
@@ -403,45 +412,56 @@ def model(spark: SparkSession, sf_dir: str) -> AnomalyModel:
     return X.once(spark, sf_dir, "model", lambda: fit_anomaly_model(prepared(spark, sf_dir).train))
 
 
-@registered(Q.query(
-    """SELECT CAST(tree AS BIGINT) AS tree, historical_index FROM (
-         SELECT tree, historical_index, row_number() OVER (PARTITION BY tree ORDER BY md5(concat('42:', tree, ':', historical_index)), historical_index) AS r
-         FROM history, (SELECT unnest(range(100)) AS tree) t) s WHERE r <= 256""", "history"))
+@registered(Q.query("SELECT CAST(tree AS BIGINT) AS tree, historical_index FROM forest_drawn", "forest_drawn"))
 def forest_sample(spark, sf_dir):
     return FOR.draw_samples(prepared(spark, sf_dir).train, "historical_index", []).select(*_long("tree"), "historical_index")
 
 
-@registered()
+@registered(Q.query(
+    "SELECT CAST(tree AS BIGINT) AS tree, node, n, CAST(coalesce(feature, -1) AS BIGINT) AS feature, round(coalesce(threshold, 0.0), 6) AS threshold FROM forest_nodes", "forest_nodes"))
 def forest_nodes(spark, sf_dir):
-    return model(spark, sf_dir).forest.nodes
+    return model(spark, sf_dir).forest.nodes.select(*_long("tree", "node", "n", "feature"), _r("threshold"))
 
 
-@registered()
+@registered(Q.query("SELECT historical_index, round(score, 6) AS forest_score FROM history_scores", "history_scores"))
 def forest_score(spark, sf_dir):
     clean = prepared(spark, sf_dir).train
     return FOR.with_forest_score(clean, model(spark, sf_dir).forest, ["z_" + s for s in SENSORS]).select("historical_index", _r("forest_score"))
 
 
+@registered(Q.query("SELECT round(cut, 6) AS score_offset FROM forest_offset", "forest_offset"))
+def forest_offset(spark, sf_dir):
+    forest = model(spark, sf_dir).forest
+    return forest.nodes.agg(F.round(F.lit(forest.offset) + 0 * F.max("n"), 6).alias("score_offset"))
+
+
+def _score():
+    """The verdict's score; adding zero turns -0.0 into 0.0."""
+    return (F.col("anomaly_verdict.anomaly_score") + 0.0).alias("anomaly_score")
+
+
 def verdicts(spark, sf_dir) -> DataFrame:
     m = model(spark, sf_dir)
     return DEV.detect_anomalies(incidents(spark, sf_dir), m.forest, scaler(spark, sf_dir), m.bands)
 
 
-@registered()
+@registered(Q.query("SELECT incident_id, anomaly, round(margin, 4) + 0.0 AS anomaly_score FROM flags", "flags"))
 def anomaly_flag(spark, sf_dir):
-    return verdicts(spark, sf_dir).select("incident_id", "anomaly_verdict.anomaly", "anomaly_verdict.anomaly_score")
+    return verdicts(spark, sf_dir).select("incident_id", "anomaly_verdict.anomaly", _score())
 
 
-@registered()
+@registered(Q.query(
+    f"""SELECT f.incident_id, anomaly, round(margin, 4) + 0.0 AS anomaly_score, {Q.SEVERITY.format("margin")} AS severity, coalesce(d.found, '') AS contributions, CAST(NULL AS VARCHAR) AS error
+        FROM flags f LEFT JOIN contribution_text d ON d.incident_id = f.incident_id""", "flags", "contribution_text"))
 def detect_anomalies(spark, sf_dir):
-    return verdicts(spark, sf_dir).select("incident_id", "anomaly_verdict.*")
+    shown = F.transform("anomaly_verdict.feature_contributions", lambda c: F.concat_ws(":", c["feature"], F.round(c["deviation_magnitude"] * 10000).cast("long").cast("string")))
+    v = verdicts(spark, sf_dir)
+    return v.select("incident_id", _score(), *[f"anomaly_verdict.{c}" for c in ("anomaly", "severity", "error")], F.array_join(shown, ",").alias("contributions"))
 
 
-@registered(Q.query(
-    """SELECT incident_id, CASE WHEN z_RPM / 8 < 0 THEN 'normal' WHEN z_RPM / 8 < 0.1 THEN 'moderate' ELSE 'high' END AS severity FROM zincidents""", "zincidents"))
+@registered(Q.query(f"SELECT incident_id, {Q.SEVERITY.format('margin')} AS severity FROM flags", "flags"))
 def severity_band(spark, sf_dir):
-    scaled = SCALE.scale(incidents(spark, sf_dir), scaler(spark, sf_dir))
-    return scaled.select("incident_id", DEV.severity(F.col("z_RPM") / 8).alias("severity"))
+    return verdicts(spark, sf_dir).select("incident_id", "anomaly_verdict.severity")
 
 
 @registered(Q.query(" UNION ALL ".join(f"SELECT '{s}' AS feature, round(lo_{s}, 6) AS p5, round(hi_{s}, 6) AS p95 FROM bands" for s in SENSORS), "bands"))
@@ -449,12 +469,6 @@ def percentile_bands(spark, sf_dir):
     return DEV.bands_table(spark, DEV.fit_bands(prepared(spark, sf_dir).train)).select("feature", _r("p5"), _r("p95"))
 
 
-_DEVIATIONS = " UNION ALL ".join(
-    f"""SELECT incident_id, '{s}' AS feature, {i} AS ordinal, {s} AS raw_value,
-        CASE WHEN z_{s} < lo_{s} THEN lo_{s} - z_{s} WHEN z_{s} > hi_{s} THEN z_{s} - hi_{s} ELSE 0.0 END AS deviation FROM zincidents, bands"""
-    for i, s in enumerate(SENSORS))
-Q.define("deviations", f"SELECT * FROM ({_DEVIATIONS}) d WHERE deviation > 0", ["zincidents", "bands"])
-
 
 def _bands(spark, sf_dir):
     return X.once(spark, sf_dir, "bands", lambda: DEV.fit_bands(prepared(spark, sf_dir).train))
@@ -568,15 +582,15 @@ def hybrid_queries(spark, sf_dir) -> DataFrame:
 
 
 @registered(
-    """SELECT query_id, doc_id, CAST(r AS BIGINT) AS neighbour_rank, d AS squared_distance, round(1.0 / (1.0 + d), 4) AS score FROM (
-         SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(power(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 2), 6) AS d,
-           row_number() OVER (PARTITION BY q.vec_id ORDER BY round(power(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 2), 6), v.vec_id) AS r
+    """SELECT query_id, doc_id, CAST(r AS BIGINT) AS neighbour_rank, round(d, 6) AS squared_distance, round(1.0 / (1.0 + d), 4) AS score FROM (
+         SELECT q.vec_id AS query_id, v.vec_id AS doc_id, power(list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 2) AS d,
+           row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), v.vec_id) AS r
          FROM embeddings q, embeddings v) n WHERE r <= 5""")
 def vector_knn(spark, sf_dir):
     vectors = X.table(spark, sf_dir, "embeddings")
     queries = vectors.select(F.col("vec_id").alias("query_id"), "embedding", F.lit(5).alias("k"))
     near = VEC.nearest(queries, vectors.withColumnRenamed("vec_id", "doc_id"))
-    return near.select("query_id", "doc_id", *_long("neighbour_rank"), "squared_distance", RET.similarity_of_distance(F.col("squared_distance")).alias("score"))
+    return near.select("query_id", "doc_id", *_long("neighbour_rank"), _r("squared_distance"), RET.similarity_of_distance(F.col("squared_distance")).alias("score"))
 
 
 @registered(Q.query("SELECT query_id, CAST(position AS BIGINT) AS position, match_type, doc_id, score FROM hybrid", "hybrid"))
@@ -614,21 +628,18 @@ def evidence_matches(spark, sf_dir):
 
 Q.define("exact_codes", """SELECT m.incident_id, string_agg(k.code, ', ' ORDER BY m.first) AS codes, count(*) AS n FROM matches m JOIN kb k ON k.doc_id = m.doc_id
   WHERE m.match_type = 'EXACT' GROUP BY m.incident_id""", ["matches", "kb"])
-Q.define("top_deviation", """SELECT incident_id, feature FROM (SELECT incident_id, feature,
-  row_number() OVER (PARTITION BY incident_id ORDER BY round(deviation, 12) DESC, ordinal) AS r FROM deviations) d WHERE r = 1""", ["deviations"])
+Q.define("top_deviation", """SELECT f.incident_id, d.feature FROM flags f LEFT JOIN (SELECT incident_id, feature,
+  row_number() OVER (PARTITION BY incident_id ORDER BY round(deviation, 12) DESC, ordinal) AS r FROM deviations) d ON d.incident_id = f.incident_id AND d.r = 1
+  WHERE f.anomaly""", ["flags", "deviations"])
 Q.define("semantic_count", "SELECT incident_id, count(*) AS n FROM matches WHERE match_type = 'SEMANTIC' GROUP BY incident_id", ["matches"])
-# A verdict that SQL can follow: an incident counts as anomalous here when any sensor leaves its band.
 _JOINED = """FROM incidents i JOIN case_list c ON c.incident_id = i.incident_id LEFT JOIN exact_codes x ON x.incident_id = i.incident_id
   LEFT JOIN top_deviation t ON t.incident_id = i.incident_id LEFT JOIN semantic_count s ON s.incident_id = i.incident_id"""
 
 
 def _findings(spark, sf_dir) -> DataFrame:
     who = incidents(spark, sf_dir)
-    nested = SIM.nest_cases(who, top5(spark, sf_dir))
-    found = DEV.contributions(scaler(spark, sf_dir), _bands(spark, sf_dir))
-    judged = nested.withColumn("feature_contributions", found).withColumn(
-        "anomaly_verdict", F.struct((F.size("feature_contributions") > 0).alias("anomaly"), "feature_contributions")
-    )
+    m = model(spark, sf_dir)
+    judged = DEV.detect_anomalies(SIM.nest_cases(who, top5(spark, sf_dir)), m.forest, scaler(spark, sf_dir), m.bands)
     r = resources(spark, sf_dir)
     arrays = EV.match_arrays(find_matches(who, r), r.docs)
     return EV.with_matches(judged, arrays)
@@ -637,7 +648,7 @@ def _findings(spark, sf_dir) -> DataFrame:
 @registered(Q.query(
     f"""SELECT i.incident_id, concat_ws(' / ', concat('Found ', CAST(c.n AS VARCHAR), ' historically similar operating states.'),
           CASE WHEN c.same_signature THEN 'A historical operating state with the same DTC signature was found.' END,
-          CASE WHEN t.feature IS NOT NULL THEN 'The current operating condition was classified as anomalous.' END,
+          CASE WHEN t.incident_id IS NOT NULL THEN 'The current operating condition was classified as anomalous.' END,
           CASE WHEN t.feature IS NOT NULL THEN concat(t.feature, ' was among the features with the largest deviation.') END,
           CASE WHEN x.n > 0 THEN concat('{S.DEFAULT_KB_NAME} contains knowledge associated with DTC(s): ', x.codes, '.') END) AS summary {_JOINED}""",
     "case_list", "exact_codes", "top_deviation", "semantic_count"))

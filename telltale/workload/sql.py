@@ -165,8 +165,8 @@ def retrieval(name: str, queries: str, needs: list[str], k: int) -> None:
     define(
         f"{name}_near",
         f"""SELECT query_id, doc_id, ucode, d, r FROM (
-              SELECT q.query_id, v.doc_id, v.ucode, round(power(list_distance(CAST(q.embedding AS DOUBLE[]), v.embedding), 2), 6) AS d,
-                row_number() OVER (PARTITION BY q.query_id ORDER BY round(power(list_distance(CAST(q.embedding AS DOUBLE[]), v.embedding), 2), 6), v.doc_id) AS r
+              SELECT q.query_id, v.doc_id, v.ucode, power(list_distance(CAST(q.embedding AS DOUBLE[]), v.embedding), 2) AS d,
+                row_number() OVER (PARTITION BY q.query_id ORDER BY list_distance(CAST(q.embedding AS DOUBLE[]), v.embedding), v.doc_id) AS r
               FROM {name}_q q, vectors v) x
             WHERE r <= {k} + (SELECT count(*) FROM {name}_exact e WHERE e.query_id = x.query_id)""",
         [f"{name}_q", f"{name}_exact", "vectors"],
@@ -234,3 +234,86 @@ define(
 )
 incident_family("raw_", "raw_valid")
 code_hits("raw_", "raw_valid")
+
+
+# --- The isolation forest: every random choice is an MD5, so the trees can be grown and walked level by level. ---
+_PRIME = 2**31 - 1
+FOREST_DEPTH = 8
+_SPLITTABLE = ", ".join(
+    f"CASE WHEN max(z[{i + 1}]) > min(z[{i + 1}]) THEN {{'f': {i}, 'lo': min(z[{i + 1}]), 'hi': max(z[{i + 1}])}} END" for i in range(len(SENSORS))
+)
+
+
+def _md5(parts: str, digits: int) -> str:
+    return f"CAST('0x' || substr(md5(concat({parts})), 1, {digits}) AS BIGINT)"
+
+
+def _values(alias: str = "") -> str:
+    return "[" + ", ".join(f"{alias}z_{s}" for s in SENSORS) + "]"
+
+
+define(
+    "forest_lots",
+    "SELECT tree, " + ", ".join(f"1 + {_md5(f"'42:', tree, ':{x}'", 8)} % {_PRIME - 1} AS {x}" for x in "abc") + " FROM (SELECT unnest(range(100)) AS tree) t",
+    [],
+)
+define(
+    "forest_drawn",
+    f"""SELECT tree, historical_index FROM (SELECT tree, historical_index, row_number() OVER (PARTITION BY tree ORDER BY
+          (a * (historical_index % {_PRIME}) + b * (historical_index // {_PRIME}) + c) % {_PRIME}, historical_index) AS r FROM history, forest_lots) d WHERE r <= 256""",
+    ["history", "forest_lots"],
+)
+define("forest_rows_0", f"SELECT tree, CAST(1 AS BIGINT) AS node, {_values()} AS z FROM forest_drawn JOIN zhistory USING (historical_index)", ["forest_drawn", "zhistory"])
+for _level in range(FOREST_DEPTH + 1):
+    define(
+        f"forest_split_{_level}",
+        f"""SELECT tree, node, n, s.f AS feature, CASE WHEN t >= s.hi THEN s.lo ELSE t END AS threshold FROM (
+              SELECT *, s.lo + {_md5("'42:', tree, ':', node, ':split'", 12)} / 281474976710656.0::DOUBLE * (s.hi - s.lo) AS t FROM (
+                SELECT tree, node, n, {"NULL" if _level == FOREST_DEPTH else f"CASE WHEN n > 1 AND len(open) > 0 THEN open[1 + CAST(floor({_md5("'42:', tree, ':', node, ':sensor'", 12)} / 281474976710656.0::DOUBLE * len(open)) AS INT)] END"}
+                  {"::STRUCT(f INT, lo DOUBLE, hi DOUBLE)" if _level == FOREST_DEPTH else ""} AS s
+                FROM (SELECT tree, node, count(*) AS n, list_filter([{_SPLITTABLE}], lambda x: x IS NOT NULL) AS open FROM forest_rows_{_level} GROUP BY tree, node) g) p) q""",
+        [f"forest_rows_{_level}"],
+    )
+    if _level < FOREST_DEPTH:
+        define(
+            f"forest_rows_{_level + 1}",
+            f"""SELECT tree, CASE WHEN z[feature + 1] <= threshold THEN 2 * node ELSE 2 * node + 1 END AS node, z
+                FROM forest_rows_{_level} JOIN forest_split_{_level} USING (tree, node) WHERE feature IS NOT NULL""",
+            [f"forest_rows_{_level}", f"forest_split_{_level}"],
+        )
+define(
+    "forest_nodes",
+    " UNION ALL ".join(f"SELECT *, {i} AS depth FROM forest_split_{i}" for i in range(FOREST_DEPTH + 1)),
+    [f"forest_split_{i}" for i in range(FOREST_DEPTH + 1)],
+)
+
+
+def _average_path(n: str) -> str:
+    return f"CASE WHEN {n} <= 1 THEN 0.0::DOUBLE WHEN {n} = 2 THEN 1.0::DOUBLE ELSE 2.0 * (ln({n} - 1) + 0.5772156649015329::DOUBLE) - 2.0 * ({n} - 1)::DOUBLE / {n} END"
+
+
+def forest_scores(name: str, base: str, key: str) -> None:
+    """Define ``name`` (key, score): each row of ``base`` walks down all trees, one level per join."""
+    walk = f"SELECT {key}, t.tree, CAST(1 AS BIGINT) AS node FROM {base}, forest_lots t"
+    for _ in range(FOREST_DEPTH):
+        walk = f"""SELECT w.{key}, w.tree, CASE WHEN n.feature IS NULL THEN w.node WHEN v.z[n.feature + 1] <= n.threshold THEN 2 * w.node ELSE 2 * w.node + 1 END AS node
+          FROM ({walk}) w JOIN forest_nodes n ON n.tree = w.tree AND n.node = w.node JOIN {name}_values v ON v.{key} = w.{key}"""
+    define(f"{name}_values", f"SELECT {key}, {_values()} AS z FROM {base}", [base])
+    define(
+        name,
+        f"""SELECT {key}, -pow(2.0::DOUBLE, -(sum(CAST(round((n.depth + {_average_path("n.n")}) * 1000000) AS BIGINT))::DOUBLE / 1000000 / 100) / ({_average_path("256")})) AS score
+            FROM ({walk}) w JOIN forest_nodes n ON n.tree = w.tree AND n.node = w.node GROUP BY {key}""",
+        [base, f"{name}_values", "forest_lots", "forest_nodes"],
+    )
+
+
+forest_scores("history_scores", "zhistory", "historical_index")
+define("forest_offset", "SELECT quantile_cont(score, 0.01) AS cut FROM history_scores", ["history_scores"])
+# One walk per distinct content of the incidents.
+forest_scores("probe_scores", "probes", "probe")
+define(
+    "flags",
+    """SELECT o.incident_id, s.score - cut < 0 AS anomaly, -(s.score - cut) AS margin FROM probe_of o JOIN probe_scores s ON s.probe = o.probe, forest_offset""",
+    ["probe_of", "probe_scores", "forest_offset"],
+)
+SEVERITY = "CASE WHEN {0} < 0 THEN 'normal' WHEN {0} < 0.1 THEN 'moderate' ELSE 'high' END"

@@ -39,12 +39,12 @@ def test_percentiles_by_brackets(spark, sf_dir):
     values = W.prepared(spark, sf_dir).train.select(*Z).withColumn("hot", F.when(F.col("z_RPM") > 0, 1.5).otherwise(F.col("z_ECT")))
     columns = [*Z, "hot"]
     levels = [0.01, 0.05, 0.5, 0.95, 1.0]
-    got = exact_percentiles(values, columns, levels, direct_rows=10, bracket_rows=20)
+    got = exact_percentiles(values, columns, levels, bracket_rows=20)
     frame = values.toPandas()
     for c in columns:
         assert np.allclose(got[c], np.percentile(frame[c], [100 * q for q in levels]), atol=1e-12)
     direct = exact_percentiles(values, columns, levels)
-    assert all(direct[c] == pytest.approx(got[c]) for c in columns)
+    assert direct == got  # bit for bit
 
 
 def test_percentiles_without_values(spark):
@@ -71,7 +71,7 @@ def _plain_score(nodes: pd.DataFrame, values: np.ndarray, size: int) -> np.ndarr
     for t, (_, part) in enumerate(nodes.groupby("tree")):
         table = {r.node: r for r in part.itertuples()}
         for i, row in enumerate(values):
-            node, depth = table[0], 0
+            node, depth = table[1], 0
             while node.left >= 0:
                 node, depth = table[node.left if row[node.feature] <= node.threshold else node.right], depth + 1
             lengths[i, t] = depth + FOR.average_path(node.n)
@@ -85,7 +85,7 @@ def test_forest_shape(spark, sf_dir):
     for _, part in nodes.groupby("tree"):
         leaves = part[part["left"] < 0]
         assert leaves["n"].sum() == 256 and (leaves["n"] > 0).all()
-        depth = {0: 0}
+        depth = {1: 0}
         for r in part.sort_values("node").itertuples():
             if r.left >= 0:
                 depth[r.left] = depth[r.right] = depth[r.node] + 1
@@ -113,11 +113,22 @@ def test_forest_scores(spark, sf_dir):
     assert np.allclose(_plain_score(forest.nodes.toPandas(), some[Z].to_numpy(), 256), some["forest_score"], atol=1e-9)
 
 
-def test_samples_through_a_pool(spark, sf_dir):
-    history = W.prepared(spark, sf_dir).train.select("historical_index", "z_RPM")
-    picked = FOR.draw_samples(history, "historical_index", ["z_RPM"], trees=7, size=32, pool_rows=500)
-    sizes = picked.groupBy("tree").agg(F.count("*").alias("n"), F.count_distinct("historical_index").alias("d")).collect()
-    assert len(sizes) == 7 and all(r["n"] == r["d"] == 32 for r in sizes)
+def test_samples_of_a_large_table(spark):
+    """More rows than any sample: the draws are those of the plain rule, whatever the partitioning."""
+    rows = 150_000
+    df = spark.range(rows).withColumnRenamed("id", "historical_index")
+    picked = FOR.draw_samples(df.repartition(7), "historical_index", [], trees=7, size=32).collect()
+    at = np.arange(rows, dtype=object)
+    for tree in range(7):
+        a, _, c = (1 + FOR._digits(f"42:{tree}:{x}", 8) % (FOR.PRIME - 1) for x in "abc")
+        draws = [(int((a * i + c) % FOR.PRIME), i) for i in at]
+        assert {r.historical_index for r in picked if r.tree == tree} == {i for _, i in sorted(draws)[:32]}
+
+
+def test_samples_double_their_share(spark, monkeypatch):
+    monkeypatch.setattr(FOR, "_share", lambda rows, of: 0.001)
+    picked = FOR.draw_samples(spark.range(2000).withColumnRenamed("id", "historical_index"), "historical_index", [], trees=3, size=100)
+    assert [r["count"] for r in picked.groupBy("tree").count().collect()] == [100] * 3
 
 
 # --- Vectors ---
@@ -131,22 +142,33 @@ def test_neighbours_by_blocks(spark, sf_dir):
     docs = vectors.unionByName(copies)
     queries = vectors.select(F.col("doc_id").alias("query_id"), "embedding", (F.col("doc_id") % 9).cast("int").alias("k"))
     pieces = nearest(queries, docs, broadcast_values=10, block_rows=90).collect()
+    few = queries.filter("query_id < 20")
+    by_query = nearest(few, docs.repartition(5), broadcast_values=20 * len(one.first()[0])).collect()
     whole = nearest(queries, docs).collect()
 
     def key(rows):
         return {(r["query_id"], r["neighbour_rank"], r["doc_id"]) for r in rows}
 
     assert key(pieces) == key(whole)
+    assert key(by_query) == {x for x in key(whole) if x[0] < 20}
     d = docs.orderBy("doc_id").toPandas()
     matrix = np.array(d["embedding"].tolist(), dtype=float)
     expected = set()
     for q in queries.collect():
-        squared = np.round(((matrix - np.array(q["embedding"])) ** 2).sum(axis=1), 6)
+        squared = ((matrix - np.array(q["embedding"])) ** 2).sum(axis=1)
         for rank, at in enumerate(np.argsort(squared, kind="stable")[: q["k"]]):
             expected.add((q["query_id"], rank + 1, int(d["doc_id"][at])))
     assert key(whole) == expected
 
 
+@pytest.mark.parametrize("scale", [1e-4, 1.0, 1e6])
+def test_neighbours_at_any_norm(spark, scale):
+    docs = spark.createDataFrame([(i, [scale * (1 + i * 1e-7), 0.0]) for i in range(50)], "doc_id long, embedding array<double>")
+    queries = spark.createDataFrame([(0, [scale * (1 + 31e-7), 0.0], 3)], "query_id long, embedding array<double>, k int")
+    rows = sorted(nearest(queries, docs).collect(), key=lambda r: r["neighbour_rank"])
+    assert rows[0]["doc_id"] == 31 and {r["doc_id"] for r in rows[1:]} == {30, 32}
+
+
 def test_no_documents(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     queries = vectors.select(F.col("vec_id").alias("query_id"), "embedding", F.lit(3).alias("k"))
