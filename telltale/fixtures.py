@@ -127,11 +127,31 @@ def knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The telemetry as exports deliver it: one more column, missing and infinite cells, and an indicator that the test table lacks.
+_DIRTY = {
+    "RPM": "CASE row_id % 101 WHEN 7 THEN NULL WHEN 8 THEN CAST('NaN' AS DOUBLE) WHEN 9 THEN CAST('Infinity' AS DOUBLE) ELSE RPM END",
+    "ECT": "CASE row_id % 103 WHEN 5 THEN CAST('-Infinity' AS DOUBLE) WHEN 6 THEN NULL ELSE ECT END",
+    "AAT": "CASE WHEN row_id % 97 = 1 THEN CAST('NaN' AS DOUBLE) ELSE AAT END",
+}
+_DIRTY_LIST = [*[f"{_DIRTY.get(s, s)} AS {s}" for s in SENSORS], MODE]
+VEHICLE = "CASE row_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'bus' ELSE 'van' END AS vehicle"
+DIRTY_TRAIN_SQL = f"SELECT row_id, {', '.join([*_DIRTY_LIST, *CODES])}, {VEHICLE} FROM train"
+DIRTY_TEST_SQL = f"SELECT row_id, {', '.join([*_DIRTY_LIST, *[c if c != 'P0406' else '0 AS P0406' for c in CODES]])}, {VEHICLE} FROM test"
+
+
+def dirty_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return train(spark, sf_dir).selectExpr("row_id", *_DIRTY_LIST, *CODES, VEHICLE)
+
+
+def dirty_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return test(spark, sf_dir).selectExpr("row_id", *_DIRTY_LIST, *[c for c in CODES if c != "P0406"], VEHICLE)
+
+
 # Incidents as they arrive: the test observations as text, with one of sixteen defects or variants each.
 _TEXT_VALUES = {
-    "LOAD_PCT": "CASE WHEN row_id % 16 = 2 THEN CASE WHEN row_id % 32 = 2 THEN 'nan' ELSE '-inf' END ELSE CAST(LOAD_PCT AS STRING) END",
+    "LOAD_PCT": "CASE WHEN row_id % 16 = 2 THEN CASE WHEN row_id % 32 = 2 THEN 'nan' ELSE concat(chr(9), '-inf') END ELSE CAST(LOAD_PCT AS STRING) END",
     "ECT": "CASE WHEN row_id % 16 IN (6, 10) THEN NULL ELSE CAST(ECT AS STRING) END",
-    "RPM": "CASE WHEN row_id % 16 IN (5, 10) THEN 'INVALID' WHEN row_id % 16 = 0 THEN concat(' ', CAST(RPM AS STRING), ' ') ELSE CAST(RPM AS STRING) END",
+    "RPM": "CASE WHEN row_id % 16 IN (5, 10) THEN 'INVALID' WHEN row_id % 16 = 0 THEN concat(' ', chr(10), CAST(RPM AS STRING), chr(9)) ELSE CAST(RPM AS STRING) END",
     "VSS": "CASE WHEN row_id % 16 = 1 THEN '7.9e2' ELSE CAST(VSS AS STRING) END",
 }
 _TEXT_MODE = """CASE WHEN row_id % 16 = 7 THEN 'INVALID_MODE' WHEN row_id % 16 = 8 THEN NULL WHEN row_id % 16 = 9 THEN '1.0'
@@ -200,13 +220,21 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(doc % 5 == 2, F.array(cause(empty_map)))
         .when(doc % 5 == 3, F.array().cast("array<struct<label:map<string,string>>>"))
     )
+    def field(present, name, value):
+        return F.when(present, F.struct(F.lit(name).alias("key"), value.cast("string").alias("value")))
+
     repair = F.when(
         doc % 6 != 5,
-        F.struct(
-            F.when(doc % 2 == 0, F.lit("easy")).alias("difficulty"),
-            F.when(doc % 3 == 0, F.lit("True")).alias("diy_possible"),
-            F.when(doc % 4 == 0, doc.cast("string")).alias("estimated_cost_eur"),
-            F.lit("1.5").alias("estimated_hours"),
+        F.map_from_entries(
+            F.array_compact(
+                F.array(
+                    field(doc % 2 == 0, "difficulty", F.lit("easy")),
+                    field(doc % 3 != 2, "diy_possible", F.when(doc % 3 == 0, F.lit("True"))),
+                    field(doc % 4 == 0, "estimated_cost_eur", doc),
+                    field(doc % 10 < 10, "estimated_hours", F.lit("1.5")),
+                    field(doc % 7 == 0, "parts", source),
+                )
+            )
         ),
     )
     flags = F.when(doc % 3 == 0, texts(("emissions", F.lit("True")), ("source", source))).when(doc % 3 == 1, empty_map)
@@ -226,9 +254,13 @@ SELECT doc_id, source AS source_file, code, CASE WHEN doc_id % 9 <> 8 THEN categ
   CASE WHEN doc_id % 3 = 0 THEN concat(source, ', ', category) ELSE 'None' END AS components_text,
   CASE doc_id % 5 WHEN 0 THEN concat('cause ', category) WHEN 1 THEN 'usure; wear' WHEN 2 THEN '' ELSE 'None' END AS causes_text,
   concat('Difficulty: ', CASE WHEN doc_id % 6 <> 5 AND doc_id % 2 = 0 THEN 'easy' ELSE 'Unknown' END,
-    ', DIY Possible: ', CASE WHEN doc_id % 6 <> 5 AND doc_id % 3 = 0 THEN 'True' ELSE 'Unknown' END,
+    ', DIY Possible: ', CASE WHEN doc_id % 6 = 5 OR doc_id % 3 = 2 THEN 'Unknown' WHEN doc_id % 3 = 0 THEN 'True' ELSE 'None' END,
     ', Cost EUR: ', CASE WHEN doc_id % 6 <> 5 AND doc_id % 4 = 0 THEN CAST(doc_id AS VARCHAR) ELSE 'Unknown' END,
     ', Hours: ', CASE WHEN doc_id % 6 <> 5 THEN '1.5' ELSE 'Unknown' END) AS repair_text,
+  CASE WHEN doc_id % 6 = 5 THEN '' ELSE concat(CASE WHEN doc_id % 2 = 0 THEN 'difficulty=easy|' ELSE '' END,
+    CASE doc_id % 3 WHEN 0 THEN 'diy_possible=True|' WHEN 1 THEN 'diy_possible=None|' ELSE '' END,
+    CASE WHEN doc_id % 4 = 0 THEN concat('estimated_cost_eur=', CAST(doc_id AS VARCHAR), '|') ELSE '' END, 'estimated_hours=1.5',
+    CASE WHEN doc_id % 7 = 0 THEN concat('|parts=', source) ELSE '' END) END AS repair_fields,
   CASE WHEN doc_id % 3 = 0 THEN concat('emissions: True, source: ', source) ELSE 'None' END AS flags_text
 FROM kb
 """

@@ -40,23 +40,4 @@ def extract_codes(text: Column) -> Column:
 
 def is_queryable(code: Column) -> Column:
     """True for codes that deserve a knowledge lookup: not the no-fault code, not the placeholder, not blank."""
-    return code.isNotNull() & ~code.isin(NO_FAULT_CODE, NO_CODES) & (F.trim(code) != "")
-
-
-def code_similarity(query: Column, history: Column) -> Column:
-    """Jaccard similarity of two code sets, with the rules for empty sets.
-
-    An empty query matches (1.0) only a history set that is empty or holds just the no-fault code or the placeholder.
-    A non-empty query never matches an empty history set.
-    """
-    history_set = F.array_distinct(history)
-    no_fault = (F.size(history_set) == 0) | (
-        (F.size(history_set) == 1) & F.element_at(history_set, 1).isin(NO_FAULT_CODE, NO_CODES)
-    )
-    shared = F.size(F.array_intersect(query, history))
-    total = F.size(F.array_union(query, history))
-    return (
-        F.when(F.size(query) == 0, F.when(no_fault, F.lit(1.0)).otherwise(F.lit(0.0)))
-        .when(F.size(history_set) == 0, F.lit(0.0))
-        .otherwise(shared.cast("double") / total)
-    )
+    return code.isNotNull() & ~code.isin(NO_FAULT_CODE, NO_CODES) & ~code.rlike(r"^\s*$")

@@ -14,22 +14,27 @@ SPECIAL_PATTERN = r"^\s*[+-]?(nan|inf|infinity)\s*$"
 INTEGER_PATTERN = r"^\s*[+-]?[0-9]+\s*$"
 
 
+def stripped(text: Column) -> Column:
+    """Without the white space around it, tabs and line ends included."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def parse_double(text: Column) -> Column:
-    """Text to double; null where the text is not a number. Accepts blanks around it, exponents, ``nan`` and ``inf``."""
-    word = F.lower(F.trim(text))
+    """Text to double; null where the text is not a number. Accepts white space around it, exponents, ``nan`` and ``inf``."""
+    word = F.lower(stripped(text))
     special = (
         F.when(word.contains("nan"), F.lit(math.nan))
         .when(word.startswith("-"), F.lit(-math.inf))
         .otherwise(F.lit(math.inf))
     )
-    return F.when(text.rlike(FLOAT_PATTERN), F.trim(text).try_cast("double")).when(
+    return F.when(text.rlike(FLOAT_PATTERN), stripped(text).try_cast("double")).when(
         word.rlike(SPECIAL_PATTERN), special
     )
 
 
 def parse_integer(text: Column) -> Column:
     """Text to int; null unless the whole text is an optionally signed run of digits."""
-    return F.when(text.rlike(INTEGER_PATTERN), F.trim(text).try_cast("int"))
+    return F.when(text.rlike(INTEGER_PATTERN), stripped(text).try_cast("int"))
 
 
 def is_missing(value: Column) -> Column:

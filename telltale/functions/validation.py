@@ -68,7 +68,7 @@ def anomaly_error(df: DataFrame, sensors: Iterable[str] = S.SENSORS) -> Column:
 
 
 def query_text_error(text: Column) -> Column:
-    return F.when(text.isNull() | (F.trim(text) == ""), F.lit(S.MSG_QUERY_EMPTY))
+    return F.when(text.isNull() | text.rlike(r"^\s*$"), F.lit(S.MSG_QUERY_EMPTY))
 
 
 def error_envelope(message: Column, internal: Column | None = None) -> Column:

@@ -60,7 +60,11 @@ def match_arrays(matches: DataFrame, docs: DataFrame) -> DataFrame:
     entry = F.struct("code_position", "position", F.struct(*MATCH_FIELDS).alias("match"))
 
     def ordered(match_type):
-        found = F.array_sort(F.collect_list(F.when(F.col("match_type") == match_type, entry)))
+        def before(a, b):
+            place = (a["code_position"], a["position"]), (b["code_position"], b["position"])
+            return F.when(F.struct(*place[0]) < F.struct(*place[1]), -1).when(F.struct(*place[0]) > F.struct(*place[1]), 1).otherwise(0)
+
+        found = F.array_sort(F.collect_list(F.when(F.col("match_type") == match_type, entry)), before)
         return F.transform(found, lambda e: e["match"])
 
     # At most (codes in the list) x (results per query) entries per list.
@@ -70,8 +74,14 @@ def match_arrays(matches: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def with_matches(incidents: DataFrame, arrays: DataFrame) -> DataFrame:
-    """Attach the match arrays; incidents without matches get empty ones."""
-    joined = incidents.join(arrays, "active_dtcs", "left")
+    """Attach the match arrays; incidents without matches get empty ones.
+
+    Most of a fleet has no code to search for. Such incidents get a key of their own, so the join deals them to all tasks.
+    """
+    searchable = F.exists("active_dtcs", is_queryable)
+    key = F.when(searchable, F.to_json("active_dtcs")).otherwise(F.concat(F.lit("#"), F.coalesce(F.col("incident_id").cast("string"), F.lit(""))))
+    known = arrays.withColumn("_list", F.to_json("active_dtcs")).drop("active_dtcs")
+    joined = incidents.withColumn("_list", key).join(known, "_list", "left").drop("_list")
     kinds = {c: arrays.schema[c].dataType for c in ("exact_dtc_matches", "semantic_matches")}
     return joined.withColumns({c: F.coalesce(F.col(c), F.array().cast(t)) for c, t in kinds.items()})
 

@@ -36,7 +36,9 @@ def repair_text(repair: Column) -> Column:
         "Difficulty": "difficulty", "DIY Possible": "diy_possible",
         "Cost EUR": "estimated_cost_eur", "Hours": "estimated_hours",
     }
-    parts = [F.concat(F.lit(f"{label}: "), F.coalesce(repair[f], F.lit(UNKNOWN))) for label, f in labels.items()]
+    # A field that is there without a value is not the same as an absent one.
+    value = {f: F.when(F.map_contains_key(repair, f), F.coalesce(F.try_element_at(repair, F.lit(f)), F.lit(NONE))) for f in labels.values()}
+    parts = [F.concat(F.lit(f"{label}: "), F.coalesce(value[f], F.lit(UNKNOWN))) for label, f in labels.items()]
     return F.concat_ws(", ", *parts)
 
 

@@ -72,10 +72,20 @@ def content_groups(
 ) -> DataFrame:
     """One row per distinct content of both tables: ``train_rows``, ``test_rows`` and ``first_row``, the first in train.
 
+    Content is every column of either table but ``order_by``. A column that one table lacks counts there as an inactive
+    indicator or a missing value.
+
     This is the only shuffle of the raw tables. Copies are combined before it, so a content that fills a third of a table
     travels as one row per task.
     """
-    keys = [*sensors, MODE, *[c for c in codes if c in train.columns]]
+    keys = [c for c in dict.fromkeys([*train.columns, *test.columns]) if c != order_by]
+    indicators = set(codes)
+
+    def whole(df, other):
+        absent = {c: (F.lit(0) if c in indicators else F.lit(None)).cast(other.schema[c].dataType) for c in keys if c not in df.columns}
+        return df.withColumns(absent) if absent else df
+
+    train, test = whole(train, test), whole(test, train)
     in_train, in_test = F.lit(1).alias("_train"), F.lit(1).alias("_test")
     none = F.lit(0)
     tagged = train.select(*keys, in_train, none.alias("_test"), F.col(order_by).alias("_row")).unionByName(

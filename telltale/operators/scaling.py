@@ -7,16 +7,16 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telltale.functions.numbers import is_missing, scaled, unscaled
+from telltale.functions.numbers import is_finite, scaled, unscaled
 from telltale.schemas import SENSORS
 
 Scaler = dict[str, tuple[float, float]]
 
 
 def fit_scaler(df: DataFrame, sensors: Iterable[str] = SENSORS) -> DataFrame:
-    """``(feature, mean, scale)``: mean and population deviation, one pass; a constant sensor gets scale 1."""
+    """``(feature, mean, scale)``: mean and population deviation of the finite cells, one pass; a constant sensor gets scale 1."""
     sensors = list(sensors)
-    known = {s: F.when(~is_missing(F.col(s)), F.col(s)) for s in sensors}
+    known = {s: F.when(is_finite(F.col(s)), F.col(s)) for s in sensors}
     stats = df.agg(
         *[F.avg(known[s]).alias(f"m_{s}") for s in sensors], *[F.stddev_pop(known[s]).alias(f"d_{s}") for s in sensors]
     )

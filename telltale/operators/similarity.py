@@ -44,6 +44,11 @@ SCORE_DIGITS = 9
 _PROBE_KEY = ["_p1", "_p2"]
 
 
+def _slack(weights: dict[str, float]) -> float:
+    """More than the rounding error of a score, which grows with the weights."""
+    return 1e-12 * max(1.0, sum(abs(w) for w in weights.values()))
+
+
 @dataclass
 class SimilarityIndex:
     """``leaves``: up to 64 packed history rows each, with their value ranges and the node they belong to.
@@ -148,20 +153,29 @@ class _NodeBounds:
         self.sizes = np.bincount(self.block, minlength=len(blocks))
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.mode = blocks["_mode"].to_numpy()
-        self.vocabulary = {c: i for i, c in enumerate(sorted({c for codes in blocks["_codes"] for c in codes}))}
-        self.codes = self._indicators(blocks["_codes"])
+        # Which blocks hold a code; its size is that of the lists, not lists times codes.
+        self.holders: dict[str, list[int]] = {}
+        for i, codes in enumerate(blocks["_codes"]):
+            for c in set(codes):
+                self.holders.setdefault(c, []).append(i)
         self.code_count = np.array([len(c) for c in blocks["_codes"]])
         self.no_fault = np.array([set(c) <= {NO_FAULT_CODE} or set(c) == {NO_CODES} for c in blocks["_codes"]])
         self.rows = nodes["rows"].to_numpy()
         self.sensors, self.weights, self.k, self.seed_nodes = sensors, weights, k, seed_nodes
         self.width = min(max(k, seed_nodes), len(nodes))
+        self.slack = _slack(weights)
 
-    def _indicators(self, lists) -> np.ndarray:
-        out = np.zeros((len(lists), len(self.vocabulary)))
+    def _shared(self, lists) -> np.ndarray:
+        """How many codes each list has in common with each block's."""
+        out = np.zeros((len(lists), len(self.sizes)))
+        seen: dict[tuple, int] = {}
         for row, codes in enumerate(lists):
+            first = seen.setdefault(tuple(codes), row)
+            if first < row:
+                out[row] = out[first]
+                continue
             for c in codes:
-                if c in self.vocabulary:
-                    out[row, self.vocabulary[c]] = 1.0
+                out[row, self.holders.get(c, [])] += 1.0
         return out
 
     def batches(self, pdf: pd.DataFrame):
@@ -171,7 +185,7 @@ class _NodeBounds:
 
     def _block_scores(self, pdf: pd.DataFrame):
         sizes = np.array([len(c) for c in pdf["codes"]])
-        shared = self._indicators(list(pdf["codes"])) @ self.codes.T
+        shared = self._shared(list(pdf["codes"]))
         union = sizes[:, None] + self.code_count[None, :] - shared
         jaccard = np.divide(shared, union, out=np.zeros_like(shared), where=union > 0)
         jaccard[sizes == 0] = self.no_fault.astype(float)
@@ -199,7 +213,7 @@ class _NodeBounds:
                 gap = np.maximum(np.abs(low[node] - at), np.abs(above))
             squares += gap * gap
         upper = self.weights["sensor"] / (1.0 + np.sqrt(squares)) + fixed[row, self.block[node]]
-        return np.round(upper + 1e-12, SCORE_DIGITS)
+        return np.round(upper + self.slack, SCORE_DIGITS)
 
     def seeds(self, pdf: pd.DataFrame):
         """Per incident, its ``seed_nodes`` best nodes, or as many more as it takes to hold k rows."""
@@ -209,7 +223,7 @@ class _NodeBounds:
         enough = np.argmax(np.cumsum(self.sizes[order], axis=1) >= self.width, axis=1)
         limit = np.take_along_axis(fixed, np.take_along_axis(order, enough[:, None], axis=1), axis=1)
         limit = np.minimum(limit, fixed.max(axis=1, keepdims=True) - 0.3 * abs(self.weights["sensor"]))
-        row, node = self._expand(fixed >= limit - 1e-12)
+        row, node = self._expand(fixed >= limit - self.slack)
         # Ties go to the larger last index; the step is far below the score grid.
         rank = np.empty(len(self.ids))
         rank[np.argsort(-self.last)] = np.arange(len(self.ids)) * (1e-10 / max(1, len(self.ids)))
@@ -231,7 +245,7 @@ class _NodeBounds:
         jaccard, same_mode, fixed = self._block_scores(pdf)
         floor = pdf["floor_score"].astype("float").fillna(-np.inf).to_numpy()
         floor_index = pdf["floor_index"].astype("float").fillna(-1).to_numpy()
-        best = np.round(fixed + max(self.weights["sensor"], 0.0) + 1e-12, SCORE_DIGITS)
+        best = np.round(fixed + max(self.weights["sensor"], 0.0) + self.slack, SCORE_DIGITS)
         row, node = self._expand(best >= floor[:, None] - 1e-10)
         upper = self._upper(pdf, row, node, fixed)
         level = np.abs(upper - floor[row]) <= 1e-10
@@ -300,7 +314,7 @@ def _leaf_bound(index: SimilarityIndex, weights):
             gaps.append(F.greatest(below, above, F.lit(0.0)))
         else:
             gaps.append(F.greatest(F.abs(below), F.abs(above)))
-    return F.round(_score(index, weights, _sum([g * g for g in gaps]))[1] + F.lit(1e-12), SCORE_DIGITS)
+    return F.round(_score(index, weights, _sum([g * g for g in gaps]))[1] + F.lit(_slack(weights)), SCORE_DIGITS)
 
 
 def _join_leaves(pairs: DataFrame, leaves: DataFrame, key: str) -> DataFrame:

@@ -15,7 +15,7 @@ from telltale.operators.similarity import SimilarityIndex, nest_cases, similar_t
 from telltale.plans.anomaly_model import AnomalyModel
 from telltale.plans.knowledge_base import Encoder
 from telltale.schemas import DEFAULT_KB_NAME, MODE, SENSORS, TOP_K_EVIDENCE, TOP_K_SIMILAR
-from telltale.session import materialise
+from telltale.session import materialise, scratch_scope
 
 
 @dataclass
@@ -57,6 +57,14 @@ def _packages(typed: DataFrame, resources: Resources, top_k_similar: int, top_k_
     )
 
 
+def run_analysis(raw: DataFrame, resources: Resources, output: str, fmt: str = "parquet", mode: str = "reject") -> None:
+    """Analyze and write, and leave no intermediate table behind."""
+    from telltale.sources.artefacts import write_packages
+
+    with scratch_scope(raw.sparkSession):
+        write_packages(analyze_incidents(raw, resources, mode), output, fmt)
+
+
 def analyze_incidents(
     raw: DataFrame, resources: Resources, mode: str = "reject",
     top_k_similar: int = TOP_K_SIMILAR, top_k_rag: int = TOP_K_EVIDENCE,

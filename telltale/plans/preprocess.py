@@ -11,7 +11,7 @@ from telltale.functions.codes import active_codes, signature
 from telltale.operators.ordinals import with_ordinal
 from telltale.operators.quality import coerce_numeric, content_groups, report_of_groups
 from telltale.operators.scaling import Scaler, fit_scaler, scale, scaler_values
-from telltale.schemas import CODES, MODE, SENSORS
+from telltale.schemas import CODES, SENSORS
 from telltale.session import materialise
 
 
@@ -30,8 +30,8 @@ def with_codes(df: DataFrame, codes=CODES) -> DataFrame:
 
 
 def history_of_groups(groups: DataFrame, sensors=SENSORS, codes=CODES) -> DataFrame:
-    """Clean history from ``content_groups``: one row per content seen in train, at its first position."""
-    keys = [*sensors, MODE, *[c for c in codes if c in groups.columns]]
+    """Clean history from ``content_groups``: one row per content seen in train, at its first position, with all its columns."""
+    keys = [c for c in groups.columns if c not in ("train_rows", "test_rows", "first_row")]
     kept = groups.filter("train_rows > 0").select(F.col("first_row").alias("row_id"), *keys)
     return with_codes(with_ordinal(kept, ["row_id"], "historical_index"), codes)
 

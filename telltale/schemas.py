@@ -64,9 +64,6 @@ def raw_incident_schema(sensors=SENSORS) -> T.StructType:
 
 
 LANGUAGE_MAP = T.MapType(T.StringType(), T.StringType())
-REPAIR = T.StructType(
-    [T.StructField(c, T.StringType()) for c in ("difficulty", "diy_possible", "estimated_cost_eur", "estimated_hours")]
-)
 KNOWLEDGE_ENTRY = T.StructType(
     [
         T.StructField("source_file", T.StringType()),
@@ -77,7 +74,7 @@ KNOWLEDGE_ENTRY = T.StructType(
         T.StructField("description", LANGUAGE_MAP),
         T.StructField("affected_components", T.ArrayType(T.StringType())),
         T.StructField("common_causes", T.ArrayType(T.StructType([T.StructField("label", LANGUAGE_MAP)]))),
-        T.StructField("repair", REPAIR),
+        T.StructField("repair", LANGUAGE_MAP),
         T.StructField("flags", LANGUAGE_MAP),
     ]
 )

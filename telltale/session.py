@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 SMALL_SIDE_ROWS = 200_000
+_open = threading.local()
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -28,11 +32,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage, survives executor loss, and, unlike ``checkpoint()``, keeps column pruning and size statistics.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/telltale/{name}-{uuid.uuid4().hex}"
+    base = getattr(_open, "scope", None) or f"{scratch_dir(spark)}/telltale"
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[str]:
+    """What this thread materialises inside goes to one folder, which is deleted at the end.
+
+    For a run that writes its own result: nothing may be read from a table of the scope afterwards.
+    """
+    outer = getattr(_open, "scope", None)
+    path = _open.scope = f"{outer or scratch_dir(spark) + '/telltale'}/scope-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        _open.scope = outer
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def is_small(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> bool:
     """True if ``df`` has at most ``max_rows`` rows; reads no more than that many plus one."""
     return df.limit(max_rows + 1).count() <= max_rows

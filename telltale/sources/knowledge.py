@@ -25,7 +25,6 @@ def _strings(value) -> dict[str, str | None]:
 
 
 def _entry(raw: dict, source_file: str, position: int) -> dict:
-    repair = _strings(raw.get("repair"))
     return {
         "source_file": source_file,
         "position": position,
@@ -35,7 +34,7 @@ def _entry(raw: dict, source_file: str, position: int) -> dict:
         "description": _texts(raw.get("description")),
         "affected_components": [str(c) for c in raw.get("affected_components") or []],
         "common_causes": [{"label": _texts(c["label"]) or {}} for c in raw.get("common_causes") or [] if "label" in c],
-        "repair": {f: repair.get(f) for f in KNOWLEDGE_ENTRY["repair"].dataType.names},
+        "repair": _strings(raw.get("repair")),
         "flags": _strings(raw.get("flags")),
     }
 

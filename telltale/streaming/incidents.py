@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from telltale.operators.evidence import package_json
 from telltale.plans.analyze import Resources, analyze_incidents
 from telltale.schemas import raw_incident_schema
-from telltale.session import materialise
+from telltale.session import materialise, scratch_scope
 
 
 def read_incident_stream(spark: SparkSession, path: str, fmt: str = "parquet", max_files: int = 1000) -> DataFrame:
@@ -30,11 +30,12 @@ def analyze_stream(
     def handle(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        # The analysis reads its input several times; the source is read once.
-        packages = analyze_incidents(materialise(batch, "incidents"), resources, mode)
-        if as_json:
-            packages = packages.select("incident_id", package_json().alias("package"))
-        packages.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
+        with scratch_scope(batch.sparkSession):
+            # The analysis reads its input several times; the source is read once.
+            packages = analyze_incidents(materialise(batch, "incidents"), resources, mode)
+            if as_json:
+                packages = packages.select("incident_id", package_json().alias("package"))
+            packages.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
 
     writer = incidents.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

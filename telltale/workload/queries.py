@@ -13,6 +13,7 @@ from telltale import fixtures as X
 from telltale import schemas as S
 from telltale.functions import codes as C
 from telltale.functions import validation as V
+from telltale.functions.numbers import is_finite
 from telltale.operators import dedup as DUP
 from telltale.operators import deviation as DEV
 from telltale.operators import evidence as EV
@@ -27,9 +28,11 @@ from telltale.operators.scaling import Scaler, scaler_values
 from telltale.plans.analyze import Resources, analyze_incidents, find_matches
 from telltale.plans.anomaly_model import AnomalyModel, fit_anomaly_model
 from telltale.plans.knowledge_base import build_knowledge_base
-from telltale.plans.preprocess import Preprocessed, clean_history, preprocess, with_codes
+from telltale.plans.preprocess import Preprocessed, clean_history, preprocess, scaler_table, with_codes
 from telltale.schemas import CODES, MODE, SENSORS
 from telltale.session import materialise, scratch_dir
+from telltale.sources import artefacts as ART
+from telltale.sources.telemetry import read_history, write_history
 from telltale.streaming.incidents import analyze_stream, read_incident_stream
 from telltale.workload import sql as Q
 
@@ -137,22 +140,28 @@ def coerce_numeric(spark, sf_dir):
     return QUAL.non_numeric_report(raw).join(kept.select(F.inline(rows)), "feature")
 
 
+def _cells(test_sql: str, t: str) -> str:
+    return "SELECT CAST(sum(" + " + ".join(f"CASE WHEN {test_sql.format(v=s)} THEN 1 ELSE 0 END" for s in SENSORS) + f") AS BIGINT) FROM {t}"
+
+
+_BAD, _INF = "{v} IS NULL OR isnan({v})", "isinf({v})"
+
+
 @registered(Q.query(
-    f"""SELECT 'train_rows' AS metric, count(*) AS value FROM train UNION ALL SELECT 'train_clean_rows', count(*) FROM kept
-        UNION ALL SELECT 'train_duplicates', (SELECT count(*) FROM train) - (SELECT count(*) FROM kept)
-        UNION ALL SELECT 'test_rows', count(*) FROM test
-        UNION ALL SELECT 'test_duplicates', count(*) - (SELECT count(*) FROM (SELECT DISTINCT {Q.CONTENT} FROM test) d) FROM test
-        UNION ALL SELECT 'train_test_overlap', count(*) FROM (SELECT {Q.CONTENT} FROM train INTERSECT SELECT {Q.CONTENT} FROM test) x
-        UNION ALL SELECT 'train_missing', CAST(0 AS BIGINT) + count(*) FILTER (WHERE RPM IS NULL) FROM train
-        UNION ALL SELECT 'train_infinite', count(*) FILTER (WHERE isinf(RPM)) FROM train
-        UNION ALL SELECT 'test_missing', count(*) FILTER (WHERE RPM IS NULL) FROM test
-        UNION ALL SELECT 'test_infinite', count(*) FILTER (WHERE isinf(RPM)) FROM test
-        UNION ALL SELECT 'only_no_fault', count(*) FROM history WHERE dtc_signature = 'P0000'
-        UNION ALL SELECT 'no_fault_mixed', count(*) FROM history WHERE P0000 = 1 AND len(active_dtcs) > 1
-        UNION ALL SELECT 'no_codes', count(*) FROM history WHERE dtc_signature = 'NONE'
-        UNION ALL SELECT 'modes', count(DISTINCT Mode) FROM train""", "train", "test", "kept", "history"))
+    f"""SELECT 'train_rows' AS metric, count(*) AS value FROM dirty_train UNION ALL SELECT 'train_clean_rows', count(*) FROM dirty_kept
+        UNION ALL SELECT 'train_duplicates', (SELECT count(*) FROM dirty_train) - (SELECT count(*) FROM dirty_kept)
+        UNION ALL SELECT 'test_rows', count(*) FROM dirty_test
+        UNION ALL SELECT 'test_duplicates', count(*) - (SELECT count(*) FROM (SELECT DISTINCT {Q.DIRTY_CONTENT} FROM dirty_test) d) FROM dirty_test
+        UNION ALL SELECT 'train_test_overlap', count(*) FROM (SELECT {Q.DIRTY_CONTENT} FROM dirty_train INTERSECT SELECT {Q.DIRTY_CONTENT} FROM dirty_test) x
+        UNION ALL SELECT 'train_missing', ({_cells(_BAD, "dirty_train")}) UNION ALL SELECT 'train_infinite', ({_cells(_INF, "dirty_train")})
+        UNION ALL SELECT 'test_missing', ({_cells(_BAD, "dirty_test")}) UNION ALL SELECT 'test_infinite', ({_cells(_INF, "dirty_test")})
+        UNION ALL SELECT 'only_no_fault', count(*) FROM dirty_history WHERE dtc_signature = 'P0000'
+        UNION ALL SELECT 'no_fault_mixed', count(*) FROM dirty_history WHERE P0000 = 1 AND len(active_dtcs) > 1
+        UNION ALL SELECT 'no_codes', count(*) FROM dirty_history WHERE dtc_signature = 'NONE'
+        UNION ALL SELECT 'modes', count(DISTINCT Mode) FROM dirty_train""", "dirty_train", "dirty_test", "dirty_kept", "dirty_history"))
 def quality_report(spark, sf_dir):
-    return QUAL.quality_report(X.train(spark, sf_dir), X.test(spark, sf_dir))
+    """Tables with one more column, missing and infinite cells in several sensors, and an indicator that only train has."""
+    return QUAL.quality_report(X.dirty_train(spark, sf_dir), X.dirty_test(spark, sf_dir))
 
 
 # --- Validation --------------------------------------------------------------------------------------------------------
@@ -188,10 +197,10 @@ def error_envelope(spark, sf_dir):
     return raw.withColumn("e", V.error_envelope(V.incident_error(raw))).select("incident_id", "e.error", "e.message")
 
 
-_QUERY_TEXT = "CASE WHEN doc_id % 7 = 3 THEN '   ' WHEN doc_id % 11 = 5 THEN NULL ELSE text END"
+_QUERY_TEXT = "CASE WHEN doc_id % 7 = 3 THEN concat(' ', chr(9), chr(10)) WHEN doc_id % 7 = 5 THEN '   ' WHEN doc_id % 11 = 5 THEN NULL ELSE text END"
 
 
-@registered(f"""SELECT doc_id, CASE WHEN q IS NULL OR trim(q) = '' THEN 'Query cannot be empty.' END AS error
+@registered(rf"""SELECT doc_id, CASE WHEN q IS NULL OR regexp_full_match(q, '\s*') THEN 'Query cannot be empty.' END AS error
                 FROM (SELECT doc_id, {_QUERY_TEXT} AS q FROM documents) d""")
 def validate_query_text(spark, sf_dir):
     texts = X.table(spark, sf_dir, "documents").select("doc_id", F.expr(_QUERY_TEXT).alias("q"))
@@ -306,6 +315,41 @@ def preprocess_test(spark, sf_dir):
     return prepared(spark, sf_dir).test.select("row_id", *_long(MODE), _joined("active_dtcs"), "dtc_signature", *values)
 
 
+_DIRTY_Z = ", ".join(f"CASE WHEN isfinite({s}) THEN round(({s} - m_{s}) / s_{s}, 6) END AS z_{s}" for s in SENSORS)
+
+
+@registered(Q.query(
+    f"SELECT historical_index, row_id, vehicle, CAST(Mode AS BIGINT) AS Mode, array_to_string(active_dtcs, ',') AS active_dtcs, dtc_signature, {_DIRTY_Z} FROM dirty_history, dirty_scaler",
+    "dirty_history", "dirty_scaler"))
+def preprocess_exported(spark, sf_dir):
+    """The job on tables as exports deliver them; scaled cells are shown where the reading is finite."""
+    clean = preprocess(X.dirty_train(spark, sf_dir), X.dirty_test(spark, sf_dir)).train
+    z = [F.when(is_finite(F.col(s)), F.round("z_" + s, 6)).alias("z_" + s) for s in SENSORS]
+    return clean.select("historical_index", "row_id", "vehicle", *_long(MODE), _joined("active_dtcs"), "dtc_signature", *z)
+
+
+# --- Saved tables, read back ---------------------------------------------------------------------------------------------
+
+
+def _folder(spark, name: str) -> str:
+    return f"{scratch_dir(spark)}/telltale/{name}-{uuid.uuid4().hex}"
+
+
+@registered(ORACLES["preprocess_train"])
+def history_roundtrip(spark, sf_dir):
+    path = _folder(spark, "history")
+    write_history(prepared(spark, sf_dir).train, path)
+    values = [c for s in SENSORS for c in (_r(s, 9), _r("z_" + s))]
+    return read_history(spark, path).select("historical_index", "row_id", *_long(MODE), _joined("active_dtcs"), "dtc_signature", *values)
+
+
+@registered(ORACLES["scaler_fit"])
+def scaler_roundtrip(spark, sf_dir):
+    path = _folder(spark, "scaler")
+    ART.save_scaler(spark, scaler(spark, sf_dir), path)
+    return scaler_table(spark, ART.load_scaler(spark, path)).select("feature", _r("mean"), _r("scale"))
+
+
 # --- Similarity --------------------------------------------------------------------------------------------------------
 
 
@@ -454,9 +498,12 @@ def anomaly_flag(spark, sf_dir):
     f"""SELECT f.incident_id, anomaly, round(margin, 4) + 0.0 AS anomaly_score, {Q.SEVERITY.format("margin")} AS severity, coalesce(d.found, '') AS contributions, CAST(NULL AS VARCHAR) AS error
         FROM flags f LEFT JOIN contribution_text d ON d.incident_id = f.incident_id""", "flags", "contribution_text"))
 def detect_anomalies(spark, sf_dir):
-    shown = F.transform("anomaly_verdict.feature_contributions", lambda c: F.concat_ws(":", c["feature"], F.round(c["deviation_magnitude"] * 10000).cast("long").cast("string")))
-    v = verdicts(spark, sf_dir)
-    return v.select("incident_id", _score(), *[f"anomaly_verdict.{c}" for c in ("anomaly", "severity", "error")], F.array_join(shown, ",").alias("contributions"))
+    return _shown(verdicts(spark, sf_dir))
+
+
+def _shown(v: DataFrame) -> DataFrame:
+    found = F.transform("anomaly_verdict.feature_contributions", lambda c: F.concat_ws(":", c["feature"], F.round(c["deviation_magnitude"] * 10000).cast("long").cast("string")))
+    return v.select("incident_id", _score(), *[f"anomaly_verdict.{c}" for c in ("anomaly", "severity", "error")], F.array_join(found, ",").alias("contributions"))
 
 
 @registered(Q.query(f"SELECT incident_id, {Q.SEVERITY.format('margin')} AS severity FROM flags", "flags"))
@@ -500,6 +547,15 @@ def anomaly_fallback(spark, sf_dir):
     return v.select("incident_id", "v.anomaly", "v.anomaly_score", "v.severity", F.size("v.feature_contributions").cast("long").alias("contribution_count"), "v.error")
 
 
+@registered(ORACLES["detect_anomalies"])
+def model_roundtrip(spark, sf_dir):
+    """Verdicts of a saved model that was read back."""
+    path = _folder(spark, "model")
+    ART.save_model(spark, model(spark, sf_dir), path)
+    m = ART.load_model(spark, path)
+    return _shown(DEV.detect_anomalies(incidents(spark, sf_dir), m.forest, scaler(spark, sf_dir), m.bands))
+
+
 # --- Knowledge base and retrieval --------------------------------------------------------------------------------------
 
 _GAPS = "CASE WHEN doc_id % 17 = 4 THEN NULL WHEN doc_id % 17 = 5 THEN '' ELSE code END"
@@ -532,11 +588,22 @@ def kb_text_doc(spark, sf_dir):
 
 @registered(Q.query(
     """SELECT doc_id, code, title, description, replace(CASE WHEN components_text = 'None' THEN '' ELSE components_text END, ', ', '|') AS affected_components,
-        replace(CASE WHEN causes_text = 'None' THEN '' ELSE causes_text END, '; ', '|') AS common_causes, source_file FROM entry_fields""", "entry_fields"))
+        replace(CASE WHEN causes_text = 'None' THEN '' ELSE causes_text END, '; ', '|') AS common_causes, repair_fields, source_file FROM entry_fields""", "entry_fields"))
 def kb_metadata(spark, sf_dir):
-    d = docs_of(spark, sf_dir)
+    return _metadata(docs_of(spark, sf_dir))
+
+
+@registered(ORACLES["kb_metadata"])
+def knowledge_roundtrip(spark, sf_dir):
+    path = _folder(spark, "knowledge")
+    ART.save_knowledge(docs_of(spark, sf_dir), path)
+    return _metadata(ART.load_knowledge(spark, path))
+
+
+def _metadata(d: DataFrame) -> DataFrame:
+    fields = F.array_sort(F.transform(F.map_entries("repair_information"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("None")))))
     return d.select("doc_id", "code", "title", "description", F.array_join("affected_components", "|").alias("affected_components"),
-                    F.array_join("common_causes", "|").alias("common_causes"), "source_file")
+                    F.array_join("common_causes", "|").alias("common_causes"), F.coalesce(F.array_join(fields, "|"), F.lit("")).alias("repair_fields"), "source_file")
 
 
 @registered(Q.query(

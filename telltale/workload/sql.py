@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from telltale.fixtures import CODE_VECTOR_SQL, ENTRY_FIELDS_SQL, KNOWLEDGE_SQL, RAW_INCIDENTS_SQL, TELEMETRY_SQL
+from telltale.fixtures import CODE_VECTOR_SQL, DIRTY_TEST_SQL, DIRTY_TRAIN_SQL, ENTRY_FIELDS_SQL, KNOWLEDGE_SQL, RAW_INCIDENTS_SQL, TELEMETRY_SQL
 from telltale.schemas import CODES, DEFAULT_WEIGHTS, MODE, SENSORS
 
 SENSOR_LIST = ", ".join(SENSORS)
@@ -135,7 +135,7 @@ FLOAT_FORM = r"'^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|nan|inf|i
 
 
 def parsed(column: str) -> str:
-    return f"CASE WHEN regexp_matches(lower({column}), {FLOAT_FORM}) THEN TRY_CAST(trim({column}) AS DOUBLE) END"
+    return f"CASE WHEN regexp_matches(lower({column}), {FLOAT_FORM}) THEN TRY_CAST(regexp_replace({column}, '^\\s+|\\s+$', '', 'g') AS DOUBLE) END"
 
 
 PARSED_MODE = r"CASE WHEN regexp_matches(Mode, '^\s*[+-]?[0-9]+\s*$') THEN TRY_CAST(trim(Mode) AS INTEGER) END"
@@ -146,6 +146,15 @@ _SENSOR_ERROR = ", ".join(
 ANOMALY_ERROR = f"coalesce({_SENSOR_ERROR})"
 INCIDENT_ERROR = f"coalesce({_SENSOR_ERROR}, CASE WHEN Mode IS NULL THEN 'Missing required field: Mode' WHEN ({PARSED_MODE}) IS NULL THEN 'Mode must be an integer.' END)"
 SIMILARITY_ERROR = f"coalesce({_SENSOR_ERROR}, CASE WHEN Mode IS NULL THEN 'Missing required field: Mode' WHEN active_dtcs IS NULL THEN 'Missing required field: active_dtcs (list of strings)' END)"
+define("dirty_train", DIRTY_TRAIN_SQL, ["train"])
+define("dirty_test", DIRTY_TEST_SQL, ["test"])
+DIRTY_CONTENT = f"{CONTENT}, vehicle"
+define("dirty_kept", f"SELECT min(row_id) AS row_id, {DIRTY_CONTENT} FROM dirty_train GROUP BY {DIRTY_CONTENT}", ["dirty_train"])
+_FINITE_ONLY = {s: f"CASE WHEN isfinite({s}) THEN {s} END" for s in SENSORS}
+define("dirty_scaler", "SELECT " + ", ".join(
+    f"avg({v}) AS m_{s}, CASE WHEN stddev_pop({v}) = 0 THEN 1.0 ELSE stddev_pop({v}) END AS s_{s}" for s, v in _FINITE_ONLY.items()) + " FROM dirty_kept", ["dirty_kept"])
+define("dirty_history", f"""SELECT *, {signature('active_dtcs')} AS dtc_signature FROM (
+    SELECT row_number() OVER (ORDER BY row_id) - 1 AS historical_index, *, {active_codes()} AS active_dtcs FROM dirty_kept) k""", ["dirty_kept"])
 define("entry_fields", ENTRY_FIELDS_SQL, ["kb"])
 define("lookup", "SELECT upper(code) AS lookup_code, max(doc_id) AS doc_id FROM kb GROUP BY upper(code)", ["kb"])
 define("vectors", "SELECT k.doc_id, upper(k.code) AS ucode, CAST(e.embedding AS DOUBLE[]) AS embedding FROM kb k JOIN embeddings e ON e.vec_id = k.doc_id", ["kb"])

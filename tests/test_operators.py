@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -10,6 +12,10 @@ from pyspark.sql import functions as F
 from telltale.operators import forest as FOR
 from telltale.operators import ordinals as ORD
 from telltale.operators.percentiles import exact_percentiles
+from telltale.functions.numbers import parse_double
+from telltale.functions.validation import query_text_error
+from telltale.plans.preprocess import preprocess
+from telltale.session import materialise, scratch_scope
 from telltale.operators.quality import content_groups, report_of_groups
 from telltale.operators.vectors import nearest
 from telltale.schemas import SENSORS
@@ -173,3 +179,46 @@ def test_no_documents(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     queries = vectors.select(F.col("vec_id").alias("query_id"), "embedding", F.lit(3).alias("k"))
     assert nearest(queries, queries.withColumnRenamed("query_id", "doc_id").filter("doc_id < 0")).count() == 0
+
+
+# --- Preprocessing and validation on untidy tables ---
+
+
+def _rows(spark, changes, extra=""):
+    row = {s: 1.0 for s in SENSORS} | {"Mode": 1, "P0403": 1, "P0406": 0}
+    schema = "row_id long, " + ", ".join(f"{s} double" for s in SENSORS) + ", Mode int, P0403 int, P0406 int" + extra
+    return spark.createDataFrame([{**row, "row_id": i, **c} for i, c in enumerate(changes)], schema)
+
+
+def test_every_column_is_content(spark):
+    df = _rows(spark, [{"vehicle": f"v{i % 7}"} for i in range(50)], ", vehicle string")
+    done = preprocess(df, df.drop("P0406"))
+    assert done.train.count() == 7 and "vehicle" in done.train.columns
+    report = {r["metric"]: r["value"] for r in done.report.collect()}
+    assert report["train_clean_rows"] == 7 and report["train_test_overlap"] == 7 and report["test_duplicates"] == 43
+    assert preprocess(df, df.drop("vehicle")).report.filter("metric = 'train_test_overlap'").first()["value"] == 0
+
+
+def test_infinite_cell_leaves_the_scaler_alone(spark):
+    df = _rows(spark, [{"RPM": float(i)} for i in range(5)] + [{"RPM": float("inf")}, {"RPM": float("nan")}, {"RPM": None}])
+    done = preprocess(df, df)
+    rpm = done.scaler.filter("feature = 'RPM'").first()
+    assert rpm["mean"] == pytest.approx(2.0) and rpm["scale"] == pytest.approx(2**0.5)
+    assert done.train.filter("row_id < 5 AND (z_RPM IS NULL OR isnan(z_RPM))").count() == 0
+
+
+def test_white_space_around_numbers(spark):
+    rows = spark.createDataFrame([("\t-inf",), ("\n 1.5 \t",), ("\t",), (" \n \n",), ("NaN\n",)], "t string")
+    got = [r["d"] for r in rows.select(parse_double(F.col("t")).alias("d")).collect()]
+    assert got[:4] == [float("-inf"), 1.5, None, None] and np.isnan(got[4])
+    blank = [r["e"] is not None for r in rows.select(query_text_error(F.col("t")).alias("e")).collect()]
+    assert blank == [False, False, True, True, False]
+
+
+def test_scope_deletes_what_it_wrote(spark):
+    with scratch_scope(spark) as outer:
+        with scratch_scope(spark) as inner:
+            assert materialise(spark.range(3), "x").count() == 3 and os.path.isdir(inner.removeprefix("file:"))
+        assert not os.path.exists(inner.removeprefix("file:"))
+        assert materialise(spark.range(4), "y").count() == 4
+    assert not os.path.exists(outer.removeprefix("file:"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from telltale.functions.codes import code_similarity, parse_code_list, signature
+from telltale.functions.codes import parse_code_list, signature
 from telltale.operators import similarity as SIM
 from telltale.schemas import MODE, SENSORS
 from telltale.workload import queries as W
@@ -116,17 +116,21 @@ def test_self_query(tables):
             assert a["similarity_score"] >= b["similarity_score"] - 1e-9
 
 
-@pytest.mark.parametrize(
-    "query,history,expected",
-    [
+def test_code_similarity_in_the_engine(spark, tables):
+    """One history row and one incident per mode, so each incident's best case is the row of its own mode."""
+    cases = [
         ([], [], 1.0), ([], ["P0000"], 1.0), ([], ["NONE"], 1.0), ([], ["P0403"], 0.0), ([], ["P0000", "P0403"], 0.0),
         (["P0000"], [], 0.0), (["P0403"], [], 0.0), (["P0403"], ["P0403", "P0404"], 0.5), (["P9999"], ["P0403"], 0.0),
-        (["P0403", "P0403"], ["P0403"], 1.0),
-    ],
-)
-def test_code_similarity(spark, query, history, expected):
-    df = spark.createDataFrame([(query, history)], "q array<string>, h array<string>")
-    assert df.select(code_similarity(F.col("q"), F.col("h")).alias("s")).first()["s"] == expected
+        (["P0403", "P0403"], ["P0403"], 1.0), (["P0403", "P0404"], ["P0404", "P0405"], 1 / 3),
+    ]
+    history, scaler = tables[0], tables[4]
+    row = history.limit(1).drop("Mode", "active_dtcs", "dtc_signature", "historical_index")
+    listed = spark.createDataFrame([(i, i, q, h) for i, (q, h, _) in enumerate(cases)], "n long, Mode int, q array<string>, h array<string>")
+    both = row.join(F.broadcast(listed), F.lit(True))
+    known = both.withColumnsRenamed({"n": "historical_index", "h": "active_dtcs"}).withColumn("dtc_signature", signature(F.col("active_dtcs")))
+    asked = both.withColumnsRenamed({"n": "incident_id", "q": "active_dtcs"})
+    found = SIM.similar_topk(asked, SIM.build_index(known, scaler), 1, {"sensor": 0.0, "dtc": 0.2, "mode": 0.8}).collect()
+    assert {r["incident_id"]: round(r["dtc_similarity"], 9) for r in found} == {i: round(e, 9) for i, (_, _, e) in enumerate(cases)}
 
 
 def test_signature_and_list_text(spark):
