@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,10 +20,10 @@ ROWS_PER_CLASS = 2_000
 EVIDENCE = ("total", "number", "strong", "most")
 
 
-def windows(data: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def windows(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each length 1 to ``ORDER`` the starts and keys of all runs of bytes inside a word with one blank on each side."""
     blank = data == 32
-    out, key, open_run = [], np.zeros(len(data), np.uint64), np.ones(len(data), bool)
+    key, open_run = np.zeros(len(data), np.uint64), np.ones(len(data), bool)
     for k in range(1, ORDER + 1):
         n = max(0, len(data) - k + 1)
         key = key[:n] * np.uint64(0x100000001B3) + data[k - 1 :].astype(np.uint64) + np.uint64(1)
@@ -31,8 +32,7 @@ def windows(data: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         start = np.flatnonzero(open_run if k > 1 else ~blank)
         if k == 2:
             start = start[~(blank[start] & blank[start + 1])]
-        out.append((start, mix(key[start] * np.uint64(16) + np.uint64(k))))
-    return out
+        yield start, mix(key[start] * np.uint64(16) + np.uint64(k))
 
 
 @dataclass
@@ -52,10 +52,10 @@ def kneser_ney(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.n
     buffer = b" " + b" ".join(words) + b" "
     data = np.frombuffer(buffer, np.uint8)
     word_of = np.cumsum(data == 32) - 1
-    runs, levels = windows(data), []
-    for k, (start, key) in enumerate(runs, 1):
+    levels = []
+    for k, (start, key) in enumerate(windows(data), 1):
         value, first, gid = np.unique(key, return_index=True, return_inverse=True)
-        at = np.full(len(data) + 1, -1, np.int64)
+        at = np.full(len(data) + 1, -1, np.int32)
         at[start] = gid
         inside = word_of[start]  # a blank belongs to the word after it
         raw = np.stack([np.bincount(gid, counts[inside, c], len(value)) for c in (0, 1)], axis=1)
