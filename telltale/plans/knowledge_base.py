@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from telltale.operators.knowledge import documents
-from telltale.operators.vectors import encode, fit_encoder
+from telltale.operators.vectors import fit_encoder
 from telltale.session import materialise, spread
 
 Encoder = Callable[[DataFrame], DataFrame]
@@ -18,7 +18,7 @@ def default_encoder(docs: DataFrame, dimensions: int = 512) -> Encoder:
     model = fit_encoder(docs.select(docs["text_doc"].alias("query_text")), "query_text", dimensions)
 
     def add(queries: DataFrame) -> DataFrame:
-        return encode(queries, model)
+        return model.encode(queries)
 
     add.model = model
     return add

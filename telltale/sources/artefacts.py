@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +9,7 @@ from telltale.operators.deviation import bands_table, bands_values
 from telltale.operators.forest import Forest
 from telltale.operators.scaling import Scaler, scaler_values
 from telltale.operators.similarity import SimilarityIndex
-from telltale.operators.vectors import encode
+from telltale.operators.vectors import TextEncoder
 from telltale.plans.analyze import Resources
 from telltale.plans.anomaly_model import AnomalyModel
 from telltale.plans.preprocess import scaler_table
@@ -68,10 +67,11 @@ def load_index(spark: SparkSession, path: str) -> SimilarityIndex:
     )
 
 
-def save_knowledge(docs: DataFrame, path: str, encoder_model: PipelineModel | None = None) -> None:
+def save_knowledge(docs: DataFrame, path: str, encoder_model: TextEncoder | None = None) -> None:
     docs.write.mode("overwrite").parquet(f"{path}/documents")
     if encoder_model is not None:
-        encoder_model.write().overwrite().save(f"{path}/encoder")
+        rows = docs.sparkSession.createDataFrame(list(enumerate(encoder_model.rarity)), "dimension int, rarity double")
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/encoder")
 
 
 def load_knowledge(spark: SparkSession, path: str) -> DataFrame:
@@ -88,10 +88,8 @@ def save_resources(spark: SparkSession, resources: Resources, path: str) -> None
 def load_resources(spark: SparkSession, path: str, encoder=None, kb_name: str = DEFAULT_KB_NAME) -> Resources:
     """``encoder`` is needed only when the knowledge base was built with one of your own."""
     if encoder is None:
-        model = PipelineModel.load(f"{path}/knowledge/encoder")
-
-        def encoder(queries):
-            return encode(queries, model)
+        rows = spark.read.parquet(f"{path}/knowledge/encoder").orderBy("dimension").collect()
+        encoder = TextEncoder([r["rarity"] for r in rows]).encode
 
     return Resources(
         load_index(spark, f"{path}/index"), load_model(spark, f"{path}/model"),

@@ -578,10 +578,7 @@ def kb_fields(spark, sf_dir):
     return KB.document_fields(X.entries(spark, sf_dir)).select("doc_id", "category", "components_text", "causes_text", "repair_text", "flags_text")
 
 
-@registered(Q.query(
-    """SELECT doc_id, concat('DTC: ', code, chr(10), 'Category: ', category, chr(10), 'Title: ', title, chr(10), 'Description: ', description, chr(10),
-        'Affected Components: ', components_text, chr(10), 'Common Causes: ', causes_text, chr(10), 'Repair Information: ', repair_text, chr(10), 'Flags: ', flags_text) AS text_doc
-       FROM entry_fields""", "entry_fields"))
+@registered(Q.query("SELECT doc_id, text_doc FROM kb_texts", "kb_texts"))
 def kb_text_doc(spark, sf_dir):
     return docs_of(spark, sf_dir).select("doc_id", "text_doc")
 
@@ -624,10 +621,40 @@ def vector_docs(spark, sf_dir) -> DataFrame:
     return docs_of(spark, sf_dir).join(vectors, "doc_id", "left")
 
 
-@registered()
+def knowledge_base(spark, sf_dir):
+    """The job's documents, with vectors of the default encoder, and the encoder."""
+
+    def build():
+        docs, encoder = build_knowledge_base(X.entries(spark, sf_dir))
+        return materialise(docs, "knowledge-base"), encoder
+
+    return X.once(spark, sf_dir, "knowledge_base", build)
+
+
+@registered(Q.query(
+    "SELECT doc_id, CAST(512 AS BIGINT) AS dimensions, string_agg(concat(d, ':', CAST(round(v * 10000) AS BIGINT)), ',' ORDER BY d) AS vector FROM kb_vectors WHERE v <> 0 GROUP BY doc_id", "kb_vectors"))
 def kb_embed(spark, sf_dir):
-    docs, _ = build_knowledge_base(X.entries(spark, sf_dir))
-    return docs.select("doc_id", F.size("embedding").alias("dimensions"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm"))
+    docs, _ = knowledge_base(spark, sf_dir)
+    cells = F.filter(F.transform("embedding", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda c: c["x"] != 0)
+    shown = F.transform(cells, lambda c: F.concat_ws(":", c["i"].cast("string"), F.round(c["x"].cast("float") * F.lit(10000).cast("float")).cast("long").cast("string")))
+    return docs.select("doc_id", F.size("embedding").cast("long").alias("dimensions"), F.array_join(shown, ",").alias("vector"))
+
+
+# Both vectors have length 1; a text without a weighted word has none and is at distance 1 from every document.
+@registered(Q.query(
+    """SELECT query_id, CAST(r AS BIGINT) AS neighbour_rank, doc_id, round(d, 4) + 0.0 AS squared_distance FROM (
+         SELECT query_id, doc_id, d, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), doc_id) AS r FROM (
+           SELECT q.doc_id AS query_id, k.doc_id, coalesce(q.s, 0) + coalesce(k.s, 0) - 2 * coalesce(n.dot, 0) AS d
+           FROM (SELECT t.doc_id, s FROM documents t LEFT JOIN (SELECT doc_id, sum(v::DOUBLE * v) AS s FROM text_vectors GROUP BY doc_id) x ON x.doc_id = t.doc_id) q
+           CROSS JOIN (SELECT t.doc_id, s FROM kb_texts t LEFT JOIN (SELECT doc_id, sum(v::DOUBLE * v) AS s FROM kb_vectors GROUP BY doc_id) x ON x.doc_id = t.doc_id) k
+           LEFT JOIN text_near n ON n.query_id = q.doc_id AND n.doc_id = k.doc_id) a) b WHERE r <= 5""", "text_near", "text_vectors", "kb_vectors", "kb_texts"))
+def text_retrieve(spark, sf_dir):
+    """Every document's whole text as a query against the knowledge base."""
+    docs, encoder = knowledge_base(spark, sf_dir)
+    asked = X.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query_text"))
+    queries = encoder(asked).select("query_id", "embedding", F.lit(5).alias("k"))
+    near = VEC.nearest(queries, docs)
+    return near.select("query_id", *_long("neighbour_rank"), "doc_id", (F.round("squared_distance", 4) + 0.0).alias("squared_distance"))
 
 
 @registered(Q.query("SELECT lookup_code, doc_id FROM lookup", "lookup"))

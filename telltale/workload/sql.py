@@ -156,6 +156,30 @@ define("dirty_scaler", "SELECT " + ", ".join(
 define("dirty_history", f"""SELECT *, {signature('active_dtcs')} AS dtc_signature FROM (
     SELECT row_number() OVER (ORDER BY row_id) - 1 AS historical_index, *, {active_codes()} AS active_dtcs FROM dirty_kept) k""", ["dirty_kept"])
 define("entry_fields", ENTRY_FIELDS_SQL, ["kb"])
+define("kb_texts", """SELECT doc_id, concat('DTC: ', code, chr(10), 'Category: ', category, chr(10), 'Title: ', title, chr(10), 'Description: ', description, chr(10),
+    'Affected Components: ', components_text, chr(10), 'Common Causes: ', causes_text, chr(10), 'Repair Information: ', repair_text, chr(10), 'Flags: ', flags_text) AS text_doc
+  FROM entry_fields""", ["entry_fields"])
+
+
+def word_counts(name: str, base: str, key: str, text: str, needs: list[str]) -> None:
+    """Define ``name`` (key, d, n): how often each dimension occurs in a text."""
+    define(name, f"""SELECT {key}, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 512 AS d, count(*) AS n
+      FROM (SELECT {key}, unnest(regexp_extract_all(lower({text}), '[a-z0-9_]+')) AS w FROM {base}) x GROUP BY ALL""", needs)
+
+
+def unit_vectors(name: str, counts: str, key: str) -> None:
+    """Define ``name`` (key, d, v) from word counts, weighted by rarity among the knowledge documents."""
+    define(name, f"""SELECT {key}, d, CAST(w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS FLOAT) AS v
+      FROM (SELECT c.{key}, c.d, c.n * r.rarity AS w FROM {counts} c JOIN rarity r ON r.d = c.d) x""", [counts, "rarity"])
+
+
+word_counts("kb_counts", "kb_texts", "doc_id", "text_doc", ["kb_texts"])
+define("rarity", """SELECT t.d, ln(((SELECT count(*) FROM kb_texts) + 1) / (count(c.doc_id) + 1)::DOUBLE) AS rarity
+  FROM (SELECT unnest(range(512)) AS d) t LEFT JOIN kb_counts c ON c.d = t.d GROUP BY t.d""", ["kb_texts", "kb_counts"])
+unit_vectors("kb_vectors", "kb_counts", "doc_id")
+word_counts("text_counts", "documents", "doc_id", "text", [])
+unit_vectors("text_vectors", "text_counts", "doc_id")
+define("text_near", """SELECT q.doc_id AS query_id, k.doc_id, sum(q.v::DOUBLE * k.v) AS dot FROM text_vectors q JOIN kb_vectors k ON k.d = q.d GROUP BY ALL""", ["text_vectors", "kb_vectors"])
 define("lookup", "SELECT upper(code) AS lookup_code, max(doc_id) AS doc_id FROM kb GROUP BY upper(code)", ["kb"])
 define("vectors", "SELECT k.doc_id, upper(k.code) AS ucode, CAST(e.embedding AS DOUBLE[]) AS embedding FROM kb k JOIN embeddings e ON e.vec_id = k.doc_id", ["kb"])
 
