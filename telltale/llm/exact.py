@@ -116,7 +116,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     named = materialise(name_documents(docs, id_col, text_col, block_bytes), "identities")
     order = F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
-    groups = named.groupBy("level", "name").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size"))
+    # Written first: a join of two stored tables can split the rows of a hot group, one on top of its aggregation cannot.
+    groups = materialise(named.groupBy("level", "name").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size")), "groups")
     return named.join(groups, ["level", "name"]).select(
         "doc_id", F.col("first.id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
