@@ -26,7 +26,11 @@ def grams(lowered: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarr
     code = np.frombuffer(("\n".join(["", *lowered, ""])).encode("utf-32-le", "surrogatepass"), np.uint32)
     owner = np.repeat(np.arange(len(lowered)), [len(t) + 1 for t in lowered])
     owner = np.concatenate([owner[:1] if len(owner) else np.zeros(1, np.int64), owner])
-    is_letter = np.where(code < 1 << 16, letters[np.minimum(code, 0xFFFF)], True)
+    is_letter = letters[np.minimum(code, 0xFFFF)]
+    rare = np.flatnonzero(code > 0xFFFF)
+    if len(rare):
+        value, at = np.unique(code[rare], return_inverse=True)
+        is_letter[rare] = np.array([chr(c).isalpha() for c in value.tolist()])[at]
     has = np.zeros(len(lowered), bool)
     has[owner[is_letter]] = True
     keep = is_letter.copy()

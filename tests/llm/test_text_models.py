@@ -41,6 +41,11 @@ def test_languages_on_odd_rows(odd, nothing, spark):
     assert language.identify(nothing, model).count() == 0
 
 
+def test_letters_beyond_the_basic_plane():
+    _, _, has = language.grams(["\U0001f600 \U0001f680!", "\U00010400bc", "\u4e2d", "\u0301"], language._letters())
+    assert has.tolist() == [False, True, True, False]
+
+
 def test_filter_has_no_misses_and_few_false_hits(spark):
     """Every n-gram that was put in is found; of others about as many as the fill says."""
     rows = [(i, " ".join(f"{a}{b}{c}" for a, b, c in itertools.product(chars, repeat=3)), name) for i, (chars, name) in enumerate((("abcdefg", "x"), ("mnopqrs", "y")))]
