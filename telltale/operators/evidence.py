@@ -14,11 +14,11 @@ from telltale.schemas import DEFAULT_KB_NAME, MATCH_FIELDS, MSG_NO_SERVICE_HISTO
 FOUND_CASES = "Found {} historically similar operating states."
 FOUND_SIGNATURE = "A historical operating state with the same DTC signature was found."
 IS_ANOMALOUS = "The current operating condition was classified as anomalous."
-TOP_DEVIATION = " was among the features with the largest deviation."
-KNOWN_CODES = " contains knowledge associated with DTC(s): "
-LEAD_CODES = ("Investigate systems/components associated with DTC ", " using the retrieved ", " evidence.")
+TOP_DEVIATION = "{} was among the features with the largest deviation."
+KNOWN_CODES = "{} contains knowledge associated with DTC(s): {}."
+LEAD_CODES = "Investigate systems/components associated with DTC {} using the retrieved {} evidence."
 LEAD_CASES = "Review the operating conditions of the retrieved historical cases to understand typical steady-state behavior for this profile."
-LEAD_SENSORS = "Investigate the sensor parameters contributing most strongly to the anomalous operating state, particularly "
+LEAD_SENSORS = "Investigate the sensor parameters contributing most strongly to the anomalous operating state, particularly {}."
 LEAD_CAUSES = "Review the common causes documented in the retrieved DTC knowledge."
 
 
@@ -86,6 +86,12 @@ def with_matches(incidents: DataFrame, arrays: DataFrame) -> DataFrame:
     return joined.withColumns({c: F.coalesce(F.col(c), F.array().cast(t)) for c, t in kinds.items()})
 
 
+def _filled(sentence: str, *values: Column) -> Column:
+    """A sentence with its ``{}`` places filled in order."""
+    pieces = sentence.split("{}")
+    return F.concat(F.lit(pieces[0]), *[x for v, p in zip(values, pieces[1:], strict=True) for x in (v, F.lit(p))])
+
+
 def _exact_codes() -> Column:
     return F.array_join(F.transform("exact_dtc_matches", lambda m: m["DTC_code"]), ", ")
 
@@ -101,14 +107,13 @@ def evidence_summary(kb_name: str = DEFAULT_KB_NAME) -> Column:
     cases = F.size("similarity.top_cases")
     anomalous = F.col("anomaly_verdict.anomaly")
     feature = top_feature(F.col("anomaly_verdict.feature_contributions"))
-    before, after = FOUND_CASES.split("{}")
     return F.array_compact(
         F.array(
-            F.when(cases > 0, F.concat(F.lit(before), cases.cast("string"), F.lit(after))),
+            F.when(cases > 0, _filled(FOUND_CASES, cases.cast("string"))),
             F.when((cases > 0) & same_signature(), F.lit(FOUND_SIGNATURE)),
             F.when(anomalous, F.lit(IS_ANOMALOUS)),
-            F.when(anomalous & feature.isNotNull(), F.concat(feature, F.lit(TOP_DEVIATION))),
-            F.when(F.size("exact_dtc_matches") > 0, F.concat(F.lit(kb_name + KNOWN_CODES), _exact_codes(), F.lit("."))),
+            F.when(anomalous & feature.isNotNull(), _filled(TOP_DEVIATION, feature)),
+            F.when(F.size("exact_dtc_matches") > 0, _filled(KNOWN_CODES, F.lit(kb_name), _exact_codes())),
         )
     )
 
@@ -117,13 +122,12 @@ def investigation_leads(kb_name: str = DEFAULT_KB_NAME) -> Column:
     """Sentences on what to look at next."""
     feature = top_feature(F.col("anomaly_verdict.feature_contributions"))
     exact, semantic = F.size("exact_dtc_matches") > 0, F.size("semantic_matches") > 0
-    start, middle, end = LEAD_CODES
     return F.array_compact(
         F.array(
-            F.when(exact, F.concat(F.lit(start), _exact_codes(), F.lit(middle + kb_name + end))),
+            F.when(exact, _filled(LEAD_CODES, _exact_codes(), F.lit(kb_name))),
             F.when(F.size("similarity.top_cases") > 0, F.lit(LEAD_CASES)),
             F.when(
-                F.col("anomaly_verdict.anomaly") & feature.isNotNull(), F.concat(F.lit(LEAD_SENSORS), feature, F.lit("."))
+                F.col("anomaly_verdict.anomaly") & feature.isNotNull(), _filled(LEAD_SENSORS, feature)
             ),
             F.when(exact | semantic, F.lit(LEAD_CAUSES)),
         )

@@ -16,19 +16,25 @@ from telltale.session import materialise
 EXACT, SEMANTIC = "EXACT", "SEMANTIC"
 
 
-def exact_matches(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """``(query_id, lookup_code, doc_id, position)``: documents of the codes named in a query, in order of appearance."""
+def searchable_codes(docs: DataFrame) -> DataFrame:
+    """``(lookup_code, doc_id)`` of the codes that a text can name: at most 16,000 rows."""
+    return code_lookup(docs).filter(F.col("lookup_code").rlike(f"^{CODE_PATTERN}$"))
+
+
+def exact_matches(queries: DataFrame, docs: DataFrame, lookup: DataFrame | None = None) -> DataFrame:
+    """``(query_id, lookup_code, doc_id, position)``: documents of the codes named in a query, in order of appearance.
+
+    ``lookup`` is ``searchable_codes(docs)``, if it is at hand.
+    """
     named = queries.select("query_id", F.posexplode(extract_codes(F.col("query_text"))).alias("position", "lookup_code"))
-    # Only codes of the searched form can be named, and there are just 16,000 of those.
-    lookup = code_lookup(docs).filter(F.col("lookup_code").rlike(f"^{CODE_PATTERN}$"))
-    return named.join(F.broadcast(lookup), "lookup_code")
+    return named.join(F.broadcast(searchable_codes(docs) if lookup is None else lookup), "lookup_code")
 
 
 def similarity_of_distance(squared_distance):
     return F.round(F.lit(1.0) / (F.lit(1.0) + squared_distance), 4)
 
 
-def retrieve(queries: DataFrame, docs: DataFrame, top_k: int = TOP_K_RETRIEVAL) -> DataFrame:
+def retrieve(queries: DataFrame, docs: DataFrame, top_k: int = TOP_K_RETRIEVAL, lookup: DataFrame | None = None) -> DataFrame:
     """Up to ``top_k`` documents per query: ``(query_id, position, match_type, doc_id, score)``, position from 1.
 
     ``queries`` has ``query_id, query_text, embedding``; ``docs`` has ``doc_id, code, embedding``. Blank queries give no
@@ -40,7 +46,7 @@ def retrieve(queries: DataFrame, docs: DataFrame, top_k: int = TOP_K_RETRIEVAL)
         raise ValueError("top_k must be positive.")
     queries = queries.filter(query_text_error(F.col("query_text")).isNull())
     # Stored, since it is used three times and the query texts need be searched only once.
-    exact = materialise(exact_matches(queries, docs), "exact-matches")
+    exact = materialise(exact_matches(queries, docs, lookup), "exact-matches")
     # A query names few codes, so a list per query is small.
     named = exact.groupBy("query_id").agg(F.collect_set("lookup_code").alias("_named"))
     asked = queries.select("query_id", "embedding").join(named, "query_id", "left")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from telltale.functions import validation as V
 from telltale.operators import evidence as E
 from telltale.operators.deviation import detect_anomalies
-from telltale.operators.retrieval import retrieve
+from telltale.operators.retrieval import retrieve, searchable_codes
 from telltale.operators.similarity import SimilarityIndex, nest_cases, similar_topk
 from telltale.plans.anomaly_model import AnomalyModel
 from telltale.plans.knowledge_base import Encoder
@@ -27,11 +27,22 @@ class Resources:
     docs: DataFrame
     encoder: Encoder
     kb_name: str = DEFAULT_KB_NAME
+    lookup: DataFrame | None = None
+
+    def prepare(self) -> Resources:
+        """Read what every analysis needs of the static side once: the codes of the knowledge base and the trees.
+
+        Call it before a run that opens a scratch scope, since what is stored here must outlive the run.
+        """
+        if self.lookup is None:
+            self.lookup = materialise(searchable_codes(self.docs), "lookup")
+        self.model.forest.arrays()
+        return self
 
 
 def find_matches(incidents: DataFrame, resources: Resources, top_k: int = TOP_K_EVIDENCE) -> DataFrame:
     """Retrieve once per distinct code, then collect the matches of every distinct code list."""
-    results = materialise(retrieve(resources.encoder(E.code_queries(incidents)), resources.docs, top_k), "retrieved")
+    results = materialise(retrieve(resources.encoder(E.code_queries(incidents)), resources.docs, top_k, resources.lookup), "retrieved")
     return E.list_matches(incidents, results, resources.docs)
 
 
@@ -61,6 +72,7 @@ def run_analysis(raw: DataFrame, resources: Resources, output: str, fmt: str = "
     """Analyze and write, and leave no intermediate table behind."""
     from telltale.sources.artefacts import write_packages
 
+    resources.prepare()
     with scratch_scope(raw.sparkSession):
         write_packages(analyze_incidents(raw, resources, mode), output, fmt)
 

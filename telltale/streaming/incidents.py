@@ -27,6 +27,8 @@ def analyze_stream(
     which a retry replaces, so every incident appears once.
     """
 
+    resources.prepare()
+
     def handle(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return

@@ -662,9 +662,11 @@ def code_lookup(spark, sf_dir):
     return KB.code_lookup(docs_of(spark, sf_dir))
 
 
-@registered(Q.query("SELECT query_id, code, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pos) AS BIGINT) AS place, doc_id FROM hybrid_exact", "hybrid_exact"))
+@registered(Q.query("SELECT query_id, code, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pos) AS BIGINT) AS place, doc_id FROM every_exact", "every_exact"))
 def exact_code_match(spark, sf_dir):
-    found = RET.exact_matches(hybrid_queries(spark, sf_dir), docs_of(spark, sf_dir))
+    """Texts that name codes, one for every document; matching by code needs no vectors."""
+    asked = X.knowledge(spark, sf_dir).select(F.col("doc_id").alias("query_id"), F.expr(Q.HYBRID_TEXT).alias("query_text"))
+    found = RET.exact_matches(asked, docs_of(spark, sf_dir))
     place = F.row_number().over(W.partitionBy("query_id").orderBy("position")).cast("long")
     return found.select("query_id", F.col("lookup_code").alias("code"), place.alias("place"), "doc_id")
 

@@ -218,6 +218,7 @@ def retrieval(name: str, queries: str, needs: list[str], k: int) -> None:
 
 
 HYBRID_TEXT = "concat('fault ', code, CASE WHEN doc_id % 3 = 1 THEN ' after P0403, p0562' WHEN doc_id % 3 = 2 THEN ' not P9999' ELSE '' END)"
+retrieval("every", f"SELECT doc_id AS query_id, {HYBRID_TEXT} AS query_text, CAST(NULL AS DOUBLE[]) AS embedding FROM kb", ["kb"], 5)
 retrieval(
     "hybrid",
     f"SELECT k.doc_id AS query_id, {HYBRID_TEXT} AS query_text, e.embedding FROM kb k JOIN embeddings e ON e.vec_id = k.doc_id",

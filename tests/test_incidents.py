@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import json
 
 import pytest
@@ -19,6 +21,7 @@ from telltale.schemas import SENSORS, raw_incident_schema
 from telltale.sources import artefacts as ART
 from telltale.sources.knowledge import read_json_entries, read_yaml_entries
 from telltale.sources.telemetry import read_history, read_incidents, read_telemetry
+from telltale.session import scratch_dir
 from telltale.streaming.incidents import analyze_stream, read_incident_stream
 
 BASE = {
@@ -208,6 +211,9 @@ def test_stream_equals_batch(spark, raw, resources, packages, tmp_path):
     assert read_incidents(spark, str(tmp_path / "in")).count() == len(CASES)
     arriving = read_incident_stream(spark, str(tmp_path / "in"), max_files=2)
     analyze_stream(arriving, resources, str(tmp_path / "out"), str(tmp_path / "state"), as_json=True).awaitTermination()
+    left = Path(scratch_dir(spark).removeprefix("file:"), "telltale")
+    assert not list(left.glob("scope-*")) and resources.lookup is not None  # a batch's own tables are gone, the prepared one stays
+    assert resources.lookup.count() > 0
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert len({r["batch_id"] for r in got}) > 1
     assert {r["incident_id"]: json.loads(r["package"]) for r in got} == {i: json.loads(r["json"]) for i, r in packages.items()}
