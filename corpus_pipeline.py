@@ -47,10 +47,14 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, with how many of their words it takes; documents that it doesn't take go."""
+    """The documents of the mix, with how many of their words it takes; documents that it doesn't take go.
+
+    Columns of ``docs`` that have the name of an added one give way to it.
+    """
     packed = docs.select("text", "source", "doc_id", F.struct(*docs.columns).alias("_row"))
     mixed = mixing.mix_sources(packed, carry=("_row",))
-    return mixed.where("taken > 0").select("_row.*", "size", "source_size", "target", "taken")
+    added = ["size", "source_size", "target", "taken"]
+    return mixed.where("taken > 0").select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in added], *added)
 
 
 STAGES = [

@@ -3,7 +3,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, score string, kept int, name string, chain int, key binary"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, score string, kept int, name string, chain int, key binary, size string, taken boolean"
 
 
 @pytest.fixture(scope="session")
@@ -32,7 +32,7 @@ def odd(spark, tmp_path_factory):
         (10, "a b", "en", "ü"),
         (11, "mail a.b@example.com or +1 (017) 555-7713", "en", "ü"),
     ]
-    full = [(*r, len(r[1]) if r[1] else None, 7, "s", 1, "n", 3, b"k") for r in rows]
+    full = [(*r, len(r[1]) if r[1] else None, 7, "s", 1, "n", 3, b"k", "big", True) for r in rows]
     path = str(tmp_path_factory.mktemp("odd") / "docs")
     spark.createDataFrame(full, SCHEMA).repartition(3).write.parquet(path)
     return spark.read.parquet(path)
