@@ -179,6 +179,43 @@ def test_fuzzy_passage_is_found(spark):
     assert found[0].edits == 4 and found[0].end - found[0].start == 119 and found[0].other_start == 80
 
 
+@given(st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=12), st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=12))
+def test_pairs_are_an_alignment_with_fewest_edits(a, b):
+    found = [(-1, -1), *passages.pairs(a, b), (len(a), len(b))]
+    assert all(a[i] == b[j] for i, j in found[1:-1])
+    steps = [(q[0] - p[0] - 1, q[1] - p[1] - 1) for p, q in zip(found, found[1:], strict=False)]
+    assert min(min(s) for s in steps) >= 0 and sum(map(max, steps)) == plain_edits(a, b)
+
+
+@given(st.lists(st.booleans(), min_size=1, max_size=60), st.integers(1, 12))
+def test_segments_cover_all_stretches_within_the_limit(same, least):
+    import numpy as np
+
+    x = np.flatnonzero(same)
+    found = passages.segments(x, x, least, 0.2)
+    edits = lambda s, e: (e - s) - sum(same[s:e])
+    assert all(e - s >= least and edits(s, e) <= 0.2 * (e - s) + 1e-9 for s, e, _, _ in found)
+    good = {w for s in x for e in x + 1 if e - s >= least and edits(s, e) <= 0.2 * (e - s) for w in range(s, e)}
+    assert good <= {w for s, e, _, _ in found for w in range(s, e)}
+
+
+def test_passages_near_each_other_are_all_found(spark):
+    import random
+
+    rng = random.Random(11)
+    fill = lambda n: [f"f{rng.randrange(10**6)}" for _ in range(n)]
+    rows, wanted = [], {}
+    for n, (one, gap, two) in enumerate([(55, 30, 25), (60, 40, 55), (100, 50, 60)] * 12):
+        first, second = fill(one), fill(two)
+        for d in (2 * n, 2 * n + 1):
+            rows.append((d, " ".join(fill(20) + first + fill(gap) + second + fill(20))))
+        wanted[2 * n + 1] = set(range(20, 20 + one)) | (set(range(20 + one + gap, 20 + one + gap + two)) if two >= 50 else set())
+    found = passages.passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    for d, words in wanted.items():
+        assert words <= {w for r in found if r.doc_id == d for w in range(r.start, r.end)}
+    assert all(r.edits <= 0.2 * max(r.end - r.start, r.other_end - r.other_start) for r in found)
+
+
 def test_passages_on_odd_rows(odd, nothing):
     found = passages.passages(odd).collect()
     assert {frozenset((r.doc_id, r.other_id)) for r in found} == {frozenset((7, 8))}
