@@ -216,6 +216,28 @@ def test_passages_near_each_other_are_all_found(spark):
     assert all(r.edits <= 0.2 * max(r.end - r.start, r.other_end - r.other_start) for r in found)
 
 
+def filler(rng):
+    return lambda n: [f"f{rng.randrange(10**6)}" for _ in range(n)]
+
+
+def covered(found, doc, other):
+    """Words of ``doc`` in passages it shares with ``other``, whichever of them has the row."""
+    own = {w for r in found if (r.doc_id, r.other_id) == (doc, other) for w in range(r.start, r.end)}
+    return own | {w for r in found if (r.doc_id, r.other_id) == (other, doc) for w in range(r.other_start, r.other_end)}
+
+
+def test_passage_whose_halves_have_other_first_texts(spark):
+    import random
+
+    fill, rows = filler(random.Random(7)), []
+    for _ in range(30):
+        p = fill(70)
+        for part in (p[:35], p[35:], p, p):
+            rows.append((len(rows), " ".join(fill(30) + part + fill(30))))
+    found = passages.passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert all(covered(found, d + 3, d + 2) >= set(range(30, 100)) for d in range(0, len(rows), 4))
+
+
 def test_passages_on_odd_rows(odd, nothing):
     found = passages.passages(odd).collect()
     assert {frozenset((r.doc_id, r.other_id)) for r in found} == {frozenset((7, 8))}
