@@ -238,6 +238,24 @@ def test_passage_whose_halves_have_other_first_texts(spark):
     assert all(covered(found, d + 3, d + 2) >= set(range(30, 100)) for d in range(0, len(rows), 4))
 
 
+def test_repeated_passages_are_matched(spark):
+    import random
+
+    fill, rows = filler(random.Random(13)), []
+    for _ in range(20):
+        p, lines = fill(60), [fill(20) for _ in range(3)]
+        twice, once = fill(30) + p + fill(100) + p + fill(30), fill(30) + p + fill(30)
+        q = fill(60)
+        later, before = fill(30) + q + fill(100) + q + fill(30), fill(30) + q + fill(30)
+        scattered = sum([fill(40) + x for x in lines], []) + fill(40) + sum(lines, []) + fill(20)
+        rows += [(len(rows) + n, " ".join(t)) for n, t in enumerate((twice, once, before, later, scattered, fill(30) + sum(lines, []) + fill(30)))]
+    found = passages.passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    for d in range(0, len(rows), 6):
+        for doc, other in ((d, d + 1), (d + 3, d + 2)):
+            assert covered(found, doc, other) >= set(range(30, 90)) | set(range(190, 250))
+        assert covered(found, d + 5, d + 4) >= set(range(30, 90))
+
+
 def test_passages_on_odd_rows(odd, nothing):
     found = passages.passages(odd).collect()
     assert {frozenset((r.doc_id, r.other_id)) for r in found} == {frozenset((7, 8))}
