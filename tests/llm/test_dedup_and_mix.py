@@ -238,6 +238,23 @@ def test_passage_whose_halves_have_other_first_texts(spark):
     assert all(covered(found, d + 3, d + 2) >= set(range(30, 100)) for d in range(0, len(rows), 4))
 
 
+def test_fuzzy_passages_up_to_the_limit(spark):
+    import random
+
+    rng, rows = random.Random(9), []
+    fill = filler(rng)
+    for edits in (5, 10, 15):
+        for _ in range(40):
+            p = fill(100)
+            q = list(p)
+            for i in rng.sample(range(1, 99), edits):
+                q[i] = rng.choice([fill(1)[0], fill(1)[0], "", f"{q[i]} {fill(1)[0]}"])
+            rows += [(len(rows) + n, " ".join(fill(40) + " ".join(x).split() + fill(40))) for n, x in enumerate((p, q))]
+    found = passages.passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    hits = [len(covered(found, d, d + 1) & set(range(40, 140))) >= 80 for d in range(0, len(rows), 2)]
+    assert sum(hits[:40]) == 40 and sum(hits[40:80]) >= 38 and sum(hits[80:]) >= 34
+
+
 def test_repeated_passages_are_matched(spark):
     import random
 
