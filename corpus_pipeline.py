@@ -12,9 +12,11 @@ from telltale.session import materialise
 def _numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with a column ``_key`` that orders by id, nulls last, and tells repeated ids apart.
 
-    The number comes from the place in the stored table, which is the same in every plan that reads it.
+    The number is written with the rows: a number made while reading depends on how the files are split, which follows the cores alive at that time, so two plans
+    over one table could number it differently.
     """
-    return docs.withColumn("_key", F.struct(F.isnull("doc_id").alias("absent"), "doc_id", F.monotonically_increasing_id().alias("row")))
+    row = F.monotonically_increasing_id().alias("row")
+    return materialise(docs.withColumn("_key", F.struct(F.isnull("doc_id").alias("absent"), "doc_id", row)), "numbered")
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 import pytest
 
 import corpus_pipeline
+from telltale.llm import passages
 from telltale.llm.simhash import fingerprint
 from telltale.session import materialise
 
@@ -57,3 +58,25 @@ def test_stages_on_odd_rows(spark, odd, nothing, sf_dir, number):
     assert rows and stage(spark, nothing, sf_dir).count() == 0
     if name == "exact_copies":
         assert sum(r.doc_id in (1, 2) for r in rows) == 1 and sum(not (r.text or "").strip() for r in rows) <= 2
+
+
+@pytest.mark.parametrize("name", ["exact_copies", "near_copies", "benchmark_leaks", "passages"])
+def test_row_numbers_outlast_another_split_of_the_files(spark, sf_dir, tmp_path, name):
+    """The plan is made under one split of the input's files and run under another one, as when executors come or go between two jobs."""
+    path, setting = str(tmp_path / "docs"), "spark.sql.files.maxPartitionBytes"
+    spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(6).write.parquet(path)
+
+    def found(*sizes):
+        before = spark.conf.get(setting)
+        try:
+            spark.conf.set(setting, sizes[0])
+            docs = spark.read.parquet(path)
+            out = passages.passages(docs) if name == "passages" else dict(corpus_pipeline.STAGES)[name](spark, docs, sf_dir)
+            # Both sides of the plan's join are scanned by plans made now, so only what was written keeps its number.
+            assert "monotonically_increasing_id" not in out._jdf.queryExecution().optimizedPlan().toString()
+            spark.conf.set(setting, sizes[-1])
+            return {r.doc_id for r in out.collect()}
+        finally:
+            spark.conf.set(setting, before)
+
+    assert found("128m", "64k") == found("128m")
