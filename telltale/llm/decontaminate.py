@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,6 +16,8 @@ GRAM = 8
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SIEVE_BITS = 20
 BLOCK_OF_ITEMS_BYTES = 4 << 20
+#: Letters and digits; every byte of a letter beyond ASCII counts as one.
+TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
 def plain(text: bytes | None) -> bytes:
@@ -108,6 +112,37 @@ class Searcher:
         return out
 
 
+class ShortSearcher:
+    """Exact search for short items on word borders: a letter or digit at an item's end has none beside it."""
+
+    def __init__(self, items: list[tuple]):
+        self.items = items
+        self.first: dict[bytes, list[tuple[int, int]]] = {}
+        self.marks: list[int] = []  # items without a letter or digit
+        for n, (_, text) in enumerate(items):
+            head = TOKEN.search(text)
+            if head:
+                self.first.setdefault(head.group(), []).append((n, head.start()))
+            else:
+                self.marks.append(n)
+
+    def matches(self, text: bytes) -> list[tuple[int, int, int]]:
+        """``(item, 0, end)`` of the first place of every item in ``text``."""
+        ends: dict[int, int] = {}
+        for m in TOKEN.finditer(text) if self.first else ():
+            for n, offset in self.first.get(m.group(), ()):
+                lo, item = m.start() - offset, self.items[n][1]
+                end = lo + len(item)
+                if n not in ends and lo >= 0 and text.startswith(item, lo) and not (TOKEN.match(item[-1:]) and TOKEN.match(text[end : end + 1])):
+                    ends[n] = end
+        padded = b" " + text + b" " if self.marks else b""
+        for n in self.marks:
+            at = padded.find(b" " + self.items[n][1] + b" ")
+            if at >= 0:
+                ends[n] = at + len(self.items[n][1])
+        return [(n, 0, end) for n, end in ends.items()]
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", error_rate: float = 0.05, min_words: int = 8,
@@ -116,13 +151,13 @@ def leaks(
 
     An item is found if some substring of the document is within ``error_rate`` of the item's length in edits, after
     ASCII lower-casing and collapsing of white space. Of budget + 1 pieces of the item, at least one survives that many edits unchanged, so only
-    places with an exact piece are verified. Items of fewer than ``min_words`` words say too little to be a leak and aren't searched. Null texts
-    hold nothing; repeated rows each return their rows; equal items are each reported; an empty table on either side gives no rows.
+    places with an exact piece are verified. Items of fewer than ``min_words`` words whose length
+    allows no edit must lie on word borders, so that no part of a longer word counts. Null texts and blank items hold nothing; repeated rows each return their rows; equal items are each reported; an empty table on either side gives no rows.
 
     The benchmark is a stated query set: it is taken in blocks of about ``BLOCK_OF_ITEMS_BYTES``, and each block goes over all documents.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    wanted = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("binary").alias("text")).where(F.octet_length("text") >= GRAM)
+    wanted = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("binary").alias("text"))
     fields = T.StructType([source.schema["doc_id"], T.StructField("item_id", wanted.schema["item_id"].dataType), T.StructField("edits", T.IntegerType()), T.StructField("end", T.LongType())])
     size = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // BLOCK_OF_ITEMS_BYTES) or 1
@@ -130,15 +165,16 @@ def leaks(
     for number in range(blocks):
         block = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number).toArrow()
         items = [(i, plain(t.as_py())) for i, t in enumerate(block.column("text"))]
-        items = [(i, t) for i, t in items if len(t.split()) >= min_words and len(t) >= GRAM]
-        part = source.mapInArrow(_search(items, block.column("item_id").combine_chunks(), error_rate, fields), fields)
+        exact = [(i, t) for i, t in items if t and (len(t) < GRAM or len(t.split()) < min_words and not budget_of(len(t), error_rate))]
+        short = {i for i, _ in exact}
+        part = source.mapInArrow(_search([(i, t) for i, t in items if t and i not in short], exact, block.column("item_id").combine_chunks(), error_rate, fields), fields)
         found = part if found is None else found.union(part)
     return found
 
 
-def _search(items, item_ids, error_rate, fields):
+def _search(items, exact, item_ids, error_rate, fields):
     def run(batches):
-        searcher = Searcher(items, error_rate)
+        searcher, brief = Searcher(items, error_rate), ShortSearcher(exact)
         for batch in small(batches):
             texts = [plain(t.as_py()) for t in batch.column(1)]
             rows, numbers, edits, ends = [], [], [], []
@@ -153,6 +189,8 @@ def _search(items, item_ids, error_rate, fields):
                     base = top + 1
                     for n, k, end in searcher.matches(texts[i], own) if own else ():
                         rows.append(i), numbers.append(searcher.items[n][0]), edits.append(k), ends.append(end)
+                    for n, k, end in brief.matches(texts[i]) if exact else ():
+                        rows.append(i), numbers.append(exact[n][0]), edits.append(k), ends.append(end)
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(rows)), item_ids.take(pa.array(numbers)), pa.array(edits, pa.int32()), pa.array(ends, pa.int64())], names=[f.name for f in fields]

@@ -342,3 +342,10 @@ def test_language_model_on_odd_rows(odd, nothing):
     rows = neural.score_texts(odd, model_words=16, width=4).collect()
     assert len(rows) == odd.count() and {r.n_tokens for r in rows if r.doc_id in (3, 4, 5)} == {1}
     assert neural.score_texts(nothing, model_words=16, width=4).count() == 0
+
+
+def test_short_benchmark_items_are_searched(spark):
+    docs = spark.createDataFrame([(1, "We ask: Who  wrote Faust? Goethe."), (2, "concatenate"), (3, "a cat."), (4, "what is the capitol of old france, then"), (5, None), (6, "wait ??? no"), (7, "wait??? no")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "who wrote faust?"), (2, "cat"), (3, "What is the capital of old France"), (4, "???"), (5, " "), (6, None)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id, r.edits, r.end) for r in decontaminate.leaks(docs, items).collect()}
+    assert found == {(1, 1, 0, 24), (3, 2, 0, 5), (4, 3, 1, 33), (6, 4, 0, 8)}
