@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 SMALL_SIDE_ROWS = 200_000
 _open = threading.local()
@@ -26,16 +27,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    Cuts the lineage, survives executor loss, and, unlike ``checkpoint()``, keeps column pruning and size statistics.
+    Cuts the lineage, survives executor loss, and, unlike ``checkpoint()``, keeps column pruning and size statistics. With a ``schema``
+    the table is read as that, so that a user-defined type is read as its fields or the other way round.
     """
     spark = df.sparkSession
     base = getattr(_open, "scope", None) or f"{scratch_dir(spark)}/telltale"
     path = f"{base}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
 
 
 @contextmanager
