@@ -159,41 +159,70 @@ def leaks(
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     wanted = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("binary").alias("text"))
     fields = T.StructType([source.schema["doc_id"], T.StructField("item_id", wanted.schema["item_id"].dataType), T.StructField("edits", T.IntegerType()), T.StructField("end", T.LongType())])
+    found = None
+    for items, exact, item_ids in _blocks(wanted, error_rate, min_words):
+        part = source.mapInArrow(_search(items, exact, item_ids, error_rate, fields), fields)
+        found = part if found is None else found.union(part)
+    return found
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, carry: str, text_col: str = "text", item_text_col: str = "text", error_rate: float = 0.05, min_words: int = 8) -> DataFrame:
+    """Column ``carry`` of the document rows that ``leaks`` finds no item in, null and blank texts among them. One pass over the documents per block of items, without a shuffle."""
+    source = docs.select(F.col(carry), F.col(text_col).cast("binary").alias("text"))
+    wanted = benchmark.select(F.lit(None).cast("int").alias("item_id"), F.col(item_text_col).cast("binary").alias("text"))
+    for items, exact, _ in _blocks(wanted, error_rate, min_words):
+        source = source.mapInArrow(_keep_clean(items, exact, error_rate), source.schema)
+    return source.select(carry)
+
+
+def _blocks(wanted: DataFrame, error_rate: float, min_words: int):
+    """The items in blocks of bounded size: those to search with edits, those to search exactly, and their ids."""
     size = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // BLOCK_OF_ITEMS_BYTES) or 1
-    found = None
     for number in range(blocks):
         block = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number).toArrow()
         items = [(i, plain(t.as_py())) for i, t in enumerate(block.column("text"))]
         exact = [(i, t) for i, t in items if t and (len(t) < GRAM or len(t.split()) < min_words and not budget_of(len(t), error_rate))]
         short = {i for i, _ in exact}
-        part = source.mapInArrow(_search([(i, t) for i, t in items if t and i not in short], exact, block.column("item_id").combine_chunks(), error_rate, fields), fields)
-        found = part if found is None else found.union(part)
-    return found
+        yield [(i, t) for i, t in items if t and i not in short], exact, block.column("item_id").combine_chunks()
+
+
+def _matches(texts: list[bytes], searcher: Searcher, brief: ShortSearcher):
+    """``(text, item, edits, end)`` of all matches in a list of normalised texts."""
+    for lo, hi in chunks(texts):
+        buffer = b"\n".join(texts[lo:hi])
+        places, p, base = searcher.places(buffer), 0, 0
+        for i in range(lo, hi):
+            own, top = [], base + len(texts[i])
+            while p < len(places) and places[p][0] < top:
+                own.append((places[p][0] - base, places[p][1]))
+                p += 1
+            base = top + 1
+            for n, k, end in searcher.matches(texts[i], own) if own else ():
+                yield i, searcher.items[n][0], k, end
+            for n, k, end in brief.matches(texts[i]) if brief.items else ():
+                yield i, brief.items[n][0], k, end
 
 
 def _search(items, exact, item_ids, error_rate, fields):
     def run(batches):
         searcher, brief = Searcher(items, error_rate), ShortSearcher(exact)
         for batch in small(batches):
-            texts = [plain(t.as_py()) for t in batch.column(1)]
-            rows, numbers, edits, ends = [], [], [], []
-            for lo, hi in chunks(texts):
-                buffer = b"\n".join(texts[lo:hi])
-                places, p, base = searcher.places(buffer), 0, 0
-                for i in range(lo, hi):
-                    own, top = [], base + len(texts[i])
-                    while p < len(places) and places[p][0] < top:
-                        own.append((places[p][0] - base, places[p][1]))
-                        p += 1
-                    base = top + 1
-                    for n, k, end in searcher.matches(texts[i], own) if own else ():
-                        rows.append(i), numbers.append(searcher.items[n][0]), edits.append(k), ends.append(end)
-                    for n, k, end in brief.matches(texts[i]) if exact else ():
-                        rows.append(i), numbers.append(exact[n][0]), edits.append(k), ends.append(end)
-            if rows:
+            found = list(_matches([plain(t.as_py()) for t in batch.column(1)], searcher, brief))
+            if found:
+                rows, numbers, edits, ends = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(rows)), item_ids.take(pa.array(numbers)), pa.array(edits, pa.int32()), pa.array(ends, pa.int64())], names=[f.name for f in fields]
                 )
 
     return run
+
+
+def _keep_clean(items, exact, error_rate):
+    def run(batches):
+        searcher, brief = Searcher(items, error_rate), ShortSearcher(exact)
+        for batch in small(batches):
+            dirty = {row for row, *_ in _matches([plain(t.as_py()) for t in batch.column(1)], searcher, brief)}
+            yield batch.filter(pa.array([i not in dirty for i in range(batch.num_rows)], pa.bool_()))
+
+    return run
