@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telltale.llm import decontaminate, exact, language, mixing, neural, passages, pii, simhash, toxicity, urls
+from telltale.llm import decontaminate, exact, language, mixing, neural, passages, pii, ranking, simhash, tokens, toxicity, urls, whitening
 from telltale.llm.rows import crc_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,36 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fuzzy passages that documents share, one row per passage and pair."""
     return passages.passages(table(spark, sf_dir, "documents")).drop("passage")
+
+
+@registered(r"""
+    WITH d AS (
+        SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS terms FROM documents),
+    q AS (
+        SELECT row_number() OVER () AS query, item_id,
+            regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS terms FROM benchmark),
+    t AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d WHERE len(terms) > 0),
+    p AS (SELECT doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM d),
+    f AS (SELECT doc_id, term, n, count(*) AS tf FROM p GROUP BY ALL),
+    w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, t GROUP BY term, n_docs),
+    u AS (SELECT DISTINCT query, item_id, term FROM (SELECT query, item_id, unnest(terms) AS term FROM q)),
+    s AS (
+        SELECT query, item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+        FROM u JOIN f USING (term) JOIN w USING (term), t GROUP BY query, item_id, doc_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM s WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10""")
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@registered()
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@registered()
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), tokens.prove(public_tokenizers.path("piece_bpe_32k.model")))
