@@ -43,9 +43,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
-    numbered = _numbered(docs)
-    found = decontaminate.leaks(numbered, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_key")
-    return numbered.join(found.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").drop("_key")
+    packed = docs.select("text", F.struct(*docs.columns).alias("_row"))
+    return decontaminate.clean(packed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry="_row").select("_row.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
