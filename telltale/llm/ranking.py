@@ -25,8 +25,8 @@ from telltale.session import materialise
 TERMS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 QUERY_BYTES = 1 << 21
 SLICE = 1 << 20
-BLOCK_DOCS = 4_096
-BLOCK_POSTINGS = 500_000
+BLOCK_DOCS = 4_096  # places are 16-bit numbers
+BLOCK_POSTINGS = 300_000
 LEAF = 48
 WIDTH = 48
 
@@ -74,7 +74,7 @@ def _search(source: DataFrame, block: pa.Table, item_type: T.DataType, k: int) -
     index = postings(source, terms)
     # One row per task and, in all, one number per term of the block of queries.
     counts = index.where("stats")
-    held = counts.select(F.inline(F.arrays_zip("term", "tf"))).groupBy("term").agg(F.sum("tf").alias("n")).toArrow()
+    held = counts.select(F.inline(F.arrays_zip("term", "held"))).groupBy("term").agg(F.sum("held").alias("n")).toArrow()
     documents, length = counts.agg(F.coalesce(F.sum(F.col("sizes")[0]), F.lit(0)), F.coalesce(F.sum(F.col("sizes")[1]), F.lit(0))).first()
     weights = np.zeros(len(terms), np.int64)
     for term, n in zip(held.column("term").to_pylist(), held.column("n").to_pylist(), strict=True):
@@ -85,7 +85,7 @@ def _search(source: DataFrame, block: pa.Table, item_type: T.DataType, k: int) -
         [T.StructField("_query", T.IntegerType()), T.StructField("item_id", item_type), source.schema["doc_id"], T.StructField("score", T.LongType())]
     )
     ids = block.column("item_id").combine_chunks()
-    best = index.where("not stats").select("ids", "sizes", "term", "place", "tf").mapInArrow(_rank(asked, weights, documents, length, k, ids, fields), fields)
+    best = index.where("not stats").select("ids", "sizes", "term", "held", "place", "tf").mapInArrow(_rank(asked, weights, documents, length, k, ids, fields), fields)
     order = W.partitionBy("_query").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("item_id", "rank", "doc_id", "score")
@@ -94,32 +94,25 @@ def _search(source: DataFrame, block: pa.Table, item_type: T.DataType, k: int) -
 def postings(source: DataFrame, terms: dict[bytes, int]) -> DataFrame:
     """The written index of all documents for ``terms``, in blocks of at most ``BLOCK_DOCS`` documents in order of their ids.
 
-    A block holds ``ids`` and ``sizes`` (terms) of its documents and its postings ``term, place, tf``, sorted; documents without a wanted term are counted, but need no place.
-    Each task ends with a row of counts (``stats``): documents with terms and all their terms in ``sizes``, and the holders of each term in ``tf``.
+    A block holds ``ids`` and ``sizes`` (terms) of its documents, its terms, how many documents hold each (``held``), and term by term its postings: ``place`` in the block and ``tf``, as packed
+    numbers. Documents without a wanted term are counted, but need no place. Each task ends with a row of counts (``stats``): documents with terms and all their terms in ``sizes``, and the holders of each term.
     """
-    fields = T.StructType(
-        [
-            T.StructField("stats", T.BooleanType()),
-            T.StructField("ids", T.ArrayType(source.schema["doc_id"].dataType)),
-            *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("sizes",)),
-            *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("term", "place")),
-            T.StructField("tf", T.ArrayType(T.LongType())),
-        ]
-    )
+    lists = [T.StructField(name, T.ArrayType(kind)) for name, kind in (("ids", source.schema["doc_id"].dataType), ("sizes", T.LongType()), ("term", T.IntegerType()), ("held", T.LongType()))]
+    fields = T.StructType([T.StructField("stats", T.BooleanType()), *lists, T.StructField("place", T.BinaryType()), T.StructField("tf", T.BinaryType())])
 
-    def row(stats, ids, sizes, term, place, tf):
-        columns = [pa.array([stats]), _one(ids), _one(pa.array(sizes, pa.int64()))]
-        columns += [_one(pa.array(c, kind)) for c, kind in ((term, pa.int32()), (place, pa.int32()), (tf, pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, names=fields.names)
+    def row(stats, ids, sizes, term, held, place=b"", tf=b""):
+        columns = [pa.array([stats]), _one(ids), *(_one(pa.array(c, kind)) for c, kind in ((sizes, pa.int64()), (term, pa.int32()), (held, pa.int64())))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([place], pa.binary()), pa.array([tf], pa.binary())], names=fields.names)
 
     def packed(ids, sizes, found):
         values = ids.to_pylist()
         order = sorted(range(len(values)), key=lambda i: key_of(values[i]))
         term = np.concatenate([found[i][0] for i in order])
-        tf = np.concatenate([found[i][1] for i in order])
-        place = np.repeat(np.arange(len(order)), [len(found[i][0]) for i in order])
         by_term = np.argsort(term, kind="stable")
-        return row(False, ids.take(pa.array(order)), [sizes[i] for i in order], term[by_term], place[by_term], tf[by_term])
+        place = np.repeat(np.arange(len(order), dtype=np.int16), [len(found[i][0]) for i in order])[by_term]
+        tf = np.concatenate([found[i][1] for i in order])[by_term]
+        some, held = np.unique(term, return_counts=True)
+        return row(False, ids.take(pa.array(order)), [sizes[i] for i in order], some, held, place.tobytes(), tf.tobytes())
 
     def run(batches):
         holders, documents, length = np.zeros(len(terms), np.int64), 0, 0
@@ -137,7 +130,7 @@ def postings(source: DataFrame, terms: dict[bytes, int]) -> DataFrame:
                 if own:
                     picked.append(i)
                     sizes.append(n)
-                    found.append((np.fromiter(own.keys(), np.int64, len(own)), np.fromiter(own.values(), np.int64, len(own))))
+                    found.append((np.fromiter(own.keys(), np.int32, len(own)), np.fromiter(own.values(), np.int32, len(own))))
                     holders[found[-1][0]] += 1
                     held += len(own)
                     if held >= BLOCK_POSTINGS or len(found) >= BLOCK_DOCS:
@@ -150,7 +143,7 @@ def postings(source: DataFrame, terms: dict[bytes, int]) -> DataFrame:
             yield packed(pa.concat_arrays(ids), sizes, found)
         if empty is not None:
             some = np.flatnonzero(holders)
-            yield row(True, empty, [documents, length], some, [], holders[some])
+            yield row(True, empty, [documents, length], some, holders[some])
 
     return materialise(source.mapInArrow(run, fields), "postings")
 
@@ -170,14 +163,12 @@ class RangeMaxima:
 
     def __init__(self, values: np.ndarray, longest: int):
         self.values = values
-        self.tables = [np.arange(len(values), dtype=np.int32)]
-        for power in range(int(longest).bit_length() - 1):
-            left, right = self.tables[-1][: -(1 << power)], self.tables[-1][1 << power :]
-            self.tables.append(np.where(values[left] >= values[right], left, right))
-        tables = np.zeros((len(self.tables), len(values)), np.int32)
-        for row, table in zip(tables, self.tables, strict=True):
-            row[: len(table)] = table
-        self.tables = tables
+        self.tables = np.zeros((max(1, int(longest).bit_length()), len(values)), np.int32)
+        self.tables[0] = np.arange(len(values))
+        for power in range(len(self.tables) - 1):
+            count = len(values) - (2 << power) + 1
+            left, right = self.tables[power, :count], self.tables[power, 1 << power : (1 << power) + count]
+            self.tables[power + 1, :count] = np.where(values[left] >= values[right], left, right)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The first position of the maximum of each range ``start ≤ i < end``, none of them empty."""
@@ -189,7 +180,7 @@ class RangeMaxima:
 class Block:
     """The posting lists of a block of documents, as one array sorted by term and place."""
 
-    def __init__(self, ids: list, sizes: np.ndarray, term: np.ndarray, place: np.ndarray, tf: np.ndarray, documents: int, length: int):
+    def __init__(self, ids: list, sizes: np.ndarray, term: np.ndarray, held: np.ndarray, place: np.ndarray, tf: np.ndarray, documents: int, length: int):
         self.keys = [key_of(i) for i in ids]
         self.count = len(ids)
         most = int(sizes.max(initial=0))
@@ -197,11 +188,11 @@ class Block:
             spread = 10 + (90 * sizes * documents) // length
         else:
             spread = np.array([10 + 90 * int(n) * documents // length for n in sizes], np.int64)
-        self.part = (10**9 * tf) // (1000 * tf + 8 * spread[place])
-        self.place = place
-        self.at = term * (self.count + 1) + place
-        longest = np.bincount(term).max(initial=1) if len(term) else 1
-        self.maxima = RangeMaxima(self.part, longest)
+        tf = tf.astype(np.int64)
+        self.part = ((10**9 * tf) // (1000 * tf + 8 * spread[place])).astype(np.int32)  # below 10^6
+        self.place = place.astype(np.int32)
+        self.at = np.repeat(term.astype(np.int64) * (self.count + 1), held) + place
+        self.maxima = RangeMaxima(self.part, held.max(initial=1))
 
     def ranges(self, terms: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each term's postings for each interval ``low ≤ place < high`` start and end: arrays of intervals × terms."""
@@ -275,11 +266,12 @@ def _rank(asked, weights, documents, length, k, item_ids, fields):
         best: list[list] = [[] for _ in asked]
         kind = None
         for batch in batches:
-            ids_column, others = batch.column(0), [batch.column(i) for i in range(1, 5)]
-            kind = ids_column.type.value_type
+            kind = batch.column(0).type.value_type
             for row in range(batch.num_rows):
-                ids = ids_column[row].as_py()
-                block = Block(ids, *(c[row].values.to_numpy(zero_copy_only=False).astype(np.int64) for c in others), documents, length)
+                ids = batch.column(0)[row].as_py()
+                lists = [batch.column(i)[row].values.to_numpy(zero_copy_only=False) for i in (1, 2, 3)]
+                packed = [np.frombuffer(batch.column(i)[row].as_buffer(), numbers) for i, numbers in ((4, np.int16), (5, np.int32))]
+                block = Block(ids, *lists, *packed, documents, length)
                 for own, terms in zip(best, asked, strict=True):
                     if len(terms):
                         block.improve(own, ids, terms, weights[terms], k)

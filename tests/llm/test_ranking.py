@@ -90,8 +90,7 @@ def test_intervals_without_a_chance_stay_closed(monkeypatch):
     """With one document that holds a rare term, few of many documents are scored."""
     count = 4096
     place = np.concatenate([np.arange(count), [1000, 2000, 3000]])
-    term = np.concatenate([np.zeros(count, int), np.ones(3, int)])
-    block = ranking.Block(list(range(count)), np.full(count, 10), term, place, np.ones(count + 3, int), count, 10 * count)
+    block = ranking.Block(list(range(count)), np.full(count, 10), np.array([0, 1]), np.array([count, 3]), place, np.ones(count + 3, int), count, 10 * count)
     scored, direct = [], block.scores
 
     def counted(*args):
