@@ -27,16 +27,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
-def materialise(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str, schema: StructType | None = None, compression: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage, survives executor loss, and, unlike ``checkpoint()``, keeps column pruning and size statistics. With a ``schema``
-    the table is read as that, so that a user-defined type is read as its fields or the other way round.
+    the table is read as that, so that a user-defined type is read as its fields or the other way round. ``compression`` is Parquet's; by default the session's.
     """
     spark = df.sparkSession
     base = getattr(_open, "scope", None) or f"{scratch_dir(spark)}/telltale"
     path = f"{base}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(schema or df.schema).parquet(path)
 
 
