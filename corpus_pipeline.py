@@ -16,7 +16,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
     over one table could number it differently.
     """
     row = F.monotonically_increasing_id().alias("row")
-    return materialise(docs.withColumn("_key", F.struct(F.isnull("doc_id").alias("absent"), "doc_id", row)), "numbered")
+    return materialise(docs.withColumn("_key", F.struct(F.isnull("doc_id").alias("absent"), "doc_id", row)), "numbered", compression="zstd")
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
