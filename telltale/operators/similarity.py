@@ -1,20 +1,21 @@
 """Most similar history rows per incident: an exact top-k join that reads only the history that can matter.
 
 The score of a pair is ``ws / (1 + distance) + wd * jaccard + wm * same_mode``. History is sorted so that rows with equal
-mode, equal codes and close readings lie together, and cut into small nodes that know their value ranges. The score of
-a whole node is then bounded from above. Per incident, a first pass scores the best few nodes and so learns the k-th best
-score; a second pass scores every node whose bound reaches it. Nodes below cannot hold a result, so nothing is lost.
+mode, equal codes and close readings lie together, and cut into leaves of up to 64 rows. Up to 64 neighbouring leaves make a box, up to 64 boxes
+make one of the next level, and so on until one level is small enough to be sent to every task. A box knows the ranges of its readings and modes and the codes
+in it, so the score of everything inside is bounded from above. Per incident, a first pass goes down from the best box to the best few leaves and so learns the k-th
+best score; a second pass opens every box whose bound reaches it. Other boxes cannot hold a result, so nothing is lost, and no step looks at more than 64 times the boxes that the step before it left.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,11 +34,15 @@ from telltale.schemas import (
 )
 from telltale.session import is_small, materialise, shuffle_partitions
 
-MAX_PAGES = 32_768
+#: Up to 2 ** LEAF_BITS rows in a leaf, and as many boxes in a box of the next level.
 LEAF_BITS = 6
 # At most 64 rows of 96 bytes each per leaf: 25 MB.
 MAX_BROADCAST_LEAVES = 4_096
-MAX_BROADCAST_NODES = 65_536
+MOST_TOP_BOXES = 32_768
+MOST_TOP_BYTES = 64 << 20
+#: A box with more codes than this counts as one that may hold any.
+MOST_BOX_CODES = 256
+SLOT_BITS = 33
 CELLS_PER_BATCH = 2_000_000
 SEED_NODES = 8
 SCORE_DIGITS = 9
@@ -51,29 +56,29 @@ def _slack(weights: dict[str, float]) -> float:
 
 @dataclass
 class SimilarityIndex:
-    """``leaves``: up to 64 packed history rows each, with their value ranges and the node they belong to.
+    """``leaves``: up to 64 packed history rows each. ``levels``: their boxes, level by level; the last one is small enough for a broadcast.
 
-    A node is a run of leaves, long enough that the ranges of all nodes fit a broadcast.
+    A box has ``box_id, parent_id, rows, last_index, mode_low, mode_high, modeless`` (some row has no mode), ``codes`` (all of them; null if too many), ``fewest`` (codes of the
+    shortest list), ``clear`` (some list says that there is no fault), ``plain`` (one mode and one code list throughout), ``low, high``. The boxes of the first level are the leaves.
     """
 
     leaves: DataFrame
-    nodes: DataFrame
+    levels: list[DataFrame]
     scaler: Scaler
     sensors: tuple[str, ...]
-    two_level: bool
-
-
-def _node_ranges(leaves: DataFrame, sensors, two_level: bool) -> DataFrame:
-    """One row per node: the ranges of its leaves combined."""
-    if not two_level:
-        return leaves.select("node_id", MODE, "codes", "rows", "last_index", "low", "high")
-    n = range(len(sensors))
-    return leaves.groupBy("node_id", MODE, "codes").agg(
-        F.sum("rows").alias("rows"),
-        F.max("last_index").alias("last_index"),
-        F.array(*[F.min(F.col("low")[i]) for i in n]).alias("low"),
-        F.array(*[F.max(F.col("high")[i]) for i in n]).alias("high"),
-    )
+    _top: Broadcast | None = field(default=None, repr=False)
+
+    def top(self) -> Broadcast:
+        """The last level in the form the tasks use; read and sent once, until ``release``."""
+        if self._top is None:
+            self._top = self.leaves.sparkSession.sparkContext.broadcast(_top_arrays(self.levels[-1].toPandas(), self.sensors))
+        return self._top
+
+    def release(self) -> None:
+        """Drop the copies of the last level from the executors."""
+        if self._top is not None:
+            self._top.destroy()
+            self._top = None
 
 
 def _curve(sensors) -> str:
@@ -88,11 +93,11 @@ def _curve(sensors) -> str:
 
 
 def build_index(
-    history: DataFrame, scaler: Scaler, sensors=SENSORS, max_pages: int = MAX_PAGES
+    history: DataFrame, scaler: Scaler, sensors=SENSORS, most_boxes: int = MOST_TOP_BOXES, most_bytes: int = MOST_TOP_BYTES
 ) -> SimilarityIndex:
     """Index of a history table with raw sensors, mode, ``active_dtcs``, ``dtc_signature`` and ``historical_index``.
 
-    Rows with a missing or infinite reading have no distance to anything and are left out.
+    Rows with a missing or infinite reading have no distance to anything and are left out. Levels are added until the last one has at most ``most_boxes`` boxes of ``most_bytes`` in all.
     """
     sensors = tuple(sensors)
     z = ["z_" + s for s in sensors]
@@ -102,8 +107,6 @@ def build_index(
     usable = scale(usable, scaler, sensors=sensors).select(
         "historical_index", MODE, "dtc_signature", F.array_sort(F.array_distinct("active_dtcs")).alias("codes"), *z
     )
-    rows = usable.count()
-    node_bits = max(LEAF_BITS, math.ceil(math.log2(max(rows, 1) / max_pages)))
     order = [MODE, "dtc_signature", "_curve", "historical_index"]
     parts = shuffle_partitions(history)
     paged = (
@@ -121,52 +124,105 @@ def build_index(
         F.array(*[F.max(c) for c in z]).alias("high"),
         F.collect_list(F.struct("historical_index", *z)).alias("members"),
     )
-    two_level = node_bits > LEAF_BITS
-    if two_level:
-        # A run of neighbouring leaves with one mode and one code list, named by just that.
-        run = F.shiftright("_leaf", node_bits - LEAF_BITS).cast("string")
-        node = F.concat_ws("|", run, F.coalesce(F.col(MODE).cast("string"), F.lit("")), "dtc_signature")
-    else:
-        node = F.col("leaf_id")
-    stored = materialise(leaves.withColumn("node_id", node).drop("_leaf"), "similarity-index")
-    nodes = _node_ranges(stored, sensors, two_level)
-    return SimilarityIndex(stored, materialise(nodes, "similarity-nodes") if two_level else nodes, scaler, sensors, two_level)
-
-
-class _NodeBounds:
-    """Upper score bounds of a bounded set of nodes for a batch of incidents.
-
-    Nodes with the same mode and codes form a block. Codes and mode are compared once per block; distances are computed
-    only to the nodes of blocks that can still matter.
+    stored = materialise(leaves.drop("_leaf"), "similarity-index")
+    levels = [_leaf_boxes(stored)]
+    count, size = _extent(levels[0], len(sensors))
+    if count > most_boxes or size > most_bytes:
+        # The leaves' places in their order, so that 64 neighbours share a parent.
+        place = F.row_number().over(W.partitionBy(F.shiftright("box_id", SLOT_BITS)).orderBy("box_id")) - 1
+        placed = levels[0].withColumn("parent_id", _named(F.shiftright("box_id", SLOT_BITS), F.shiftright(place, LEAF_BITS)))
+        levels[0] = materialise(placed, "similarity-boxes")
+    while count > max(most_boxes, 1) or (size > most_bytes and count > 1):
+        boxes = _boxes_above(levels[-1], len(sensors))
+        part, place = F.shiftright("box_id", SLOT_BITS), F.col("box_id").bitwiseAND((1 << SLOT_BITS) - 1)
+        if boxes.filter(place > 0).limit(1).count():
+            parent = _named(part, F.shiftright(place, LEAF_BITS))
+        else:
+            # One box per partition of the sort is left: neighbouring partitions go together.
+            parent = _named(F.shiftright(part, LEAF_BITS), F.lit(0))
+        levels.append(materialise(boxes.withColumn("parent_id", parent), "similarity-boxes"))
+        count, size = _extent(levels[-1], len(sensors))
+    return SimilarityIndex(stored, levels, scaler, sensors)
+
+
+def _named(part: Column, place: Column) -> Column:
+    """A box's number: its partition of the sort, and its place there."""
+    return F.shiftleft(part.cast("long"), SLOT_BITS).bitwiseOR(place.cast("long"))
+
+
+def _is_clear(codes: Column) -> Column:
+    """True for a list that says there is no fault; such a list is all an incident without codes resembles."""
+    return F.forall(codes, lambda c: c == NO_FAULT_CODE) | ((F.size(codes) == 1) & (codes[0] == NO_CODES))
+
+
+def _leaf_boxes(leaves: DataFrame) -> DataFrame:
+    codes = F.col("codes")
+    return leaves.select(
+        F.col("leaf_id").alias("box_id"), F.lit(None).cast("long").alias("parent_id"), "rows", "last_index",
+        F.col(MODE).cast("double").alias("mode_low"), F.col(MODE).cast("double").alias("mode_high"), F.isnull(MODE).alias("modeless"),
+        "codes", F.size(codes).alias("fewest"), _is_clear(codes).alias("clear"), F.lit(True).alias("plain"), "low", "high",
+    )
+
+
+def _boxes_above(boxes: DataFrame, width: int) -> DataFrame:
+    """The parents of a level. At most 64 boxes of bounded code lists meet in a group."""
+    n = range(width)
+    merged = boxes.groupBy(F.col("parent_id").alias("box_id")).agg(
+        F.sum("rows").alias("rows"), F.max("last_index").alias("last_index"), F.min("mode_low").alias("mode_low"), F.max("mode_high").alias("mode_high"),
+        F.bool_or("modeless").alias("modeless"), F.bool_and("modeless").alias("_no_mode"), F.collect_set("codes").alias("_lists"),
+        F.bool_or(F.isnull("codes")).alias("_any"), F.min("fewest").alias("fewest"), F.bool_or("clear").alias("clear"), F.bool_and("plain").alias("plain"),
+        F.array(*[F.min(F.col("low")[i]) for i in n]).alias("low"), F.array(*[F.max(F.col("high")[i]) for i in n]).alias("high"),
+    )
+    codes = F.array_sort(F.array_distinct(F.flatten("_lists")))
+    one_mode = F.col("_no_mode") | (~F.col("modeless") & (F.col("mode_low") == F.col("mode_high")))
+    return merged.select(
+        "box_id", "rows", "last_index", "mode_low", "mode_high", "modeless",
+        F.when(~F.col("_any") & (F.size(codes) <= MOST_BOX_CODES), codes).alias("codes"), "fewest", "clear",
+        (F.col("plain") & one_mode & (F.size("_lists") == 1) & ~F.col("_any")).alias("plain"), "low", "high",
+    )
+
+
+def _extent(boxes: DataFrame, width: int) -> tuple[int, int]:
+    """The number of boxes of a level and about how many bytes they take."""
+    letters = F.aggregate(F.coalesce("codes", F.array().cast("array<string>")), F.lit(0), lambda n, c: n + F.length(c) + 50)
+    return boxes.agg(F.count(F.lit(1)), F.coalesce(F.sum(letters + 64 + 16 * width), F.lit(0))).first()
+
+
+def _top_arrays(boxes: pd.DataFrame, sensors) -> dict:
+    """The boxes as arrays. Boxes whose modes and codes are the same form a block, so that these are compared once per block."""
+    boxes = boxes.assign(_codes=[None if c is None else tuple(c) for c in boxes["codes"]])
+    same = ["mode_low", "mode_high", "modeless", "_codes", "fewest", "clear", "plain"]
+    boxes["_block"] = boxes.groupby(same, dropna=False, sort=False).ngroup()
+    boxes = boxes.sort_values(["_block", "last_index"], ascending=[True, False])
+    blocks = boxes.drop_duplicates("_block")
+    holders: dict[str, list[int]] = {}
+    for i, codes in enumerate(blocks["_codes"]):
+        for c in codes or ():
+            holders.setdefault(c, []).append(i)
+    edges = {n: np.array(boxes[n].tolist(), dtype=float).reshape(len(boxes), len(sensors)).T.copy() for n in ("low", "high")}
+    return edges | {
+        "ids": boxes["box_id"].to_numpy(), "last": boxes["last_index"].to_numpy(), "block": boxes["_block"].to_numpy(), "rows": boxes["rows"].to_numpy(),
+        "sizes": np.bincount(boxes["_block"], minlength=len(blocks)), "mode_low": blocks["mode_low"].to_numpy(dtype=float), "mode_high": blocks["mode_high"].to_numpy(dtype=float),
+        "any": np.array([c is None for c in blocks["_codes"]], bool), "fewest": blocks["fewest"].to_numpy(dtype=float), "clear": blocks["clear"].to_numpy(dtype=float),
+        "plain": blocks["plain"].to_numpy(dtype=bool), "holders": {c: np.array(at) for c, at in holders.items()},
+    }
+
+
+class _TopBoxes:
+    """Upper score bounds of the boxes of the last level for a batch of incidents.
+
+    Codes and modes are compared once per block; distances are computed only to the boxes of blocks that can still matter.
     """
 
-    def __init__(self, nodes: pd.DataFrame, sensors, weights, k: int, seed_nodes: int):
-        nodes = nodes.assign(_codes=nodes["codes"].map(tuple), _mode=nodes[MODE].astype("float"))
-        nodes["_block"] = nodes.groupby(["_mode", "_codes"], dropna=False, sort=False).ngroup()
-        nodes = nodes.sort_values(["_block", "last_index"], ascending=[True, False])
-        self.ids = nodes["node_id"].to_numpy()
-        self.last = nodes["last_index"].to_numpy()
-        self.low = np.array(nodes["low"].tolist(), dtype=float).reshape(len(nodes), len(sensors)).T.copy()
-        self.high = np.array(nodes["high"].tolist(), dtype=float).reshape(len(nodes), len(sensors)).T.copy()
-        self.block = nodes["_block"].to_numpy()
-        blocks = nodes.drop_duplicates("_block")
-        self.sizes = np.bincount(self.block, minlength=len(blocks))
+    def __init__(self, top: dict, sensors, weights, k: int, seed_boxes: int):
+        self.__dict__.update(top)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.mode = blocks["_mode"].to_numpy()
-        # Which blocks hold a code; its size is that of the lists, not lists times codes.
-        self.holders: dict[str, list[int]] = {}
-        for i, codes in enumerate(blocks["_codes"]):
-            for c in set(codes):
-                self.holders.setdefault(c, []).append(i)
-        self.code_count = np.array([len(c) for c in blocks["_codes"]])
-        self.no_fault = np.array([set(c) <= {NO_FAULT_CODE} or set(c) == {NO_CODES} for c in blocks["_codes"]])
-        self.rows = nodes["rows"].to_numpy()
-        self.sensors, self.weights, self.k, self.seed_nodes = sensors, weights, k, seed_nodes
-        self.width = min(max(k, seed_nodes), len(nodes))
+        self.sensors, self.weights, self.k, self.seed_boxes = sensors, weights, k, seed_boxes
+        self.width = min(max(k, seed_boxes), len(self.ids))
         self.slack = _slack(weights)
 
     def _shared(self, lists) -> np.ndarray:
-        """How many codes each list has in common with each block's."""
+        """How many codes each list has in common with each block's, at most."""
         out = np.zeros((len(lists), len(self.sizes)))
         seen: dict[tuple, int] = {}
         for row, codes in enumerate(lists):
@@ -175,7 +231,9 @@ class _NodeBounds:
                 out[row] = out[first]
                 continue
             for c in codes:
-                out[row, self.holders.get(c, [])] += 1.0
+                if c in self.holders:
+                    out[row, self.holders[c]] += 1.0
+            out[row, self.any] = len(codes)
         return out
 
     def batches(self, pdf: pd.DataFrame):
@@ -184,16 +242,22 @@ class _NodeBounds:
             yield pdf.iloc[start : start + size]
 
     def _block_scores(self, pdf: pd.DataFrame):
+        """Code and mode similarity of each block, exact if it is plain, else the most there can be; and the most they add to a score."""
         sizes = np.array([len(c) for c in pdf["codes"]])
         shared = self._shared(list(pdf["codes"]))
-        union = sizes[:, None] + self.code_count[None, :] - shared
+        # With the shared codes all in the shortest list that could hold them.
+        union = sizes[:, None] + np.maximum(self.fewest[None, :], shared) - shared
         jaccard = np.divide(shared, union, out=np.zeros_like(shared), where=union > 0)
-        jaccard[sizes == 0] = self.no_fault.astype(float)
-        same_mode = (pdf[MODE].to_numpy(dtype=float)[:, None] == self.mode[None, :]).astype(float)
-        return jaccard, same_mode, self.weights["dtc"] * jaccard + self.weights["mode"] * same_mode
+        jaccard[sizes == 0] = self.clear
+        mode = pdf[MODE].to_numpy(dtype=float)[:, None]
+        same_mode = ((mode >= self.mode_low[None, :]) & (mode <= self.mode_high[None, :])).astype(float)
+        fixed = np.zeros_like(jaccard)
+        for weight, part in ((self.weights["dtc"], jaccard), (self.weights["mode"], same_mode)):
+            fixed += weight * part if weight >= 0 else np.where(self.plain[None, :], weight * part, 0.0)
+        return jaccard, same_mode, fixed
 
     def _expand(self, mask: np.ndarray):
-        """(incident, block) cells to (incident, node) pairs, incident by incident."""
+        """(incident, block) cells to (incident, box) pairs, incident by incident."""
         row, block = np.nonzero(mask)
         counts = self.sizes[block]
         shift = np.repeat(self.starts[block] - (np.cumsum(counts) - counts), counts)
@@ -216,9 +280,9 @@ class _NodeBounds:
         return np.round(upper + self.slack, SCORE_DIGITS)
 
     def seeds(self, pdf: pd.DataFrame):
-        """Per incident, its ``seed_nodes`` best nodes, or as many more as it takes to hold k rows."""
+        """Per incident, its ``seed_boxes`` best boxes, or as many more as it takes to hold k rows."""
         jaccard, same_mode, fixed = self._block_scores(pdf)
-        # Look at the best blocks only, as many as it takes to see enough nodes.
+        # Look at the best blocks only, as many as it takes to see enough boxes.
         order = np.argsort(-fixed, axis=1)
         enough = np.argmax(np.cumsum(self.sizes[order], axis=1) >= self.width, axis=1)
         limit = np.take_along_axis(fixed, np.take_along_axis(order, enough[:, None], axis=1), axis=1)
@@ -235,13 +299,13 @@ class _NodeBounds:
             best = np.argpartition(line, self.width - 1)[: self.width] if len(line) > self.width else np.arange(len(line))
             best = start + best[np.argsort(line[best])]
             held = np.cumsum(self.rows[node[best]]) - self.rows[node[best]]
-            chosen.append(best[(np.arange(len(best)) < self.seed_nodes) | (held < self.k)])
+            chosen.append(best[(np.arange(len(best)) < self.seed_boxes) | (held < self.k)])
         chosen = np.concatenate(chosen)
         row, node = row[chosen], node[chosen]
         return row, node, jaccard[row, self.block[node]], same_mode[row, self.block[node]]
 
     def reaching(self, pdf: pd.DataFrame):
-        """Per incident, all nodes that may hold a row ranking at or above the k-th best known one."""
+        """Per incident, all boxes that may hold a row ranking at or above the k-th best known one."""
         jaccard, same_mode, fixed = self._block_scores(pdf)
         floor = pdf["floor_score"].astype("float").fillna(-np.inf).to_numpy()
         floor_index = pdf["floor_index"].astype("float").fillna(-1).to_numpy()
@@ -255,40 +319,27 @@ class _NodeBounds:
 
 
 def _pairs(probes: DataFrame, index: SimilarityIndex, weights, k: int, second_pass: bool) -> DataFrame:
-    """(incident, node) pairs worth scoring. The node ranges are sent to the tasks in slices of bounded size."""
-    spark = probes.sparkSession
-    summary = index.nodes
-    total = summary.count()
-    slices = max(1, math.ceil(1.25 * total / MAX_BROADCAST_NODES)) if total > MAX_BROADCAST_NODES else 1
-    fields = [*probes.schema.fields]
-    fields += [T.StructField("node_id", summary.schema["node_id"].dataType), T.StructField("dtc_similarity", T.DoubleType())]
-    schema = T.StructType([*fields, T.StructField("mode_similarity", T.DoubleType())])
-    out = None
-    for i in range(slices):
-        part = summary if slices == 1 else summary.filter(F.pmod(F.xxhash64("node_id"), F.lit(slices)) == i)
-        shared = spark.sparkContext.broadcast(part.toPandas())
-        sensors = index.sensors
-        # Nodes of one leaf are cheap to score, so a few more give a better floor.
-        seed_nodes = 1 if index.two_level else SEED_NODES
-
-        def route(batches, shared=shared, sensors=sensors, seed_nodes=seed_nodes):
-            nodes = _NodeBounds(shared.value, sensors, weights, k, seed_nodes)
-            for batch in batches:
-                for pdf in nodes.batches(batch):
-                    if len(nodes.ids) == 0:
-                        continue
-                    row, node, jaccard, same_mode = nodes.reaching(pdf) if second_pass else nodes.seeds(pdf)
-                    yield pdf.iloc[row].reset_index(drop=True).assign(
-                        node_id=nodes.ids[node], dtc_similarity=jaccard, mode_similarity=same_mode
-                    )
-
-        # Few bytes but much arithmetic per incident: spread over all tasks, whatever the size of the table.
-        routed = probes.repartition(shuffle_partitions(probes), *_PROBE_KEY).mapInPandas(route, schema)
-        out = routed if out is None else out.unionByName(routed)
-    return out
-
-
-def _score(index: SimilarityIndex, weights, squares):
+    """(incident, box) pairs of the last level worth opening, with the box's code and mode similarity."""
+    added = [T.StructField("box_id", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("dtc_similarity", "mode_similarity"))]
+    schema = T.StructType([*probes.schema.fields, *added])
+    shared, sensors = index.top(), index.sensors
+    # Leaves are cheap to score, so a few more give a better floor.
+    seed_boxes = 1 if len(index.levels) > 1 else SEED_NODES
+
+    def route(batches):
+        boxes = _TopBoxes(shared.value, sensors, weights, k, seed_boxes)
+        for batch in batches:
+            for pdf in boxes.batches(batch):
+                if len(boxes.ids) == 0:
+                    continue
+                row, box, jaccard, same_mode = boxes.reaching(pdf) if second_pass else boxes.seeds(pdf)
+                yield pdf.iloc[row].reset_index(drop=True).assign(box_id=boxes.ids[box], dtc_similarity=jaccard, mode_similarity=same_mode)
+
+    # Few bytes but much arithmetic per incident: spread over all tasks, whatever the size of the table.
+    return probes.repartition(shuffle_partitions(probes), *_PROBE_KEY).mapInPandas(route, schema)
+
+
+def _score(weights, squares):
     sensor = F.lit(1.0) / (F.lit(1.0) + F.sqrt(squares))
     total = (
         F.lit(weights["sensor"]) * sensor
@@ -305,63 +356,73 @@ def _sum(terms):
     return total
 
 
-def _leaf_bound(index: SimilarityIndex, weights):
-    """Upper score bound of a leaf, rounded like the scores."""
+def _similarities(weights) -> tuple[Column, Column, Column]:
+    """Code and mode similarity of an incident (``codes``, mode) and a box (``_b…``), like ``_block_scores``; and the most they add to a score."""
+    shared = F.when(F.isnull("_b_codes"), F.size("codes")).otherwise(F.size(F.array_intersect("codes", "_b_codes"))).cast("double")
+    union = F.size("codes") + F.greatest(F.col("_b_fewest").cast("double"), shared) - shared
+    jaccard = F.when(F.size("codes") == 0, F.col("_b_clear").cast("double")).otherwise(F.when(union > 0, shared / union).otherwise(0.0))
+    same_mode = F.coalesce(F.col(MODE).between(F.col("_b_mode_low"), F.col("_b_mode_high")), F.lit(False)).cast("double")
+    fixed = F.lit(0.0)
+    for weight, part in ((weights["dtc"], jaccard), (weights["mode"], same_mode)):
+        fixed = fixed + (F.lit(weight) * part if weight >= 0 else F.when(F.col("_b_plain"), F.lit(weight) * part).otherwise(0.0))
+    return jaccard, same_mode, fixed
+
+
+def _box_bound(index: SimilarityIndex, weights, fixed: Column) -> Column:
+    """Upper score bound of a box, rounded like the scores."""
     gaps = []
     for i, s in enumerate(index.sensors):
-        below, above = F.col("low")[i] - F.col("z_" + s), F.col("z_" + s) - F.col("high")[i]
+        below, above = F.col("_b_low")[i] - F.col("z_" + s), F.col("z_" + s) - F.col("_b_high")[i]
         if weights["sensor"] >= 0:
             gaps.append(F.greatest(below, above, F.lit(0.0)))
         else:
             gaps.append(F.greatest(F.abs(below), F.abs(above)))
-    return F.round(_score(index, weights, _sum([g * g for g in gaps]))[1] + F.lit(_slack(weights)), SCORE_DIGITS)
+    sensor = F.lit(weights["sensor"]) / (F.lit(1.0) + F.sqrt(_sum([g * g for g in gaps])))
+    return F.round(sensor + fixed + F.lit(_slack(weights)), SCORE_DIGITS)
 
 
 def _join_leaves(pairs: DataFrame, leaves: DataFrame, key: str) -> DataFrame:
     """Join incidents to leaves. The optimizer cannot know how many pairs there are, so it must not broadcast them.
 
-    A small set of leaves is broadcast; otherwise both sides are shuffled, and AQE splits the pairs of a popular leaf.
+    A small set of leaves or boxes is broadcast; otherwise both sides are shuffled, and AQE splits the pairs of a popular one.
     """
     if is_small(leaves.select(key), MAX_BROADCAST_LEAVES):
         return pairs.join(F.broadcast(leaves), key)
     return pairs.hint("merge").join(leaves, key)
 
 
-def _leaves(pairs: DataFrame, index: SimilarityIndex, weights, k: int, second_pass: bool) -> DataFrame:
-    """(incident, leaf) pairs: the leaves of the paired nodes, narrowed by the same bound when nodes hold many leaves."""
-    columns = ["node_id", "leaf_id", "last_index", "low", "high", "dtc_signature", MODE, "members"]
-    stored = index.leaves.select(*columns)
-    pairs = pairs.drop("codes", MODE)
-    if not index.two_level:
-        return _join_leaves(pairs, stored, "node_id")
-    ranges = _join_leaves(pairs, stored.drop("members", "dtc_signature", MODE), "node_id")
-    ranges = ranges.withColumn("_bound", _leaf_bound(index, weights))
-    if second_pass:
-        level = F.abs(F.col("_bound") - F.col("floor_score")) <= 1e-10
-        picked = ranges.filter(
-            F.col("floor_score").isNull()
-            | F.when(level, F.col("last_index") >= F.col("floor_index")).otherwise(
-                F.col("_bound") > F.col("floor_score")
-            )
-        )
-    else:
-        # Every leaf holds a row, so the k best leaves hold k rows (or all there are).
-        order = W.partitionBy(*_PROBE_KEY).orderBy(F.col("_bound").desc(), F.col("last_index").desc())
-        picked = ranges.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
-    picked = picked.drop("_bound", "low", "high", "last_index", "node_id")
-    return _join_leaves(picked, stored.select("leaf_id", "dtc_signature", MODE, "members"), "leaf_id")
+def _descend(pairs: DataFrame, index: SimilarityIndex, weights, k: int, second_pass: bool) -> DataFrame:
+    """(incident, leaf) pairs with their similarities. Level by level, at most 64 boxes inside each box are looked at, and those whose bound is too low are left."""
+    carried = [c for c in pairs.columns if c not in ("box_id", "dtc_similarity", "mode_similarity")]
+    for level in reversed(index.levels[:-1]):
+        inside = level.select(F.col("parent_id").alias("box_id"), *[F.col(c).alias("_b_" + c) for c in level.columns if c != "parent_id"])
+        opened = _join_leaves(pairs.select(*carried, "box_id"), inside, "box_id")
+        jaccard, same_mode, fixed = _similarities(weights)
+        opened = opened.withColumns({"dtc_similarity": jaccard, "mode_similarity": same_mode, "_bound": _box_bound(index, weights, fixed)})
+        if second_pass:
+            even = F.abs(F.col("_bound") - F.col("floor_score")) <= 1e-10
+            reaches = F.when(even, F.col("_b_last_index") >= F.col("floor_index")).otherwise(F.col("_bound") > F.col("floor_score"))
+            picked = opened.filter(F.col("floor_score").isNull() | reaches)
+        else:
+            # Every box holds a row, so the k best hold k rows (or these are all there are).
+            order = W.partitionBy(*_PROBE_KEY).orderBy(F.col("_bound").desc(), F.col("_b_last_index").desc())
+            picked = opened.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
+        pairs = picked.select(*carried, F.col("_b_box_id").alias("box_id"), "dtc_similarity", "mode_similarity")
+    return pairs
 
 
 def _scored(pairs: DataFrame, index: SimilarityIndex, weights, k: int, second_pass: bool) -> DataFrame:
     """Exact scores of all history rows in the leaves reached from ``pairs``."""
     query = [F.col("z_" + s).alias("q_" + s) for s in index.sensors]
     keep = [c for c in ("floor_score", "floor_index") if c in pairs.columns]
-    members = _leaves(pairs, index, weights, k, second_pass).select(
+    leaves = index.leaves.select(F.col("leaf_id").alias("box_id"), "dtc_signature", MODE, "members")
+    reached = _descend(pairs, index, weights, k, second_pass).drop("codes", MODE)
+    members = _join_leaves(reached, leaves, "box_id").select(
         *_PROBE_KEY, *keep, "dtc_similarity", "mode_similarity", "dtc_signature", MODE, *query, F.inline("members")
     )
     gaps = [F.col("q_" + s) - F.col("z_" + s) for s in index.sensors]
     members = members.withColumn("_squares", _sum([g * g for g in gaps])).drop(*["q_" + s for s in index.sensors])
-    sensor, total = _score(index, weights, F.col("_squares"))
+    sensor, total = _score(weights, F.col("_squares"))
     return members.withColumns({"sensor_similarity": sensor, "similarity_score": total}).drop("_squares")
 
 

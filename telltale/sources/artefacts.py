@@ -52,19 +52,18 @@ def load_model(spark: SparkSession, path: str) -> AnomalyModel:
 
 def save_index(spark: SparkSession, index: SimilarityIndex, path: str) -> None:
     index.leaves.write.mode("overwrite").parquet(f"{path}/leaves")
-    index.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-    rows = [(i, s, index.two_level) for i, s in enumerate(index.sensors)]
-    meta = spark.createDataFrame(rows, "position int, sensor string, two_level boolean")
+    for number, boxes in enumerate(index.levels):
+        boxes.write.mode("overwrite").parquet(f"{path}/level-{number}")
+    rows = [(i, s, len(index.levels)) for i, s in enumerate(index.sensors)]
+    meta = spark.createDataFrame(rows, "position int, sensor string, levels int")
     meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
     save_scaler(spark, index.scaler, f"{path}/scaler")
 
 
 def load_index(spark: SparkSession, path: str) -> SimilarityIndex:
     meta = spark.read.parquet(f"{path}/meta").orderBy("position").collect()
-    return SimilarityIndex(
-        spark.read.parquet(f"{path}/leaves"), spark.read.parquet(f"{path}/nodes"), load_scaler(spark, f"{path}/scaler"),
-        tuple(r["sensor"] for r in meta), meta[0]["two_level"],
-    )
+    levels = [spark.read.parquet(f"{path}/level-{number}") for number in range(meta[0]["levels"])]
+    return SimilarityIndex(spark.read.parquet(f"{path}/leaves"), levels, load_scaler(spark, f"{path}/scaler"), tuple(r["sensor"] for r in meta))
 
 
 def save_knowledge(docs: DataFrame, path: str, encoder_model: TextEncoder | None = None) -> None:

@@ -54,20 +54,58 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("pages,k,weights", [(SIM.MAX_PAGES, *CASES[0]), (5, *CASES[0]), (SIM.MAX_PAGES, *CASES[2]), (5, *CASES[3])])
-def test_equals_brute_force(tables, monkeypatch, pages, k, weights):
+@pytest.mark.parametrize("most,k,weights", [(SIM.MOST_TOP_BOXES, *CASES[0]), (1, *CASES[0]), (SIM.MOST_TOP_BOXES, *CASES[2]), (1, *CASES[1]), (1, *CASES[2]), (12, *CASES[3]), (300, *CASES[0])])
+def test_equals_brute_force(tables, monkeypatch, most, k, weights):
     history, incidents, h_rows, i_rows, scaler = tables
-    index = SIM.build_index(history, scaler, max_pages=pages)
-    assert index.two_level == (pages == 5)
-    if pages == 5:
-        # Node ranges in several slices, and shuffled instead of broadcast leaves.
-        monkeypatch.setattr(SIM, "MAX_BROADCAST_NODES", 300)
-        monkeypatch.setattr(SIM, "MAX_BROADCAST_LEAVES", 10)
+    if most < 100:
+        # Small boxes make more levels of a small table; leaves and boxes are shuffled instead of broadcast.
+        monkeypatch.setattr(SIM, "LEAF_BITS", 3)
+        monkeypatch.setattr(SIM, "MAX_BROADCAST_LEAVES", 1)
+        monkeypatch.setattr(SIM, "MOST_BOX_CODES", 4)
+    index = SIM.build_index(history, scaler, most_boxes=most)
+    counts = [level.count() for level in index.levels]
+    assert counts[-1] <= most and len(counts) >= {SIM.MOST_TOP_BOXES: 1, 300: 1, 12: 4, 1: 5}[most]
+    for level, above in zip(index.levels, index.levels[1:], strict=False):
+        fan = level.groupBy("parent_id").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"))
+        assert fan.agg(F.max("n")).first()[0] <= 8
+        assert fan.join(above, fan["parent_id"] == above["box_id"]).filter(fan["rows"] == above["rows"]).count() == above.count() == fan.count()
     best = SIM.similar_topk(incidents, index, k, weights)
     got = {(r["incident_id"], r["rank"], r["historical_index"]) for r in best.collect()}
     assert got == brute_force(i_rows, h_rows, scaler, k, weights)
 
 
+def test_boxes_bound_their_rows(tables):
+    """No row scores above the bound of any box it lies in, with any signs of the weights."""
+    history, incidents, _, _, scaler = tables
+    index = SIM.build_index(history, scaler, most_boxes=1)
+    boxes = [level.toPandas().assign(level=i) for i, level in enumerate(index.levels)]
+    asked = incidents.limit(30)
+    z = ["z_" + s for s in SENSORS]
+    probes = SIM.scale(asked, scaler, sensors=SENSORS).select("incident_id", F.col(MODE).cast("double").alias(MODE), F.array_sort(F.array_distinct("active_dtcs")).alias("codes"), *z).toPandas()
+    parents = {b["box_id"]: b["parent_id"] for i in range(len(boxes) - 1) for _, b in boxes[i].iterrows()}
+    for k, weights in CASES:
+        best = SIM.similar_topk(asked, index, 1, weights).toPandas().set_index("incident_id")["similarity_score"]
+        for table in boxes:
+            top = SIM._TopBoxes(SIM._top_arrays(table, SENSORS), SENSORS, weights, k, 1)
+            _, _, fixed = top._block_scores(probes)
+            row, box = top._expand(np.ones(fixed.shape, bool))
+            most = np.full(len(probes), -np.inf)
+            np.maximum.at(most, row, top._upper(probes, row, box, fixed))
+            assert (most >= probes["incident_id"].map(best).to_numpy() - 1e-9).all()
+    assert len(parents) > 1
+
+
+def test_top_is_sent_once(tables):
+    history, incidents, _, _, scaler = tables
+    index = SIM.build_index(history.limit(500), scaler)
+    SIM.similar_topk(incidents.limit(5), index).collect()
+    sent = index.top()
+    SIM.similar_topk(incidents.limit(5), index).collect()
+    assert index.top() is sent
+    index.release()
+    assert SIM.similar_topk(incidents.limit(5), index).count() == 25 and index.top() is not sent
+
+
 def test_k_beyond_history(tables):
     history, incidents, _, _, scaler = tables
     few = history.filter("historical_index < 7")
