@@ -43,8 +43,9 @@ MOST_TOP_BYTES = 64 << 20
 #: A box with more codes than this counts as one that may hold any.
 MOST_BOX_CODES = 256
 SLOT_BITS = 33
+PAIRS_PER_PAGE = 50_000
 CELLS_PER_BATCH = 2_000_000
-SEED_NODES = 8
+SEED_BOXES = 8
 SCORE_DIGITS = 9
 _PROBE_KEY = ["_p1", "_p2"]
 
@@ -56,7 +57,8 @@ def _slack(weights: dict[str, float]) -> float:
 
 @dataclass
 class SimilarityIndex:
-    """``leaves``: up to 64 packed history rows each. ``levels``: their boxes, level by level; the last one is small enough for a broadcast.
+    """``leaves``: up to 64 packed history rows each. ``levels``: their boxes, level by level; the last one is small enough for a broadcast. ``pages``: of every
+    level but the last, the boxes of each parent in one row.
 
     A box has ``box_id, parent_id, rows, last_index, mode_low, mode_high, modeless`` (some row has no mode), ``codes`` (all of them; null if too many), ``fewest`` (codes of the
     shortest list), ``clear`` (some list says that there is no fault), ``plain`` (one mode and one code list throughout), ``low, high``. The boxes of the first level are the leaves.
@@ -64,6 +66,7 @@ class SimilarityIndex:
 
     leaves: DataFrame
     levels: list[DataFrame]
+    pages: list[DataFrame]
     scaler: Scaler
     sensors: tuple[str, ...]
     _top: Broadcast | None = field(default=None, repr=False)
@@ -71,7 +74,7 @@ class SimilarityIndex:
     def top(self) -> Broadcast:
         """The last level in the form the tasks use; read and sent once, until ``release``."""
         if self._top is None:
-            self._top = self.leaves.sparkSession.sparkContext.broadcast(_top_arrays(self.levels[-1].toPandas(), self.sensors))
+            self._top = self.leaves.sparkSession.sparkContext.broadcast(_arrays(self.levels[-1].drop("parent_id").toPandas().to_dict("list"), self.sensors))
         return self._top
 
     def release(self) -> None:
@@ -142,7 +145,7 @@ def build_index(
             parent = _named(F.shiftright(part, LEAF_BITS), F.lit(0))
         levels.append(materialise(boxes.withColumn("parent_id", parent), "similarity-boxes"))
         count, size = _extent(levels[-1], len(sensors))
-    return SimilarityIndex(stored, levels, scaler, sensors)
+    return SimilarityIndex(stored, levels, [materialise(_pages(level), "similarity-pages") for level in levels[:-1]], scaler, sensors)
 
 
 def _named(part: Column, place: Column) -> Column:
@@ -188,37 +191,48 @@ def _extent(boxes: DataFrame, width: int) -> tuple[int, int]:
     return boxes.agg(F.count(F.lit(1)), F.coalesce(F.sum(letters + 64 + 16 * width), F.lit(0))).first()
 
 
-def _top_arrays(boxes: pd.DataFrame, sensors) -> dict:
-    """The boxes as arrays. Boxes whose modes and codes are the same form a block, so that these are compared once per block."""
-    boxes = boxes.assign(_codes=[None if c is None else tuple(c) for c in boxes["codes"]])
-    same = ["mode_low", "mode_high", "modeless", "_codes", "fewest", "clear", "plain"]
-    boxes["_block"] = boxes.groupby(same, dropna=False, sort=False).ngroup()
-    boxes = boxes.sort_values(["_block", "last_index"], ascending=[True, False])
-    blocks = boxes.drop_duplicates("_block")
+def _pages(level: DataFrame) -> DataFrame:
+    """``box_id, page``: the boxes inside each box of the next level, as a struct of arrays."""
+    columns = [c for c in level.columns if c != "parent_id"]
+    grouped = level.groupBy(F.col("parent_id").alias("box_id")).agg(F.collect_list(F.struct(*columns)).alias("inside"))
+    return grouped.select("box_id", F.struct(*[F.col("inside")[c].alias(c) for c in columns]).alias("page"))
+
+
+def _arrays(boxes: dict, sensors) -> dict:
+    """Boxes, given as lists, as arrays. Boxes whose modes and codes are the same form a block, so that these are compared once per block."""
+    blocks: dict[tuple, int] = {}
+    number = []
+    for low, high, modeless, codes, fewest, clear, plain in zip(*(boxes[c] for c in ("mode_low", "mode_high", "modeless", "codes", "fewest", "clear", "plain")), strict=True):
+        # A mode that is missing is not equal to itself.
+        modes = (None, None) if low is None or low != low else (low, high)
+        number.append(blocks.setdefault((*modes, modeless, None if codes is None else tuple(codes), fewest, clear, plain), len(blocks)))
+    block, last = np.array(number, int), np.array(boxes["last_index"], np.int64)
+    order = np.lexsort((-last, block))
     holders: dict[str, list[int]] = {}
-    for i, codes in enumerate(blocks["_codes"]):
-        for c in codes or ():
+    for i, key in enumerate(blocks):
+        for c in key[3] or ():
             holders.setdefault(c, []).append(i)
-    edges = {n: np.array(boxes[n].tolist(), dtype=float).reshape(len(boxes), len(sensors)).T.copy() for n in ("low", "high")}
+    edges = {n: np.array([list(v) for v in boxes[n]], dtype=float).reshape(len(block), len(sensors))[order].T.copy() for n in ("low", "high")}
+    lists = list(zip(*blocks, strict=True)) or [()] * 7
     return edges | {
-        "ids": boxes["box_id"].to_numpy(), "last": boxes["last_index"].to_numpy(), "block": boxes["_block"].to_numpy(), "rows": boxes["rows"].to_numpy(),
-        "sizes": np.bincount(boxes["_block"], minlength=len(blocks)), "mode_low": blocks["mode_low"].to_numpy(dtype=float), "mode_high": blocks["mode_high"].to_numpy(dtype=float),
-        "any": np.array([c is None for c in blocks["_codes"]], bool), "fewest": blocks["fewest"].to_numpy(dtype=float), "clear": blocks["clear"].to_numpy(dtype=float),
-        "plain": blocks["plain"].to_numpy(dtype=bool), "holders": {c: np.array(at) for c, at in holders.items()},
+        "ids": np.array(boxes["box_id"], np.int64)[order], "last": last[order], "block": block[order], "rows": np.array(boxes["rows"], np.int64)[order],
+        "sizes": np.bincount(block, minlength=len(blocks)), "mode_low": np.array(lists[0], dtype=float), "mode_high": np.array(lists[1], dtype=float),
+        "any": np.array([c is None for c in lists[3]], bool), "fewest": np.array(lists[4], dtype=float), "clear": np.array(lists[5], dtype=float),
+        "plain": np.array(lists[6], dtype=bool), "holders": {c: np.array(at) for c, at in holders.items()},
     }
 
 
-class _TopBoxes:
-    """Upper score bounds of the boxes of the last level for a batch of incidents.
+class _Boxes:
+    """Upper score bounds of a bounded set of boxes, the last level or a page of another, for a batch of incidents.
 
     Codes and modes are compared once per block; distances are computed only to the boxes of blocks that can still matter.
     """
 
-    def __init__(self, top: dict, sensors, weights, k: int, seed_boxes: int):
-        self.__dict__.update(top)
+    def __init__(self, arrays: dict, sensors, weights, k: int):
+        self.__dict__.update(arrays)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.sensors, self.weights, self.k, self.seed_boxes = sensors, weights, k, seed_boxes
-        self.width = min(max(k, seed_boxes), len(self.ids))
+        self.sensors, self.weights, self.k = sensors, weights, k
+        self.width = min(max(k, SEED_BOXES), len(self.ids))
         self.slack = _slack(weights)
 
     def _shared(self, lists) -> np.ndarray:
@@ -280,7 +294,7 @@ class _TopBoxes:
         return np.round(upper + self.slack, SCORE_DIGITS)
 
     def seeds(self, pdf: pd.DataFrame):
-        """Per incident, its ``seed_boxes`` best boxes, or as many more as it takes to hold k rows."""
+        """Per incident, its ``SEED_BOXES`` best boxes, or as many more as it takes to hold k rows."""
         jaccard, same_mode, fixed = self._block_scores(pdf)
         # Look at the best blocks only, as many as it takes to see enough boxes.
         order = np.argsort(-fixed, axis=1)
@@ -291,7 +305,8 @@ class _TopBoxes:
         # Ties go to the larger last index; the step is far below the score grid.
         rank = np.empty(len(self.ids))
         rank[np.argsort(-self.last)] = np.arange(len(self.ids)) * (1e-10 / max(1, len(self.ids)))
-        key = rank[node] - self._upper(pdf, row, node, fixed)
+        upper = self._upper(pdf, row, node, fixed)
+        key = rank[node] - upper
         ends = np.cumsum(np.bincount(row, minlength=len(pdf)))
         chosen = []
         for start, end in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True):
@@ -299,10 +314,10 @@ class _TopBoxes:
             best = np.argpartition(line, self.width - 1)[: self.width] if len(line) > self.width else np.arange(len(line))
             best = start + best[np.argsort(line[best])]
             held = np.cumsum(self.rows[node[best]]) - self.rows[node[best]]
-            chosen.append(best[(np.arange(len(best)) < self.seed_boxes) | (held < self.k)])
+            chosen.append(best[(np.arange(len(best)) < SEED_BOXES) | (held < self.k)])
         chosen = np.concatenate(chosen)
-        row, node = row[chosen], node[chosen]
-        return row, node, jaccard[row, self.block[node]], same_mode[row, self.block[node]]
+        row, node, upper = row[chosen], node[chosen], upper[chosen]
+        return row, node, jaccard[row, self.block[node]], same_mode[row, self.block[node]], upper
 
     def reaching(self, pdf: pd.DataFrame):
         """Per incident, all boxes that may hold a row ranking at or above the k-th best known one."""
@@ -315,28 +330,75 @@ class _TopBoxes:
         level = np.abs(upper - floor[row]) <= 1e-10
         keep = np.where(level, self.last[node] >= floor_index[row], upper > floor[row])
         row, node = row[keep], node[keep]
-        return row, node, jaccard[row, self.block[node]], same_mode[row, self.block[node]]
+        return row, node, jaccard[row, self.block[node]], same_mode[row, self.block[node]], upper[keep]
+
+
+def _pair_schema(probes: DataFrame) -> T.StructType:
+    added = [T.StructField(c, T.LongType()) for c in ("box_id", "_last")] + [T.StructField(c, T.DoubleType()) for c in ("dtc_similarity", "mode_similarity", "_bound")]
+    return T.StructType([*probes.schema.fields, *added])
+
+
+def _opened(boxes: _Boxes, batch: pd.DataFrame, second_pass: bool):
+    """The (incident, box) pairs worth opening of a batch of incidents, with the box's code and mode similarity."""
+    for pdf in boxes.batches(batch):
+        if len(boxes.ids) == 0:
+            continue
+        row, box, jaccard, same_mode, upper = boxes.reaching(pdf) if second_pass else boxes.seeds(pdf)
+        yield pdf.iloc[row].reset_index(drop=True).assign(box_id=boxes.ids[box], _last=boxes.last[box], dtc_similarity=jaccard, mode_similarity=same_mode, _bound=upper)
 
 
 def _pairs(probes: DataFrame, index: SimilarityIndex, weights, k: int, second_pass: bool) -> DataFrame:
-    """(incident, box) pairs of the last level worth opening, with the box's code and mode similarity."""
-    added = [T.StructField("box_id", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("dtc_similarity", "mode_similarity"))]
-    schema = T.StructType([*probes.schema.fields, *added])
+    """(incident, leaf) pairs with their similarities: from the last level down, at most 64 boxes inside each open box are looked at, and those whose bound is too low stay closed."""
     shared, sensors = index.top(), index.sensors
-    # Leaves are cheap to score, so a few more give a better floor.
-    seed_boxes = 1 if len(index.levels) > 1 else SEED_NODES
-
     def route(batches):
-        boxes = _TopBoxes(shared.value, sensors, weights, k, seed_boxes)
+        boxes = _Boxes(shared.value, sensors, weights, k)
         for batch in batches:
-            for pdf in boxes.batches(batch):
-                if len(boxes.ids) == 0:
-                    continue
-                row, box, jaccard, same_mode = boxes.reaching(pdf) if second_pass else boxes.seeds(pdf)
-                yield pdf.iloc[row].reset_index(drop=True).assign(box_id=boxes.ids[box], dtc_similarity=jaccard, mode_similarity=same_mode)
+            yield from _opened(boxes, batch, second_pass)
 
     # Few bytes but much arithmetic per incident: spread over all tasks, whatever the size of the table.
-    return probes.repartition(shuffle_partitions(probes), *_PROBE_KEY).mapInPandas(route, schema)
+    pairs = probes.repartition(shuffle_partitions(probes), *_PROBE_KEY).mapInPandas(route, _pair_schema(probes))
+    for number in reversed(range(len(index.pages))):
+        pairs = _descend(materialise(pairs, "pairs"), probes, index.pages[number], sensors, weights, k, second_pass)
+    return pairs.drop("_last", "_bound")
+
+
+def _descend(pairs: DataFrame, probes: DataFrame, pages: DataFrame, sensors, weights, k: int, second_pass: bool) -> DataFrame:
+    """Open the boxes of ``pairs``: each page travels to its incidents once, and once more for every ``PAIRS_PER_PAGE`` of them if there are many."""
+    counts = pairs.groupBy("box_id").agg(F.count(F.lit(1)).alias("n"))
+    total, most = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    # At most 100,000 boxes are popular by this measure, whatever the number of pairs.
+    limit = max(PAIRS_PER_PAGE, total // 100_000)
+    columns = probes.columns
+    pairs = pairs.select("box_id", *columns).withColumn("_copy", F.lit(0).cast("long"))
+    fields = pages.schema["page"].dataType.names
+    wanted = pages.join(counts, "box_id").select("box_id", "page", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {limit}"))).alias("_copy"))
+    if most > limit:
+        popular = counts.filter(F.col("n") > limit).select("box_id", F.expr(f"(n - 1) div {limit} + 1").alias("_copies"))
+        spread = F.pmod(F.xxhash64(*_PROBE_KEY), F.coalesce("_copies", F.lit(1).cast("long")))
+        pairs = pairs.join(F.broadcast(popular), "box_id", "left").withColumn("_copy", spread).drop("_copies")
+    blank = [F.lit(0).cast("long").alias(c) if c in _PROBE_KEY else F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in columns]
+    both = wanted.select("box_id", "_copy", *blank, *[F.col("page")[c].alias("_g_" + c) for c in fields]).unionByName(pairs, allowMissingColumns=True)
+    # A page comes before its incidents.
+    both = both.repartition(shuffle_partitions(probes), "box_id", "_copy").sortWithinPartitions("box_id", "_copy", F.isnull("_g_box_id"))
+
+    def walk(batches):
+        boxes = None
+        for batch in batches:
+            heads = np.flatnonzero(batch["_g_box_id"].notna().to_numpy()).tolist()
+            for start, end in zip([0, *heads], [*heads, len(batch)], strict=True):
+                if start in heads and end > start:
+                    head = {c: batch["_g_" + c].iat[start] for c in fields}
+                    boxes = _Boxes(_arrays(head, sensors), sensors, weights, k)
+                    start += 1
+                if end > start:
+                    yield from _opened(boxes, batch[columns].iloc[start:end], second_pass)
+
+    found = both.mapInPandas(walk, _pair_schema(probes))
+    if second_pass:
+        return found
+    # The best of all pages go on. Every box holds a row, so they hold k rows (or these are all there are).
+    order = W.partitionBy(*_PROBE_KEY).orderBy(F.col("_bound").desc(), F.col("_last").desc())
+    return found.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= max(k, SEED_BOXES)).drop("_r")
 
 
 def _score(weights, squares):
@@ -356,67 +418,22 @@ def _sum(terms):
     return total
 
 
-def _similarities(weights) -> tuple[Column, Column, Column]:
-    """Code and mode similarity of an incident (``codes``, mode) and a box (``_b…``), like ``_block_scores``; and the most they add to a score."""
-    shared = F.when(F.isnull("_b_codes"), F.size("codes")).otherwise(F.size(F.array_intersect("codes", "_b_codes"))).cast("double")
-    union = F.size("codes") + F.greatest(F.col("_b_fewest").cast("double"), shared) - shared
-    jaccard = F.when(F.size("codes") == 0, F.col("_b_clear").cast("double")).otherwise(F.when(union > 0, shared / union).otherwise(0.0))
-    same_mode = F.coalesce(F.col(MODE).between(F.col("_b_mode_low"), F.col("_b_mode_high")), F.lit(False)).cast("double")
-    fixed = F.lit(0.0)
-    for weight, part in ((weights["dtc"], jaccard), (weights["mode"], same_mode)):
-        fixed = fixed + (F.lit(weight) * part if weight >= 0 else F.when(F.col("_b_plain"), F.lit(weight) * part).otherwise(0.0))
-    return jaccard, same_mode, fixed
-
-
-def _box_bound(index: SimilarityIndex, weights, fixed: Column) -> Column:
-    """Upper score bound of a box, rounded like the scores."""
-    gaps = []
-    for i, s in enumerate(index.sensors):
-        below, above = F.col("_b_low")[i] - F.col("z_" + s), F.col("z_" + s) - F.col("_b_high")[i]
-        if weights["sensor"] >= 0:
-            gaps.append(F.greatest(below, above, F.lit(0.0)))
-        else:
-            gaps.append(F.greatest(F.abs(below), F.abs(above)))
-    sensor = F.lit(weights["sensor"]) / (F.lit(1.0) + F.sqrt(_sum([g * g for g in gaps])))
-    return F.round(sensor + fixed + F.lit(_slack(weights)), SCORE_DIGITS)
-
-
 def _join_leaves(pairs: DataFrame, leaves: DataFrame, key: str) -> DataFrame:
     """Join incidents to leaves. The optimizer cannot know how many pairs there are, so it must not broadcast them.
 
-    A small set of leaves or boxes is broadcast; otherwise both sides are shuffled, and AQE splits the pairs of a popular one.
+    A small set of leaves is broadcast; otherwise both sides are shuffled, and AQE splits the pairs of a popular one.
     """
     if is_small(leaves.select(key), MAX_BROADCAST_LEAVES):
         return pairs.join(F.broadcast(leaves), key)
     return pairs.hint("merge").join(leaves, key)
 
 
-def _descend(pairs: DataFrame, index: SimilarityIndex, weights, k: int, second_pass: bool) -> DataFrame:
-    """(incident, leaf) pairs with their similarities. Level by level, at most 64 boxes inside each box are looked at, and those whose bound is too low are left."""
-    carried = [c for c in pairs.columns if c not in ("box_id", "dtc_similarity", "mode_similarity")]
-    for level in reversed(index.levels[:-1]):
-        inside = level.select(F.col("parent_id").alias("box_id"), *[F.col(c).alias("_b_" + c) for c in level.columns if c != "parent_id"])
-        opened = _join_leaves(pairs.select(*carried, "box_id"), inside, "box_id")
-        jaccard, same_mode, fixed = _similarities(weights)
-        opened = opened.withColumns({"dtc_similarity": jaccard, "mode_similarity": same_mode, "_bound": _box_bound(index, weights, fixed)})
-        if second_pass:
-            even = F.abs(F.col("_bound") - F.col("floor_score")) <= 1e-10
-            reaches = F.when(even, F.col("_b_last_index") >= F.col("floor_index")).otherwise(F.col("_bound") > F.col("floor_score"))
-            picked = opened.filter(F.col("floor_score").isNull() | reaches)
-        else:
-            # Every box holds a row, so the k best hold k rows (or these are all there are).
-            order = W.partitionBy(*_PROBE_KEY).orderBy(F.col("_bound").desc(), F.col("_b_last_index").desc())
-            picked = opened.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k)
-        pairs = picked.select(*carried, F.col("_b_box_id").alias("box_id"), "dtc_similarity", "mode_similarity")
-    return pairs
-
-
-def _scored(pairs: DataFrame, index: SimilarityIndex, weights, k: int, second_pass: bool) -> DataFrame:
-    """Exact scores of all history rows in the leaves reached from ``pairs``."""
+def _scored(probes: DataFrame, index: SimilarityIndex, weights, k: int, second_pass: bool) -> DataFrame:
+    """Exact scores of all history rows in the leaves that the probes reach."""
+    reached = _pairs(probes, index, weights, k, second_pass).drop("codes", MODE)
     query = [F.col("z_" + s).alias("q_" + s) for s in index.sensors]
-    keep = [c for c in ("floor_score", "floor_index") if c in pairs.columns]
+    keep = [c for c in ("floor_score", "floor_index") if c in probes.columns]
     leaves = index.leaves.select(F.col("leaf_id").alias("box_id"), "dtc_signature", MODE, "members")
-    reached = _descend(pairs, index, weights, k, second_pass).drop("codes", MODE)
     members = _join_leaves(reached, leaves, "box_id").select(
         *_PROBE_KEY, *keep, "dtc_similarity", "mode_similarity", "dtc_signature", MODE, *query, F.inline("members")
     )
@@ -460,17 +477,14 @@ def similar_topk(
     probes = keyed.groupBy(*_PROBE_KEY).agg(*[F.first(c).alias(c) for c in content])
     probes = materialise(probes, "probes")
 
-    def scored(df, second_pass):
-        return _scored(_pairs(df, index, weights, k, second_pass), index, weights, k, second_pass)
-
-    seeds = _best(scored(probes, second_pass=False), k)
+    seeds = _best(_scored(probes, index, weights, k, second_pass=False), k)
     floors = seeds.groupBy(*_PROBE_KEY).agg(
         F.max(F.when(F.col("rank") == k, F.col("_rank_score"))).alias("floor_score"),
         F.max(F.when(F.col("rank") == k, F.col("historical_index"))).alias("floor_index"),
     )
     floors = materialise(probes.join(floors, _PROBE_KEY, "left"), "floors")
     # A cheap test that drops nearly all rows before the exact ranking; the slack is wider than the rounding of scores.
-    reached = scored(floors, second_pass=True).filter(
+    reached = _scored(floors, index, weights, k, second_pass=True).filter(
         F.col("floor_score").isNull() | (F.col("similarity_score") > F.col("floor_score") - F.lit(2e-9))
     )
     best = _best(reached.drop("floor_score", "floor_index"), k)

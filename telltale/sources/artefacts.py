@@ -52,8 +52,9 @@ def load_model(spark: SparkSession, path: str) -> AnomalyModel:
 
 def save_index(spark: SparkSession, index: SimilarityIndex, path: str) -> None:
     index.leaves.write.mode("overwrite").parquet(f"{path}/leaves")
-    for number, boxes in enumerate(index.levels):
-        boxes.write.mode("overwrite").parquet(f"{path}/level-{number}")
+    for name, tables in (("level", index.levels), ("pages", index.pages)):
+        for number, boxes in enumerate(tables):
+            boxes.write.mode("overwrite").parquet(f"{path}/{name}-{number}")
     rows = [(i, s, len(index.levels)) for i, s in enumerate(index.sensors)]
     meta = spark.createDataFrame(rows, "position int, sensor string, levels int")
     meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
@@ -63,7 +64,8 @@ def save_index(spark: SparkSession, index: SimilarityIndex, path: str) -> None:
 def load_index(spark: SparkSession, path: str) -> SimilarityIndex:
     meta = spark.read.parquet(f"{path}/meta").orderBy("position").collect()
     levels = [spark.read.parquet(f"{path}/level-{number}") for number in range(meta[0]["levels"])]
-    return SimilarityIndex(spark.read.parquet(f"{path}/leaves"), levels, load_scaler(spark, f"{path}/scaler"), tuple(r["sensor"] for r in meta))
+    pages = [spark.read.parquet(f"{path}/pages-{number}") for number in range(len(levels) - 1)]
+    return SimilarityIndex(spark.read.parquet(f"{path}/leaves"), levels, pages, load_scaler(spark, f"{path}/scaler"), tuple(r["sensor"] for r in meta))
 
 
 def save_knowledge(docs: DataFrame, path: str, encoder_model: TextEncoder | None = None) -> None:

@@ -62,6 +62,7 @@ def test_equals_brute_force(tables, monkeypatch, most, k, weights):
         monkeypatch.setattr(SIM, "LEAF_BITS", 3)
         monkeypatch.setattr(SIM, "MAX_BROADCAST_LEAVES", 1)
         monkeypatch.setattr(SIM, "MOST_BOX_CODES", 4)
+        monkeypatch.setattr(SIM, "PAIRS_PER_PAGE", 40)
     index = SIM.build_index(history, scaler, most_boxes=most)
     counts = [level.count() for level in index.levels]
     assert counts[-1] <= most and len(counts) >= {SIM.MOST_TOP_BOXES: 1, 300: 1, 12: 4, 1: 5}[most]
@@ -86,7 +87,7 @@ def test_boxes_bound_their_rows(tables):
     for k, weights in CASES:
         best = SIM.similar_topk(asked, index, 1, weights).toPandas().set_index("incident_id")["similarity_score"]
         for table in boxes:
-            top = SIM._TopBoxes(SIM._top_arrays(table, SENSORS), SENSORS, weights, k, 1)
+            top = SIM._Boxes(SIM._arrays(table.to_dict("list"), SENSORS), SENSORS, weights, k)
             _, _, fixed = top._block_scores(probes)
             row, box = top._expand(np.ones(fixed.shape, bool))
             most = np.full(len(probes), -np.inf)
