@@ -17,6 +17,7 @@ from telltale.functions.validation import query_text_error
 from telltale.plans.preprocess import preprocess
 from telltale.session import materialise, scratch_scope
 from telltale.operators.quality import content_groups, report_of_groups
+from telltale.operators import vectors as VEC
 from telltale.operators.vectors import nearest
 from telltale.schemas import SENSORS
 from telltale.workload import queries as W
@@ -167,6 +168,47 @@ def test_neighbours_by_blocks(spark, sf_dir):
     assert key(whole) == expected
 
 
+def test_pivot_cells_equal_brute_force_and_visit_few_cells(spark):
+    """Clustered vectors, a third of them equal: the exact neighbours, and a query visits far fewer cells than there are."""
+    draw = np.random.default_rng(5)
+    centres = draw.normal(scale=20, size=(40, 8))
+    vectors = [(centres[i % 40] + draw.normal(size=8)).tolist() for i in range(1200)] + [centres[0].tolist()] * 600
+    docs = spark.createDataFrame(list(enumerate(vectors)), "doc_id long, embedding array<double>").repartition(6)
+    asked = [(i, (centres[i % 40] + draw.normal(size=8)).tolist(), 1 + i % 7) for i in range(200)] + [(900, centres[0].tolist(), 700), (901, [0.0] * 8, 2000), (902, centres[1].tolist(), 0)]
+    queries = spark.createDataFrame(asked, "query_id long, embedding array<double>, k int")
+    got = {}
+    for r in nearest(queries, docs, broadcast_values=500, block_rows=100).collect():
+        got.setdefault(r["query_id"], []).append((r["neighbour_rank"], r["doc_id"]))
+    table = np.array(vectors)
+    expected = {}
+    for q, v, k in asked:
+        best = np.argsort(((table - np.array(v)) ** 2).sum(axis=1), kind="stable")[:k]
+        if k:
+            expected[q] = [(n + 1, int(d)) for n, d in enumerate(best)]
+    assert {q: sorted(rows) for q, rows in got.items()} == expected
+    cells = VEC.PivotCells(docs, 40, 8, 100)
+    bound = queries.filter("query_id < 200").withColumn("bound", F.lit(8.0))
+    visits = cells.visits(bound, "bound").count()
+    assert 200 <= visits + 200 <= 0.15 * 200 * len(cells.pivots)
+    far = VEC._distances(pd.Series(vectors), cells.pivots)
+    direct = np.sqrt(((table[:, None, :] - cells.pivots[None, :, :]) ** 2).sum(axis=2))
+    assert np.abs(far - direct).max() < 1e-9
+
+
+@pytest.mark.parametrize("values", [VEC.BROADCAST_VALUES, 30, 1])
+def test_bad_vectors_change_only_their_own_rows(spark, values):
+    nan, inf = float("nan"), float("inf")
+    good = [(i, [float(i), 1.0, 0.0]) for i in range(12)]
+    bad = [(50, None), (51, []), (52, [1.0, None, 2.0]), (53, [nan, 0.0, 0.0]), (54, [0.0, inf, 0.0]), (55, [1.0, 2.0])]
+    docs = spark.createDataFrame(good + bad, "doc_id long, embedding array<double>")
+    queries = docs.withColumnRenamed("doc_id", "query_id").withColumn("k", F.lit(2))
+    rows = nearest(queries, docs, broadcast_values=values, block_rows=5).collect()
+    found = {(r["query_id"], r["neighbour_rank"]): r["doc_id"] for r in rows}
+    assert {q for q, _ in found} == set(range(12)) and all(found[i, 1] == i for i in range(12))
+    assert found[0, 2] == 1 and found[5, 2] == 4 and len(rows) == 24
+    assert nearest(queries, docs.filter("doc_id > 49 AND doc_id < 55")).count() == 0
+
+
 @pytest.mark.parametrize("scale", [1e-4, 1.0, 1e6])
 def test_neighbours_at_any_norm(spark, scale):
     docs = spark.createDataFrame([(i, [scale * (1 + i * 1e-7), 0.0]) for i in range(50)], "doc_id long, embedding array<double>")
