@@ -291,11 +291,12 @@ define(
     "SELECT tree, " + ", ".join(f"1 + {_md5(f"'42:', tree, ':{x}'", 8)} % {_PRIME - 1} AS {x}" for x in "abc") + " FROM (SELECT unnest(range(100)) AS tree) t",
     [],
 )
+define("forest_hashed", f"SELECT historical_index, {_md5("'42:', historical_index", 15)} AS h FROM history", ["history"])
 define(
     "forest_drawn",
     f"""SELECT tree, historical_index FROM (SELECT tree, historical_index, row_number() OVER (PARTITION BY tree ORDER BY
-          (a * (historical_index % {_PRIME}) + b * (historical_index // {_PRIME}) + c) % {_PRIME}, historical_index) AS r FROM history, forest_lots) d WHERE r <= 256""",
-    ["history", "forest_lots"],
+          (a * (h >> 30) + b * (h & 1073741823) + c) % {_PRIME}, historical_index) AS r FROM forest_hashed, forest_lots) d WHERE r <= 256""",
+    ["forest_hashed", "forest_lots"],
 )
 define("forest_rows_0", f"SELECT tree, CAST(1 AS BIGINT) AS node, {_values()} AS z FROM forest_drawn JOIN zhistory USING (historical_index)", ["forest_drawn", "zhistory"])
 for _level in range(FOREST_DEPTH + 1):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 import numpy as np
@@ -125,17 +126,32 @@ def test_samples_of_a_large_table(spark):
     rows = 150_000
     df = spark.range(rows).withColumnRenamed("id", "historical_index")
     picked = FOR.draw_samples(df.repartition(7), "historical_index", [], trees=7, size=32).collect()
-    at = np.arange(rows, dtype=object)
+    numbers = [int(hashlib.md5(f"42:{i}".encode()).hexdigest()[:15], 16) for i in range(rows)]
     for tree in range(7):
-        a, _, c = (1 + FOR._digits(f"42:{tree}:{x}", 8) % (FOR.PRIME - 1) for x in "abc")
-        draws = [(int((a * i + c) % FOR.PRIME), i) for i in at]
+        a, b, c = (1 + FOR._digits(f"42:{tree}:{x}", 8) % (FOR.PRIME - 1) for x in "abc")
+        draws = [((a * (n >> 30) + b * (n & (2**30 - 1)) + c) % FOR.PRIME, i) for i, n in enumerate(numbers)]
         assert {r.historical_index for r in picked if r.tree == tree} == {i for _, i in sorted(draws)[:32]}
 
 
-def test_samples_double_their_share(spark, monkeypatch):
-    monkeypatch.setattr(FOR, "_share", lambda rows, of: 0.001)
-    picked = FOR.draw_samples(spark.range(2000).withColumnRenamed("id", "historical_index"), "historical_index", [], trees=3, size=100)
-    assert [r["count"] for r in picked.groupBy("tree").count().collect()] == [100] * 3
+def test_samples_follow_no_period_of_the_table(spark):
+    """A sample holds about as many phases of a period as a random one, and two trees share about as many rows as chance gives."""
+    rows, size = 60_000, 256
+    picked = FOR.draw_samples(spark.range(rows).withColumnRenamed("id", "historical_index"), "historical_index", [], trees=40, size=size).toPandas()
+    groups = [set(part["historical_index"]) for _, part in picked.groupby("tree")]
+    assert all(len(g) == size for g in groups)
+    for period, least in ((60, 54), (1000, 205)):
+        random = period * (1 - (1 - 1 / period) ** size)
+        phases = [len({i % period for i in g}) for g in groups]
+        assert min(phases) >= least and abs(np.mean(phases) - random) < 0.03 * random
+    gaps = [len(set(np.diff(sorted(g)))) for g in groups]
+    assert min(gaps) > 150
+    shared = [len(a & b) for i, a in enumerate(groups) for b in groups[:i]]
+    assert np.mean(shared) < 3 * size * size / rows and max(shared) < 15
+
+
+def test_fewer_rows_than_a_sample(spark):
+    picked = FOR.draw_samples(spark.range(20).withColumnRenamed("id", "historical_index"), "historical_index", [], trees=3, size=100)
+    assert [r["count"] for r in picked.groupBy("tree").count().collect()] == [20] * 3
 
 
 # --- Vectors ---
