@@ -689,6 +689,17 @@ def vector_knn(spark, sf_dir):
     return near.select("query_id", "doc_id", *_long("neighbour_rank"), _r("squared_distance"), RET.similarity_of_distance(F.col("squared_distance")).alias("score"))
 
 
+@registered("SELECT 5 * count(*) AS neighbours, true AS nine_of_ten_found FROM embeddings")
+def vector_knn_approximate(spark, sf_dir):
+    """How many exact neighbours there are, and whether the search by buckets finds at least 90 % of them."""
+    vectors = X.table(spark, sf_dir, "embeddings")
+    queries = vectors.select(F.col("vec_id").alias("query_id"), "embedding", F.lit(5).alias("k"))
+    docs = vectors.withColumnRenamed("vec_id", "doc_id")
+    found = VEC.approximate_nearest(queries, docs).select("query_id", "doc_id", F.lit(1).alias("hit"))
+    exact = VEC.nearest(queries, docs).select("query_id", "doc_id")
+    return exact.join(found, ["query_id", "doc_id"], "left").agg(F.count(F.lit(1)).alias("neighbours"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("nine_of_ten_found"))
+
+
 @registered(Q.query("SELECT query_id, CAST(position AS BIGINT) AS position, match_type, doc_id, score FROM hybrid", "hybrid"))
 def hybrid_retrieve(spark, sf_dir):
     return RET.retrieve(hybrid_queries(spark, sf_dir), vector_docs(spark, sf_dir), 5).select("query_id", *_long("position"), "match_type", "doc_id", "score")

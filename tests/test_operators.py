@@ -211,6 +211,25 @@ def test_pivot_cells_equal_brute_force_and_visit_few_cells(spark):
     assert np.abs(far - direct).max() < 1e-9
 
 
+def test_buckets_find_neighbours_and_skip_the_rest(spark):
+    """Clustered vectors, a third of them copies: at least nine in ten exact neighbours, with exact distances, from few candidates."""
+    draw = np.random.default_rng(6)
+    centres = draw.normal(scale=20, size=(30, 16))
+    vectors = [(centres[i % 30] + draw.normal(size=16)).tolist() for i in range(900)] + [centres[3].tolist()] * 450
+    docs = spark.createDataFrame(list(enumerate(vectors)), "doc_id long, embedding array<double>").repartition(4)
+    asked = [(i, (centres[i % 30] + draw.normal(size=16)).tolist(), 1 + i % 5) for i in range(150)] + [(500, centres[3].tolist(), 400), (501, [float("nan")] * 16, 3), (502, None, 3)]
+    queries = spark.createDataFrame(asked, "query_id long, embedding array<double>, k int")
+    exact = {(r["query_id"], r["doc_id"]): r["squared_distance"] for r in nearest(queries, docs).collect()}
+    found = {(r["query_id"], r["doc_id"]): r["squared_distance"] for r in VEC.approximate_nearest(queries, docs).collect()}
+    assert len(exact.keys() & found.keys()) >= 0.9 * len(exact)
+    assert all(found[p] == pytest.approx(exact[p]) for p in exact.keys() & found.keys())
+    assert sorted(d for q, d in found if q == 500) == list(range(900, 1300))
+    buckets = VEC.Buckets(16, 12.0, 8, 3, 1)
+    keys, others = buckets.keys(np.array(vectors[:30]), 4), buckets.keys(np.array(vectors[30:900]), 0)
+    meet = sum(np.isin(others[:, t, 0], keys[0, t]) for t in range(8)) > 0
+    assert 0 < meet.sum() < 0.5 * len(meet) and VEC.approximate_nearest(queries, docs.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("values", [VEC.BROADCAST_VALUES, 30, 1])
 def test_bad_vectors_change_only_their_own_rows(spark, values):
     nan, inf = float("nan"), float("inf")
