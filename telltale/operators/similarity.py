@@ -21,14 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telltale.functions.numbers import is_finite, unscaled
+from telltale.operators.code_sets import is_clear
 from telltale.operators.scaling import Scaler, scale
 from telltale.schemas import (
     DEFAULT_WEIGHTS,
     MODE,
     MSG_SIMILAR_NONE,
     MSG_SIMILAR_OK,
-    NO_CODES,
-    NO_FAULT_CODE,
     SENSORS,
     TOP_K_SIMILAR,
 )
@@ -153,17 +152,12 @@ def _named(part: Column, place: Column) -> Column:
     return F.shiftleft(part.cast("long"), SLOT_BITS).bitwiseOR(place.cast("long"))
 
 
-def _is_clear(codes: Column) -> Column:
-    """True for a list that says there is no fault; such a list is all an incident without codes resembles."""
-    return F.forall(codes, lambda c: c == NO_FAULT_CODE) | ((F.size(codes) == 1) & (codes[0] == NO_CODES))
-
-
 def _leaf_boxes(leaves: DataFrame) -> DataFrame:
     codes = F.col("codes")
     return leaves.select(
         F.col("leaf_id").alias("box_id"), F.lit(None).cast("long").alias("parent_id"), "rows", "last_index",
         F.col(MODE).cast("double").alias("mode_low"), F.col(MODE).cast("double").alias("mode_high"), F.isnull(MODE).alias("modeless"),
-        "codes", F.size(codes).alias("fewest"), _is_clear(codes).alias("clear"), F.lit(True).alias("plain"), "low", "high",
+        "codes", F.size(codes).alias("fewest"), is_clear(codes).alias("clear"), F.lit(True).alias("plain"), "low", "high",
     )
 
 

@@ -24,6 +24,7 @@ from telltale.operators import retrieval as RET
 from telltale.operators import scaling as SCALE
 from telltale.operators import similarity as SIM
 from telltale.operators import vectors as VEC
+from telltale.operators.code_sets import code_similarities
 from telltale.operators.scaling import Scaler, scaler_values
 from telltale.plans.analyze import Resources, analyze_incidents, find_matches
 from telltale.plans.anomaly_model import AnomalyModel, fit_anomaly_model
@@ -376,8 +377,22 @@ def sensor_similarity(spark, sf_dir):
     return _component(spark, sf_dir, "sensor_similarity", _SENSOR_ONLY, 2)
 
 
-@registered(_component_oracle("dtc_similarity", _CODES_ONLY, 2))
+@registered(Q.query(
+    """SELECT q AS incident_codes, h AS history_codes, round(jaccard, 9) AS similarity FROM (
+         SELECT array_to_string(q.codes, ',') AS q, array_to_string(h.codes, ',') AS h,
+           CASE WHEN len(q.codes) = 0 THEN CASE WHEN len(list_filter(h.codes, lambda c: c <> 'P0000')) = 0 OR h.codes = ['NONE'] THEN 1.0::DOUBLE ELSE 0.0 END
+             WHEN len(h.codes) = 0 THEN 0.0
+             ELSE len(list_intersect(q.codes, h.codes))::DOUBLE / len(list_distinct(list_concat(q.codes, h.codes))) END AS jaccard
+         FROM (SELECT DISTINCT list_sort(list_distinct(active_dtcs)) AS codes FROM incidents) q, (SELECT DISTINCT list_sort(list_distinct(active_dtcs)) AS codes FROM zhistory) h) p
+       WHERE jaccard > 0""", "incidents", "zhistory"))
 def code_jaccard(spark, sf_dir):
+    """Every pair of an incident's and a history's code list that have something in common."""
+    found = code_similarities(incidents(spark, sf_dir), prepared(spark, sf_dir).train)
+    return found.select(F.array_join("left_codes", ",").alias("incident_codes"), F.array_join("right_codes", ",").alias("history_codes"), _r("similarity", 9))
+
+
+@registered(_component_oracle("dtc_similarity", _CODES_ONLY, 2))
+def dtc_similarity(spark, sf_dir):
     return _component(spark, sf_dir, "dtc_similarity", _CODES_ONLY, 2)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from telltale.functions.codes import parse_code_list, signature
 from telltale.operators import similarity as SIM
+from telltale.operators.code_sets import code_similarities
 from telltale.schemas import MODE, SENSORS
 from telltale.workload import queries as W
 
@@ -172,6 +173,18 @@ def test_code_similarity_in_the_engine(spark, tables):
     assert {r["incident_id"]: round(r["dtc_similarity"], 9) for r in found} == {i: round(e, 9) for i, (_, _, e) in enumerate(cases)}
 
 
+@pytest.mark.parametrize("least", [0.0, 0.3, 0.5, 1.0])
+def test_code_join_equals_all_pairs(spark, least):
+    draw = np.random.default_rng(int(10 * least))
+    names = ["P0000", "NONE", *(f"P{i}" for i in range(25))]
+    sides = [[sorted(set(draw.choice(names, size=draw.integers(0, 9), p=np.r_[0.3, 0.1, np.full(25, 0.6 / 25)]).tolist())) for _ in range(120)] + [[], ["NONE"], ["P0000"]] for _ in range(2)]
+    left, right = (spark.createDataFrame([(x + x[:1],) for x in side] + [(None,)], "active_dtcs array<string>") for side in sides)
+    got = [(tuple(r["left_codes"]), tuple(r["right_codes"]), round(r["similarity"], 9)) for r in code_similarities(left, right, least).collect()]
+    expected = {(tuple(a), tuple(b), round(_jaccard(a, b), 9)) for a in sides[0] for b in sides[1] if _jaccard(a, b) > 0 and _jaccard(a, b) >= least - 1e-12}
+    assert len(got) == len(set(got)) and set(got) == expected
+    assert code_similarities(left.limit(0), right, least).count() == 0
+
+
 def test_signature_and_list_text(spark):
     df = spark.createDataFrame([(["b", "a", "a"], "['P1', 'P2']"), ([], "[]"), (None, "no list")], "c array<string>, t string")
     rows = df.select(signature(F.col("c")).alias("s"), parse_code_list(F.col("t")).alias("l")).collect()
