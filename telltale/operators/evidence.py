@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from telltale.functions.codes import is_queryable, signature
 from telltale.operators.deviation import top_feature
 from telltale.operators.retrieval import EXACT, SEMANTIC
-from telltale.schemas import DEFAULT_KB_NAME, MATCH_FIELDS, MSG_NO_SERVICE_HISTORY
+from telltale.schemas import DEFAULT_KB_NAME, MATCH_FIELDS, MSG_NO_SERVICE_HISTORY, MSG_VECTOR
 
 # Sentences of the summary and of the leads, in order.
 FOUND_CASES = "Found {} historically similar operating states."
@@ -73,8 +73,15 @@ def match_arrays(matches: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
+def failed_lists(incidents: DataFrame, failed: DataFrame) -> DataFrame:
+    """``(active_dtcs, retrieval_error)``: the distinct code lists that hold one of the ``failed`` codes (``query_id``), named in order."""
+    codes = incidents.select("active_dtcs").distinct().select("active_dtcs", F.posexplode("active_dtcs").alias("position", "query_id"))
+    hit = codes.join(failed.select("query_id").distinct(), "query_id").groupBy("active_dtcs").agg(F.array_sort(F.collect_list(F.struct("position", "query_id")))["query_id"].alias("codes"))
+    return hit.select("active_dtcs", F.format_string(MSG_VECTOR.replace("{}", "%s"), F.array_join(F.array_distinct("codes"), ", ")).alias("retrieval_error"))
+
+
 def with_matches(incidents: DataFrame, arrays: DataFrame) -> DataFrame:
-    """Attach the match arrays; incidents without matches get empty ones.
+    """Attach the match arrays, and a ``retrieval_error`` if ``arrays`` has one; incidents without matches get empty ones.
 
     Most of a fleet has no code to search for. Such incidents get a key of their own, so the join deals them to all tasks.
     """

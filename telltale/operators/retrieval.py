@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from telltale.functions.codes import extract_codes
 from telltale.functions.validation import query_text_error
 from telltale.operators.knowledge import code_lookup
-from telltale.operators.vectors import nearest
+from telltale.operators.vectors import PreparedDocs, nearest
 from telltale.schemas import CODE_PATTERN, TOP_K_RETRIEVAL
 from telltale.session import materialise
 
@@ -34,13 +34,13 @@ def similarity_of_distance(squared_distance):
     return F.round(F.lit(1.0) / (F.lit(1.0) + squared_distance), 4)
 
 
-def retrieve(queries: DataFrame, docs: DataFrame, top_k: int = TOP_K_RETRIEVAL, lookup: DataFrame | None = None) -> DataFrame:
+def retrieve(queries: DataFrame, docs: DataFrame, top_k: int = TOP_K_RETRIEVAL, lookup: DataFrame | None = None, vectors: PreparedDocs | None = None) -> DataFrame:
     """Up to ``top_k`` documents per query: ``(query_id, position, match_type, doc_id, score)``, position from 1.
 
     ``queries`` has ``query_id, query_text, embedding``; ``docs`` has ``doc_id, code, embedding``. Blank queries give no
     rows (``query_text_error`` names them). The pool of neighbours is ``top_k`` plus the number of exact matches; of
     those, documents whose code is already in the result are dropped, so a result may be shorter than ``top_k``.
-    The texts of the documents are not moved: join them on ``doc_id``.
+    The texts of the documents are not moved: join them on ``doc_id``. ``lookup`` and ``vectors`` are ``searchable_codes`` and ``prepare_docs`` of the documents, if they are at hand.
     """
     if top_k < 1:
         raise ValueError("top_k must be positive.")
@@ -51,7 +51,7 @@ def retrieve(queries: DataFrame, docs: DataFrame, top_k: int = TOP_K_RETRIEVAL,
     named = exact.groupBy("query_id").agg(F.collect_set("lookup_code").alias("_named"))
     asked = queries.select("query_id", "embedding").join(named, "query_id", "left")
     asked = asked.withColumn("k", F.lit(top_k) + F.when(F.col("_named").isNull(), 0).otherwise(F.size("_named")))
-    near = nearest(asked, docs)
+    near = nearest(asked, docs if vectors is None else vectors)
     codes = docs.select("doc_id", F.upper("code").alias("_code"))
     first_of_code = W.partitionBy("query_id", "_code").orderBy("neighbour_rank")
     semantic = (

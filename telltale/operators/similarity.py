@@ -445,25 +445,27 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
 
 
 def similar_topk(
-    incidents: DataFrame, index: SimilarityIndex, k: int = TOP_K_SIMILAR, weights: Mapping[str, float] | None = None
+    incidents: DataFrame, index: SimilarityIndex, k: int = TOP_K_SIMILAR, weights: Mapping[str, float] | None = None, key: str = "incident_id"
 ) -> DataFrame:
     """The ``k`` most similar history rows of every incident, best first.
 
     ``incidents`` has ``incident_id``, numeric sensors, mode and ``active_dtcs``. Ties go to the larger history index.
-    Incidents with a missing or infinite reading get no rows; one without a mode matches no mode.
+    Incidents with a missing or infinite reading get no rows; one without a mode matches no mode. Rows are told apart by the column ``key``, which is part of the result; name
+    another one than ``incident_id`` where that may repeat or be missing.
     """
     if k < 0:
         raise ValueError("k must not be negative.")
     if k == 0:
-        return similar_topk(incidents, index, 1, weights).limit(0)
+        return similar_topk(incidents, index, 1, weights, key).limit(0)
     weights = dict(weights or DEFAULT_WEIGHTS)
     sensors = index.sensors
+    who = list(dict.fromkeys([key, "incident_id"]))
     z = ["z_" + s for s in sensors]
     usable = incidents
     for s in sensors:
         usable = usable.filter(is_finite(F.col(s)))
     keyed = scale(usable, index.scaler, sensors=sensors).select(
-        "incident_id", F.col(MODE).cast("double").alias(MODE), F.array_sort(F.array_distinct("active_dtcs")).alias("codes"), *z
+        *who, F.col(MODE).cast("double").alias(MODE), F.array_sort(F.array_distinct("active_dtcs")).alias("codes"), *z
     )
     # Incidents with equal content have equal answers: search once per content, under a 128-bit key.
     content = [*z, MODE, "codes"]
@@ -483,10 +485,10 @@ def similar_topk(
     )
     best = _best(reached.drop("floor_score", "floor_index"), k)
     return (
-        keyed.select("incident_id", *_PROBE_KEY)
+        keyed.select(*who, *_PROBE_KEY)
         .join(best, _PROBE_KEY)
         .select(
-            "incident_id",
+            *who,
             "rank",
             "historical_index",
             "similarity_score",
@@ -500,15 +502,15 @@ def similar_topk(
     )
 
 
-def nest_cases(incidents: DataFrame, cases: DataFrame, sensors=SENSORS) -> DataFrame:
-    """Add ``similarity``: the cases of each incident as one array, the best score (0.0 without cases), a status text."""
+def nest_cases(incidents: DataFrame, cases: DataFrame, sensors=SENSORS, key: str = "incident_id") -> DataFrame:
+    """Add ``similarity``: the cases of each incident as one array, the best score (0.0 without cases), a status text. ``key`` is that of ``similar_topk``."""
     case = F.struct(
         "rank", "historical_index", "similarity_score", "sensor_similarity", "dtc_similarity", "mode_similarity",
         "dtc_signature", MODE, F.struct(*sensors).alias("original_sensor_values"),
     )
     # At most k rows per incident.
-    nested = cases.groupBy("incident_id").agg(F.array_sort(F.collect_list(case)).alias("_cases"))
-    joined = incidents.join(nested, "incident_id", "left")
+    nested = cases.groupBy(key).agg(F.array_sort(F.collect_list(case)).alias("_cases"))
+    joined = incidents.join(nested, key, "left")
     kept = F.transform("_cases", lambda c: c.dropFields("rank"))
     empty = F.array().cast(joined.select(kept.alias("c")).schema["c"].dataType)
     found = F.col("_cases").isNotNull()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,11 +12,15 @@ from telltale.operators import evidence as E
 from telltale.operators.deviation import detect_anomalies
 from telltale.operators.retrieval import retrieve, searchable_codes
 from telltale.operators.similarity import SimilarityIndex, nest_cases, similar_topk
+from telltale.operators.vectors import PreparedDocs, prepare_docs, usable_vector
 from telltale.plans.anomaly_model import AnomalyModel
 from telltale.plans.knowledge_base import Encoder
 from telltale.schemas import DEFAULT_KB_NAME, MODE, SENSORS, TOP_K_EVIDENCE, TOP_K_SIMILAR
 from telltale.session import materialise, scratch_scope
 
+#: Tells the incidents of a batch apart, whatever their ids.
+ROW = "_incident_row"
+
 
 @dataclass
 class Resources:
@@ -28,30 +32,56 @@ class Resources:
     encoder: Encoder
     kb_name: str = DEFAULT_KB_NAME
     lookup: DataFrame | None = None
+    _vectors: PreparedDocs | None = field(default=None, repr=False)
+
+    def vectors(self) -> PreparedDocs:
+        """The documents' vectors, looked at once and, if they are few, sent to the executors once."""
+        if self._vectors is None:
+            self._vectors = prepare_docs(self.docs)
+        return self._vectors
 
     def prepare(self) -> Resources:
-        """Read what every analysis needs of the static side once: the codes of the knowledge base and the trees.
+        """Read what every analysis needs of the static side once: the codes and vectors of the knowledge base, the top of the index, and the trees.
 
         Call it before a run that opens a scratch scope, since what is stored here must outlive the run.
         """
         if self.lookup is None:
             self.lookup = materialise(searchable_codes(self.docs), "lookup")
+        self.vectors()
+        self.index.top()
         self.model.forest.arrays()
         return self
 
+    def release(self) -> None:
+        """Drop what ``prepare`` sent to the executors; the next analysis sends it again."""
+        self.index.release()
+        if self._vectors is not None and self._vectors.shared is not None:
+            self._vectors.shared.destroy()
+        self._vectors = None
+
+
+def encoded_codes(incidents: DataFrame, resources: Resources) -> DataFrame:
+    """The codes of the batch with the encoder's vectors, and ``usable``: whether the vector is one that can be compared with the documents'."""
+    encoded = resources.encoder(E.code_queries(incidents))
+    return materialise(encoded.withColumn("usable", usable_vector(F.col("embedding"), resources.vectors().width or None)), "encoded")
+
 
-def find_matches(incidents: DataFrame, resources: Resources, top_k: int = TOP_K_EVIDENCE) -> DataFrame:
-    """Retrieve once per distinct code, then collect the matches of every distinct code list."""
-    results = materialise(retrieve(resources.encoder(E.code_queries(incidents)), resources.docs, top_k, resources.lookup), "retrieved")
+def find_matches(incidents: DataFrame, resources: Resources, top_k: int = TOP_K_EVIDENCE, encoded: DataFrame | None = None) -> DataFrame:
+    """Retrieve once per distinct code, then collect the matches of every distinct code list. A code without a usable vector has only its exact matches."""
+    queries = resources.encoder(E.code_queries(incidents)) if encoded is None else encoded.drop("usable")
+    results = materialise(retrieve(queries, resources.docs, top_k, resources.lookup, resources.vectors()), "retrieved")
     return E.list_matches(incidents, results, resources.docs)
 
 
 def _packages(typed: DataFrame, resources: Resources, top_k_similar: int, top_k_rag: int, kb_name: str) -> DataFrame:
     """``typed`` has parsed values and the columns ``similarity_error`` and ``anomaly_error``."""
-    cases = similar_topk(typed.filter("similarity_error IS NULL"), resources.index, top_k_similar)
-    matches = materialise(E.match_arrays(find_matches(typed, resources, top_k_rag), resources.docs), "matches")
-    extra = [c for c in typed.columns if c not in ("incident_id", "similarity_error", "anomaly_error")]
-    nested = nest_cases(typed, cases)
+    cases = similar_topk(typed.filter("similarity_error IS NULL"), resources.index, top_k_similar, key=ROW)
+    encoded = encoded_codes(typed, resources)
+    arrays = E.match_arrays(find_matches(typed, resources, top_k_rag, encoded), resources.docs)
+    failed = E.failed_lists(typed, encoded.filter(~F.col("usable")))
+    matches = materialise(arrays.join(failed, "active_dtcs", "full"), "matches")
+    extra = [c for c in typed.columns if c not in ("incident_id", "similarity_error", "anomaly_error", ROW)]
+    nested = nest_cases(typed, cases, key=ROW)
     judged = detect_anomalies(
         nested, resources.model.forest, resources.index.scaler, resources.model.bands, error=F.col("anomaly_error")
     )
@@ -65,6 +95,7 @@ def _packages(typed: DataFrame, resources: Resources, top_k_similar: int, top_k_
         E.evidence_summary(kb_name).alias("evidence_summary"),
         E.investigation_leads(kb_name).alias("investigation_leads"),
         "similarity_error",
+        "retrieval_error",
     )
 
 
@@ -83,8 +114,9 @@ def analyze_incidents(
 ) -> DataFrame:
     """One row per incident with the nested package.
 
-    ``reject``: an incident that breaks the contract gets only an ``error`` envelope. ``degrade``: no incident is turned
-    away; a bad value empties just the parts that need it.
+    ``reject``: an incident that breaks the contract, or for one of whose codes the encoder gives no usable vector, gets only an ``error`` envelope. ``degrade``: no incident is turned
+    away; a bad value empties just the parts that need it, and a code without a usable vector has no semantic matches. Either way no other incident is affected. Incidents are told apart by row:
+    ids that repeat or are missing give a package each.
     """
     if mode not in ("reject", "degrade"):
         raise ValueError("mode must be 'reject' or 'degrade'.")
@@ -105,11 +137,14 @@ def analyze_incidents(
     good = checked if mode == "degrade" else checked.filter("_error IS NULL")
     # Parsed once and stored: the parts below all start from these rows, and filters on parsed values would otherwise
     # repeat the parsing many times over.
-    good = materialise(V.typed_incidents(good).drop("_error"), "typed-incidents")
+    good = materialise(V.typed_incidents(good).drop("_error").withColumn(ROW, F.monotonically_increasing_id()), "typed-incidents")
     packages = _packages(good, resources, top_k_similar, top_k_rag, resources.kb_name)
-    packages = packages.withColumn("error", V.error_envelope(F.lit(None).cast("string")))
+    internal = F.lit(None).cast("string") if mode == "degrade" else F.col("retrieval_error")
+    packages = packages.withColumn("error", V.error_envelope(F.lit(None).cast("string"), internal))
     if mode == "degrade":
         return packages
+    parts = [c for c in packages.columns if c not in ("incident_id", "error")]
+    packages = packages.withColumns({c: F.when(F.col("error").isNull(), F.col(c)) for c in parts})
     rejected = checked.filter("_error IS NOT NULL").select(
         "incident_id", V.error_envelope(F.col("_error")).alias("error")
     )

@@ -38,6 +38,7 @@ MSG_STRICT_CODES_LIST = "active_dtcs must be a list of strings"
 MSG_QUERY_EMPTY = "Query cannot be empty."
 ERR_VALIDATION = "Input Validation Error"
 ERR_INTERNAL = "Internal Processing Error"
+MSG_VECTOR = "No usable vector for DTC(s): {}."
 MSG_SIMILAR_OK = "Similarity calculation successful."
 MSG_SIMILAR_NONE = "No similar cases found or error."
 MSG_NO_SERVICE_HISTORY = "No real service-history dataset is currently available."

@@ -56,6 +56,19 @@ def scratch_scope(spark: SparkSession) -> Iterator[str]:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def write_whole(df: DataFrame, path: str) -> None:
+    """Write ``df`` as Parquet beside ``path`` under a name that readers skip, then put it in place of what is there: nobody sees a part of it."""
+    spark = df.sparkSession
+    folder, _, name = path.rstrip("/").rpartition("/")
+    jvm = spark.sparkContext._jvm
+    source, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{folder}/_{name}-{uuid.uuid4().hex}", path))
+    df.write.parquet(source.toString())
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(target, True)
+    if not files.rename(source, target):
+        raise OSError(f"Could not move the written table to {path}.")
+
+
 def is_small(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> bool:
     """True if ``df`` has at most ``max_rows`` rows; reads no more than that many plus one."""
     return df.limit(max_rows + 1).count() <= max_rows

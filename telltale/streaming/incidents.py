@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from telltale.operators.evidence import package_json
 from telltale.plans.analyze import Resources, analyze_incidents
 from telltale.schemas import raw_incident_schema
-from telltale.session import materialise, scratch_scope
+from telltale.session import materialise, scratch_scope, write_whole
 
 
 def read_incident_stream(spark: SparkSession, path: str, fmt: str = "parquet", max_files: int = 1000) -> DataFrame:
@@ -23,8 +23,8 @@ def analyze_stream(
 ) -> StreamingQuery:
     """Run the batch analysis on every micro-batch.
 
-    Incidents do not depend on each other, so there is no state and no watermark. A batch is written to its own folder,
-    which a retry replaces, so every incident appears once.
+    Incidents do not depend on each other, so there is no state and no watermark. A batch is put as a whole into a folder of its
+    own, which a retry replaces, so every incident appears once and no reader sees half a batch. Index, vectors, codes and trees are read and sent once, before the first batch.
     """
 
     resources.prepare()
@@ -37,7 +37,7 @@ def analyze_stream(
             packages = analyze_incidents(materialise(batch, "incidents"), resources, mode)
             if as_json:
                 packages = packages.select("incident_id", package_json().alias("package"))
-            packages.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
+            write_whole(packages, f"{output}/batch_id={batch_id}")
 
     writer = incidents.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

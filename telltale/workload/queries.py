@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -191,11 +192,21 @@ def validate_anomaly_input(spark, sf_dir):
 
 
 @registered(Q.query(
-    f"""SELECT incident_id, CASE WHEN m IS NOT NULL THEN 'Input Validation Error' END AS error, m AS message
-        FROM (SELECT incident_id, {Q.INCIDENT_ERROR} AS m FROM raw_incidents) e""", "raw_incidents"))
+    f"""SELECT e.incident_id, CASE WHEN m IS NOT NULL THEN '{S.ERR_VALIDATION}' WHEN f.codes IS NOT NULL THEN '{S.ERR_INTERNAL}' END AS error,
+          coalesce(m, 'No usable vector for DTC(s): ' || f.codes || '.') AS message
+        FROM (SELECT incident_id, {Q.INCIDENT_ERROR} AS m FROM raw_incidents) e
+        LEFT JOIN (SELECT incident_id, string_agg(code, ', ' ORDER BY first) AS codes FROM (SELECT incident_id, code, min(pos) AS first FROM raw_incident_codes WHERE code LIKE '%3' GROUP BY incident_id, code) g
+          GROUP BY incident_id) f ON f.incident_id = e.incident_id""", "raw_incidents", "raw_incident_codes"))
 def error_envelope(spark, sf_dir):
-    raw = X.raw_incidents(spark, sf_dir)
-    return raw.withColumn("e", V.error_envelope(V.incident_error(raw))).select("incident_id", "e.error", "e.message")
+    """Both kinds of error: broken contracts, and an encoder that fails for some codes, which must not touch other incidents."""
+    r = resources(spark, sf_dir)
+
+    def failing(asked: DataFrame) -> DataFrame:
+        vector = F.array(F.lit(float("nan"))).cast("array<float>")
+        return r.encoder(asked).withColumn("embedding", F.when(F.col("query_text").endswith("3"), vector).otherwise(F.col("embedding")))
+
+    out = analyze_incidents(X.raw_incidents(spark, sf_dir), replace(r, encoder=failing))
+    return out.select("incident_id", "error.error", "error.message")
 
 
 _QUERY_TEXT = "CASE WHEN doc_id % 7 = 3 THEN concat(' ', chr(9), chr(10)) WHEN doc_id % 7 = 5 THEN '   ' WHEN doc_id % 11 = 5 THEN NULL ELSE text END"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,6 +125,39 @@ def test_degrade(raw, resources):
         analyze_incidents(raw, resources, mode="other")
 
 
+def test_repeated_and_missing_ids(spark, raw, resources, packages):
+    """Every row has a package of its own, also where ids repeat or are missing."""
+    rows = raw.filter("incident_id IN ('v01', 'v03', 'v11', 'v05')").withColumn("incident_id", F.when(F.col("incident_id") != "v11", F.lit("same")))
+    got = [json.loads(r["json"]) for r in analyze_incidents(rows, resources).withColumn("json", EV.package_json()).collect()]
+    expected = [json.loads(packages[i]["json"]) for i in ("v01", "v03", "v11", "v05")]
+    assert sorted(map(json.dumps, got)) == sorted(map(json.dumps, expected))
+
+
+@pytest.mark.parametrize("vector", [None, [], [float("nan")] * 64, [1.0, 2.0]])
+def test_a_failing_encoder_touches_only_its_own_incidents(raw, resources, packages, vector):
+    def failing(asked):
+        bad = F.lit(None) if vector is None else F.array(*[F.lit(v) for v in vector])
+        return resources.encoder(asked).withColumn("embedding", F.when(F.col("query_text") == "P0404", bad.cast("array<float>")).otherwise(F.col("embedding")))
+
+    rows = {r["incident_id"]: r for r in analyze_incidents(raw, replace(resources, encoder=failing)).withColumn("json", EV.package_json()).collect()}
+    hit = {i for i in CASES if i not in ERRORS and "P0404" in ({**BASE, **CASES[i]}["active_dtcs"] or [])}
+    assert hit and {i: r["json"] for i, r in rows.items() if i not in hit} == {i: r["json"] for i, r in packages.items() if i not in hit}
+    for i in hit:
+        assert tuple(rows[i]["error"]) == ("Internal Processing Error", "No usable vector for DTC(s): P0404.") and rows[i]["similarity"] is None
+        assert json.loads(rows[i]["json"]) == rows[i]["error"].asDict()
+    kept = {r["incident_id"]: r for r in analyze_incidents(raw, replace(resources, encoder=failing), mode="degrade").collect()}
+    assert kept["v01"]["error"] is None and kept["v01"]["rag"]["exact_dtc_matches"] == packages["v01"]["rag"]["exact_dtc_matches"]
+    assert len(kept["v01"]["similarity"]["top_cases"]) == 5 and kept["v01"]["retrieval_error"] == "No usable vector for DTC(s): P0404."
+
+
+def test_static_side_is_sent_once(raw, resources):
+    own = replace(resources, _vectors=None).prepare()
+    top, vectors = own.index.top(), own.vectors()
+    analyze_incidents(raw, own).collect()
+    analyze_incidents(raw, own).collect()
+    assert own.index.top() is top and own.vectors() is vectors
+
+
 def test_severity(spark):
     rows = spark.createDataFrame([(-0.1,), (0.0,), (0.0999,), (0.1,)], "s double").select(severity(F.col("s")).alias("v")).collect()
     assert [r["v"] for r in rows] == ["normal", "moderate", "moderate", "high"]
