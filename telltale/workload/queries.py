@@ -466,13 +466,14 @@ def same_signature_found(spark, sf_dir):
     return nested.select("incident_id", F.exists(F.col("similarity.top_cases"), lambda c: c["dtc_signature"] == sig).alias("same_signature"))
 
 
-_DEVIATIONS = " UNION ALL ".join(
-    f"""SELECT incident_id, '{s}' AS feature, {i} AS ordinal, {s} AS raw_value,
-        CASE WHEN z_{s} < lo_{s} THEN lo_{s} - z_{s} WHEN z_{s} > hi_{s} THEN z_{s} - hi_{s} ELSE 0.0 END AS deviation FROM zincidents, bands"""
-    for i, s in enumerate(SENSORS))
-Q.define("deviations", f"SELECT * FROM ({_DEVIATIONS}) d WHERE deviation > 0", ["zincidents", "bands"])
-Q.define("contribution_text", """SELECT incident_id, string_agg(concat(feature, ':', CAST(CAST(round(deviation * 10000) AS BIGINT) AS VARCHAR)), ',' ORDER BY round(deviation, 12) DESC, ordinal) AS found
-  FROM deviations GROUP BY incident_id""", ["deviations"])
+for _family in ("", "raw_"):
+    _deviations = " UNION ALL ".join(
+        f"""SELECT incident_id, '{s}' AS feature, {i} AS ordinal, {s} AS raw_value,
+            CASE WHEN z_{s} < lo_{s} THEN lo_{s} - z_{s} WHEN z_{s} > hi_{s} THEN z_{s} - hi_{s} ELSE 0.0 END AS deviation FROM {_family}zincidents, bands"""
+        for i, s in enumerate(SENSORS))
+    Q.define(f"{_family}deviations", f"SELECT * FROM ({_deviations}) d WHERE deviation > 0", [f"{_family}zincidents", "bands"])
+    Q.define(f"{_family}contribution_text", f"""SELECT incident_id, string_agg(concat(feature, ':', CAST(CAST(round(deviation * 10000) AS BIGINT) AS VARCHAR)), ',' ORDER BY round(deviation, 12) DESC, ordinal) AS found
+      FROM {_family}deviations GROUP BY incident_id""", [f"{_family}deviations"])
 
 
 # --- Anomalies ---------------------------------------------------------------------------------------------------------
@@ -698,9 +699,10 @@ def exact_code_match(spark, sf_dir):
 
 
 def hybrid_queries(spark, sf_dir) -> DataFrame:
-    kb = X.knowledge(spark, sf_dir).select("doc_id", F.expr(Q.HYBRID_TEXT).alias("query_text"))
-    vectors = X.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return kb.join(vectors, "doc_id").withColumnRenamed("doc_id", "query_id")
+    """A text for every document, with the given vectors dealt out in turn."""
+    vectors = X.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    kb = X.knowledge(spark, sf_dir).select(F.col("doc_id").alias("query_id"), F.expr(Q.HYBRID_TEXT).alias("query_text"), (F.col("doc_id") % vectors.count()).alias("vec_id"))
+    return kb.join(vectors, "vec_id").drop("vec_id")
 
 
 @registered(
@@ -759,14 +761,24 @@ def evidence_matches(spark, sf_dir):
     return who.join(placed, "active_dtcs").select("incident_id", "place", "match_type", "doc_id", "score")
 
 
-Q.define("exact_codes", """SELECT m.incident_id, string_agg(k.code, ', ' ORDER BY m.first) AS codes, count(*) AS n FROM matches m JOIN kb k ON k.doc_id = m.doc_id
-  WHERE m.match_type = 'EXACT' GROUP BY m.incident_id""", ["matches", "kb"])
-Q.define("top_deviation", """SELECT f.incident_id, d.feature FROM flags f LEFT JOIN (SELECT incident_id, feature,
-  row_number() OVER (PARTITION BY incident_id ORDER BY round(deviation, 12) DESC, ordinal) AS r FROM deviations) d ON d.incident_id = f.incident_id AND d.r = 1
-  WHERE f.anomaly""", ["flags", "deviations"])
-Q.define("semantic_count", "SELECT incident_id, count(*) AS n FROM matches WHERE match_type = 'SEMANTIC' GROUP BY incident_id", ["matches"])
+for _family in ("", "raw_"):
+    Q.define(f"{_family}exact_codes", f"""SELECT m.incident_id, string_agg(k.code, ', ' ORDER BY m.first) AS codes, count(*) AS n FROM {_family}matches m JOIN kb k ON k.doc_id = m.doc_id
+      WHERE m.match_type = 'EXACT' GROUP BY m.incident_id""", [f"{_family}matches", "kb"])
+    Q.define(f"{_family}top_deviation", f"""SELECT f.incident_id, d.feature FROM {_family}flags f LEFT JOIN (SELECT incident_id, feature,
+      row_number() OVER (PARTITION BY incident_id ORDER BY round(deviation, 12) DESC, ordinal) AS r FROM {_family}deviations) d ON d.incident_id = f.incident_id AND d.r = 1
+      WHERE f.anomaly""", [f"{_family}flags", f"{_family}deviations"])
+    Q.define(f"{_family}semantic_count", f"SELECT incident_id, count(*) AS n FROM {_family}matches WHERE match_type = 'SEMANTIC' GROUP BY incident_id", [f"{_family}matches"])
 _JOINED = """FROM incidents i JOIN case_list c ON c.incident_id = i.incident_id LEFT JOIN exact_codes x ON x.incident_id = i.incident_id
   LEFT JOIN top_deviation t ON t.incident_id = i.incident_id LEFT JOIN semantic_count s ON s.incident_id = i.incident_id"""
+_SUMMARY = f"""concat_ws(' / ', CASE WHEN c.n > 0 THEN concat('Found ', CAST(c.n AS VARCHAR), ' historically similar operating states.') END,
+          CASE WHEN c.same_signature THEN 'A historical operating state with the same DTC signature was found.' END,
+          CASE WHEN t.incident_id IS NOT NULL THEN 'The current operating condition was classified as anomalous.' END,
+          CASE WHEN t.feature IS NOT NULL THEN concat(t.feature, ' was among the features with the largest deviation.') END,
+          CASE WHEN x.n > 0 THEN concat('{S.DEFAULT_KB_NAME} contains knowledge associated with DTC(s): ', x.codes, '.') END)"""
+_LEADS = f"""concat_ws(' / ', CASE WHEN x.n > 0 THEN concat('Investigate systems/components associated with DTC ', x.codes, ' using the retrieved {S.DEFAULT_KB_NAME} evidence.') END,
+          CASE WHEN c.n > 0 THEN 'Review the operating conditions of the retrieved historical cases to understand typical steady-state behavior for this profile.' END,
+          CASE WHEN t.feature IS NOT NULL THEN concat('Investigate the sensor parameters contributing most strongly to the anomalous operating state, particularly ', t.feature, '.') END,
+          CASE WHEN x.n > 0 OR s.n > 0 THEN 'Review the common causes documented in the retrieved DTC knowledge.' END)"""
 
 
 def _findings(spark, sf_dir) -> DataFrame:
@@ -778,23 +790,12 @@ def _findings(spark, sf_dir) -> DataFrame:
     return EV.with_matches(judged, arrays)
 
 
-@registered(Q.query(
-    f"""SELECT i.incident_id, concat_ws(' / ', concat('Found ', CAST(c.n AS VARCHAR), ' historically similar operating states.'),
-          CASE WHEN c.same_signature THEN 'A historical operating state with the same DTC signature was found.' END,
-          CASE WHEN t.incident_id IS NOT NULL THEN 'The current operating condition was classified as anomalous.' END,
-          CASE WHEN t.feature IS NOT NULL THEN concat(t.feature, ' was among the features with the largest deviation.') END,
-          CASE WHEN x.n > 0 THEN concat('{S.DEFAULT_KB_NAME} contains knowledge associated with DTC(s): ', x.codes, '.') END) AS summary {_JOINED}""",
-    "case_list", "exact_codes", "top_deviation", "semantic_count"))
+@registered(Q.query(f"SELECT i.incident_id, {_SUMMARY} AS summary {_JOINED}", "case_list", "exact_codes", "top_deviation", "semantic_count"))
 def evidence_summary(spark, sf_dir):
     return _findings(spark, sf_dir).select("incident_id", F.array_join(EV.evidence_summary(), " / ").alias("summary"))
 
 
-@registered(Q.query(
-    f"""SELECT i.incident_id, concat_ws(' / ', CASE WHEN x.n > 0 THEN concat('Investigate systems/components associated with DTC ', x.codes, ' using the retrieved {S.DEFAULT_KB_NAME} evidence.') END,
-          'Review the operating conditions of the retrieved historical cases to understand typical steady-state behavior for this profile.',
-          CASE WHEN t.feature IS NOT NULL THEN concat('Investigate the sensor parameters contributing most strongly to the anomalous operating state, particularly ', t.feature, '.') END,
-          CASE WHEN x.n > 0 OR s.n > 0 THEN 'Review the common causes documented in the retrieved DTC knowledge.' END) AS leads {_JOINED}""",
-    "case_list", "exact_codes", "top_deviation", "semantic_count"))
+@registered(Q.query(f"SELECT i.incident_id, {_LEADS} AS leads {_JOINED}", "case_list", "exact_codes", "top_deviation", "semantic_count"))
 def investigation_leads(spark, sf_dir):
     return _findings(spark, sf_dir).select("incident_id", F.array_join(EV.investigation_leads(), " / ").alias("leads"))
 
@@ -849,25 +850,98 @@ def analyze_incidents_stream(spark, sf_dir):
     return _outcome(spark.read.parquet(f"{base}/out").withColumn("incident_id", F.col("incident_id").cast("long")))
 
 
-@registered()
+_WHOLE = "CAST(CAST(round({} * {}) AS BIGINT) AS VARCHAR)"
+_PARTS = {
+    "error": "r.message",
+    "incident.active_dtcs": "array_to_string(i.active_dtcs, ',')",
+    **{f"incident.{s}": f"CASE WHEN isfinite(i.{s}) THEN {_WHOLE.format(f'i.{s}', 1000)} ELSE lower(CAST(i.{s} AS VARCHAR)) END" for s in ("RPM", "ECT")},
+    "incident.Mode": "CAST(i.Mode AS VARCHAR)",
+    "similarity.top_cases": "coalesce(c.cases, '')",
+    "similarity.top_score": _WHOLE.format("coalesce(c.top_score, 0.0)", 1000000),
+    "similarity.summary": f"CASE WHEN c.n > 0 THEN '{S.MSG_SIMILAR_OK}' ELSE '{S.MSG_SIMILAR_NONE}' END",
+    "anomaly.anomaly": "CASE WHEN coalesce(f.anomaly, false) THEN 'true' ELSE 'false' END",
+    "anomaly.anomaly_score": _WHOLE.format("coalesce(round(f.margin, 4), 0.0)", 10000),
+    "anomaly.severity": f"CASE WHEN f.margin IS NULL THEN 'unknown' ELSE {Q.SEVERITY.format('f.margin')} END",
+    "anomaly.feature_contributions": "coalesce(d.found, '')",
+    "anomaly.error": "CASE WHEN f.margin IS NULL THEN 'Sensor values must be finite numbers.' END",
+    "rag.exact_dtc_matches": "coalesce(m.exact, '')",
+    "rag.semantic_matches": "coalesce(m.semantic, '')",
+    "service_history.available": "'false'",
+    "service_history.reason": f"'{S.MSG_NO_SERVICE_HISTORY}'",
+    "evidence_summary": _SUMMARY,
+    "investigation_leads": _LEADS,
+}
+Q.define(
+    "package_parts",
+    "SELECT r.incident_id, r.message AS failed, " + ", ".join(f'{sql} AS "{name}"' for name, sql in _PARTS.items())
+    + " FROM raw_checked r " + " ".join(
+        f"LEFT JOIN {table} {alias} ON {alias}.incident_id = r.incident_id"
+        for table, alias in (("raw_valid", "i"), ("raw_case_list", "c"), ("raw_flags", "f"), ("raw_contribution_text", "d"), ("raw_match_list", "m"),
+                             ("raw_exact_codes", "x"), ("raw_top_deviation", "t"), ("raw_semantic_count", "s"))),
+    ["raw_checked", "raw_valid", "raw_case_list", "raw_flags", "raw_contribution_text", "raw_match_list", "raw_exact_codes", "raw_top_deviation", "raw_semantic_count"])
+# A rejected incident has its error and nothing else.
+_PACKAGE_ROWS = Q.query(
+    " UNION ALL ".join(f"""SELECT incident_id, '{name}' AS path, "{name}" AS value FROM package_parts WHERE failed IS {'NOT NULL' if name == 'error' else 'NULL'}""" for name in _PARTS), "package_parts")
+
+
+def _package_rows(packages: DataFrame, score: str) -> DataFrame:
+    """One row per package and path. ``score`` is the name of a match's score."""
+
+    def whole(value, units):
+        return F.round(value * units).cast("long").cast("string")
+
+    def joined(values, shown, sep=","):
+        return F.array_join(F.transform(values, shown), sep)
+
+    def reading(value):
+        return F.when(is_finite(value), whole(value, 1000)).otherwise(F.lower(value.cast("string")))
+
+    parts = {
+        "error": F.col("error.message"),
+        "incident.active_dtcs": F.array_join("incident.active_dtcs", ","),
+        **{f"incident.{s}": reading(F.col(f"incident.{s}").cast("double")) for s in ("RPM", "ECT")},
+        "incident.Mode": F.col("incident.Mode").cast("string"),
+        "similarity.top_cases": joined("similarity.top_cases", lambda c: c["historical_index"].cast("string")),
+        "similarity.top_score": whole(F.col("similarity.top_score"), 1000000),
+        "similarity.summary": F.col("similarity.summary"),
+        "anomaly.anomaly": F.col("anomaly.anomaly").cast("string"),
+        "anomaly.anomaly_score": whole(F.col("anomaly.anomaly_score"), 10000),
+        "anomaly.severity": F.col("anomaly.severity"),
+        "anomaly.feature_contributions": joined("anomaly.feature_contributions", lambda c: F.concat_ws(":", c["feature"], whole(c["deviation_magnitude"], 10000))),
+        "anomaly.error": F.col("anomaly.error"),
+        "rag.exact_dtc_matches": joined("rag.exact_dtc_matches", lambda m: m["DTC_code"]),
+        "rag.semantic_matches": joined("rag.semantic_matches", lambda m: F.concat_ws(":", m["DTC_code"], whole(m[score].cast("double"), 10000))),
+        "service_history.available": F.col("service_history.available").cast("string"),
+        "service_history.reason": F.col("service_history.reason"),
+        "evidence_summary": F.array_join("evidence_summary", " / "),
+        "investigation_leads": F.array_join("investigation_leads", " / "),
+    }
+    rows = F.array(*[F.struct(F.lit(name).alias("path"), value.alias("value")) for name, value in parts.items()])
+    failed = F.col("error").isNotNull()
+    return packages.select("incident_id", F.inline(F.filter(rows, lambda r: (r["path"] == "error") == failed)))
+
+
+@registered(_PACKAGE_ROWS)
 def evidence_package(spark, sf_dir):
-    """Whole packages; the long texts of the matches are shown by their length."""
-    p = analysis(spark, sf_dir)
+    """Whole packages, one row per path."""
+    return _package_rows(analysis(spark, sf_dir), "score")
 
-    def shorten(path):
-        return F.transform(path, lambda m: m.withField("description", F.length(m["description"]).cast("string")))
 
-    rag = F.struct(shorten("rag.exact_dtc_matches").alias("exact_dtc_matches"), shorten("rag.semantic_matches").alias("semantic_matches"))
-    columns = ["incident", "similarity", "anomaly", "service_history", "evidence_summary", "investigation_leads", "error"]
-    options = {"ignoreNullFields": "false"}
-    return p.select("incident_id", F.to_json(rag, options).alias("rag"), *[F.to_json(F.struct(c), options).alias(c) for c in columns])
+_JSON = """incident struct<active_dtcs: array<string>, RPM: string, ECT: string, Mode: string>,
+  similarity struct<top_cases: array<struct<historical_index: long>>, top_score: double, summary: string>,
+  anomaly struct<anomaly: boolean, anomaly_score: double, severity: string, feature_contributions: array<struct<feature: string, deviation_magnitude: double>>, error: string>,
+  rag struct<exact_dtc_matches: array<struct<DTC_code: string, similarity_score: string>>, semantic_matches: array<struct<DTC_code: string, similarity_score: string>>>,
+  service_history struct<available: boolean, reason: string>, evidence_summary array<string>, investigation_leads array<string>, error string, message string"""
 
 
-@registered()
+@registered(_PACKAGE_ROWS)
 def evidence_json(spark, sf_dir):
-    """Digest and length of every package's JSON text, which holds whole document texts."""
+    """The same paths, read back from each package's JSON text; every exact match must show that it is one."""
     text = analysis(spark, sf_dir).select("incident_id", EV.package_json().alias("package"))
-    return text.select("incident_id", F.length("package").alias("characters"), F.md5("package").alias("digest"))
+    read = text.select("incident_id", F.from_json("package", _JSON).alias("p")).select("incident_id", "p.*")
+    shown = F.transform("rag.exact_dtc_matches", lambda m: m.withField("DTC_code", F.when(m["similarity_score"] == "EXACT_MATCH", m["DTC_code"]).otherwise("?")))
+    read = read.withColumn("rag", F.col("rag").withField("exact_dtc_matches", shown))
+    return _package_rows(read.withColumn("error", F.when(F.col("message").isNotNull(), F.struct("error", "message"))), "similarity_score")
 
 
 Q.define("bad_inputs", f"SELECT incident_id, {Q.SIMILARITY_ERROR} AS similarity_error, {Q.ANOMALY_ERROR} AS anomaly_error, "

@@ -181,7 +181,7 @@ word_counts("text_counts", "documents", "doc_id", "text", [])
 unit_vectors("text_vectors", "text_counts", "doc_id")
 define("text_near", """SELECT q.doc_id AS query_id, k.doc_id, sum(q.v::DOUBLE * k.v) AS dot FROM text_vectors q JOIN kb_vectors k ON k.d = q.d GROUP BY ALL""", ["text_vectors", "kb_vectors"])
 define("lookup", "SELECT upper(code) AS lookup_code, max(doc_id) AS doc_id FROM kb GROUP BY upper(code)", ["kb"])
-define("vectors", "SELECT k.doc_id, upper(k.code) AS ucode, CAST(e.embedding AS DOUBLE[]) AS embedding FROM kb k JOIN embeddings e ON e.vec_id = k.doc_id", ["kb"])
+define("vectors", "SELECT k.doc_id, upper(k.code) AS ucode, CAST(e.embedding AS DOUBLE[]) AS embedding FROM kb k JOIN embeddings e ON e.vec_id = k.doc_id % (SELECT count(*) FROM embeddings)", ["kb"])
 
 
 def retrieval(name: str, queries: str, needs: list[str], k: int) -> None:
@@ -221,7 +221,7 @@ HYBRID_TEXT = "concat('fault ', code, CASE WHEN doc_id % 3 = 1 THEN ' after P040
 retrieval("every", f"SELECT doc_id AS query_id, {HYBRID_TEXT} AS query_text, CAST(NULL AS DOUBLE[]) AS embedding FROM kb", ["kb"], 5)
 retrieval(
     "hybrid",
-    f"SELECT k.doc_id AS query_id, {HYBRID_TEXT} AS query_text, e.embedding FROM kb k JOIN embeddings e ON e.vec_id = k.doc_id",
+    f"SELECT k.doc_id AS query_id, {HYBRID_TEXT} AS query_text, e.embedding FROM kb k JOIN embeddings e ON e.vec_id = k.doc_id % (SELECT count(*) FROM embeddings)",
     ["kb"], 5,
 )
 
@@ -345,10 +345,11 @@ def forest_scores(name: str, base: str, key: str) -> None:
 forest_scores("history_scores", "zhistory", "historical_index")
 define("forest_offset", "SELECT quantile_cont(score, 0.01) AS cut FROM history_scores", ["history_scores"])
 # One walk per distinct content of the incidents.
-forest_scores("probe_scores", "probes", "probe")
-define(
-    "flags",
-    """SELECT o.incident_id, s.score - cut < 0 AS anomaly, -(s.score - cut) AS margin FROM probe_of o JOIN probe_scores s ON s.probe = o.probe, forest_offset""",
-    ["probe_of", "probe_scores", "forest_offset"],
-)
+for _family in ("", "raw_"):
+    forest_scores(f"{_family}probe_scores", f"{_family}probes", "probe")
+    define(
+        f"{_family}flags",
+        f"""SELECT o.incident_id, s.score - cut < 0 AS anomaly, -(s.score - cut) AS margin FROM {_family}probe_of o JOIN {_family}probe_scores s ON s.probe = o.probe, forest_offset""",
+        [f"{_family}probe_of", f"{_family}probe_scores", "forest_offset"],
+    )
 SEVERITY = "CASE WHEN {0} < 0 THEN 'normal' WHEN {0} < 0.1 THEN 'moderate' ELSE 'high' END"
