@@ -8,7 +8,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from telltale.session import materialise
+from telltale.session import materialise, shuffle_partitions
 
 Rule = tuple[str, str, str]  # verdict, host, path
 LABEL = "verdict="
@@ -52,17 +52,41 @@ def url_tokens(url: Column, host: Column, path: Column, rules: list[Rule]) -> Co
     return F.array_sort(F.array_distinct(F.coalesce(every, F.array().cast("array<string>"))))
 
 
+def alike(sets: DataFrame, least: Column) -> DataFrame:
+    """``item, members, n``: tokens that occur in exactly the same of the ``sets`` (``tokens, n``) make one item, named by the first; ``n`` rows hold them.
+
+    Their support and confidence are equal in every rule, so mining them one by one would only repeat each rule for every subset of them. Only
+    tokens of ``least`` rows or more are kept. Two tokens are alike if their numbers of rows and sets and three sums of hashes of their sets agree.
+    """
+    key = F.array_join("tokens", "\n")
+    placed = sets.select(F.explode("tokens").alias("token"), "n", *[F.xxhash64(key, F.lit(i)).alias(f"h{i}") for i in range(3)])
+    held = placed.groupBy("token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("sets"), *[F.bit_xor(f"h{i}").alias(f"h{i}") for i in range(3)])
+    grouped = held.where(F.col("n") >= least).groupBy("n", "sets", "h0", "h1", "h2").agg(F.array_sort(F.collect_list("token")).alias("members"))
+    return grouped.select(F.element_at("members", 1).alias("item"), "members", "n")
+
+
 def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
-    """Rules ``(id, items, verdict, confidence, support)`` from ``(tokens, verdict)``.
+    """Rules ``(id, items, alike, rarest, verdict, confidence, support)`` from ``(tokens, verdict)``.
 
-    Kept are rules with one verdict as their result whose confidence is at least ``min_confidence`` and better than chance, and of
+    An item stands for the tokens that occur in exactly the same labelled urls; ``alike`` has those of each item, and ``rarest`` those of the item that the fewest urls have. Kept are rules with one verdict as their result whose confidence is at least ``min_confidence`` and better than chance, and of
     those the ones that no shorter rule with the same verdict and at least the same confidence makes needless.
     """
-    baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit(LABEL), "verdict"))).alias("items"))
+    rows = labelled.groupBy("tokens", "verdict").agg(F.count(F.lit(1)).alias("n"))
+    sets = materialise(rows, "token-sets")
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    items = materialise(alike(sets.groupBy("tokens").agg(F.sum("n").alias("n")), F.lit(min_support * total - 1e-9)), "items")
+    named = items.select("item", F.explode("members").alias("token"))
+    key = F.array_join("tokens", "\n")
+    held = sets.select(key.alias("key"), F.explode("tokens").alias("token")).distinct().join(named, "token").groupBy("key").agg(F.collect_set("item").alias("found"))
+    merged = sets.select(key.alias("key"), "verdict", "n").join(held, "key", "left")
+    label = F.array(F.concat(F.lit(LABEL), "verdict"))
+    one = F.concat(F.coalesce("found", F.array().cast("array<string>")), label)
+    # Each row counts, so a set is repeated as often as it occurs; the copies are dealt out evenly.
+    baskets = merged.select(one.alias("items"), F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("items").repartition(shuffle_partitions(labelled))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    found = model.associationRules.where(F.element_at("consequent", 1).startswith(LABEL) & (F.col("lift") > 1))
+    rules = model.associationRules.where(F.element_at("consequent", 1).startswith(LABEL) & (F.col("lift") > 1))
     found = materialise(
-        found.select(
+        rules.select(
             F.array_sort("antecedent").alias("items"), F.substring(F.element_at("consequent", 1), len(LABEL) + 1, 100).alias("verdict"), "confidence", "support"
         ),
         "rules",
@@ -73,18 +97,22 @@ def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> Data
     shorter = found.select(F.col("items").alias("part"), "verdict", F.col("confidence").alias("known"))
     needless = parts.join(shorter, ["part", "verdict"]).where("known >= confidence").select("items", "verdict")
     kept = found.join(needless, ["items", "verdict"], "left_anti")
-    return kept.withColumn("id", F.array_join("items", "\n"))
+    # At most the tokens of one url in a rule.
+    spread = kept.select("*", F.explode("items").alias("item")).join(items, "item").groupBy("items", "verdict", "confidence", "support")
+    full = spread.agg(F.array_sort(F.collect_list(F.struct("item", "members"))).alias("own"), F.min(F.struct("n", "members")).alias("few"))
+    return full.select(F.array_join("items", "\n").alias("id"), "items", F.col("own.members").alias("alike"), F.col("few.members").alias("rarest"), "verdict", "confidence", "support")
 
 
 def judge(sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """``(key, verdict)`` for the token sets ``(key, tokens)`` that some rule fits, through an inverted index of the rules' items.
+    """``(key, mined)`` for the token sets ``(key, tokens)`` that some rule fits.
 
-    A rule fits if as many of its items are met as it has. The highest confidence wins, then support, then ``block``.
+    In the inverted index a rule is listed under its rarest item alone, so that tokens which nearly every url has draw no rules. A rule fits if the set has a token of each of its items.
+    The highest confidence wins, then support, then ``block``.
     """
-    postings = rules.select("id", "verdict", "confidence", "support", F.size("items").alias("needed"), F.explode("items").alias("token"))
-    met = sets.select("key", F.explode("tokens").alias("token")).join(postings, "token")
-    full = met.groupBy("key", "id", "verdict").agg(F.count(F.lit(1)).alias("n"), F.first("needed").alias("needed"), F.first("confidence").alias("c"), F.first("support").alias("s"))
-    best = full.where("n = needed").groupBy("key").agg(F.max(F.struct("c", "s", "verdict")).alias("best"))
+    postings = rules.select("alike", "verdict", "confidence", "support", F.explode("rarest").alias("token"))
+    met = sets.select("key", "tokens", F.explode("tokens").alias("token")).join(postings, "token")
+    fits = met.where(F.forall("alike", lambda own: F.arrays_overlap(own, "tokens")))
+    best = fits.groupBy("key").agg(F.max(F.struct(F.col("confidence").alias("c"), F.col("support").alias("s"), "verdict")).alias("best"))
     return best.select("key", F.col("best.verdict").alias("mined"))
 
 
@@ -97,7 +125,7 @@ def filter_urls(
     Urls that an explicit rule fits get its verdict and are the labelled rows for mining; the others get the verdict of the best
     mined rule, or ``otherwise`` if none fits (so for null and for text that is no url). Urls with equal tokens are judged
     once. An item set must be in ``min_support`` of the labelled urls, so there are at most (tokens of a url) / ``min_support`` frequent
-    tokens. Without labelled urls nothing is mined; an empty table gives an empty result.
+    tokens; those that always occur together are one item. Without labelled urls nothing is mined; an empty table gives an empty result.
     """
     url = F.col("url")
     host, path = url_parts(url)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+import time
 import re
 import zlib
 from collections import Counter
@@ -164,13 +165,28 @@ def test_mined_rules_against_brute_force(spark, sf_dir):
     }
     frame = spark.createDataFrame([(sorted(t), v) for t, v in labelled], "tokens array<string>, verdict string")
     found = urls.mine(frame, 0.05, 0.8).collect()
-    assert {(tuple(r["items"]), r.verdict) for r in found} == set(kept)
+    # An item stands for each of the tokens that are alike; a rule of the brute force has one of each.
+    assert {(tuple(sorted(part)), r.verdict) for r in found for part in itertools.product(*r.alike)} == set(kept)
+    assert all(r["items"] == [own[0] for own in r.alike] and r.rarest in r.alike for r in found)
     verdicts = {r.page_id: r.verdict for r in urls.filter_urls(pages, RULES, min_support=0.05).collect()}
     for r in seen:
         fits = [(*kept[k], k[1]) for k in kept if set(k[0]) <= set(r.tokens)]
         assert verdicts[r.page_id] == (r.hit.verdict if r.hit else max(fits)[2] if fits else "allow")
 
 
+def test_tokens_that_always_occur_together(spark):
+    """Forty parameter names of one family of urls are one item, not 2^40 sets of them; the rule fits wherever one of them occurs."""
+    family = "&".join(f"p{chr(97 + i % 26)}{chr(97 + i // 26)}=1" for i in range(40))
+    pages = [(i, f"http://{'abcd'[i % 4]}.net/x?{family}") for i in range(60)] + [(100 + i, f"http://{'abcd'[i % 4]}.org/fr/y") for i in range(60)]
+    pages += [(200, "http://q.com/z?pca=3&other=1"), (201, "http://q.com/z?other=1"), (202, "http://q.com/z?paa&pnb=2"), (203, "http://q.com/" + "a/" * 40_000)]
+    start = time.monotonic()
+    frame = spark.createDataFrame(pages, "page_id long, url string").selectExpr("*", "1 AS key", "'t' AS tokens", "2 AS n", "3 AS verdict")
+    rows = {r.page_id: r for r in urls.filter_urls(frame, RULES).collect()}
+    assert time.monotonic() - start < 30
+    assert all(rows[i].verdict == "block" and rows[i].rule == "net/" for i in range(60)) and all(rows[100 + i].verdict == "allow" for i in range(60))
+    assert [rows[i].verdict for i in (200, 201, 202, 203)] == ["block", "allow", "block", "allow"]
+
+
 def plain_ratio(word, words, counts):
     """Log ratio of a word by the recursion itself."""
     grams = [Counter(), Counter()]
