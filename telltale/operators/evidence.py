@@ -21,6 +21,9 @@ LEAD_CASES = "Review the operating conditions of the retrieved historical cases
 LEAD_SENSORS = "Investigate the sensor parameters contributing most strongly to the anomalous operating state, particularly {}."
 LEAD_CAUSES = "Review the common causes documented in the retrieved DTC knowledge."
 
+BROADCAST_BYTES = 32 << 20
+COPIES = 64
+
 
 def code_queries(incidents: DataFrame) -> DataFrame:
     """One retrieval query per distinct code of the whole batch, the code being its text: ``(query_id, query_text)``."""
@@ -80,17 +83,46 @@ def failed_lists(incidents: DataFrame, failed: DataFrame) -> DataFrame:
     return hit.select("active_dtcs", F.format_string(MSG_VECTOR.replace("{}", "%s"), F.array_join(F.array_distinct("codes"), ", ")).alias("retrieval_error"))
 
 
-def with_matches(incidents: DataFrame, arrays: DataFrame) -> DataFrame:
+def _list_key() -> Column:
+    """A searchable code list as text; of the others, which need no match, one key per incident, so that a join deals them to all tasks."""
+    own = F.concat(F.lit("#"), F.coalesce(F.col("incident_id").cast("string"), F.lit("")))
+    return F.when(F.exists("active_dtcs", is_queryable), F.to_json("active_dtcs")).otherwise(own)
+
+
+def popular_lists(incidents: DataFrame, tasks: int) -> list[str]:
+    """The searchable lists that more than a quarter of a task's fair share of incidents have, perhaps with a few others: at most ``4 tasks`` of them.
+
+    One pass with a bounded number of counters (Karp, Shenker and Papadimitriou, 2003), whatever the number of distinct lists.
+    """
+    searchable = incidents.filter(F.exists("active_dtcs", is_queryable)).select(F.to_json("active_dtcs").alias("list"))
+    found = searchable.stat.freqItems(["list"], max(1e-4, 1 / (4 * max(tasks, 1)))).first()
+    return sorted(x for x in (found[0] or []) if x is not None)
+
+
+def with_matches(incidents: DataFrame, arrays: DataFrame, popular: list[str] | None = None) -> DataFrame:
     """Attach the match arrays, and a ``retrieval_error`` if ``arrays`` has one; incidents without matches get empty ones.
 
-    Most of a fleet has no code to search for. Such incidents get a key of their own, so the join deals them to all tasks.
+    Most of a fleet has no code to search for; such incidents don't meet. ``popular`` names lists that many incidents have: their matches go to all tasks, if they are at most
+    ``BROADCAST_BYTES``, else to ``COPIES`` groups of incidents each, so that no task gets all incidents of a list.
     """
-    searchable = F.exists("active_dtcs", is_queryable)
-    key = F.when(searchable, F.to_json("active_dtcs")).otherwise(F.concat(F.lit("#"), F.coalesce(F.col("incident_id").cast("string"), F.lit(""))))
     known = arrays.withColumn("_list", F.to_json("active_dtcs")).drop("active_dtcs")
-    joined = incidents.withColumn("_list", key).join(known, "_list", "left").drop("_list")
+    keyed = incidents.withColumn("_list", _list_key())
+    if popular:
+        often = F.coalesce(F.col("_list").isin(popular), F.lit(False))
+        few, rest = known.filter(often), keyed.filter(~often)
+        size = few.agg(F.sum(F.length(F.to_json(F.struct(*few.columns))))).first()[0] or 0
+        if size <= BROADCAST_BYTES:
+            hot = keyed.filter(often).join(F.broadcast(few), "_list", "left")
+        else:
+            # A number that spreads the incidents of one list evenly, and a copy of the list's matches for each.
+            dealt = keyed.filter(often).withColumn("_copy", F.pmod(F.xxhash64("incident_id"), F.lit(COPIES)))
+            copies = few.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(COPIES - 1).cast("long"))))
+            hot = dealt.join(copies, ["_list", "_copy"], "left").drop("_copy")
+        joined = rest.join(known.filter(~often), "_list", "left").unionByName(hot)
+    else:
+        joined = keyed.join(known, "_list", "left")
     kinds = {c: arrays.schema[c].dataType for c in ("exact_dtc_matches", "semantic_matches")}
-    return joined.withColumns({c: F.coalesce(F.col(c), F.array().cast(t)) for c, t in kinds.items()})
+    return joined.drop("_list").withColumns({c: F.coalesce(F.col(c), F.array().cast(t)) for c, t in kinds.items()})
 
 
 def _filled(sentence: str, *values: Column) -> Column:

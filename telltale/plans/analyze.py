@@ -16,7 +16,7 @@ from telltale.operators.vectors import PreparedDocs, prepare_docs, usable_vector
 from telltale.plans.anomaly_model import AnomalyModel
 from telltale.plans.knowledge_base import Encoder
 from telltale.schemas import DEFAULT_KB_NAME, MODE, SENSORS, TOP_K_EVIDENCE, TOP_K_SIMILAR
-from telltale.session import materialise, scratch_scope
+from telltale.session import materialise, scratch_scope, shuffle_partitions
 
 #: Tells the incidents of a batch apart, whatever their ids.
 ROW = "_incident_row"
@@ -85,7 +85,8 @@ def _packages(typed: DataFrame, resources: Resources, top_k_similar: int, top_k_
     judged = detect_anomalies(
         nested, resources.model.forest, resources.index.scaler, resources.model.bands, error=F.col("anomaly_error")
     )
-    return E.with_matches(judged, matches).select(
+    popular = E.popular_lists(typed, shuffle_partitions(typed))
+    return E.with_matches(judged, matches, popular).select(
         "incident_id",
         F.struct(*extra).alias("incident"),
         "similarity",

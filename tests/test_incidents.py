@@ -150,6 +150,25 @@ def test_a_failing_encoder_touches_only_its_own_incidents(raw, resources, packag
     assert len(kept["v01"]["similarity"]["top_cases"]) == 5 and kept["v01"]["retrieval_error"] == "No usable vector for DTC(s): P0404."
 
 
+@pytest.mark.parametrize("bytes_", [EV.BROADCAST_BYTES, 10])
+def test_popular_code_lists(spark, monkeypatch, bytes_):
+    """Half of the incidents on one list: the same matches as without a split, and no task gets much more than its share."""
+    monkeypatch.setattr(EV, "BROADCAST_BYTES", bytes_)
+    lists = F.when(F.col("id") % 2 == 0, F.array(F.lit("P0403"))).when(F.col("id") % 4 == 1, F.array(F.concat(F.lit("P"), F.col("id").cast("string")))).otherwise(F.array(F.lit("P0000")))
+    who = spark.range(20_000).select(F.col("id").alias("incident_id"), lists.alias("active_dtcs"))
+    found = who.select("active_dtcs").distinct().filter("active_dtcs[0] <> 'P0000'")
+    arrays = found.select("active_dtcs", F.transform("active_dtcs", lambda c: F.concat(c, F.lit("!"))).alias("exact_dtc_matches"), F.array().cast("array<string>").alias("semantic_matches"))
+    popular = EV.popular_lists(who, 8)
+    assert '["P0403"]' in popular and len(popular) <= 32
+    split = EV.with_matches(who, arrays, popular)
+    columns = ["incident_id", "active_dtcs", "exact_dtc_matches", "semantic_matches"]
+    plain = EV.with_matches(who, arrays).select(columns)
+    assert split.count() == 20_000 and split.select(columns).exceptAll(plain).count() == 0
+    monkeypatch.setattr(EV, "COPIES", 64)
+    sizes = [r["n"] for r in split.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
+
+
 def test_static_side_is_sent_once(raw, resources):
     own = replace(resources, _vectors=None).prepare()
     top, vectors = own.index.top(), own.vectors()
