@@ -81,12 +81,13 @@ def _packages(typed: DataFrame, resources: Resources, top_k_similar: int, top_k_
     failed = E.failed_lists(typed, encoded.filter(~F.col("usable")))
     matches = materialise(arrays.join(failed, "active_dtcs", "full"), "matches")
     extra = [c for c in typed.columns if c not in ("incident_id", "similarity_error", "anomaly_error", ROW)]
-    nested = nest_cases(typed, cases, key=ROW)
+    # The readings go through the trees before the nested cases join them, so few bytes do.
     judged = detect_anomalies(
-        nested, resources.model.forest, resources.index.scaler, resources.model.bands, error=F.col("anomaly_error")
+        typed, resources.model.forest, resources.index.scaler, resources.model.bands, error=F.col("anomaly_error")
     )
+    nested = nest_cases(judged, cases, key=ROW)
     popular = E.popular_lists(typed, shuffle_partitions(typed))
-    return E.with_matches(judged, matches, popular).select(
+    return E.with_matches(nested, matches, popular).select(
         "incident_id",
         F.struct(*extra).alias("incident"),
         "similarity",
