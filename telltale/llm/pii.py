@@ -104,7 +104,9 @@ def plausible(kind: str, text: str) -> bool:
         return len(text) <= 254 and bool(AT.search(text))
     if kind == "ip":
         return bool(IP.search(text)) and all(is_ip(m) for m in IP.findall(text))
-    return is_card(text) if kind == "card" else 7 <= len(NOT_DIGIT.sub("", text)) <= 15
+    if kind == "card":
+        return any(is_card(m.group()) for m in CARD.finditer(text))  # digits parted by letters are no number
+    return 7 <= len(NOT_DIGIT.sub("", text)) <= 15
 
 
 def emails(text: str) -> list[Span]:

@@ -15,6 +15,7 @@ from telltale.llm.rows import chunks, hash_share, small, texts
 from telltale.llm.words import LETTERS, WordHasher, mix, owners
 
 ORDER, SHARED_ORDER, DISCOUNT, STRONG = 8, 3, 0.75, 4.0
+LONG_RUN, LEAST_GAIN = 5, 1e-3
 SIEVE_BITS = 24
 ROWS_PER_CLASS = 2_000
 EVIDENCE = ("total", "number", "strong", "most")
@@ -48,6 +49,9 @@ def kneser_ney(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.n
     Interpolated Kneser-Ney with one discount. Up to ``SHARED_ORDER`` letters the two classes share their counts, so what is rare
     in both is judged alike; longer contexts have counts of their own. Every log ratio is split so that a text's log-likelihood ratio is the sum
     of one gain per run of letters in it: what a run adds to its shorter suffix, and the back-off weight it has as a context.
+
+    Two cuts bound the table: a run of more than ``LONG_RUN`` letters that occurs once in the fitted texts is left to its shorter runs, and a gain of up to
+    ``LEAST_GAIN`` counts as none.
     """
     buffer = b" " + b" ".join(words) + b" "
     data = np.frombuffer(buffer, np.uint8)
@@ -59,7 +63,7 @@ def kneser_ney(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.n
         at[start] = gid
         inside = word_of[start]  # a blank belongs to the word after it
         raw = np.stack([np.bincount(gid, counts[inside, c], len(value)) for c in (0, 1)], axis=1)
-        if k > SHARED_ORDER + 2:
+        if k > LONG_RUN:
             raw[raw.sum(axis=1) < 2] = 0
         levels.append({"key": value, "spot": start[first], "at": at, "raw": raw})
     lower = np.full((1, 2), 1 / 256.0)
@@ -96,7 +100,7 @@ def kneser_ney(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.n
         lower, ratio_below = prob, ratio
     keys = np.concatenate([levels[k - 1]["key"] for k in gains])
     gain = np.concatenate([gains[k] for k in gains])
-    used = np.abs(gain) > 1e-3
+    used = np.abs(gain) > LEAST_GAIN
     order = np.argsort(keys[used])
     return keys[used][order], gain[used][order].astype(np.float32)
 

@@ -120,6 +120,15 @@ def test_pii_on_odd_rows(odd, nothing):
     assert pii.find(nothing, field).count() == 0
 
 
+def test_letters_part_numbers():
+    """A hash of hexadecimal digits is no card, whatever its digits add up to; a card may have words around it."""
+    number = "4111111111111111"
+    assert pii.plausible("card", number) and pii.plausible("card", "nr:4111 1111-1111 1111.")
+    for at in (1, 5, 11):
+        assert not pii.plausible("card", number[:at] + "a" + number[at:])
+    assert not pii.plausible("card", "4a1b1c1d1e1f1a1b1c1d1e1f1a1b1c1d")
+
+
 def test_url_rules_and_parts(spark):
     cases = [
         (1, "https://WWW.Example.NET/en/1?x#y", "www.example.net", "/en/1", "example.net/en/", "allow"),
