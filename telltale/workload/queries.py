@@ -417,16 +417,28 @@ def weighted_score(spark, sf_dir):
     return _component(spark, sf_dir, "similarity_score", _OWN_WEIGHTS, 3)
 
 
-@registered(
-    Q.query(
-        """SELECT o.incident_id, CAST(t.rank AS BIGINT) AS rank, t.historical_index, round(t.similarity_score, 6) AS similarity_score
-           FROM probe_of o JOIN top5 t ON t.probe = o.probe""",
-        "probe_of", "top5",
-    )
+_TOP5 = Q.query(
+    """SELECT o.incident_id, CAST(t.rank AS BIGINT) AS rank, t.historical_index, round(t.similarity_score, 6) AS similarity_score
+       FROM probe_of o JOIN top5 t ON t.probe = o.probe""",
+    "probe_of", "top5",
 )
+
+
+def _ranked(best: DataFrame) -> DataFrame:
+    return best.select("incident_id", *_long("rank"), "historical_index", _r("similarity_score"))
+
+
+@registered(_TOP5)
 def similar_topk(spark, sf_dir):
-    best = SIM.similar_topk(incidents(spark, sf_dir), index(spark, sf_dir))
-    return best.select("incident_id", F.col("rank").cast("long").alias("rank"), "historical_index", _r("similarity_score"))
+    return _ranked(SIM.similar_topk(incidents(spark, sf_dir), index(spark, sf_dir)))
+
+
+@registered(_TOP5)
+def index_roundtrip(spark, sf_dir):
+    """The same search with an index of several levels that was saved and loaded."""
+    path = f"{scratch_dir(spark)}/telltale/index-{uuid.uuid4().hex}"
+    ART.save_index(spark, SIM.build_index(prepared(spark, sf_dir).train, scaler(spark, sf_dir), most_boxes=16), path)
+    return _ranked(SIM.similar_topk(incidents(spark, sf_dir), ART.load_index(spark, path)))
 
 
 _SCORES = ("similarity_score", "sensor_similarity", "dtc_similarity", "mode_similarity")
