@@ -5,8 +5,8 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
-import time
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -374,3 +374,28 @@ def test_short_benchmark_items_are_searched(spark):
     items = spark.createDataFrame([(1, "who wrote faust?"), (2, "cat"), (3, "What is the capital of old France"), (4, "???"), (5, " "), (6, None)], "item_id long, text string")
     found = {(r.doc_id, r.item_id, r.edits, r.end) for r in decontaminate.leaks(docs, items).collect()}
     assert found == {(1, 1, 0, 24), (3, 2, 0, 5), (4, 3, 1, 33), (6, 4, 0, 8)}
+
+
+def test_lm_scores_against_a_plain_softmax(spark, sf_dir, docs_rows, monkeypatch):
+    """Every text's score is the sum of its tokens' log probabilities under the trained model, written out token by token."""
+    kept, fit = {}, neural.fit_model
+    monkeypatch.setattr(neural, "fit_model", lambda *a: kept.setdefault("model", fit(*a)))
+    rows = {r["doc_id"]: r for r in QUERIES["op10_lm_score"](spark, sf_dir).collect()}
+    model = neural.LogBilinear(*[a.astype(float) for a in kept["model"].arrays()])
+    size = len(model.bias)
+    words = {i: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) for i, t, *_ in docs_rows}
+    learnt = [i for i in words if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = Counter(w for i in learnt for w in words[i])
+    total = sum(counts.values()) + len(learnt)
+    inside = {w: n + neural.SPECIAL for n, w in enumerate(sorted(counts, key=lambda w: (-counts[w], w))[: size - neural.SPECIAL]) if counts[w] >= neural.KEPT_SHARE * total}
+    rest = sum(n for w, n in counts.items() if w not in inside) + sum(w not in inside for w in counts) + 1
+    assert len(rows) == len(words) and size == 512
+    for i, own in words.items():
+        ids = [inside.get(w, neural.OTHER) for w in own] + [neural.END]
+        far, near = np.array([size, size, *ids])[: len(ids)], np.array([size, *ids])[: len(ids)]
+        logits = (model.context[far] @ model.far + model.context[near] @ model.near) @ model.target.T + model.bias
+        top = logits.max(axis=1)
+        logs = logits[np.arange(len(ids)), ids] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+        share = sum(math.log10((counts[w] + 1) / rest) for w in own if w not in inside)
+        assert rows[i]["score"] == pytest.approx(logs.sum() / math.log(10) + share, rel=1e-4, abs=1e-2)
+        assert rows[i]["held_out"] == (i not in set(learnt)) and rows[i]["train_tokens"] == total
