@@ -116,7 +116,8 @@ def fit(
     At most about ``rows_per_language`` rows of each language, drawn by a hash of the id, are read. An n-gram enters a
     language's filter if its share there is at least ``min_share`` and ``ratio`` times its largest share in any language, so
     neither foreign lines nor rare slips enter, and a filter never gets more than ``1 / min_share`` n-grams. The table has
-    ``2 ** bits`` slots of one bit per language, whatever the input. Null texts and null languages teach nothing.
+    ``2 ** bits`` slots of one bit per language, whatever the input. Null texts and null languages teach nothing. Rows with a null or repeated id share
+    one draw, so of those all or none are read, which may be more than the bound.
     """
     source = (docs if where is None else docs.where(where)).select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")

@@ -69,7 +69,8 @@ def links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     that many positions with their bytes: two fingerprints meet in an entry if and only if their count of shared bytes
     reaches the minimum. Copies are one entry, and an entry leaves only ``max_bits`` bytes free, which bounds its list by
     ``256 ** max_bits``. Entries with one member, nearly all, end in the aggregation; entries with two need only their least and
-    largest member; only larger ones are listed. The count of equal bytes and the bits are verified per pair.
+    largest member; only larger ones are listed. So the index is the joint form of
+    tallying equal bytes per pair; the count of equal bytes and the bits are verified per pair.
     """
     least = 8 - max_bits
     masks = [sum(0xFF << (8 * i) for i in kept) for kept in combinations(range(8), least)]
