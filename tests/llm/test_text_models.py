@@ -339,34 +339,56 @@ def test_language_model(spark, sf_dir, docs_rows):
 def test_rare_words_go_through_the_join(spark, sf_dir, monkeypatch):
     """With few words known in the tasks, the sums are the same."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    plain = {r.doc_id: r for r in neural.score_texts(docs, model_words=16, width=4).collect()}
+    plain = {r.doc_id: r for r in neural.score_texts(docs, reach=0.2, width=4).collect()}
     monkeypatch.setattr(neural, "KEPT_SHARE", 2e-3)
-    for r in neural.score_texts(docs, model_words=16, width=4).collect():
+    for r in neural.score_texts(docs, reach=0.2, width=4).collect():
         assert r.base_score == pytest.approx(plain[r.doc_id].base_score) and r.n_known == plain[r.doc_id].n_known
         assert r.score == pytest.approx(plain[r.doc_id].score, rel=1e-3)
 
 
+def plain_logs(model, far, near, word):
+    """Natural log probabilities of tokens, written out: a softmax over all classes and one over the words of the class."""
+    hidden = np.column_stack([model.context[far] @ model.far + model.context[near] @ model.near, np.ones(len(far))])
+    out = []
+    for h, w in zip(hidden, word, strict=True):
+        g = int(np.searchsorted(model.bounds, w, side="right")) - 1
+        classes, words = h @ model.groups.T, h @ model.target[model.bounds[g] : model.bounds[g + 1]].T
+        out.append(classes[g] - np.log(np.exp(classes).sum()) + words[w - model.bounds[g]] - np.log(np.exp(words).sum()))
+    return np.array(out)
+
+
 def test_model_is_normalised_and_learns():
-    rng = np.random.default_rng(0)
-    unigram = np.array([0.1, 0.1, 0.4, 0.4])
+    unigram = np.array([0.1, 0.1, 0.3, 0.2, 0.2, 0.1])
     model = neural.start_model(unigram, 4, 1)
-    ids = np.tile(np.array([2, 3], np.uint16), 2000)
-    far, near, word = neural.context_ids(ids.astype(np.int64), np.array([len(ids)]), 4)
-    for n in range(30):
-        neural.Trainer(model, np.full(4, 0.25), 0.3, n).learn(far, near, word)
+    assert model.bounds[0] == 0 and model.bounds[-1] == 6 and np.diff(model.bounds).max() > 1
+    ids = np.tile(np.arange(2, 6, dtype=np.int32), 1000)
+    far, near, word = neural.context_ids(ids, np.array([len(ids)]), 6)
+    for n in range(60):
+        neural.Trainer(model, unigram, 0.3, n).learn(far, near, word)
     scorer = neural.TextScorer(model)
-    one = [np.array(x, np.uint16).tobytes() for x in ([2], [3], [0], [1])]
-    first = [scorer([x])[0] for x in one]
     assert scorer([ids[:100].tobytes()])[0] / 101 > math.log10(0.4)  # better than the unigram
-    logits = model.predicted(np.array([4]), np.array([4])) @ model.target.T + model.bias
-    assert np.isclose(10 ** -scorer([b""])[0], np.exp(logits).sum() / np.exp(logits[0, neural.END]), rtol=1e-3)
-    assert len(first) == 4 and rng is not None
+    every = np.arange(6)
+    first = scorer.tokens(np.full(6, 6), np.full(6, 6), every)
+    assert np.exp(first).sum() == pytest.approx(1, rel=1e-4)
+    assert first == pytest.approx(plain_logs(model, np.full(6, 6), np.full(6, 6), every), abs=1e-3)
+    model.groups[:, -1] += 500  # far beyond the range of exp
+    assert neural.TextScorer(model).tokens(np.full(6, 6), np.full(6, 6), every) == pytest.approx(first, abs=1e-2)
+
+
+def test_model_vocabulary_grows_with_the_corpus():
+    sizes = []
+    for total in (10**5, 10**7, 10**9):
+        counts = total / 12 / np.arange(1, 200_000)
+        sizes.append(neural.Vocabulary(10, total, 200_000, [], counts[counts >= max(1, neural.KEPT_SHARE * total)], neural.MODEL_REACH).size)
+        bounds = neural.cut_classes(np.full(sizes[-1], 0.1) + counts[: sizes[-1]])
+        assert list(bounds[:3]) == [0, 1, 2] and bounds[-1] == sizes[-1] and (np.diff(bounds) > 0).all() and len(bounds) <= sizes[-1] ** 0.5 + 4
+    assert sizes[0] > 500 and sizes[1] > 4 * sizes[0] and sizes[2] > 4 * sizes[1]
 
 
 def test_language_model_on_odd_rows(odd, nothing):
-    rows = neural.score_texts(odd, model_words=16, width=4).collect()
+    rows = neural.score_texts(odd, reach=0.2, width=4).collect()
     assert len(rows) == odd.count() and {r.n_tokens for r in rows if r.doc_id in (3, 4, 5)} == {1}
-    assert neural.score_texts(nothing, model_words=16, width=4).count() == 0
+    assert neural.score_texts(nothing, reach=0.2, width=4).count() == 0
 
 
 def test_short_benchmark_items_are_searched(spark):
@@ -381,21 +403,20 @@ def test_lm_scores_against_a_plain_softmax(spark, sf_dir, docs_rows, monkeypatch
     kept, fit = {}, neural.fit_model
     monkeypatch.setattr(neural, "fit_model", lambda *a: kept.setdefault("model", fit(*a)))
     rows = {r["doc_id"]: r for r in QUERIES["op10_lm_score"](spark, sf_dir).collect()}
-    model = neural.LogBilinear(*[a.astype(float) for a in kept["model"].arrays()])
-    size = len(model.bias)
+    model = neural.LogBilinear(*[a.astype(float) for a in kept["model"].arrays()], kept["model"].bounds)
+    size = len(model.target)
     words = {i: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) for i, t, *_ in docs_rows}
     learnt = [i for i in words if zlib.crc32(str(i).encode()) % 7 != 2]
     counts = Counter(w for i in learnt for w in words[i])
     total = sum(counts.values()) + len(learnt)
     inside = {w: n + neural.SPECIAL for n, w in enumerate(sorted(counts, key=lambda w: (-counts[w], w))[: size - neural.SPECIAL]) if counts[w] >= neural.KEPT_SHARE * total}
+    assert set(inside) == {w for w, n in counts.items() if n >= max(neural.KEPT_SHARE * total, neural.MODEL_REACH * total ** (2 / 3))}
     rest = sum(n for w, n in counts.items() if w not in inside) + sum(w not in inside for w in counts) + 1
-    assert len(rows) == len(words) and size == 512
+    assert len(rows) == len(words) and size == neural.SPECIAL + len(inside) > 512
     for i, own in words.items():
         ids = [inside.get(w, neural.OTHER) for w in own] + [neural.END]
         far, near = np.array([size, size, *ids])[: len(ids)], np.array([size, *ids])[: len(ids)]
-        logits = (model.context[far] @ model.far + model.context[near] @ model.near) @ model.target.T + model.bias
-        top = logits.max(axis=1)
-        logs = logits[np.arange(len(ids)), ids] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+        logs = plain_logs(model, far, near, ids)
         share = sum(math.log10((counts[w] + 1) / rest) for w in own if w not in inside)
         assert rows[i]["score"] == pytest.approx(logs.sum() / math.log(10) + share, rel=1e-4, abs=1e-2)
         assert rows[i]["held_out"] == (i not in set(learnt)) and rows[i]["train_tokens"] == total
