@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import os
+import re
 
 import numpy as np
 import pandas as pd
@@ -19,7 +21,7 @@ from telltale.plans.preprocess import preprocess
 from telltale.session import materialise, scratch_scope
 from telltale.operators.quality import content_groups, report_of_groups
 from telltale.operators import vectors as VEC
-from telltale.operators.vectors import nearest
+from telltale.operators.vectors import fit_encoder, nearest
 from telltale.schemas import SENSORS
 from telltale.workload import queries as W
 
@@ -299,3 +301,19 @@ def test_scope_deletes_what_it_wrote(spark):
         assert not os.path.exists(inner.removeprefix("file:"))
         assert materialise(spark.range(4), "y").count() == 4
     assert not os.path.exists(outer.removeprefix("file:"))
+
+
+def test_encoder_counts_words_as_written_out(spark):
+    texts = ["Brake brake LINE_7", None, "", "--- ä!", "line_7, pump\nK9; Brake", "x" * 5000 + " pump " * 3000, "Brake brake LINE_7"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "query_id int, query_text string")
+    model = fit_encoder(frame, "query_text", 16)
+    words = [re.findall("[a-z0-9_]+", (t or "").lower()) for t in texts]
+    places = [[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 16 for w in own] for own in words]
+    rarity = [math.log((len(texts) + 1) / (sum(d in own for own in places) + 1)) for d in range(16)]
+    assert model.rarity == pytest.approx(rarity)
+    found = {r.query_id: r.embedding for r in model.encode(frame).collect()}
+    for i, own in enumerate(places):
+        vector = np.bincount(np.array(own, int), minlength=16) * np.array(rarity)
+        norm = np.sqrt((vector**2).sum())
+        assert found[i] == pytest.approx(vector / norm if norm else vector, abs=1e-6)
+    assert model.encode(frame.limit(0)).count() == 0 and fit_encoder(frame.limit(0), "query_text", 16).rarity == [0.0] * 16
