@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telltale.llm import decontaminate, exact, language, mixing, simhash
-from telltale.session import materialise
+from telltale.session import delete_folder, materialise, scratch_dir, scratch_scope
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -71,7 +73,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The documents after all stages. What a stage writes on its way is deleted once its result is written, and a stage's result once the next one's is."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = f"{scratch_dir(spark)}/telltale/stage-{name}-{uuid.uuid4().hex}"
+        with scratch_scope(spark):
+            kept = stage(spark, docs, sf_dir)
+            kept.write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
+        if last:
+            delete_folder(spark, last)
+        last = path
     return docs

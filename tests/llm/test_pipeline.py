@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 import pytest
@@ -9,7 +10,7 @@ import pytest
 import corpus_pipeline
 from telltale.llm import passages
 from telltale.llm.simhash import fingerprint
-from telltale.session import materialise
+from telltale.session import materialise, scratch_dir
 
 
 @pytest.fixture(scope="module")
@@ -80,3 +81,12 @@ def test_row_numbers_outlast_another_split_of_the_files(spark, sf_dir, tmp_path,
             spark.conf.set(setting, before)
 
     assert found("128m", "64k") == found("128m")
+
+
+def test_pipeline_leaves_only_its_result(spark, sf_dir):
+    folder = scratch_dir(spark).removeprefix("file:") + "/telltale"
+    written = lambda: set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    before = written()
+    result = corpus_pipeline.run(spark, sf_dir)
+    left = written() - before
+    assert len(left) == 1 and next(iter(left)).startswith("stage-mixture-") and result.count() > 0
