@@ -99,14 +99,15 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All observations, written once; ``row_id`` is the position in source order."""
 
     def build():
-        lines = with_ordinal_of_copies(table(spark, sf_dir, "lineitem").select(*_ORDER, *_USED), _ORDER, "row_id")
-        attributes = lines.selectExpr("row_id", "l_orderkey", *_select_list(_ATTRIBUTES))
-        readings = attributes.selectExpr("row_id", *_select_list(_READINGS))
-        columns = ["row_id", "is_test", *SENSORS, MODE]
+        columns = ["is_test", *SENSORS, MODE]
         rest = [c for c in CODES if c != "P0000"]
-        return materialise(
-            readings.withColumn("P0000", F.expr(_NO_FAULT)).select(*columns, "P0000", *rest), "telemetry"
-        )
+
+        def readings(lines: DataFrame) -> DataFrame:
+            attributes = lines.selectExpr("l_orderkey", *_select_list(_ATTRIBUTES))
+            return attributes.selectExpr(*_select_list(_READINGS)).withColumn("P0000", F.expr(_NO_FAULT)).select(*columns, "P0000", *rest)
+
+        lines = table(spark, sf_dir, "lineitem").select(*_ORDER, *_USED)
+        return materialise(with_ordinal_of_copies(lines, _ORDER, "row_id", readings).select("row_id", *columns, "P0000", *rest), "telemetry")
 
     return once(spark, sf_dir, "telemetry", build)
 

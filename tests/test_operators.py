@@ -45,6 +45,24 @@ def test_ordinal_of_copies(spark, monkeypatch, piece):
     assert [r["key"] for r in rows] == sorted(r["key"] for r in df.collect())
 
 
+def test_copies_move_once_and_are_dealt_out(spark, monkeypatch, tmp_path):
+    """One content in 4,000 of 5,000 rows: one shuffle, of which no task gets more than a few pieces of the copies; only what is shown is written."""
+    monkeypatch.setattr(ORD, "COPIES_PER_ROW", 64)
+    spark.range(5000).select(F.when(F.col("id") < 4000, 5).otherwise(F.col("id")).alias("key"), F.lit("x").alias("v")).repartition(8).write.parquet(f"{tmp_path}/t")
+    df, written = spark.read.parquet(f"{tmp_path}/t"), []
+
+    def keep(stored, name):
+        written.append(stored)
+        return materialise(stored, name)
+
+    monkeypatch.setattr(ORD, "materialise", keep)
+    rows = ORD.with_ordinal_of_copies(df, ["key"], "n", lambda d: d.select((F.col("key") * 2).alias("twice"))).orderBy("n").collect()
+    assert [r["n"] for r in rows] == list(range(5000)) and [r["twice"] for r in rows] == sorted(2 * r["key"] for r in df.collect())
+    assert len(written) == 1 and written[0].columns == ["twice", "_slot"]
+    assert written[0]._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1 and "Aggregate" not in written[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert max(r["count"] for r in written[0].groupBy(F.spark_partition_id()).count().collect()) < 2000
+
+
 def test_percentiles_by_brackets(spark, sf_dir):
     values = W.prepared(spark, sf_dir).train.select(*Z).withColumn("hot", F.when(F.col("z_RPM") > 0, 1.5).otherwise(F.col("z_ECT")))
     columns = [*Z, "hot"]
