@@ -99,19 +99,26 @@ def popular_lists(incidents: DataFrame, tasks: int) -> list[str]:
     return sorted(x for x in (found[0] or []) if x is not None)
 
 
+def fits_broadcast(arrays: DataFrame) -> bool:
+    """Whether matches take at most ``BROADCAST_BYTES`` as text, whatever their stored size."""
+    size = arrays.agg(F.sum(F.length(F.to_json(F.struct(*arrays.columns))).cast("long"))).first()[0]
+    return (size or 0) <= BROADCAST_BYTES
+
+
 def with_matches(incidents: DataFrame, arrays: DataFrame, popular: list[str] | None = None) -> DataFrame:
     """Attach the match arrays, and a ``retrieval_error`` if ``arrays`` has one; incidents without matches get empty ones.
 
-    Most of a fleet has no code to search for; such incidents don't meet. ``popular`` names lists that many incidents have: their matches go to all tasks, if they are at most
+    Matches of all lists go to all tasks if they are at most ``BROADCAST_BYTES``: then no incident moves. Else most of a fleet has no code to search for; such incidents don't meet. ``popular`` names lists that many incidents have: their matches go to all tasks, if they are at most
     ``BROADCAST_BYTES``, else to ``COPIES`` groups of incidents each, so that no task gets all incidents of a list.
     """
     known = arrays.withColumn("_list", F.to_json("active_dtcs")).drop("active_dtcs")
     keyed = incidents.withColumn("_list", _list_key())
-    if popular:
+    if fits_broadcast(known):
+        joined = keyed.join(F.broadcast(known), "_list", "left")
+    elif popular:
         often = F.coalesce(F.col("_list").isin(popular), F.lit(False))
         few, rest = known.filter(often), keyed.filter(~often)
-        size = few.agg(F.sum(F.length(F.to_json(F.struct(*few.columns))))).first()[0] or 0
-        if size <= BROADCAST_BYTES:
+        if fits_broadcast(few):
             hot = keyed.filter(often).join(F.broadcast(few), "_list", "left")
         else:
             # A number that spreads the incidents of one list evenly, and a copy of the list's matches for each.
@@ -120,7 +127,7 @@ def with_matches(incidents: DataFrame, arrays: DataFrame, popular: list[str] | N
             hot = dealt.join(copies, ["_list", "_copy"], "left").drop("_copy")
         joined = rest.join(known.filter(~often), "_list", "left").unionByName(hot)
     else:
-        joined = keyed.join(known, "_list", "left")
+        joined = keyed.join(known.hint("merge"), "_list", "left")
     kinds = {c: arrays.schema[c].dataType for c in ("exact_dtc_matches", "semantic_matches")}
     return joined.drop("_list").withColumns({c: F.coalesce(F.col(c), F.array().cast(t)) for c, t in kinds.items()})
 

@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from telltale.functions.numbers import is_finite, unscaled
+from telltale.functions.numbers import is_finite, scaled, unscaled
 from telltale.operators.code_sets import is_clear
 from telltale.operators.scaling import Scaler, scale
 from telltale.schemas import (
@@ -444,6 +444,55 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
     return ranked.filter(F.col("rank") <= k)
 
 
+#: A result of the search with at most so many rows goes to all tasks.
+MOST_SENT_ROWS = 100_000
+
+
+def _content(index: SimilarityIndex) -> dict[str, Column]:
+    """What the search knows of an incident: scaled readings, mode and codes."""
+    z = {"z_" + s: scaled(s, index.scaler) for s in index.sensors}
+    return {**z, MODE: F.col(MODE).cast("double"), "codes": F.array_sort(F.array_distinct("active_dtcs"))}
+
+
+def _probe_key(index: SimilarityIndex) -> dict[str, Column]:
+    """A 128-bit key of that content."""
+    content = _content(index).values()
+    return {c: F.xxhash64(F.lit(i), *content) for i, c in enumerate(_PROBE_KEY, 1)}
+
+
+def _usable(sensors) -> Column:
+    """True for an incident whose readings are all there and finite."""
+    usable = F.lit(True)
+    for s in sensors:
+        usable = usable & F.coalesce(is_finite(F.col(s)), F.lit(False))
+    return usable
+
+
+def _searched(incidents: DataFrame, index: SimilarityIndex, k: int, weights: Mapping[str, float] | None) -> DataFrame:
+    """The ``k`` best history rows of every distinct content of the incidents, stored."""
+    weights = dict(weights or DEFAULT_WEIGHTS)
+    # Incidents with equal content have equal answers: search once per content.
+    content, who = _content(index), _probe_key(index)
+    keyed = incidents.filter(_usable(index.sensors)).select(*[c.alias(n) for n, c in {**who, **content}.items()])
+    probes = materialise(keyed.groupBy(*_PROBE_KEY).agg(*[F.first(c).alias(c) for c in content]), "probes")
+
+    seeds = _best(_scored(probes, index, weights, k, second_pass=False), k)
+    floors = seeds.groupBy(*_PROBE_KEY).agg(
+        F.max(F.when(F.col("rank") == k, F.col("_rank_score"))).alias("floor_score"),
+        F.max(F.when(F.col("rank") == k, F.col("historical_index"))).alias("floor_index"),
+    )
+    floors = materialise(probes.join(floors, _PROBE_KEY, "left"), "floors")
+    # A cheap test that drops nearly all rows before the exact ranking; the slack is wider than the rounding of scores.
+    reached = _scored(floors, index, weights, k, second_pass=True).filter(
+        F.col("floor_score").isNull() | (F.col("similarity_score") > F.col("floor_score") - F.lit(2e-9))
+    )
+    best = _best(reached.drop("floor_score", "floor_index"), k).select(
+        *_PROBE_KEY, "rank", "historical_index", "similarity_score", "sensor_similarity", "dtc_similarity", "mode_similarity", "dtc_signature", MODE,
+        *[unscaled(F.col("z_" + s), s, index.scaler).alias(s) for s in index.sensors],
+    )
+    return materialise(best, "cases")
+
+
 def similar_topk(
     incidents: DataFrame, index: SimilarityIndex, k: int = TOP_K_SIMILAR, weights: Mapping[str, float] | None = None, key: str = "incident_id"
 ) -> DataFrame:
@@ -457,60 +506,53 @@ def similar_topk(
         raise ValueError("k must not be negative.")
     if k == 0:
         return similar_topk(incidents, index, 1, weights, key).limit(0)
-    weights = dict(weights or DEFAULT_WEIGHTS)
-    sensors = index.sensors
     who = list(dict.fromkeys([key, "incident_id"]))
-    z = ["z_" + s for s in sensors]
-    usable = incidents
-    for s in sensors:
-        usable = usable.filter(is_finite(F.col(s)))
-    keyed = scale(usable, index.scaler, sensors=sensors).select(
-        *who, F.col(MODE).cast("double").alias(MODE), F.array_sort(F.array_distinct("active_dtcs")).alias("codes"), *z
-    )
-    # Incidents with equal content have equal answers: search once per content, under a 128-bit key.
-    content = [*z, MODE, "codes"]
-    keyed = keyed.withColumns({"_p1": F.xxhash64(F.lit(1), *content), "_p2": F.xxhash64(F.lit(2), *content)})
-    probes = keyed.groupBy(*_PROBE_KEY).agg(*[F.first(c).alias(c) for c in content])
-    probes = materialise(probes, "probes")
+    best = _searched(incidents, index, k, weights)
+    keyed = incidents.filter(_usable(index.sensors)).select(*who, *[c.alias(n) for n, c in _probe_key(index).items()])
+    return keyed.join(_side(best, best), _PROBE_KEY).drop(*_PROBE_KEY)
 
-    seeds = _best(_scored(probes, index, weights, k, second_pass=False), k)
-    floors = seeds.groupBy(*_PROBE_KEY).agg(
-        F.max(F.when(F.col("rank") == k, F.col("_rank_score"))).alias("floor_score"),
-        F.max(F.when(F.col("rank") == k, F.col("historical_index"))).alias("floor_index"),
-    )
-    floors = materialise(probes.join(floors, _PROBE_KEY, "left"), "floors")
-    # A cheap test that drops nearly all rows before the exact ranking; the slack is wider than the rounding of scores.
-    reached = _scored(floors, index, weights, k, second_pass=True).filter(
-        F.col("floor_score").isNull() | (F.col("similarity_score") > F.col("floor_score") - F.lit(2e-9))
-    )
-    best = _best(reached.drop("floor_score", "floor_index"), k)
-    return (
-        keyed.select(*who, *_PROBE_KEY)
-        .join(best, _PROBE_KEY)
-        .select(
-            *who,
-            "rank",
-            "historical_index",
-            "similarity_score",
-            "sensor_similarity",
-            "dtc_similarity",
-            "mode_similarity",
-            "dtc_signature",
-            MODE,
-            *[unscaled(F.col("z_" + s), s, index.scaler).alias(s) for s in sensors],
-        )
-    )
+
+def _side(found: DataFrame, best: DataFrame) -> DataFrame:
+    """What was found by content, to be joined to incidents. It goes to all tasks if the rows of the stored result are few; a table's size in bytes says little about them."""
+    return F.broadcast(found) if is_small(best, MOST_SENT_ROWS) else found.hint("merge")
+
+
+def with_similar_cases(
+    incidents: DataFrame, index: SimilarityIndex, k: int = TOP_K_SIMILAR, weights: Mapping[str, float] | None = None, wanted: Column | None = None, asked: DataFrame | None = None
+) -> DataFrame:
+    """Incidents with ``similarity``, the nested cases that ``nest_cases`` makes of ``similar_topk``; those that are not ``wanted`` have no cases.
+
+    Cases are nested once per distinct content and then joined to the incidents, so they move once per content, not once per incident. Ids may repeat or be missing.
+    ``asked`` is the same incidents, if there is a table of them that is cheaper to read.
+    """
+    if k < 0:
+        raise ValueError("k must not be negative.")
+    sought = _usable(index.sensors) if wanted is None else _usable(index.sensors) & F.coalesce(wanted, F.lit(False))
+    best = _searched((incidents if asked is None else asked).filter(sought), index, max(k, 1), weights)
+    best = best if k else best.limit(0)
+    nested = best.groupBy(*_PROBE_KEY).agg(F.array_sort(F.collect_list(_case(index.sensors))).alias("_cases"))
+    # An incident without cases has a key of its own, so that these don't meet in one task.
+    first, second = _probe_key(index).values()
+    keyed = incidents.withColumns({"_p1": F.when(sought, first).otherwise(F.monotonically_increasing_id()), "_p2": F.when(sought, second)})
+    return _shown_cases(keyed.join(_side(nested, best), _PROBE_KEY, "left").drop(*_PROBE_KEY))
 
 
 def nest_cases(incidents: DataFrame, cases: DataFrame, sensors=SENSORS, key: str = "incident_id") -> DataFrame:
     """Add ``similarity``: the cases of each incident as one array, the best score (0.0 without cases), a status text. ``key`` is that of ``similar_topk``."""
-    case = F.struct(
+    # At most k rows per incident, in any number of incidents: never a side to send to all tasks, whatever the stored table's size in bytes.
+    nested = cases.groupBy(key).agg(F.array_sort(F.collect_list(_case(sensors))).alias("_cases")).hint("merge")
+    return _shown_cases(incidents.join(nested, key, "left"))
+
+
+def _case(sensors) -> Column:
+    return F.struct(
         "rank", "historical_index", "similarity_score", "sensor_similarity", "dtc_similarity", "mode_similarity",
         "dtc_signature", MODE, F.struct(*sensors).alias("original_sensor_values"),
     )
-    # At most k rows per incident.
-    nested = cases.groupBy(key).agg(F.array_sort(F.collect_list(case)).alias("_cases"))
-    joined = incidents.join(nested, key, "left")
+
+
+def _shown_cases(joined: DataFrame) -> DataFrame:
+    """``similarity`` from ``_cases``, the ranked cases of an incident or null."""
     kept = F.transform("_cases", lambda c: c.dropFields("rank"))
     empty = F.array().cast(joined.select(kept.alias("c")).schema["c"].dataType)
     found = F.col("_cases").isNotNull()

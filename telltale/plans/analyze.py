@@ -11,7 +11,7 @@ from telltale.functions import validation as V
 from telltale.operators import evidence as E
 from telltale.operators.deviation import detect_anomalies
 from telltale.operators.retrieval import retrieve, searchable_codes
-from telltale.operators.similarity import SimilarityIndex, nest_cases, similar_topk
+from telltale.operators.similarity import SimilarityIndex, with_similar_cases
 from telltale.operators.vectors import PreparedDocs, prepare_docs, usable_vector
 from telltale.plans.anomaly_model import AnomalyModel
 from telltale.plans.knowledge_base import Encoder
@@ -75,7 +75,6 @@ def find_matches(incidents: DataFrame, resources: Resources, top_k: int = TOP_K_
 
 def _packages(typed: DataFrame, resources: Resources, top_k_similar: int, top_k_rag: int, kb_name: str) -> DataFrame:
     """``typed`` has parsed values and the columns ``similarity_error`` and ``anomaly_error``."""
-    cases = similar_topk(typed.filter("similarity_error IS NULL"), resources.index, top_k_similar, key=ROW)
     encoded = encoded_codes(typed, resources)
     arrays = E.match_arrays(find_matches(typed, resources, top_k_rag, encoded), resources.docs)
     failed = E.failed_lists(typed, encoded.filter(~F.col("usable")))
@@ -85,8 +84,8 @@ def _packages(typed: DataFrame, resources: Resources, top_k_similar: int, top_k_
     judged = detect_anomalies(
         typed, resources.model.forest, resources.index.scaler, resources.model.bands, error=F.col("anomaly_error")
     )
-    nested = nest_cases(judged, cases, key=ROW)
-    popular = E.popular_lists(typed, shuffle_partitions(typed))
+    nested = with_similar_cases(judged, resources.index, top_k_similar, wanted=F.col("similarity_error").isNull(), asked=typed)
+    popular = None if E.fits_broadcast(matches) else E.popular_lists(typed, shuffle_partitions(typed))
     return E.with_matches(nested, matches, popular).select(
         "incident_id",
         F.struct(*extra).alias("incident"),

@@ -446,7 +446,12 @@ _SCORES = ("similarity_score", "sensor_similarity", "dtc_similarity", "mode_simi
 
 def top5(spark, sf_dir) -> DataFrame:
     """The default search, shared by the queries that build on it."""
-    return X.once(spark, sf_dir, "top5", lambda: materialise(SIM.similar_topk(incidents(spark, sf_dir), index(spark, sf_dir)), "top5"))
+    return X.once(spark, sf_dir, "top5", lambda: SIM.similar_topk(incidents(spark, sf_dir), index(spark, sf_dir)))
+
+
+def cases(spark, sf_dir) -> DataFrame:
+    """Every incident with the nested cases of the default search."""
+    return X.once(spark, sf_dir, "cases", lambda: SIM.with_similar_cases(incidents(spark, sf_dir), index(spark, sf_dir)))
 
 
 @registered(Q.query(
@@ -462,7 +467,7 @@ def similar_cases(spark, sf_dir):
 @registered(Q.query(
     """SELECT incident_id, n AS case_count, round(top_score, 6) AS top_score, cases, 'Similarity calculation successful.' AS summary FROM case_list""", "case_list"))
 def similarity_summary(spark, sf_dir):
-    nested = SIM.nest_cases(incidents(spark, sf_dir).select("incident_id"), top5(spark, sf_dir))
+    nested = cases(spark, sf_dir)
     s = F.col("similarity")
     return nested.select(
         "incident_id", F.size(s["top_cases"]).cast("long").alias("case_count"), F.round(s["top_score"], 6).alias("top_score"),
@@ -472,8 +477,7 @@ def similarity_summary(spark, sf_dir):
 
 @registered(Q.query("SELECT incident_id, same_signature FROM case_list", "case_list"))
 def same_signature_found(spark, sf_dir):
-    who = incidents(spark, sf_dir).select("incident_id", "active_dtcs")
-    nested = SIM.nest_cases(who, top5(spark, sf_dir))
+    nested = cases(spark, sf_dir)
     sig = C.signature(F.col("active_dtcs"))
     return nested.select("incident_id", F.exists(F.col("similarity.top_cases"), lambda c: c["dtc_signature"] == sig).alias("same_signature"))
 
@@ -796,9 +800,9 @@ _LEADS = f"""concat_ws(' / ', CASE WHEN x.n > 0 THEN concat('Investigate systems
 def _findings(spark, sf_dir) -> DataFrame:
     who = incidents(spark, sf_dir)
     m = model(spark, sf_dir)
-    judged = DEV.detect_anomalies(SIM.nest_cases(who, top5(spark, sf_dir)), m.forest, scaler(spark, sf_dir), m.bands)
+    judged = DEV.detect_anomalies(cases(spark, sf_dir), m.forest, scaler(spark, sf_dir), m.bands)
     r = resources(spark, sf_dir)
-    arrays = EV.match_arrays(find_matches(who, r), r.docs)
+    arrays = materialise(EV.match_arrays(find_matches(who, r), r.docs), "matches")
     return EV.with_matches(judged, arrays)
 
 

@@ -190,3 +190,21 @@ def test_signature_and_list_text(spark):
     rows = df.select(signature(F.col("c")).alias("s"), parse_code_list(F.col("t")).alias("l")).collect()
     assert [r["s"] for r in rows] == ["a|a|b", "NONE", "NONE"]
     assert [r["l"] for r in rows] == [["P1", "P2"], [], []]
+
+
+@pytest.mark.parametrize("most", [SIM.MOST_SENT_ROWS, 0])
+def test_nested_cases_join_by_content(spark, sf_dir, monkeypatch, most):
+    """As nesting the ranked rows, also where ids repeat and readings are unusable; a side that grows with the incidents is never sent to all tasks, however small its file."""
+    monkeypatch.setattr(SIM, "MOST_SENT_ROWS", most)
+    index = W.index(spark, sf_dir)
+    some = W.incidents(spark, sf_dir).filter("incident_id % 3 = 0").withColumn("RPM", F.when(F.col("incident_id") % 7 != 0, F.col("RPM")))
+    own = some.withColumn("row", F.col("incident_id")).withColumn("incident_id", F.col("incident_id") % 2)
+    ranked = SIM.similar_topk(own, index, key="row")
+    grown = SIM.nest_cases(own, ranked, key="row").select("row", "similarity")
+    joined = SIM.with_similar_cases(own, index, wanted=F.col("row") % 5 != 0)
+    assert "BroadcastHashJoin" not in grown._jdf.queryExecution().sparkPlan().toString().split("HashAggregate")[0]
+    assert ("BroadcastHashJoin" in joined._jdf.queryExecution().sparkPlan().toString()) == (most > 0)
+    expected, got = ({r["row"]: r["similarity"] for r in d.select("row", "similarity").collect()} for d in (grown, joined))
+    assert joined.columns == [*own.columns, "similarity"] and len(got) == own.count() == joined.count()
+    assert {r: s for r, s in got.items() if r % 5} == {r: s for r, s in expected.items() if r % 5}
+    assert all(s["top_cases"] == [] and s["top_score"] == 0.0 for r, s in got.items() if r % 5 == 0 or r % 7 == 0) and any(s["top_cases"] for s in got.values())
