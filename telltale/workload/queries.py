@@ -388,18 +388,28 @@ def sensor_similarity(spark, sf_dir):
     return _component(spark, sf_dir, "sensor_similarity", _SENSOR_ONLY, 2)
 
 
+_CODE_LISTS = "array_to_string(list_sort(list_distinct(active_dtcs)), ',')"
+
+
 @registered(Q.query(
-    """SELECT q AS incident_codes, h AS history_codes, round(jaccard, 9) AS similarity FROM (
+    f"""SELECT CAST(NULL AS BIGINT) AS incident_id, CAST(NULL AS BIGINT) AS historical_index, q AS incident_codes, h AS history_codes, round(jaccard, 9) AS similarity FROM (
          SELECT array_to_string(q.codes, ',') AS q, array_to_string(h.codes, ',') AS h,
            CASE WHEN len(q.codes) = 0 THEN CASE WHEN len(list_filter(h.codes, lambda c: c <> 'P0000')) = 0 OR h.codes = ['NONE'] THEN 1.0::DOUBLE ELSE 0.0 END
              WHEN len(h.codes) = 0 THEN 0.0
              ELSE len(list_intersect(q.codes, h.codes))::DOUBLE / len(list_distinct(list_concat(q.codes, h.codes))) END AS jaccard
          FROM (SELECT DISTINCT list_sort(list_distinct(active_dtcs)) AS codes FROM incidents) q, (SELECT DISTINCT list_sort(list_distinct(active_dtcs)) AS codes FROM zhistory) h) p
-       WHERE jaccard > 0""", "incidents", "zhistory"))
+       WHERE jaccard > 0
+       UNION ALL SELECT incident_id, NULL, {_CODE_LISTS}, NULL, NULL FROM incidents
+       UNION ALL SELECT NULL, historical_index, NULL, {_CODE_LISTS}, NULL FROM zhistory""", "incidents", "zhistory"))
 def code_jaccard(spark, sf_dir):
-    """Every pair of an incident's and a history's code list that have something in common."""
-    found = code_similarities(incidents(spark, sf_dir), prepared(spark, sf_dir).train)
-    return found.select(F.array_join("left_codes", ",").alias("incident_codes"), F.array_join("right_codes", ",").alias("history_codes"), _r("similarity", 9))
+    """Every pair of an incident's and a history's code list that have something in common, and which list every incident and every history row has."""
+    left, right = incidents(spark, sf_dir), prepared(spark, sf_dir).train
+    found = code_similarities(left, right)
+    pairs = found.select(F.array_join("left_codes", ",").alias("incident_codes"), F.array_join("right_codes", ",").alias("history_codes"), _r("similarity", 9))
+    own = F.array_join(F.array_sort(F.array_distinct("active_dtcs")), ",")
+    for df, row, name in ((left, "incident_id", "incident_codes"), (right, "historical_index", "history_codes")):
+        pairs = pairs.unionByName(df.select(row, own.alias(name)), allowMissingColumns=True)
+    return pairs.select("incident_id", "historical_index", "incident_codes", "history_codes", "similarity")
 
 
 @registered(_component_oracle("dtc_similarity", _CODES_ONLY, 2))

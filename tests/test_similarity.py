@@ -208,3 +208,16 @@ def test_nested_cases_join_by_content(spark, sf_dir, monkeypatch, most):
     assert joined.columns == [*own.columns, "similarity"] and len(got) == own.count() == joined.count()
     assert {r: s for r, s in got.items() if r % 5} == {r: s for r, s in expected.items() if r % 5}
     assert all(s["top_cases"] == [] and s["top_score"] == 0.0 for r, s in got.items() if r % 5 == 0 or r % 7 == 0) and any(s["top_cases"] for s in got.values())
+
+
+def test_code_lists_of_every_row(spark, sf_dir, tables):
+    """The pairs of lists and every row's own list give each pair of rows that have something in common."""
+    history, incidents, h_rows, i_rows, _ = tables
+    rows = W.code_jaccard(spark, sf_dir).collect()
+    whose = {r["incident_id"]: r["incident_codes"] for r in rows if r["incident_id"] is not None}
+    kept = {r["historical_index"]: r["history_codes"] for r in rows if r["historical_index"] is not None}
+    alike = {(r["incident_codes"], r["history_codes"]): r["similarity"] for r in rows if r["similarity"] is not None}
+    assert len(whose) == len(i_rows) and len(kept) == len(h_rows) and len(rows) == len(whose) + len(kept) + len(alike)
+    for i in i_rows[:60]:
+        for h in h_rows[::7]:
+            assert alike.get((whose[i["incident_id"]], kept[h["historical_index"]]), 0.0) == pytest.approx(_jaccard(i["active_dtcs"], h["active_dtcs"]), abs=1e-9)
