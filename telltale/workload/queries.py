@@ -756,7 +756,10 @@ def vector_knn_approximate(spark, sf_dir):
 
 @registered(Q.query("SELECT query_id, CAST(position AS BIGINT) AS position, match_type, doc_id, score FROM hybrid", "hybrid"))
 def hybrid_retrieve(spark, sf_dir):
-    return RET.retrieve(hybrid_queries(spark, sf_dir), vector_docs(spark, sf_dir), 5).select("query_id", *_long("position"), "match_type", "doc_id", "score")
+    # Not the stored documents: their texts are written several times over, and nothing here reads them.
+    vectors = X.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    docs = KB.documents(X.entries(spark, sf_dir)).select("doc_id", "code").join(vectors, "doc_id", "left")
+    return RET.retrieve(hybrid_queries(spark, sf_dir), docs, 5).select("query_id", *_long("position"), "match_type", "doc_id", "score")
 
 
 # --- Evidence ----------------------------------------------------------------------------------------------------------

@@ -250,6 +250,11 @@ def test_vectors_without_clusters_travel_by_blocks(spark, monkeypatch, values):
         assert sorted(got[q]) == [(n + 1, int(d)) for n, d in enumerate(best)]
 
 
+def test_hybrid_retrieval_stores_no_texts(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(W, "docs_of", None)
+    assert W.hybrid_retrieve(spark, sf_dir).count() > 0
+
+
 def test_buckets_find_neighbours_and_skip_the_rest(spark):
     """Clustered vectors, a third of them copies: at least nine in ten exact neighbours, with exact distances, from few candidates."""
     draw = np.random.default_rng(6)
