@@ -273,6 +273,65 @@ def test_repeated_passages_are_matched(spark):
         assert covered(found, d + 5, d + 4) >= set(range(30, 90))
 
 
+def test_passage_in_texts_that_meet_a_first_text_with_less_of_it(spark):
+    """Two texts share 60 words, of which earlier texts hold 45 at either end, and a word differs here and there."""
+    import random
+
+    rng, rows = random.Random(17), []
+    fill = filler(rng)
+    for _ in range(20):
+        p = fill(60)
+        q = list(p)
+        for i in rng.sample(range(3, 57), 4):
+            q[i] = fill(1)[0]
+        for part in (p[:45], p[15:], p, q):
+            rows.append((len(rows), " ".join(fill(30) + part + fill(30))))
+    found = passages.passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert all(len(covered(found, d + 3, d + 2) & set(range(30, 90))) >= 52 for d in range(0, len(rows), 4))
+
+
+def test_passages_of_copies_go_by_their_first_text(spark):
+    import random
+
+    fill = filler(random.Random(19))
+    p = fill(60)
+    whole, other = fill(30) + p + fill(30), fill(10) + p + fill(50)
+    rows = [(10, " ".join(whole)), (11, "\t".join(whole).upper()), *[(20 + n, " ".join(fill(20) + p)) for n in range(30)], (90, " ".join(other)), (12, " ".join(whole)), (91, "a b"), (92, "a b")]
+    found = passages.passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    copies = sorted((r.doc_id, r.other_id, r.start, r.end, r.other_start, r.other_end, r.edits, r.passage) for r in found if r.doc_id in (11, 12))
+    assert copies == [(d, 10, 0, 120, 0, 120, 0, " ".join(whole)) for d in (11, 12)]
+    assert len(found) < 100 and all(covered(found, d, 10) >= set(range(s, s + 60)) for d, s in [(90, 10), *[(20 + n, 20) for n in range(30)]])
+
+
+def test_places_meet_as_one_by_one():
+    """``met`` against loops over all texts that have a key."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for most in (2, 4, 100):
+        place = np.array(sorted({(int(k), int(r), int(s)) for k, r, s in rng.integers(0, (6, 7, 9), (150, 3))}))
+        key, row, spot = place.T
+        x, y, texts = passages.met(key, row, most)
+        own: dict = {}
+        for i, (k, r) in enumerate(zip(key.tolist(), row.tolist(), strict=True)):
+            own.setdefault(k, {}).setdefault(r, []).append(i)
+        expected = set()
+        for k, by_row in own.items():
+            assert set(texts[key == k]) == {len(by_row)}
+            order = sorted(by_row)
+            for r in order:
+                p = by_row[r]
+                if len(order) > most:
+                    firsts = [next(q for q in order if len(by_row[q]) > j) for j in range(len(p))]
+                    expected |= {(i, by_row[f][j]) for j, (i, f) in enumerate(zip(p, firsts, strict=True)) if f != r}
+                    expected |= {(i, by_row[order[0]][0]) for i in p[1:] if r != order[0]} | {(by_row[order[-1]][0], j) for j in by_row[order[0]][1:]}
+                    continue
+                for q in [q for q in order if q < r]:
+                    o = by_row[q]
+                    expected |= set(zip(p, o, strict=False)) | {(i, o[0]) for i in p[1:]} | {(p[0], j) for j in o[1:]}
+        assert set(zip(x.tolist(), y.tolist(), strict=True)) == expected
+
+
 def test_passages_on_odd_rows(odd, nothing):
     found = passages.passages(odd).collect()
     assert {frozenset((r.doc_id, r.other_id)) for r in found} == {frozenset((7, 8))}
