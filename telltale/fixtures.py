@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from telltale.functions.codes import active_codes
 from telltale.operators.ordinals import with_ordinal_of_copies
 from telltale.schemas import CODES, MODE, SENSORS
-from telltale.session import materialise
 
 _ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
 _USED = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
@@ -107,7 +106,7 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
             return attributes.selectExpr(*_select_list(_READINGS)).withColumn("P0000", F.expr(_NO_FAULT)).select(*columns, "P0000", *rest)
 
         lines = table(spark, sf_dir, "lineitem").select(*_ORDER, *_USED)
-        return materialise(with_ordinal_of_copies(lines, _ORDER, "row_id", readings).select("row_id", *columns, "P0000", *rest), "telemetry")
+        return with_ordinal_of_copies(lines, _ORDER, "row_id", readings).select("row_id", *columns, "P0000", *rest)
 
     return once(spark, sf_dir, "telemetry", build)
 

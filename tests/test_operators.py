@@ -12,6 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from telltale import fixtures as X
 from telltale.operators import forest as FOR
 from telltale.operators import ordinals as ORD
 from telltale.operators.percentiles import exact_percentiles
@@ -250,6 +251,10 @@ def test_vectors_without_clusters_travel_by_blocks(spark, monkeypatch, values):
         assert sorted(got[q]) == [(n + 1, int(d)) for n, d in enumerate(best)]
 
 
+def test_telemetry_is_written_once(spark, sf_dir):
+    assert all("/ordinal-" in f for f in X.telemetry(spark, sf_dir).inputFiles())
+
+
 def test_hybrid_retrieval_stores_no_texts(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(W, "docs_of", None)
     assert W.hybrid_retrieve(spark, sf_dir).count() > 0
