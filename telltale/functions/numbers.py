@@ -27,7 +27,8 @@ def parse_double(text: Column) -> Column:
         .when(word.startswith("-"), F.lit(-math.inf))
         .otherwise(F.lit(math.inf))
     )
-    return F.when(text.rlike(FLOAT_PATTERN), stripped(text).try_cast("double")).when(
+    # A cast does not mind the white space that the pattern allows.
+    return F.when(text.rlike(FLOAT_PATTERN), text.try_cast("double")).when(
         word.rlike(SPECIAL_PATTERN), special
     )
 

@@ -135,10 +135,10 @@ def analyze_incidents(
             "anomaly_error": V.anomaly_error(raw) if mode == "degrade" else F.lit(None).cast("string"),
         }
     )
-    good = checked if mode == "degrade" else checked.filter("_error IS NULL")
-    # Parsed once and stored: the parts below all start from these rows, and filters on parsed values would otherwise
+    # Parsed and checked once and stored, rejected incidents too: the parts below all start from these rows, and filters on parsed values would otherwise
     # repeat the parsing many times over.
-    good = materialise(V.typed_incidents(good).drop("_error").withColumn(ROW, F.monotonically_increasing_id()), "typed-incidents")
+    stored = materialise(V.typed_incidents(checked).withColumn(ROW, F.monotonically_increasing_id()), "typed-incidents")
+    good = (stored if mode == "degrade" else stored.filter("_error IS NULL")).drop("_error")
     packages = _packages(good, resources, top_k_similar, top_k_rag, resources.kb_name)
     internal = F.lit(None).cast("string") if mode == "degrade" else F.col("retrieval_error")
     packages = packages.withColumn("error", V.error_envelope(F.lit(None).cast("string"), internal))
@@ -146,7 +146,7 @@ def analyze_incidents(
         return packages
     parts = [c for c in packages.columns if c not in ("incident_id", "error")]
     packages = packages.withColumns({c: F.when(F.col("error").isNull(), F.col(c)) for c in parts})
-    rejected = checked.filter("_error IS NOT NULL").select(
+    rejected = stored.filter("_error IS NOT NULL").select(
         "incident_id", V.error_envelope(F.col("_error")).alias("error")
     )
     return packages.unionByName(rejected, allowMissingColumns=True)

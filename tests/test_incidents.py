@@ -259,6 +259,13 @@ def test_preprocess_files(spark, sf_dir, tmp_path):
     assert "train_duplicates | 740" in spark.read.text(str(tmp_path / "out/report_text"), wholetext=True).first()[0]
 
 
+def test_rejected_incidents_are_not_parsed_again(spark, raw, resources, packages, tmp_path):
+    raw.write.parquet(str(tmp_path / "in"))
+    found = analyze_incidents(read_incidents(spark, str(tmp_path / "in")), resources)
+    assert not [f for f in found.inputFiles() if str(tmp_path) in f]
+    assert {r["incident_id"]: r["error"] for r in found.collect()} == {i: r["error"] for i, r in packages.items()}
+
+
 def test_stream_equals_batch(spark, raw, resources, packages, tmp_path):
     raw.repartition(5).write.parquet(str(tmp_path / "in"))
     assert read_incidents(spark, str(tmp_path / "in")).count() == len(CASES)
