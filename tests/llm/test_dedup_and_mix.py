@@ -303,6 +303,51 @@ def test_passages_of_copies_go_by_their_first_text(spark):
     assert len(found) < 100 and all(covered(found, d, 10) >= set(range(s, s + 60)) for d, s in [(90, 10), *[(20 + n, 20) for n in range(30)]])
 
 
+def test_pieces_are_cut_before_they_leave_spark(spark, monkeypatch):
+    """What goes to Python for a chain depends on the chain, not on the texts: a long text is joined to each of its chains."""
+    import random
+
+    fill = filler(random.Random(23))
+    shared = [fill(60) for _ in range(8)]
+    rows = [(0, " ".join(w for p in shared for w in fill(500) + p)), *[(1 + i, "\t ".join(fill(2000) + p + fill(2000))) for i, p in enumerate(shared)]]
+    docs, sent = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), []
+    own = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, *rest, **more: (sent.append(df), own(df, *rest, **more))[1])
+    found = passages.passages(docs).collect()
+    assert sorted((r.doc_id, r.start, r.end, r.other_id, r.other_start, r.other_end, r.edits, r.passage) for r in found) == [
+        (1 + i, 2000, 2060, 0, 560 * i + 500, 560 * i + 560, 0, " ".join(p)) for i, p in enumerate(shared)
+    ]
+    chained = [df for df in sent if "seeds" in df.columns]
+    size = [c for c, kind in chained[0].dtypes if kind == "binary"]
+    assert chained and len(size) == 3
+    assert all(sum(len(r[c]) for c, kind in df.dtypes if kind == "binary") < 4000 for df in chained for r in df.collect())
+
+
+def test_chains_of_pairs_are_those_of_the_search(spark):
+    """Pairs told apart at a glance have the chains that ``chain`` finds, at and around the limits too."""
+    import numpy as np
+
+    rng, pairs = np.random.default_rng(5), []
+    for dx in (0, 1, 29, 30, 31, 63):
+        for dy in (-1, 0, 1, 29, 30, 31, 59, 60, 64):
+            pairs += [[(7, 70), (7 + dx, 70 + dy)], [(1, 2), (3, 4), (3 + dx, 4 + dy)]]
+    pairs += [sorted({(int(x), int(y)) for x, y in rng.integers(0, size, (n, 2))}) for n in (2, 3, 8) for size in (20, 90) for _ in range(20)]
+    matches = [(r, r % 3, x, y) for r, own in enumerate(pairs, 10) for x, y in own]
+    found = passages.chains(spark.createDataFrame(matches, "row long, other long, spot int, place int")).collect()
+    expected = []
+    for r, own in enumerate(pairs, 10):
+        x, y = np.array(sorted(own), np.int32).T
+        for c in passages.chain(x, y):
+            if len(c) > 1:
+                expected.append((r, r % 3, x[c[0]], x[c[-1]] + 4, y[c[0]], y[c[-1]] + 4, np.concatenate([x[c], y[c]]).tobytes()))
+    assert sorted((r.row, r.other, r.a, r.b, r.c, r.d, bytes(r.seeds)) for r in found) == sorted(expected)
+
+
+@given(*[st.lists(st.sampled_from([b"a", b"b", b"c", b"d", b"e"]), max_size=12)] * 2, st.integers(0, 8))
+def test_alike_counts_equal_words(a, b, least):
+    assert passages.alike(a, b, least) == ((Counter(a) & Counter(b)).total() >= least)
+
+
 def test_places_meet_as_one_by_one():
     """``met`` against loops over all texts that have a key."""
     import numpy as np
