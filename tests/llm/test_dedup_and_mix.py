@@ -323,6 +323,18 @@ def test_pieces_are_cut_before_they_leave_spark(spark, monkeypatch):
     assert all(sum(len(r[c]) for c, kind in df.dtypes if kind == "binary") < 4000 for df in chained for r in df.collect())
 
 
+def test_pieces_are_the_words_around_a_chain(spark):
+    from pyspark.sql import functions as F
+
+    texts = [[f"w{i}" * (1 + i % 3) for i in range(n)] for n in (5, 15, 16, 17, 32, 33, 80, 129)]
+    docs = spark.createDataFrame([(r, r, " \n".join(w).upper() + " ") for r, w in enumerate(texts)], "row long, doc_id long, text string")
+    spans = [(r, s, e) for r, w in enumerate(texts) for s in range(0, len(w), 3) for e in {s + 5, s + 16, len(w)} if s < e <= len(w)]
+    source = passages.normalised(docs.withColumn("text", F.col("text").cast("binary")), 1)
+    found = source.join(spark.createDataFrame(spans, "row long, s int, e int"), "row").select("row", "s", "e", *passages._cut("s", "e", "begin", "piece")).collect()
+    expected = [(r, s, e, max(0, s - 32), texts[r][max(0, s - 32) : e + 32]) for r, s, e in spans]
+    assert sorted((r.row, r.s, r.e, r.begin, bytes(r.piece).decode().split(" "), r.piece_words) for r in found) == sorted((*x, len(x[-1])) for x in expected)
+
+
 def test_chains_of_pairs_are_those_of_the_search(spark):
     """Pairs told apart at a glance have the chains that ``chain`` finds, at and around the limits too."""
     import numpy as np
