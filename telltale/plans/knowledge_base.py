@@ -27,7 +27,7 @@ def default_encoder(docs: DataFrame, dimensions: int = 512) -> Encoder:
 def build_knowledge_base(entries: DataFrame, encoder: Encoder | None = None) -> tuple[DataFrame, Encoder]:
     """Documents with ``embedding``, and the encoder that queries must use."""
     # Fitting the encoder and encoding both read the documents, so they are composed once.
-    docs = materialise(documents(spread(entries)), "kb-documents")
+    docs = materialise(documents(spread(entries)), "kb-documents", compression="zstd")
     encoder = encoder or default_encoder(docs)
     encoded = encoder(docs.withColumnRenamed("text_doc", "query_text")).withColumnRenamed("query_text", "text_doc")
     return encoded, encoder

@@ -32,7 +32,7 @@ from telltale.plans.anomaly_model import AnomalyModel, fit_anomaly_model
 from telltale.plans.knowledge_base import build_knowledge_base
 from telltale.plans.preprocess import Preprocessed, clean_history, preprocess, scaler_table, with_codes
 from telltale.schemas import CODES, MODE, SENSORS
-from telltale.session import materialise, scratch_dir
+from telltale.session import materialise, release, scratch_dir
 from telltale.sources import artefacts as ART
 from telltale.sources.telemetry import read_history, write_history
 from telltale.streaming.incidents import analyze_stream, read_incident_stream
@@ -675,11 +675,14 @@ def vector_docs(spark, sf_dir) -> DataFrame:
 
 
 def knowledge_base(spark, sf_dir):
-    """The job's documents, with vectors of the default encoder, and the encoder."""
+    """The vectors of the job's documents by the default encoder, and the encoder."""
 
     def build():
+        # What is searched; the texts that the job writes on its way are not read again.
         docs, encoder = build_knowledge_base(X.entries(spark, sf_dir))
-        return materialise(docs, "knowledge-base"), encoder
+        vectors = materialise(docs.select("doc_id", "embedding"), "knowledge-base", compression="zstd")
+        release(docs)
+        return vectors, encoder
 
     return X.once(spark, sf_dir, "knowledge_base", build)
 

@@ -251,6 +251,54 @@ def test_vectors_without_clusters_travel_by_blocks(spark, monkeypatch, values):
         assert sorted(got[q]) == [(n + 1, int(d)) for n, d in enumerate(best)]
 
 
+def test_no_vector_is_copied_for_the_blocks_it_meets(spark, monkeypatch):
+    """With many parts of documents nothing is shuffled, what is written has a row per vector and goes when it is read, and each query has its own answer, also where ids repeat or are null."""
+    monkeypatch.setattr(VEC, "BLOCK_VALUES", 400)
+    monkeypatch.setattr(VEC, "release", lambda df, plain=VEC.release: (sizes.append(df.count()), plain(df))[1])
+    draw, sizes = np.random.default_rng(17), []
+    vectors = draw.normal(size=(300, 8)).astype(np.float32)
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "doc_id long, embedding array<float>")
+    asked = [(None if i % 10 == 0 else i // 3, draw.normal(size=8).astype(np.float32).tolist(), 1 + i % 4) for i in range(200)]
+    near = nearest(spark.createDataFrame(asked, "query_id long, embedding array<float>, k int"), docs, broadcast_values=100, block_rows=40)
+    assert "Exchange" not in near._jdf.queryExecution().sparkPlan().toString()
+    assert len(sizes) > 6 and max(sizes) <= 300
+    assert {os.path.dirname(f).rpartition("/")[2][:11] for f in near.inputFiles()} == {"best-so-far"}
+    expected = []
+    for q, v, k in asked:
+        gap = ((vectors.astype(float) - np.array(v, np.float32)) ** 2).sum(axis=1)
+        expected += [(q, n + 1, int(d), round(float(gap[d]), 9)) for n, d in enumerate(np.argsort(gap, kind="stable")[:k])]
+    order = lambda rows: sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, *r[1:]))
+    assert order((r["query_id"], r["neighbour_rank"], r["doc_id"], round(r["squared_distance"], 9)) for r in near.collect()) == order(expected)
+
+
+@pytest.mark.parametrize("scale", [1e-12, 1.0, 1e12])
+def test_parts_measure_what_rounding_hides(spark, scale):
+    """Vectors far from the origin and close to each other, copies, and k above the number of documents, in 4-byte numbers of any size."""
+    draw = np.random.default_rng(19)
+    vectors = (scale * (1000 + draw.normal(size=(400, 6)).round(2))).astype(np.float32)
+    vectors[100:180] = vectors[7]
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "doc_id long, embedding array<float>")
+    queries = spark.createDataFrame([(i, vectors[i].tolist(), (3, 90, 500)[i % 3]) for i in range(0, 60)], "query_id long, embedding array<float>, k int")
+    got = {}
+    for r in nearest(queries, docs, broadcast_values=50, block_rows=64).collect():
+        got.setdefault(r["query_id"], []).append((r["neighbour_rank"], r["doc_id"]))
+    for i in range(60):
+        gap = ((vectors.astype(float) - vectors[i].astype(float)) ** 2).sum(axis=1)
+        assert sorted(got[i]) == [(n + 1, int(d)) for n, d in enumerate(np.argsort(gap, kind="stable")[: (3, 90, 500)[i % 3]])]
+
+
+def test_words_are_placed_as_their_digests_say(spark):
+    texts = [None, "", "...", "Ab ab_1 x", "\u00c4b c", "ab " * 300, "x", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1).orderBy("i").select(VEC.dimensions_of(F.col("t"), 512).alias("d")).collect()
+    place = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 512
+    assert [list(r["d"]) for r in rows] == [[place(w) for w in re.findall("[a-z0-9_]+", (t or "").lower())] for t in texts]
+
+
+def test_vectors_of_texts_keep_no_texts(spark, sf_dir):
+    docs, _ = W.knowledge_base(spark, sf_dir)
+    assert docs.columns == ["doc_id", "embedding"] and all("/knowledge-base-" in f for f in docs.inputFiles())
+
+
 def test_buckets_measure_by_blocks_without_a_row_per_pair(spark, monkeypatch):
     """Vectors without clusters, ties and copies, buckets larger than a block: the k best among all that share a bucket, and few measured rows leave a task."""
     made = []
