@@ -320,6 +320,21 @@ def test_buckets_measure_by_blocks_without_a_row_per_pair(spark, monkeypatch):
     assert made[0].count() < 0.5 * len(vectors) * len({tuple(v) for v in vectors}) * 8
 
 
+def test_no_vector_travels_for_its_buckets(spark, monkeypatch):
+    """What the search by buckets writes of either side has a row per vector, however many buckets that is in or asks; nothing is shuffled, and vectors that share none aren't found."""
+    made, sizes = [], []
+    monkeypatch.setattr(VEC, "_measured", lambda *a, plain=VEC._measured: made.append(plain(*a)) or made[-1])
+    monkeypatch.setattr(VEC, "release", lambda df, plain=VEC.release: (sizes.append(df.count()), plain(df))[1])
+    monkeypatch.setattr(VEC, "BLOCK_VALUES", 1000)
+    draw = np.random.default_rng(23)
+    vectors = np.concatenate([draw.normal(size=(150, 6)), 1e6 + draw.normal(size=(150, 6))]).tolist()
+    docs = spark.createDataFrame(list(enumerate(vectors)), "doc_id long, embedding array<double>")
+    queries = docs.select(F.col("doc_id").alias("query_id"), "embedding", F.lit(200).alias("k"))
+    found = VEC.approximate_nearest(queries, docs, hashes=1, reach=100.0).collect()
+    assert sizes == [300, 300] and "Exchange" not in made[0]._jdf.queryExecution().sparkPlan().toString()
+    assert len(made[0].inputFiles()) > 1 and {(r["query_id"], r["doc_id"]) for r in found} == {(i, j) for i in range(300) for j in range(300) if i // 150 == j // 150}
+
+
 def test_telemetry_is_written_once(spark, sf_dir):
     assert all("/ordinal-" in f for f in X.telemetry(spark, sf_dir).inputFiles())
 
